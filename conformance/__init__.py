@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables, with the SQL that must give the same rows."""
 
-from conformance import scans  # noqa: F401
+from conformance import adaptation, period_queries, scans  # noqa: F401
 from conformance.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

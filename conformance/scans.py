@@ -12,7 +12,6 @@ from lifeframe.functions import periods as P
 from lifeframe.operators import balance, persons as people
 from lifeframe.session import scratch_path
 from lifeframe.sources import scan, schemas, sinks
-from lifeframe.sources.adapt import adaptation_report
 from lifeframe.sources.catalog import RegisterCatalog
 from lifeframe.sources.specs import register
 
@@ -136,12 +135,11 @@ def _(spark, d):
     )
 
 
-@query("sc13_read_compatible_files", "select PNR, YEAR from v_ind union all select PNR, YEAR from v_ind where YEAR = 1996")
+@query("sc13_read_compatible_files", "select PNR, YEAR from v_ind")
 def _(spark, d):
     path = _ind_delivery(spark, d)
-    whole, one = f"{path}/delivery=*", f"{path}/delivery=1996"
-    df = spark.read.parquet(whole)
-    return df.select("PNR", "YEAR").unionByName(schemas.read_compatible(spark, [one]).select("PNR", "YEAR"))
+    years = [r.YEAR for r in view(spark, d, "ind").select("YEAR").distinct().collect()]  # a few calendar years
+    return schemas.read_compatible(spark, [f"{path}/delivery={y}" for y in sorted(years)]).select("PNR", "YEAR")
 
 
 @query("sc14_balance_csv")
@@ -163,16 +161,6 @@ def _(spark, d):
     return sinks.upsert(current, incoming)
 
 
-@query(
-    "sa02_adaptation_report",
-    """select * from (values (0,'o_orderkey','bigint','bigint','exact',null), (1,'o_custkey','bigint','bigint','exact',null),
-(2,'o_orderdate','timestamp_ntz','string','compatible','date_formatting'), (3,'o_totalprice','double','double','exact',null),
-(4,'o_clerk',null,'string','missing',null)) t("position", field, source_type, target_type, status, strategy)""",
-)
-def _(spark, d):
-    return adaptation_report(spark, table(spark, d, "orders").schema, ORDER_SCHEMA)
-
-
 @query(
     "tp13_load_one_period",
     "select PNR as pnr, YEAR as income_year, round(PERINDKIALT_13, 2) as annual_income from v_ind where YEAR = 1998",

@@ -64,6 +64,19 @@ select cast(l_orderkey as varchar(12)) as DW_EK_KONTAKT, ICD(l_partkey) as diagn
 select P(o_custkey) as PNR, cast(extract(year from o_orderdate) as int) as YEAR, sum(o_totalprice) as PERINDKIALT_13,
   sum(case when o_orderstatus='F' then o_totalprice end) as LOENMV_13
 from orders group by o_custkey, cast(extract(year from o_orderdate) as int)""",
+    "files": """
+select distinct '/data/' || case when o_custkey%2=0 then 'bef' else 'akm' end || '/' || case
+  when o_orderkey%5=0 then cast(extract(year from o_orderdate) as varchar(4))
+  when o_orderkey%5=1 then cast(extract(year from o_orderdate) as varchar(4)) || lpad(cast(extract(month from o_orderdate) as varchar(2)), 2, '0')
+  when o_orderkey%5=2 then cast(extract(year from o_orderdate) as varchar(4)) || 'Q' || cast(extract(quarter from o_orderdate) as varchar(1))
+  when o_orderkey%5=3 then cast(extract(year from o_orderdate) as varchar(4)) || lpad(cast(extract(month from o_orderdate) as varchar(2)), 2, '0')
+    || lpad(cast(extract(day from o_orderdate) as varchar(2)), 2, '0')
+  else 'pop_' || cast(extract(year from o_orderdate) as varchar(4)) || '-' || lpad(cast(extract(month from o_orderdate) as varchar(2)), 2, '0')
+  end || '.parquet' as path from orders""",
+    "hospital_files": """
+select distinct '/data/' || case when o_orderkey%3=0 then 'lpr_adm' when o_orderkey%3=1 then 'lpr_diag' else 'lpr3_kontakter' end || '/'
+  || case when o_custkey%2=0 then '' else 'extract_' end || cast(extract(year from o_orderdate) as varchar(4)) || '.parquet' as path from orders
+where not (o_orderkey%3=1 and o_orderdate < timestamp '1997-01-01 00:00:00')""",
 }
 _TABLES = ("customer", "orders", "lineitem")
 _HELPERS = {

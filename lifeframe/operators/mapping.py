@@ -159,6 +159,17 @@ def diagnoses(df: DataFrame) -> DataFrame:
     )
 
 
+def causes_of_death(rows: DataFrame) -> DataFrame:
+    """Mapped causes of death with cleaned codes and the chapters of the cause."""
+    def cleaned(c: str) -> Column:
+        return F.upper(F.trim(F.col(c)))
+
+    return rows.select(
+        "pnr", "death_date", cleaned("death_cause").alias("death_cause"), cleaned("death_condition").alias("death_condition"),
+        icd.chapters(cleaned("death_cause")).alias("chapters"),
+    )
+
+
 def record_diagnoses(diag: DataFrame, adm: DataFrame) -> DataFrame:
     """Mapped diagnosis records to diagnoses with their person, through the admission's record number."""
     links = adm.filter(F.col("record_number").isNotNull()).groupBy("record_number").agg(
