@@ -176,7 +176,7 @@ def chronic_results(
     result = rows.groupBy("pnr").agg(
         F.bool_or(counts).alias("has_scd"),
         F.min(F.when(counts, date)).alias("first_scd_date"),
-        F.coalesce(F.bit_or(F.when(counts, F.shiftleft(F.lit(1), F.col("category")))), F.lit(0)).alias("category_mask"),
+        F.coalesce(F.bit_or(F.when(counts, F.call_function("shiftleft", F.lit(1), F.col("category")))), F.lit(0)).alias("category_mask"),
         F.coalesce(F.max(F.when(counts, severity)), F.lit(0)).alias("max_severity"),
         F.bool_or(counts & F.coalesce("congenital", F.lit(False))).alias("has_congenital"),
         F.sum("_n").alias("hospitalization_count"),
