@@ -152,11 +152,8 @@ from v_persons c where (c.mother_pnr is not null or c.father_pnr is not null) an
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family snapshots at the index date with residency, chronic children and parental comorbidity."""
-    sick = hospital(spark, sf_dir)
-    return families.snapshot(
-        members(spark, sf_dir), INDEX, events(spark, sf_dir),
-        chronic.chronic_results(sick), diagnoses.first_dates(sick),
-    )
+    health = chronic.chronic_results(hospital(spark, sf_dir))
+    return families.snapshot(members(spark, sf_dir), INDEX, events(spark, sf_dir), health)
 
 
 block(

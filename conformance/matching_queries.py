@@ -11,6 +11,8 @@ from conformance.views import view
 from lifeframe.operators import balance as B
 from lifeframe.operators import matching as M
 from lifeframe.operators import persons as people
+from lifeframe.session import scratch_path
+from lifeframe.sources import sinks
 
 CONFIG = M.MatchingConfig(ratio=2, seed=7, matching_date=INDEX)
 
@@ -33,18 +35,38 @@ def _(spark, d):
     return _match(spark, d).pairs
 
 
+# With more wanted than there are controls nothing is left to chance: a control goes to its earliest case.
+EVERYONE = M.MatchingConfig(ratio=1_000_000, seed=7, matching_date=INDEX)
+
+
+@query(
+    "ma03_match_everyone",
+    f"""with {SIDES},
+p as (select min(c.pnr) as case_pnr, k.pnr as control_pnr from c join k on {ELIGIBLE} group by k.pnr)
+select p.case_pnr, c.birth_date as case_birth_date, p.control_pnr, k.birth_date as control_birth_date, {INDEX_SQL} as matching_date
+from p join c on c.pnr = p.case_pnr join k on k.pnr = p.control_pnr""",
+)
+def _(spark, d):
+    return M.match(*sides(spark, d), EVERYONE).pairs
+
+
 @query(
-    "ma05_matched_cases",
-    # Every case with an eligible control is matched unless an earlier case took the last one.
-    None,
+    "ma05_matched_rows",
+    f"""with {SIDES},
+p as (select min(c.pnr) as case_pnr, k.pnr as control_pnr from c join k on {ELIGIBLE} group by k.pnr)
+select 'case' as side, pnr, birth_date, gender from c where pnr in (select case_pnr from p)
+union all select 'control', pnr, birth_date, gender from k where pnr in (select control_pnr from p)""",
 )
 def _(spark, d):
-    return _match(spark, d).matched_cases.select("pnr", "birth_date", "gender")
+    result = M.match(*sides(spark, d), EVERYONE)
+    shown = ("pnr", "birth_date", "gender")
+    cases = result.matched_cases.select(F.lit("case").alias("side"), *shown)
+    return cases.unionByName(result.matched_controls.select(F.lit("control").alias("side"), *shown))
 
 
 @query(
     "ma07_case_control_tables",
-    f"""select PNR in (select PNR from v_dod) as is_case, PNR as pnr, FOED_DAG as birth_date, KOEN as gender, {years(INDEX_SQL, "FOED_DAG")} as age, round(i.amount, 0) as income
+    f"""select v_bef.PNR in (select d.PNR from v_dod d) as is_case, v_bef.PNR as pnr, FOED_DAG as birth_date, KOEN as gender, {years(INDEX_SQL, "FOED_DAG")} as age, round(i.amount, 0) as income
 from v_bef left join (select pnr, amount from v_incomes where income_type = 'total_personal' and year = 2000) i on i.pnr = v_bef.PNR""",
 )
 def _(spark, d):
@@ -129,3 +151,19 @@ from ({FINISHED} v_metrics)""",
 def _(spark, d):
     df = B.balance_summary(B.balance(*groups(spark, d)))
     return df.withColumns({c: F.round(c, 6) for c in ("max_smd", "mean_abs_smd")})
+
+
+@query(
+    "sc14_balance_csv",
+    f"""select name as "Covariate", case when categorical then 'Categorical' else 'Continuous' end as "Type", printf('%.6f', case_mean) as "Case Mean",
+  printf('%.6f', control_mean) as "Control Mean", printf('%.6f', case_sd) as "Case SD", printf('%.6f', control_sd) as "Control SD", printf('%.6f', smd) as "Std Diff"
+from ({FINISHED} v_metrics)
+union all select 'Total covariates', cast(count(*) as varchar), null, null, null, null, null from v_metrics
+union all select 'Imbalanced covariates (std diff > 0.1)', cast(count(*) filter (where abs(smd) > 0.1) as varchar), null, null, null, null, null from ({FINISHED} v_metrics)
+union all select 'Maximum standardized difference', printf('%.6f', max(abs(smd))), null, null, null, null, null from ({FINISHED} v_metrics)
+union all select 'Mean absolute standardized difference', printf('%.6f', avg(abs(smd))), null, null, null, null, null from ({FINISHED} v_metrics)""",
+)
+def _(spark, d):
+    path = scratch_path(spark, "balance")
+    sinks.write_balance_csv(B.balance(*groups(spark, d)), path)
+    return spark.read.option("header", "true").csv(path)

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformance.frames import INDEX, mapped, persons
 from conformance.registry import query
 from conformance.views import table, view
 from lifeframe.functions import periods as P
-from lifeframe.operators import balance, persons as people
 from lifeframe.session import scratch_path
 from lifeframe.sources import scan, schemas, sinks
 from lifeframe.sources.catalog import RegisterCatalog
@@ -142,14 +140,6 @@ def _(spark, d):
     return schemas.read_compatible(spark, [f"{path}/delivery={y}" for y in sorted(years)]).select("PNR", "YEAR")
 
 
-@query("sc14_balance_csv")
-def _(spark, d):
-    cases, controls = people.case_control_tables(persons(spark, d), mapped(spark, d, "dod").select("pnr"), INDEX)
-    path = scratch_path(spark, "balance")
-    sinks.write_balance_csv(balance.balance(cases, controls), path)
-    return spark.read.option("header", "true").csv(path)
-
-
 @query(
     "sc15_upsert",
     """select PNR as pnr, 'old' as origin, SOCIO13 as value from v_akm where PNR not in (select PNR from v_uddf)

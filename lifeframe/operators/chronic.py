@@ -73,7 +73,9 @@ def rule_rows() -> list[tuple[str, int, bool, int]]:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), "prefix string, category int, congenital boolean, severity int")
+    """The rules as a literal relation of the plan."""
+    values = ", ".join(f"('{p}', {c}, {str(g).lower()}, {s})" for p, c, g, s in rule_rows())
+    return spark.sql(f"select * from values {values} as rules(prefix, category, congenital, severity)")
 
 
 def categorize(df: DataFrame, code: str = "diagnosis_code") -> DataFrame:
@@ -139,7 +141,8 @@ def category_list(mask: Column) -> Column:
 def chronic_results(
     diagnoses: DataFrame, config: ChronicConfig | None = None, births: DataFrame | None = None
 ) -> DataFrame:
-    """One row per person with a diagnosis: flag, first date, categories, worst severity, congenital, diagnosis count.
+    """One row per person with a diagnosis: flag, first date, categories, worst severity, congenital, diagnosis count,
+    and the first date of any diagnosis.
 
     A diagnosis counts when it is chronic and inside the window and age range; an unknown date or birth
     skips that test. Every diagnosis counts for ``hospitalization_count``.
@@ -180,6 +183,7 @@ def chronic_results(
         F.coalesce(F.max(F.when(counts, severity)), F.lit(0)).alias("max_severity"),
         F.bool_or(counts & F.coalesce("congenital", F.lit(False))).alias("has_congenital"),
         F.sum("_n").alias("hospitalization_count"),
+        F.min("diagnosis_date").alias("first_diagnosis_date"),
     )
     return result.withColumns(
         {"scd_categories": category_list(F.col("category_mask")), "category_count": F.bit_count("category_mask")}

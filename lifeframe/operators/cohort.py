@@ -59,11 +59,15 @@ def restrict_registers(frames: Mapping[str, DataFrame], cohort: DataFrame) -> di
     return result
 
 
+def record_links(parent: DataFrame, key: str, id_column: str) -> DataFrame:
+    """One person per record key; of several the smaller id."""
+    return parent.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_column).alias(id_column))
+
+
 def attach_person(child: DataFrame, parent: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Adds the parent's person id to rows that only carry a record key."""
     id_column = detect_id(parent)
-    links = parent.select(key, id_column).filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return child.join(links, key, how)
+    return child.join(record_links(parent, key, id_column), key, how)
 
 
 def split_cohort(persons: DataFrame, condition_ids: DataFrame, key: str = "pnr") -> tuple[DataFrame, DataFrame]:

@@ -44,9 +44,10 @@ def families_at(persons: DataFrame, date: dt.date) -> DataFrame:
 
 
 def family_parents(persons: DataFrame) -> DataFrame:
-    """Mother and father per family: linked by a member of the family and themselves among the persons.
+    """Mother and father per family with their person columns.
 
-    Where members link to several, the one linked most often is taken, then the smaller id.
+    A parent is linked by a member of the family and is itself among the persons. Where members link to
+    several, the one linked most often is taken, then the larger id.
     """
     linked = persons.filter(F.col("family_id").isNotNull()).select(
         "family_id",
@@ -55,10 +56,16 @@ def family_parents(persons: DataFrame) -> DataFrame:
         ).alias("role", "pnr"),
     )
     counted = linked.filter(F.col("pnr").isNotNull()).groupBy("family_id", "role", "pnr").agg(
-        F.count(F.lit(1)).alias("links")
+        F.count(F.lit(1)).alias("_links")
     )
-    known = counted.join(persons.select("pnr"), "pnr", "left_semi")
-    return known.groupBy("family_id", "role").agg(F.max_by("pnr", F.struct("links", F.col("pnr"))).alias("pnr"))
+    details = _details(persons)
+    known = counted.join(persons.select(*details), "pnr")
+    best = F.max_by(F.struct(*details), F.struct("_links", "pnr")).alias("_parent")
+    return known.groupBy("family_id", "role").agg(best).select("family_id", "role", "_parent.*")
+
+
+def _details(persons: DataFrame) -> list[str]:
+    return [c for c in persons.columns if c not in ("family_id", "mother_pnr", "father_pnr")]
 
 
 def family_members(persons: DataFrame) -> DataFrame:
@@ -68,16 +75,13 @@ def family_members(persons: DataFrame) -> DataFrame:
     listed in the family of their children, wherever they are registered.
     """
     parents = family_parents(persons)
-    details = [c for c in persons.columns if c not in ("family_id", "mother_pnr", "father_pnr")]
-    parent_rows = parents.join(persons.select(*details), "pnr")
     linked = persons.filter(
         F.col("family_id").isNotNull() & (F.col("mother_pnr").isNotNull() | F.col("father_pnr").isNotNull())
     )
-    child_rows = (
-        linked.select("family_id", F.lit(CHILD).alias("role"), *details)
-        .join(parents.select("family_id", "pnr"), ["family_id", "pnr"], "left_anti")
+    children = linked.select("family_id", F.lit(CHILD).alias("role"), *_details(persons)).join(
+        parents.select("family_id", "pnr"), ["family_id", "pnr"], "left_anti"
     )
-    return parent_rows.select("family_id", "role", *details).unionByName(child_rows)
+    return parents.unionByName(children)
 
 
 def study_persons(
@@ -126,16 +130,15 @@ def snapshot(
     members: DataFrame,
     date: dt.date,
     events: DataFrame | None = None,
-    child_scd: DataFrame | None = None,
-    parent_diagnoses: DataFrame | None = None,
+    health: DataFrame | None = None,
     families: DataFrame | None = None,
 ) -> DataFrame:
     """Families as they were at a date.
 
-    Children count when alive and resident, parents when resident. ``child_scd`` is
-    ``(pnr, first_scd_date)``, ``parent_diagnoses`` is ``(pnr, first_diagnosis_date)``, one row per person
-    each; comorbidity needs a diagnosis strictly before the date. ``families`` adds its attributes and,
-    with ``valid_from``/``valid_to``, limits the result to families valid at the date.
+    Children count when alive and resident, parents when resident. ``health`` is one row per person with
+    ``first_scd_date`` and ``first_diagnosis_date`` (the chronic-disease results have both); a parent's
+    comorbidity needs a diagnosis strictly before the date. ``families`` adds its attributes and, with
+    ``valid_from``/``valid_to``, limits the result to families valid at the date.
     """
     birth, death, when = F.col("birth_date"), F.col("death_date"), F.lit(date)
     state = members
@@ -143,13 +146,13 @@ def snapshot(
         state = with_residency(state, events, date)
     else:
         state = state.withColumn("resident", fn.alive_at(birth, death, when))
-    first_scd, first_diagnosis = F.lit(None).cast("date"), F.lit(None).cast("date")
-    if child_scd is not None:
-        state = state.join(child_scd.select("pnr", F.col("first_scd_date").alias("_scd")), "pnr", "left")
-        first_scd = F.col("_scd")
-    if parent_diagnoses is not None:
-        state = state.join(parent_diagnoses.select("pnr", F.col("first_diagnosis_date").alias("_sick")), "pnr", "left")
-        first_diagnosis = F.col("_sick")
+    first_scd = first_diagnosis = F.lit(None).cast("date")
+    if health is not None:
+        known = health.select(
+            "pnr", F.col("first_scd_date").alias("_scd"), F.col("first_diagnosis_date").alias("_sick")
+        )
+        state = state.join(known, "pnr", "left")
+        first_scd, first_diagnosis = F.col("_scd"), F.col("_sick")
     role, here = F.col("role"), F.col("resident")
     child_here = (role == CHILD) & here & fn.alive_at(birth, death, when)
     parent_here = role.isin(MOTHER, FATHER) & here

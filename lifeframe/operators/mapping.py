@@ -79,7 +79,7 @@ def diagnosis_codes(diag: DataFrame) -> DataFrame:
 
 def visits_per_person(visits: DataFrame, adm: DataFrame) -> DataFrame:
     """Mapped outpatient visits to dated counts per person, through their admission."""
-    links = adm.filter(F.col("record_number").isNotNull()).select("record_number", "pnr").dropDuplicates(["record_number"])
+    links = adm.filter(F.col("record_number").isNotNull()).groupBy("record_number").agg(F.min("pnr").alias("pnr"))
     # Counted per record and day before the join, so a record with very many visits stays a few rows.
     per_day = visits.filter(F.col("visit_date").isNotNull()).groupBy("record_number", "visit_date").agg(
         F.count(F.lit(1)).alias("n")
@@ -173,7 +173,7 @@ def causes_of_death(rows: DataFrame) -> DataFrame:
 def record_diagnoses(diag: DataFrame, adm: DataFrame) -> DataFrame:
     """Mapped diagnosis records to diagnoses with their person, through the admission's record number."""
     links = adm.filter(F.col("record_number").isNotNull()).groupBy("record_number").agg(
-        F.min_by("pnr", "pnr").alias("pnr"), F.min("admission_date").alias("diagnosis_date")
+        F.min("pnr").alias("pnr"), F.min("admission_date").alias("diagnosis_date")
     )
     return diag.filter(F.col("diagnosis_code").isNotNull()).join(links, "record_number").select(
         "pnr",

@@ -18,7 +18,7 @@ is the same as walking down a random ranking. A case whose pool is empty is fini
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +118,12 @@ def prepare(df: DataFrame, criteria: MatchingCriteria, side: str) -> DataFrame:
     return df
 
 
+def _one_row_each(persons: DataFrame) -> DataFrame:
+    """One row per person; of several the smallest, whatever order they were read in."""
+    others = [c for c in persons.columns if c != "pnr"]
+    return persons.groupBy("pnr").agg(F.min(F.struct(*others)).alias("_row")).select("pnr", "_row.*")
+
+
 def cell_key(criteria: MatchingCriteria) -> Column:
     """Identity of a cell: all attributes eligibility depends on."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in criteria.columns]
@@ -259,10 +265,14 @@ def _proposals(
     else:
         pool = pool.withColumn("pool_size_others", F.col("pool_size"))
     pool = materialize(pool, "match-pool")
+    # A case that wants the whole pool takes it; otherwise positions are drawn, and a position drawn twice
+    # is simply drawn again in the next round.
+    wants_all = F.col("need") >= F.col("pool_size")
+    drawn_at = F.pmod(F.xxhash64(F.lit(seed), F.lit(round_no), "case_pnr", "_draw"), F.col("pool_size"))
     drawn = (
         pool.filter("pool_size_others > 0")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("need"))))
-        .withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), F.lit(round_no), "case_pnr", "_draw"), F.col("pool_size")))
+        .withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("need").cast("long"), "pool_size"))))
+        .withColumn("_u", F.when(wants_all, F.col("_draw") - 1).otherwise(drawn_at))
     )
     from_free = (
         drawn.filter(F.col("_u") < F.col("free_total"))
@@ -295,8 +305,8 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     """
     config = config or MatchingConfig()
     criteria = config.criteria
-    cases = prepare(cases, criteria, "cases").dropDuplicates(["pnr"])
-    controls = prepare(controls, criteria, "controls").dropDuplicates(["pnr"])
+    cases = _one_row_each(prepare(cases, criteria, "cases"))
+    controls = _one_row_each(prepare(controls, criteria, "controls"))
     edges = materialize(
         eligible_cells(cells(cases, criteria), cells(controls, criteria), criteria).select(
             "case_cell", F.col("control_cell").alias("cell")
@@ -372,7 +382,3 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
         controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi"),
         rounds,
     )
-
-
-def with_ratio(config: MatchingConfig, ratio: int) -> MatchingConfig:
-    return replace(config, ratio=ratio)

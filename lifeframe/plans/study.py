@@ -31,11 +31,8 @@ def _mapped(registers: Mapping[str, DataFrame], name: str) -> DataFrame | None:
     return mapping.map_register(registers[name], register(name)) if name in registers else None
 
 
-def study_persons(registers: Mapping[str, DataFrame], known: bool = True) -> DataFrame:
-    """Population register, completed by birth and death registers, one row per person.
-
-    Fields no register delivers are left out, except the links and dates families are built from.
-    """
+def study_persons(registers: Mapping[str, DataFrame]) -> DataFrame:
+    """Population register, completed by birth and death registers, one row per person."""
     base = _mapped(registers, "bef")
     wanted = ("gender", "birth_date", "mother_pnr", "father_pnr", "family_id", "children_count", "municipality_code")
     one = base.groupBy("pnr").agg(*(F.max(c).alias(c) for c in wanted))
@@ -73,7 +70,7 @@ def population(
         hospital, cohort_frame,
     )
     results = chronic.chronic_results(sick, disease, people.birth_dates(persons))
-    shown = families.snapshot(members, index_date, events, results, diagnoses.first_dates(sick))
+    shown = families.snapshot(members, index_date, events, results)
     if "ind" in registers:
         money = income.series(mapping.incomes(_mapped(registers, "ind"))).filter(
             (F.col("income_type") == income_type) & (F.col("year") == index_date.year)
