@@ -195,7 +195,7 @@ def _ordered_cases(cases: DataFrame, config: MatchingConfig) -> DataFrame:
     ))
     order = [f"_order_{i}" for i in range(len(config.case_order))]
     ranked = keyed.orderBy(*order, "pnr").withColumn("ord", F.monotonically_increasing_id())
-    return materialize(ranked.select("ord", F.col("pnr").alias("case_pnr"), "case_cell"), "match-cases")
+    return materialize(ranked.select("ord", F.col("pnr").alias("case_pnr"), "case_cell"), "match-order")
 
 
 def _place_free(free: DataFrame) -> DataFrame:
@@ -238,8 +238,11 @@ def _later_holders(active: DataFrame, edges: DataFrame, held: DataFrame) -> tupl
 
 def _proposals(
     active: DataFrame, edges: DataFrame, free: DataFrame, held: DataFrame, own: DataFrame | None, seed: int, round_no: int
-) -> tuple[DataFrame, DataFrame]:
-    """(active cases with the size of their pool; this round's proposals ``control_pnr, cell, ord``)."""
+) -> DataFrame:
+    """This round's draws ``ord, finished, control_pnr, cell``, written once.
+
+    A case without willing controls has one row that is ``finished``; a draw of oneself has no control.
+    """
     sizes = free.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     in_case_cell = Window.partitionBy("case_cell").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     spans = edges.join(sizes, "cell").withColumn("_hi", F.sum("_n").over(in_case_cell)).withColumn(
@@ -264,7 +267,6 @@ def _proposals(
         pool = pool.withColumn("pool_size_others", F.col("pool_size") - willing).drop("_own", "_holder")
     else:
         pool = pool.withColumn("pool_size_others", F.col("pool_size"))
-    pool = materialize(pool, "match-pool")
     # A case that wants the whole pool takes it; otherwise positions are drawn, and a position drawn twice
     # is simply drawn again in the next round.
     wants_all = F.col("need") >= F.col("pool_size")
@@ -282,7 +284,7 @@ def _proposals(
         .join(free, ["cell", "pos"])
         .select("control_pnr", "cell", "ord", "case_pnr")
     )
-    proposals = from_free
+    draws = from_free
     if round_no > 1:
         from_held = (
             drawn.filter(F.col("_u") >= F.col("free_total"))
@@ -293,8 +295,11 @@ def _proposals(
             .join(positions, ["cell", "hpos"])
             .select("control_pnr", "cell", "ord", "case_pnr")
         )
-        proposals = from_free.unionByName(from_held)
-    return pool, proposals.filter("case_pnr <> control_pnr").select("control_pnr", "cell", "ord")
+        draws = from_free.unionByName(from_held)
+    others = F.when(F.col("case_pnr") != F.col("control_pnr"), F.col("control_pnr"))
+    rows = draws.select("ord", F.lit(False).alias("finished"), others.alias("control_pnr"), "cell")
+    ends = pool.filter("pool_size_others <= 0").select("ord", F.lit(True).alias("finished"))
+    return materialize(rows.unionByName(ends, allowMissingColumns=True), "match-draws")
 
 
 def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None = None) -> MatchingResult:
@@ -305,8 +310,11 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     """
     config = config or MatchingConfig()
     criteria = config.criteria
-    cases = _one_row_each(prepare(cases, criteria, "cases"))
-    controls = _one_row_each(prepare(controls, criteria, "controls"))
+    original_cases, original_controls = prepare(cases, criteria, "cases"), prepare(controls, criteria, "controls")
+    needed = dict.fromkeys(("pnr", *criteria.columns))
+    # Only ids and matching attributes take part in the rounds; they are computed once.
+    cases = materialize(_one_row_each(original_cases.select(*dict.fromkeys((*needed, *config.case_order)))), "match-cases")
+    controls = materialize(_one_row_each(original_controls.select(*needed)), "match-controls")
     edges = materialize(
         eligible_cells(cells(cases, criteria), cells(controls, criteria), criteria).select(
             "case_cell", F.col("control_cell").alias("cell")
@@ -327,11 +335,16 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     )
     held = cases.sparkSession.createDataFrame([], "control_pnr string, cell string, ord long")
     active = ordered.withColumn("need", F.lit(config.ratio))
+    done: DataFrame | None = None
     rounds = 0
     while True:
         rounds += 1
-        pool, proposals = _proposals(active, edges, free, held, own, config.seed, rounds)
-        won = proposals.groupBy("control_pnr").agg(F.min("cell").alias("cell"), F.min("ord").alias("ord"))
+        draws = _proposals(active, edges, free, held, own, config.seed, rounds)
+        won = (
+            draws.filter(F.col("control_pnr").isNotNull())
+            .groupBy("control_pnr")
+            .agg(F.min("cell").alias("cell"), F.min("ord").alias("ord"))
+        )
         both = held.withColumn("_old", F.col("ord")).unionByName(won.withColumn("_old", F.lit(None).cast("long")))
         settled = materialize(
             both.groupBy("control_pnr").agg(
@@ -340,16 +353,12 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
             "match-held",
         )
         held = settled.select("control_pnr", "cell", "ord")
-        displaced = settled.filter(F.col("_old").isNotNull() & (F.col("_old") != F.col("ord"))).select(F.col("_old").alias("ord"))
+        displaced = settled.filter(F.col("_old") != F.col("ord")).select(F.col("_old").alias("ord"))
         # A finished case finds no willing control any more, also after it loses one, so only cases that
         # are not finished go on.
-        finished = pool.filter("pool_size_others <= 0").select("ord")
-        if rounds == 1:
-            done = finished
-        else:
-            done = done.unionByName(finished)
-        done = materialize(done, "match-done")
-        again = pool.filter("pool_size_others > 0").select("ord").unionByName(displaced).distinct()
+        finished = draws.filter("finished").select("ord")
+        done = finished if done is None else done.unionByName(finished)
+        again = draws.filter("not finished").select("ord").unionByName(displaced).distinct()
         having = held.groupBy("ord").agg(F.count(F.lit(1)).alias("_have"))
         active = materialize(
             ordered.join(again.join(done, "ord", "left_anti"), "ord", "left_semi")
@@ -378,7 +387,7 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     )
     return MatchingResult(
         pairs,
-        cases.join(pairs.select(F.col("case_pnr").alias("pnr")), "pnr", "left_semi"),
-        controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi"),
+        original_cases.join(pairs.select(F.col("case_pnr").alias("pnr")), "pnr", "left_semi"),
+        original_controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi"),
         rounds,
     )
