@@ -96,7 +96,7 @@ def _(spark, d):
 
 @query(
     "fa09_siblings",
-    """select family_id, pnr, birth_date, row_number() over w as birth_order, count(*) over (partition by family_id) as siblings,
+    """select family_id, pnr, birth_date, has_scd, row_number() over w as birth_order, count(*) over (partition by family_id) as siblings,
   round(datediff('day', lag(birth_date) over w, birth_date) / 365.25, 6) as years_since_previous, bool_or(has_scd) over (partition by family_id) as has_sibling_with_scd
 from v_child_state window w as (partition by family_id order by birth_date nulls first, md5(pnr), pnr)
 qualify count(*) over (partition by family_id) > 1""",

@@ -147,16 +147,19 @@ def chronic_results(
     A diagnosis counts when it is chronic and inside the window and age range; an unknown date or birth
     skips that test. Every diagnosis counts for ``hospitalization_count``.
 
-    Rows are first reduced to distinct (person, code, date), so that a person with very many rows stays
-    small in every later step. Categories travel as a bit mask, which keeps the aggregate in fixed-width
-    buffers.
+    Everything is one partially aggregated pass with fixed-width buffers (categories travel as a bit mask),
+    so a person with very many rows costs no more than others. Only an age range needs birth dates; rows are
+    then first reduced to distinct (person, code, date), which keeps such a person small in that join.
     """
     config = config or ChronicConfig()
     own = config.severity == "row"
-    keys = ["pnr", "diagnosis_code", "diagnosis_date"]
-    carried = [F.max("severity").alias("_own")] if own else []
     needs_age = births is not None and (config.min_age is not None or config.max_age is not None)
-    rows = diagnoses.filter(F.col("pnr").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *carried)
+    rows = diagnoses.filter(F.col("pnr").isNotNull()).withColumn("_n", F.lit(1).cast("long"))
+    if own:
+        rows = rows.withColumn("_own", F.col("severity"))
+    if needs_age:
+        carried = [F.max("_own").alias("_own")] if own else []
+        rows = rows.groupBy("pnr", "diagnosis_code", "diagnosis_date").agg(F.sum("_n").alias("_n"), *carried)
     rows = categorize(rows)
     date = F.col("diagnosis_date")
     tests = [F.col("category").isNotNull()]

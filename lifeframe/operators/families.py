@@ -8,6 +8,7 @@ its shuffle, so a family id shared by very many rows costs no more than any othe
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from lifeframe.functions import codes, icd
 from lifeframe.functions import persons as fn
 from lifeframe.functions.predicates import valid_at
 from lifeframe.operators.persons import with_residency
-from lifeframe.operators.ranking import position_in_group, spread
+from lifeframe.operators.ranking import number_slices, spread
 
 MOTHER, FATHER, CHILD = "mother", "father", "child"
+_BEFORE_ALL_DAYS = -(2**31)
 
 
 def family_type(mother: Column, father: Column) -> Column:
@@ -243,35 +245,41 @@ def siblings(children: DataFrame) -> DataFrame:
     """Children of families with more than one: birth order, years to the previous child, any affected sibling.
 
     ``children`` is ``(family_id, pnr, birth_date[, has_scd])``. Unknown birth dates come first and have no
-    gap; equal birth dates are ordered by a hash of the id. Families are first reduced to their distinct
-    birth dates (bounded by the calendar), and positions are counted per slice of each, so no task ever
-    sorts a whole family.
+    gap; equal birth dates are ordered by a hash of the id. Children are numbered per slice of a birth
+    date; only the slices of a family, bounded by the calendar, meet in one window.
     """
     flag = F.coalesce("has_scd", F.lit(False)) if "has_scd" in children.columns else F.lit(False)
-    rows = children.filter(F.col("family_id").isNotNull()).select("family_id", "pnr", "birth_date", flag.alias("has_scd"))
-    family = Window.partitionBy("family_id")
-    in_order = family.orderBy(F.asc_nulls_first("birth_date"))
-    births = (
-        rows.groupBy("family_id", "birth_date")
-        .agg(F.count(F.lit(1)).alias("_n"), F.bool_or("has_scd").alias("_any"))
-        .withColumn("_before", F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .withColumn("_previous", F.lag("birth_date").over(in_order))
-        .withColumn("siblings", F.sum("_n").over(family))
-        .withColumn("has_sibling_with_scd", F.max("_any").over(family))
-        .filter(F.col("siblings") > 1)
-        .select(F.col("family_id").alias("_family"), F.col("birth_date").alias("_birth"), "_before", "_previous",
-                "siblings", "has_sibling_with_scd")
+    rows = children.filter(F.col("family_id").isNotNull()).select(
+        "family_id", "pnr", flag.alias("has_scd"),
+        F.coalesce(F.unix_date("birth_date"), F.lit(_BEFORE_ALL_DAYS)).alias("_day"),
+        spread(F.col("pnr")).alias("_slice"),
+    )
+    local, slices = number_slices(
+        rows, ["family_id"], ["_day", "_slice"], [F.md5("pnr"), F.col("pnr")], {"_any": F.max("has_scd")}
     )
-    hashed = F.md5("pnr")
-    placed = position_in_group(
-        rows, ["family_id"], [F.col("birth_date"), spread(F.col("pnr"))], [hashed, F.col("pnr")], "birth_order"
+    family = Window.partitionBy("family_id")
+    earlier_slices = family.orderBy("_day", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_days = family.orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    placed = slices.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(earlier_slices), F.lit(0)),
+            "_before_day": F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)),
+            "_previous_day": F.max("_day").over(earlier_days),
+            "siblings": F.sum("_n").over(family),
+            "has_sibling_with_scd": F.max("_any").over(family),
+        }
+    ).filter(F.col("siblings") > 1).drop("_n", "_any")
+    joined = local.join(placed, ["family_id", "_day", "_slice"]).withColumn(
+        "birth_order", F.col("_local") + F.col("_before")
     )
-    joined = placed.join(births, (F.col("family_id") == F.col("_family")) & F.col("birth_date").eqNullSafe(F.col("_birth")))
-    gap_days = F.when((F.col("birth_order") > F.col("_before") + 1) & F.col("birth_date").isNotNull(), F.lit(0)).otherwise(
-        F.datediff("birth_date", "_previous")
+    known = F.col("_day") > _BEFORE_ALL_DAYS
+    # The birth date is restored from its day number, so that both uses of the rows read the same shuffle.
+    birth = F.when(known, F.date_from_unix_date("_day"))
+    gap_days = F.when(known & (F.col("birth_order") > F.col("_before_day") + 1), F.lit(0)).when(
+        known & (F.col("_previous_day") > _BEFORE_ALL_DAYS), F.col("_day") - F.col("_previous_day")
     )
     return joined.select(
-        "family_id", "pnr", "birth_date", "birth_order", "siblings",
+        "family_id", "pnr", birth.alias("birth_date"), "has_scd", "birth_order", "siblings",
         (gap_days / F.lit(365.25)).alias("years_since_previous"), "has_sibling_with_scd",
     )
 
@@ -348,10 +356,13 @@ def basic_stats(persons: DataFrame, families: DataFrame, snapshots: DataFrame) -
         F.count_if(F.col("family_type") == "TwoParent").alias("two_parent_families"),
         F.count_if("has_scd_child").alias("scd_families"),
     )
-    counted = persons.agg(F.count(F.lit(1)).alias("persons"))
-    grouped = families.agg(F.count(F.lit(1)).alias("families"))
-    # Three frames of exactly one row each.
-    return counted.join(grouped).join(shown)
+    parts = (
+        persons.agg(F.count(F.lit(1)).alias("persons")),
+        families.agg(F.count(F.lit(1)).alias("families")),
+        shown,
+    )
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
 def study_summary(snapshots: DataFrame) -> DataFrame:

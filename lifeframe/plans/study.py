@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from lifeframe.operators import balance as B
 from lifeframe.operators import chronic, cohort, diagnoses, families, income, mapping, matching
 from lifeframe.operators import persons as people
+from lifeframe.session import materialize
 from lifeframe.sources.specs import register
 
 
 @dataclass(frozen=True)
 class Population:
-    """Frames of a study population; none is computed before it is used."""
+    """Frames of a study population."""
 
     persons: DataFrame
     members: DataFrame
@@ -53,15 +54,21 @@ def population(
     income_type: str = "total_personal",
     hospital: diagnoses.HospitalConfig | None = None,
     disease: chronic.ChronicConfig | None = None,
+    keep: bool = True,
 ) -> Population:
     """Build and link the population: persons, migration, deaths, hospital diagnoses and incomes.
 
     ``registers`` holds raw register frames by register name; ``bef`` is required, the others are used when
-    given. Snapshots carry the parents' summed income of the index year.
+    given. Snapshots carry the parents' summed income of the index year. With ``keep``, persons and
+    diagnoses, from which everything else is derived, are written to the shared scratch folder once.
     """
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if keep else df
+
     persons = study_persons(registers)
     if cohort_frame is not None:
         persons = cohort.restrict(persons, cohort_frame)
+    persons = kept(persons, "study-persons")
     members = families.family_members(persons)
     built = families.build_families(members)
     events = None if "vnds" not in registers else people.migration_events(_mapped(registers, "vnds"))
@@ -69,6 +76,7 @@ def population(
         registers.get("lpr_adm"), registers.get("lpr_diag"), registers.get("lpr3_kontakter"), registers.get("lpr3_diagnoser"),
         hospital, cohort_frame,
     )
+    sick = kept(sick, "study-diagnoses")
     results = chronic.chronic_results(sick, disease, people.birth_dates(persons))
     shown = families.snapshot(members, index_date, events, results)
     if "ind" in registers:

@@ -1,12 +1,12 @@
 """Listings of delivered files and the periods they cover.
 
-A listing is a DataFrame with a ``path`` column. It is built by tasks, and every operator on it is a
-plain DataFrame operation, so trees with very many files stay off the driver.
+A listing is a DataFrame with a ``path`` column; every operator on it is a plain DataFrame operation.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +21,19 @@ HOSPITAL_TABLES = {
 
 
 def list_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """All Parquet files below a directory: path, length and modification time, contents not read."""
-    return (
+    """Paths of all Parquet files below a directory.
+
+    Only Spark's file index is asked, which any scan of the directory builds as well; no file is opened and
+    no task runs.
+    """
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", str(recursive).lower())
         .load(directory)
-        .select("path", "length", "modificationTime")
+        .inputFiles()
     )
+    return spark.createDataFrame([(unquote(path),) for path in sorted(listed)], "path string")
 
 
 def _date(value: dt.date | None) -> Column | None:

@@ -47,30 +47,24 @@ def compare_footers(found: DataFrame, reference: str) -> DataFrame:
             "position", F.col("name").alias("_name"), F.col("physical").alias("_physical"), F.col("fields").alias("_fields")
         )
     )
-    others = found.filter(F.col("file") != reference)
-    size = base.agg(F.max("_fields").alias("_fields"))
-    counts = (
-        others.groupBy("file").agg(F.max("fields").alias("fields")).join(F.broadcast(size), F.col("fields") != F.col("_fields"))
-        .select("file", F.format_string("field count: %d instead of %d", "fields", "_fields").alias("issue"))
-    )
-    columns = others.join(base.drop("_fields"), "position").select(
-        "file",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(
-                        F.col("name") != F.col("_name"),
-                        F.format_string("field %d: %s instead of %s", "position", "name", "_name"),
-                    ),
-                    F.when(
-                        F.col("physical") != F.col("_physical"),
-                        F.format_string("field %d %s: %s instead of %s", "position", "name", "physical", "_physical"),
-                    ),
-                )
-            )
-        ).alias("issue"),
+    others = found.filter(F.col("file") != reference).join(base, "position")
+    issues = F.array_compact(
+        F.array(
+            F.when(
+                (F.col("position") == 0) & (F.col("fields") != F.col("_fields")),
+                F.format_string("field count: %d instead of %d", "fields", "_fields"),
+            ),
+            F.when(
+                F.col("name") != F.col("_name"),
+                F.format_string("field %d: %s instead of %s", "position", "name", "_name"),
+            ),
+            F.when(
+                F.col("physical") != F.col("_physical"),
+                F.format_string("field %d %s: %s instead of %s", "position", "name", "physical", "_physical"),
+            ),
+        )
     )
-    return counts.unionByName(columns).select("file", F.lit(reference).alias("reference"), "issue")
+    return others.select("file", F.lit(reference).alias("reference"), F.explode(issues).alias("issue"))
 
 
 def schema_report(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
