@@ -15,6 +15,7 @@ from lifeframe.operators import cohort as C
 from lifeframe.operators.mapping import map_register
 from lifeframe.sources import deliveries, specs
 from lifeframe.sources.adapt import adapt, adapt_register
+from lifeframe.sources.schemas import read_with_times, stored_types
 from lifeframe.sources.specs import RegisterSpec
 
 PERIOD = "period"
@@ -65,10 +66,19 @@ def read_register(
 ) -> DataFrame:
     """A named or user-declared register under its declared column names and types."""
     spec = specs.register(spec) if isinstance(spec, str) else spec
-    df = adapt_register(read_parquet(spark, path, recursive=recursive), spec)
+    if _has_times(spec):
+        files = deliveries.list_files(spark, path, recursive)
+        raw = read_with_times(spark, [r.path for r in files.collect()], stored_types(files))
+    else:
+        raw = read_parquet(spark, path, recursive=recursive)
+    df = adapt_register(raw, spec)
     return df if cohort is None else C.restrict(df, cohort, spec.id_column)
 
 
+def _has_times(spec: RegisterSpec) -> bool:
+    return any(f.kind == "seconds" for f in spec.fields)
+
+
 def read_registers(
     spark: SparkSession, sources: Mapping[str, str], cohort: DataFrame | None = None
 ) -> dict[str, DataFrame]:
@@ -111,12 +121,22 @@ def read_periods(
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spec.schema)
         return spark.createDataFrame([], f"{fields}, {PERIOD} {P.PERIOD_TYPE}" + (", source string" if with_source else ""))
     everything = [p for group in paths.values() for p in group]
-    schema = spark.read.option("mergeSchema", "true").parquet(*everything).schema
+    if _has_times(spec):
+        stored = stored_types(spark.createDataFrame([(p,) for p in everything], "path string"))
+
+        def read(group: list[str]) -> DataFrame:
+            return read_with_times(spark, group, stored)
+    else:
+        schema = spark.read.option("mergeSchema", "true").parquet(*everything).schema
+
+        def read(group: list[str]) -> DataFrame:
+            return spark.read.schema(schema).parquet(*group)
+
     parts = []
     for period, group in sorted(paths.items(), key=lambda item: (item[0].start, item[0].end)):
-        part = spark.read.schema(schema).parquet(*group)
+        part = read(group)
         if cohort is not None:
-            part = C.restrict(part, cohort, next(n for n in spec.find(spec.id_column).names if n in schema.names))
+            part = C.restrict(part, cohort, next(n for n in spec.find(spec.id_column).names if n in part.columns))
         literal = F.struct(
             *(F.lit(period[f]).cast(t).alias(f) for f, t in zip(("kind", "year", "sub", "start", "end"), ("string", "int", "int", "date", "date")))
         )

@@ -73,6 +73,39 @@ def schema_report(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return compare_footers(footers(_listing(spark, wanted)), wanted[0])
 
 
+# Stored types and the Spark types they are read as. Times of day are read as their number of
+# milliseconds or microseconds, because Spark refuses to infer a schema with the former.
+_STORED = {
+    "string": "string", "large_string": "string", "bool": "boolean", "double": "double", "float": "float",
+    "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int",
+    "uint32": "bigint", "date32[day]": "date", "timestamp[us]": "timestamp_ntz", "timestamp[ms]": "timestamp_ntz",
+    "timestamp[ns]": "timestamp_ntz", "timestamp[us, tz=UTC]": "timestamp", "timestamp[ms, tz=UTC]": "timestamp",
+    "time32[ms]": "int", "time64[us]": "bigint",
+}
+_PER_SECOND = {"time32[ms]": 1_000, "time64[us]": 1_000_000}
+
+
+def stored_types(files: DataFrame) -> dict[str, str]:
+    """Column name to stored type over all files of a listing; files that disagree are an error."""
+    found: dict[str, str] = {}
+    # One row per distinct column and type, not per file.
+    for row in footers(files).select("name", "physical").distinct().collect():
+        if found.setdefault(row.name, row.physical) != row.physical:
+            raise ValueError(f"column {row.name} is stored both as {found[row.name]} and as {row.physical}")
+    return found
+
+
+def read_with_times(spark: SparkSession, paths: Iterable[str], stored: dict[str, str]) -> DataFrame:
+    """Scan files that hold times of day; those become whole seconds since midnight."""
+    known = {name: kind for name, kind in stored.items() if kind in _STORED}
+    schema = ", ".join(f"`{name}` {_STORED[kind]}" for name, kind in sorted(known.items()))
+    df = spark.read.schema(schema).parquet(*paths)
+    seconds = {
+        name: F.floor(F.col(name) / _PER_SECOND[kind]).cast("int") for name, kind in known.items() if kind in _PER_SECOND
+    }
+    return df.withColumns(seconds) if seconds else df
+
+
 def read_compatible(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Rows of several files or directories after checking that their column names and types agree."""
     wanted = list(paths)

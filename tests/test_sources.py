@@ -176,3 +176,19 @@ def test_upsert(spark, rows):
     old = spark.createDataFrame([("1", "a"), ("2", "b")], "pnr string, v string")
     new = spark.createDataFrame([("2", "c"), ("3", "d")], "pnr string, v string")
     assert rows(sinks.upsert(old, new)) == [("1", "a"), ("2", "c"), ("3", "d")]
+
+
+@pytest.mark.parametrize("unit", ["s", "us"])
+def test_times_of_day_become_seconds(spark, tmp_path, rows, unit):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kind = pa.time32("s") if unit == "s" else pa.time64("us")
+    table = pa.table({"CPR": ["1"], "DW_EK_KONTAKT": ["k"], "tidspunkt_start": pa.array([dt.time(10, 0, 1)], kind)})
+    folder = tmp_path / "lpr3_kontakter"
+    folder.mkdir()
+    pq.write_table(table, folder / "2019.parquet")
+    loaded = scan.read_register(spark, "lpr3_kontakter", str(folder))
+    assert rows(loaded, "CPR", "tidspunkt_start") == [("1", 36001)]
+    dated = scan.read_periods(spark, str(folder), "lpr3_kontakter")
+    assert rows(dated, "CPR", "tidspunkt_start", "period.year") == [("1", 36001, 2019)]
