@@ -72,7 +72,7 @@ def _(spark, d):
 @query(
     "jn08_link_family_members",
     f"""select m.family_id, m.pnr, m.role, coalesce(h.n, 0) > 0 as has_comorbidity, coalesce(h.first < {INDEX_SQL}, false) as had_diagnosis_before,
-  coalesce(i.years, 0) as income_years, round(i.total, 0) as income_total
+  coalesce(i.years, 0) as income_years, round(i.total, 2) as income_total
 from v_members m left join (select pnr, count(*) as n, min(diagnosis_date) as first from v_hospital group by pnr) h on h.pnr = m.pnr
 left join (select pnr, count(*) as years, sum(amount) as total from v_incomes where income_type = 'total_personal' and year between 1996 and 2000 group by pnr) i on i.pnr = m.pnr
 where m.role <> 'child'""",
@@ -82,7 +82,7 @@ def _(spark, d):
     own = incomes(spark, d).filter("income_type = 'total_personal'")
     df = families.parent_state(parents, hospital(spark, d), own, INDEX, 1996, 2000)
     return df.select(
-        "family_id", "pnr", "role", "has_comorbidity", "had_diagnosis_before", "income_years", F.round("income_total", 0).alias("income_total")
+        "family_id", "pnr", "role", "has_comorbidity", "had_diagnosis_before", "income_years", F.round("income_total", 2).alias("income_total")
     )
 
 
@@ -132,11 +132,11 @@ def integrated(spark, d):
 
 @query(
     "jn11_integrate_registers",
-    """select b.PNR as pnr, b.KOEN as gender, cast(a.SOCIO13 as int) as socioeconomic_status, round(i.income, 0) as annual_income
+    """select b.PNR as pnr, b.KOEN as gender, cast(a.SOCIO13 as int) as socioeconomic_status, round(i.income, 2) as annual_income
 from v_bef b left join v_akm a on a.PNR = b.PNR left join (select PNR, max(PERINDKIALT_13) as income from v_ind group by PNR) i on i.PNR = b.PNR""",
 )
 def _(spark, d):
-    return integrated(spark, d).select("pnr", "gender", "socioeconomic_status", F.round("annual_income", 0).alias("annual_income"))
+    return integrated(spark, d).select("pnr", "gender", "socioeconomic_status", F.round("annual_income", 2).alias("annual_income"))
 
 
 @query(

@@ -66,7 +66,7 @@ def _(spark, d):
 
 @query(
     "ma07_case_control_tables",
-    f"""select v_bef.PNR in (select d.PNR from v_dod d) as is_case, v_bef.PNR as pnr, FOED_DAG as birth_date, KOEN as gender, {years(INDEX_SQL, "FOED_DAG")} as age, round(i.amount, 0) as income
+    f"""select v_bef.PNR in (select d.PNR from v_dod d) as is_case, v_bef.PNR as pnr, FOED_DAG as birth_date, KOEN as gender, {years(INDEX_SQL, "FOED_DAG")} as age, round(i.amount, 2) as income
 from v_bef left join (select pnr, amount from v_incomes where income_type = 'total_personal' and year = 2000) i on i.pnr = v_bef.PNR""",
 )
 def _(spark, d):
@@ -75,7 +75,7 @@ def _(spark, d):
     money = incomes(spark, d).filter("income_type = 'total_personal' and year = 2000")
     cases, controls = people.case_control_tables(persons(spark, d), mapped(spark, d, "dod").select("pnr"), INDEX, money)
     both = cases.withColumn("is_case", F.lit(True)).unionByName(controls.withColumn("is_case", F.lit(False)))
-    return both.select("is_case", "pnr", "birth_date", "gender", "age", F.round("income", 0).alias("income"))
+    return both.select("is_case", "pnr", "birth_date", "gender", "age", F.round("income", 2).alias("income"))
 
 
 def groups(spark, d):
@@ -115,6 +115,7 @@ block("numeric_metrics", f"{_numeric('children')} union all {_numeric('account')
 block("text_metrics", f"{_top('segment')} union all {_top('gender')}")
 block("flag_metrics", _share("'solvent_TRUE'", "solvent"))
 block("metrics", "select * from v_numeric_metrics union all select * from v_text_metrics union all select * from v_flag_metrics")
+block("smd", "select case when s1 = 0 and s0 = 0 then 0 else (m1 - m0) / sqrt((s1*s1 + s0*s0) / 2) end as smd from v_metrics")
 FINISHED = """select name, categorical, round(m1, 6) as case_mean, round(m0, 6) as control_mean, round(s1, 6) as case_sd, round(s0, 6) as control_sd,
   round(case when s1 = 0 and s0 = 0 then 0 else (m1 - m0) / sqrt((s1*s1 + s0*s0) / 2) end, 6) as smd from """
 
@@ -146,7 +147,7 @@ def _(spark, d):
 @query(
     "ba05_balance_summary",
     f"""select count(*) as total_covariates, count(*) filter (where abs(smd) > 0.1) as imbalanced_covariates, round(max(abs(smd)), 6) as max_smd, round(avg(abs(smd)), 6) as mean_abs_smd
-from ({FINISHED} v_metrics)""",
+from v_smd""",
 )
 def _(spark, d):
     df = B.balance_summary(B.balance(*groups(spark, d)))
@@ -160,8 +161,8 @@ def _(spark, d):
 from ({FINISHED} v_metrics)
 union all select 'Total covariates', cast(count(*) as varchar), null, null, null, null, null from v_metrics
 union all select 'Imbalanced covariates (std diff > 0.1)', cast(count(*) filter (where abs(smd) > 0.1) as varchar), null, null, null, null, null from ({FINISHED} v_metrics)
-union all select 'Maximum standardized difference', printf('%.6f', max(abs(smd))), null, null, null, null, null from ({FINISHED} v_metrics)
-union all select 'Mean absolute standardized difference', printf('%.6f', avg(abs(smd))), null, null, null, null, null from ({FINISHED} v_metrics)""",
+union all select 'Maximum standardized difference', printf('%.6f', max(abs(smd))), null, null, null, null, null from v_smd
+union all select 'Mean absolute standardized difference', printf('%.6f', avg(abs(smd))), null, null, null, null, null from v_smd""",
 )
 def _(spark, d):
     path = scratch_path(spark, "balance")

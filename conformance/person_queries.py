@@ -137,7 +137,7 @@ def _(spark, d):
 
 
 LG2 = """select coalesce(b.pnr, i.pnr, a.PNR) as pnr, b.marital_status, b.municipality_code, cast(a.SOCIO13 as int) as socioeconomic_status,
-  round(i.annual_income, 0) as annual_income, round(i.employment_income, 0) as employment_income
+  round(i.annual_income, 2) as annual_income, round(i.employment_income, 2) as employment_income
 from (select PNR as pnr, arg_min(CIVST, PERIOD_YEAR) filter (where CIVST is not null) as marital_status, arg_min(KOM, PERIOD_YEAR) filter (where KOM is not null) as municipality_code
   from v_bef_period group by PNR) b
 full join (select PNR as pnr, arg_min(PERINDKIALT_13, YEAR) filter (where PERINDKIALT_13 is not null) as annual_income,
@@ -146,7 +146,7 @@ full join v_akm a on a.PNR = coalesce(b.pnr, i.pnr)"""
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 0) for c in ("annual_income", "employment_income")})
+    return df.withColumns({c: F.round(c, 2) for c in ("annual_income", "employment_income")})
 
 
 @query("lg02_longitudinal", LG2)
@@ -156,8 +156,8 @@ def _(spark, d):
 
 @query(
     "lg03_selected_registers",
-    """select PNR as pnr, round(arg_min(PERINDKIALT_13, YEAR) filter (where PERINDKIALT_13 is not null), 0) as annual_income,
-  round(arg_min(LOENMV_13, YEAR) filter (where LOENMV_13 is not null), 0) as employment_income from v_ind group by PNR""",
+    """select PNR as pnr, round(arg_min(PERINDKIALT_13, YEAR) filter (where PERINDKIALT_13 is not null), 2) as annual_income,
+  round(arg_min(LOENMV_13, YEAR) filter (where LOENMV_13 is not null), 2) as employment_income from v_ind group by PNR""",
 )
 def _(spark, d):
     return _rounded(L.longitudinal(deliveries(spark, d), registries=["ind"]))

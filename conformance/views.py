@@ -61,8 +61,8 @@ select cast(l_orderkey as varchar(12)) as DW_EK_KONTAKT, ICD(l_partkey) as diagn
   case when l_linenumber=1 then 'A' else 'B' end as diagnosetype,
   case when l_linenumber=7 then 'Ja' else 'Nej' end as senere_afkraeftet from lineitem""",
     "ind": """
-select P(o_custkey) as PNR, cast(extract(year from o_orderdate) as int) as YEAR, sum(o_totalprice) as PERINDKIALT_13,
-  sum(case when o_orderstatus='F' then o_totalprice end) as LOENMV_13
+select P(o_custkey) as PNR, cast(extract(year from o_orderdate) as int) as YEAR, round(sum(o_totalprice), 2) as PERINDKIALT_13,
+  round(sum(case when o_orderstatus='F' then o_totalprice end), 2) as LOENMV_13
 from orders group by o_custkey, cast(extract(year from o_orderdate) as int)""",
     "files": """
 select distinct '/data/' || case when o_custkey%2=0 then 'bef' else 'akm' end || '/' || case
