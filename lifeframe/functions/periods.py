@@ -175,23 +175,27 @@ def period_overlaps(period: Column, start: Column | None, end: Column | None) ->
     return hit
 
 
+def _digits(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def period_label(period: Column) -> Column:
     """``2018``, ``201803``, ``2018Q1`` or ``20180301``."""
-    year = F.format_string("%04d", period["year"])
+    year, kind, sub = _digits(period["year"], 4), period["kind"], period["sub"]
     return (
-        F.when(period["kind"] == YEAR, year)
-        .when(period["kind"] == MONTH, F.concat(year, F.format_string("%02d", period["sub"])))
-        .when(period["kind"] == QUARTER, F.concat(year, F.lit("Q"), period["sub"].cast("string")))
-        .when(period["kind"] == DAY, F.concat(year, F.format_string("%04d", period["sub"])))
+        F.when(kind == YEAR, year)
+        .when(kind == MONTH, F.concat(year, _digits(sub, 2)))
+        .when(kind == QUARTER, F.concat(year, F.lit("Q"), sub.cast("string")))
+        .when(kind == DAY, F.concat(year, _digits(sub, 4)))
     )
 
 
 def period_display(period: Column) -> Column:
     """``2018``, ``2018-03``, ``2018-Q1`` or ``2018-03-01``."""
-    year = F.format_string("%04d", period["year"])
+    year, kind, sub = _digits(period["year"], 4), period["kind"], period["sub"]
     return (
-        F.when(period["kind"] == YEAR, year)
-        .when(period["kind"] == MONTH, F.concat(year, F.lit("-"), F.format_string("%02d", period["sub"])))
-        .when(period["kind"] == QUARTER, F.concat(year, F.lit("-Q"), period["sub"].cast("string")))
-        .when(period["kind"] == DAY, F.date_format(period["start"], "yyyy-MM-dd"))
+        F.when(kind == YEAR, year)
+        .when(kind == MONTH, F.concat(year, F.lit("-"), _digits(sub, 2)))
+        .when(kind == QUARTER, F.concat(year, F.lit("-Q"), sub.cast("string")))
+        .when(kind == DAY, F.date_format(period["start"], "yyyy-MM-dd"))
     )

@@ -77,18 +77,23 @@ def longitudinal(
 
 
 def presence(deliveries: Mapping[str, DataFrame], key: str = "pnr") -> DataFrame:
-    """Which person was seen in which register and period: one row each, with the source labels seen."""
+    """Which person was seen in which register and period: one row each, with a source label.
+
+    Rows are made distinct on id and period before anything is formatted. The label is the delivered
+    ``source`` where there is one (of several the smallest), else ``<registry>_<period>``.
+    """
+    label = P.period_label(F.col("period"))
     parts = []
     for name, df in deliveries.items():
-        source = F.col("source") if "source" in df.columns else F.concat_ws("_", F.lit(name), P.period_label(F.col("period")))
-        parts.append(
-            df.filter(F.col(key).isNotNull())
-            .groupBy(key, F.lit(name).alias("registry"), P.period_label(F.col("period")).alias("label"))
-            .agg(F.min("period").alias("period"), F.min(source).alias("source"))
-        )
+        known = df.filter(F.col(key).isNotNull())
+        if "source" in df.columns:
+            once = known.groupBy(key, "period").agg(F.min("source").alias("source"))
+        else:
+            once = known.select(key, "period").distinct().withColumn("source", F.concat_ws("_", F.lit(name), label))
+        parts.append(once.withColumn("registry", F.lit(name)))
     stacked = reduce(lambda a, b: a.unionByName(b), parts)
     return stacked.select(
-        key, "registry", "label", F.col("period.kind").alias("period_kind"),
+        key, "registry", label.alias("label"), F.col("period.kind").alias("period_kind"),
         F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), "source",
     )
 

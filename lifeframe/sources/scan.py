@@ -134,14 +134,13 @@ def read_periods(
 
     parts = []
     for period, group in sorted(paths.items(), key=lambda item: (item[0].start, item[0].end)):
-        part = read(group)
-        if cohort is not None:
-            part = C.restrict(part, cohort, next(n for n in spec.find(spec.id_column).names if n in part.columns))
         literal = F.struct(
             *(F.lit(period[f]).cast(t).alias(f) for f, t in zip(("kind", "year", "sub", "start", "end"), ("string", "int", "int", "date", "date")))
         )
-        parts.append(adapt_register(part.withColumn(PERIOD, literal), spec, keep=[PERIOD]))
+        parts.append(adapt_register(read(group).withColumn(PERIOD, literal), spec, keep=[PERIOD]))
     df = reduce(lambda a, b: a.unionByName(b), parts)
+    if cohort is not None:
+        df = C.restrict(df, cohort, spec.id_column)
     return _with_source(df, spec.name) if with_source else df
 
 

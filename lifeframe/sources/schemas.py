@@ -11,25 +11,24 @@ from pyspark.sql import functions as F
 FOOTER = "file string, position int, name string, physical string, fields int"
 
 
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Read each file's footer in the task that got the path."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            uri = path if "://" in path else "file://" + path.removeprefix("file:")
-            filesystem, inner = pafs.FileSystem.from_uri(uri)
-            with filesystem.open_input_file(inner) as handle:
-                schema = pq.ParquetFile(handle).schema_arrow
-            rows += [(path, i, f.name, str(f.type), len(schema)) for i, f in enumerate(schema)]
-        yield pd.DataFrame(rows, columns=["file", "position", "name", "physical", "fields"])
-
-
 def footers(files: DataFrame) -> DataFrame:
     """One row per file and column of a listing: position, name, type and number of columns."""
-    return files.select("path").mapInPandas(_footers, FOOTER)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                uri = path if "://" in path else "file://" + path.removeprefix("file:")
+                filesystem, inner = pafs.FileSystem.from_uri(uri)
+                with filesystem.open_input_file(inner) as handle:
+                    schema = pq.ParquetFile(handle).schema_arrow
+                rows += [(path, i, f.name, str(f.type), len(schema)) for i, f in enumerate(schema)]
+            yield pd.DataFrame(rows, columns=["file", "position", "name", "physical", "fields"])
+
+    # Every task reads the footers of the paths it got.
+    return files.select("path").mapInPandas(read, FOOTER)
 
 
 def _listing(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
