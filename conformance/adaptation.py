@@ -117,6 +117,19 @@ def _(spark, d):
     )
 
 
+@query(
+    "sa11_fetch_column",
+    "select PNR as pnr, try_cast(SOCIO13 as int) as status, cast(null as date) as moved from v_akm",
+)
+def _(spark, d):
+    df = view(spark, d, "akm")
+    return df.select(
+        adapt.fetch(df, ["CPR", "PNR"], T.StringType(), required=True).alias("pnr"),
+        adapt.fetch(df, ["SOCIO13"], T.IntegerType()).alias("status"),
+        adapt.fetch(df, ["BOP_VFRA"], T.DateType()).alias("moved"),
+    )
+
+
 @query(
     "sa12_extractors",
     "select c_custkey, lpad(cast(c_nationkey as varchar), 3, '0') as nation_code, lower(c_mktsegment) as segment from customer",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from conformance.frames import AGE, ALIVE, CHILD, INDEX, INDEX_SQL, hospital, mapped, members, persons, results, snapshots
 from conformance.registry import block, query
 from conformance.views import table, view
-from lifeframe.functions import dates, icd
+from lifeframe.functions import codes, dates, icd
 from lifeframe.functions import predicates as P
-from lifeframe.operators import chronic, diagnoses, families, transforms
+from lifeframe.operators import chronic, diagnoses, families, mapping, transforms
 from lifeframe.operators import persons as people
+from lifeframe.sources.specs import RegisterField, RegisterSpec
 
 ORDERS = "o_orderkey"
 
@@ -343,3 +344,19 @@ def _(spark, d):
         return names.str.len() + 1
 
     return transforms.derive(table(spark, d, "customer"), "c_name", width, "long", "width").select("c_custkey", "width")
+
+
+@query(
+    "ud04_user_register",
+    "select lpad(cast(s_suppkey as varchar), 6, '0') as pnr, s_nationkey as country, round(s_acctbal * 2, 2) as doubled from supplier",
+)
+def _(spark, d):
+    spec = RegisterSpec(
+        "suppliers", "s_suppkey",
+        (
+            RegisterField("s_suppkey", "pnr", expression=codes.zero_padded(F.col("s_suppkey"), 6)),
+            RegisterField("s_nationkey", "country", "int"),
+            RegisterField("s_acctbal", "doubled", "double", expression=F.round(F.col("s_acctbal") * 2, 2)),
+        ),
+    )
+    return mapping.map_register(table(spark, d, "supplier"), spec)

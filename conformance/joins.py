@@ -86,16 +86,21 @@ def _(spark, d):
     )
 
 
+URGENT = """select CPR from v_lpr3_kontakter where kontakttype like '%akut%' and substr(aktionsdiagnose, 1, 1) in ('C', 'D', 'E')"""
+
+
 def sides(spark, d):
-    """Children with a registered cause of death or an odd id as cases, the other children as controls."""
-    children = persons(spark, d).filter("mother_pnr is not null")
-    case = (F.col("pnr").cast("long") % 6 == 2) | F.col("death_date").isNotNull()
-    return children.filter(case), children.filter(~case)
+    """Children with an emergency contact for a tumour, blood or endocrine disease as cases, all others as controls."""
+    contacts = view(spark, d, "lpr3_kontakter")
+    urgent = contacts.filter(
+        F.col("kontakttype").contains("akut") & F.substring("aktionsdiagnose", 1, 1).isin("C", "D", "E")
+    ).select(F.col("CPR").alias("pnr"))
+    return C.split_cohort(persons(spark, d).filter("mother_pnr is not null"), urgent)
 
 
-SIDES = """
-c as (select * from v_persons where mother_pnr is not null and (cast(pnr as bigint) % 6 = 2 or death_date is not null)),
-k as (select * from v_persons where mother_pnr is not null and not (cast(pnr as bigint) % 6 = 2 or death_date is not null))"""
+SIDES = f"""
+c as (select * from v_persons where mother_pnr is not null and pnr in ({URGENT})),
+k as (select * from v_persons where mother_pnr is not null and pnr not in ({URGENT}))"""
 ELIGIBLE = """abs(datediff('day', c.birth_date, k.birth_date)) <= 30 and c.pnr <> k.pnr and coalesce(c.gender = k.gender, c.gender is null)
   and coalesce(abs(c.children_count - k.children_count) <= 1, c.children_count is null)"""
 
@@ -151,31 +156,34 @@ def _(spark, d):
 
 @query(
     "jn12_related_both_ways",
-    """select 'children' as side, l.o_custkey as from_id, c.c_custkey as id from (select distinct o_custkey, o_orderkey % 1500 + 1 as other from orders where o_orderkey % 4 <> 0) l
-  join customer c on c.c_custkey = l.other
-union all select 'parents', l.other, c.c_custkey from (select distinct o_custkey, o_orderkey % 1500 + 1 as other from orders where o_orderkey % 4 <> 0) l
-  join customer c on c.c_custkey = l.o_custkey""",
+    """with l as (select distinct l_suppkey, l_partkey from lineitem)
+select 'parts' as side, l.l_suppkey as from_id, p.p_partkey as id, p.p_name as name from l join part p on p.p_partkey = l.l_partkey
+union all select 'suppliers', l.l_partkey, s.s_suppkey, s.s_name from l join supplier s on s.s_suppkey = l.l_suppkey""",
 )
 def _(spark, d):
-    orders = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 1500 + 1).alias("other"), "o_orderkey")
-    kept = orders.filter("o_orderkey % 4 <> 0").select("o_custkey", "other")
-    links = C.add_links(kept.filter("o_custkey % 2 = 0").distinct(), kept.filter("o_custkey % 2 = 1"))
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    down = C.related(links, "o_custkey", "other", customers, "id").select(
-        F.lit("children").alias("side"), F.col("o_custkey").alias("from_id"), "id"
+    rows = table(spark, d, "lineitem")
+    pairs = ("l_suppkey", "l_partkey")
+    links = C.add_links(
+        rows.filter("l_returnflag = 'R'").select(*pairs), rows.filter("l_returnflag <> 'R'").select(*pairs)
+    )
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    down = C.related(links, "l_suppkey", "l_partkey", parts, "id")
+    up = C.related(links, "l_partkey", "l_suppkey", suppliers, "id")
+    return down.select(F.lit("parts").alias("side"), F.col("l_suppkey").alias("from_id"), "id", "name").unionByName(
+        up.select(F.lit("suppliers").alias("side"), F.col("l_partkey").alias("from_id"), "id", "name")
     )
-    up = C.related(links, "other", "o_custkey", customers, "id").select(F.lit("parents").alias("side"), F.col("other").alias("from_id"), "id")
-    return down.unionByName(up)
 
 
 @query(
     "jn12_remove_links",
-    """select distinct o_custkey, o_orderkey % 100 as tag from orders where o_orderkey % 100 not in (select c_custkey from customer where c_nationkey = 3)""",
+    """select distinct l_suppkey, l_partkey from lineitem
+except select l_suppkey, l_partkey from lineitem where l_returnflag = 'R'""",
 )
 def _(spark, d):
-    links = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 100).alias("tag")).distinct()
-    gone_tags = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("tag"))
-    return C.remove_links(links, links.join(gone_tags, "tag", "left_semi"))
+    rows = table(spark, d, "lineitem")
+    links = rows.select("l_suppkey", "l_partkey").distinct()
+    return C.remove_links(links, rows.filter("l_returnflag = 'R'").select("l_suppkey", "l_partkey"))
 
 
 @query("jn13_lookup", "select c_nationkey as lookup_key, arg_min(c_name, c_custkey) as c_name from customer group by c_nationkey")

@@ -26,6 +26,11 @@ def _(spark, d):
     return M.eligible_counts(*sides(spark, d))
 
 
+@query("ma04_matching_input", "select PNR as pnr, FOED_DAG as birth_date, KOEN as gender, ANTAL_BOERN as children_count from v_bef where PNR is not null and FOED_DAG is not null")
+def _(spark, d):
+    return M.prepare(view(spark, d, "bef"), M.MatchingCriteria(), "persons").select("pnr", "birth_date", "gender", "children_count")
+
+
 def _match(spark, d):
     return M.match(*sides(spark, d), CONFIG)
 
