@@ -20,7 +20,8 @@ from lifeframe.operators.persons import with_residency
 from lifeframe.operators.ranking import number_slices, spread
 
 MOTHER, FATHER, CHILD = "mother", "father", "child"
-_BEFORE_ALL_DAYS = -(2**31)
+# Stands for an unknown birth date: earlier than day number -719162, the first of year 1.
+_BEFORE_ALL_DAYS = -1_000_000
 
 
 def family_type(mother: Column, father: Column) -> Column:

@@ -217,8 +217,11 @@ def _later_holders(active: DataFrame, edges: DataFrame, held: DataFrame) -> tupl
     asks = active.join(edges.join(holding_cells, "cell", "left_semi"), "case_cell").select(
         "cell", "ord", F.lit(0).alias("is_held"), F.lit(None).cast("string").alias("control_pnr")
     )
-    # A case may hold several controls of a cell, so equal orders are separated by the control.
-    line = asks.unionByName(held.select("cell", "ord", F.lit(1).alias("is_held"), "control_pnr"))
+    # Only cells somebody asks about are counted, so late rounds with few cases stay small. A case may hold
+    # several controls of a cell, so equal orders are separated by the control.
+    asked = edges.join(active.select("case_cell").distinct(), "case_cell", "left_semi").select("cell").distinct()
+    holders = held.join(asked, "cell", "left_semi")
+    line = asks.unionByName(holders.select("cell", "ord", F.lit(1).alias("is_held"), "control_pnr"))
     line = line.withColumn("_slice", F.shiftright("ord", _ORDER_SLICE_BITS))
     from_late = Window.partitionBy("cell", "_slice").orderBy(
         F.desc("ord"), F.asc("is_held"), F.asc("control_pnr")

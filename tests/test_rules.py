@@ -244,3 +244,53 @@ def test_unreachable_register(spark):
     diag = spark.createDataFrame([("r", "E10")], "RECNUM string, C_DIAG string")
     with pytest.raises(ValueError, match="lpr_adm"):
         cohort.restrict_registers({"lpr_diag": diag}, spark.createDataFrame([("1",)], "pnr string"))
+
+
+def test_one_family_id_holding_everybody(spark):
+    """A placeholder family id with very many children is numbered like any other."""
+    n = 2000
+    children = spark.range(n).select(
+        F.lit("0").alias("family_id"), F.format_string("%05d", "id").alias("pnr"),
+        F.when(F.col("id") % 3 == 0, F.lit(D(2000, 1, 1))).otherwise(F.date_add(F.lit(D(2000, 1, 1)), (F.col("id") % 900).cast("int"))).alias("birth_date"),
+        (F.col("id") == 77).alias("has_scd"),
+    )
+    found = families.siblings(children).collect()
+    assert sorted(r.birth_order for r in found) == list(range(1, n + 1))
+    assert {r.siblings for r in found} == {n} and {r.has_sibling_with_scd for r in found} == {True}
+    ordered = sorted(found, key=lambda r: r.birth_order)
+    for before, after in zip(ordered, ordered[1:]):
+        assert before.birth_date <= after.birth_date
+        assert after.years_since_previous == pytest.approx((after.birth_date - before.birth_date).days / 365.25)
+
+
+def test_position_in_group(spark):
+    from lifeframe.operators.ranking import position_in_group, spread
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").cast("string").alias("v"))
+    found = position_in_group(df, ["k"], [spread(F.col("v"), 1)], [F.col("v")]).collect()
+    for key in range(3):
+        positions = sorted(r.position for r in found if r.k == key)
+        assert positions == list(range(1, len(positions) + 1))
+
+
+def test_study(spark):
+    from lifeframe.operators.matching import MatchingConfig
+    from lifeframe.plans import study
+
+    bef = spark.range(400).select(
+        F.format_string("%04d", "id").alias("PNR"), F.when(F.col("id") % 2 == 0, "1").otherwise("2").alias("KOEN"),
+        F.date_add(F.lit(D(2000, 1, 1)), (F.col("id") % 20).cast("int")).alias("FOED_DAG"), F.lit(None).cast("string").alias("MOR_ID"),
+        F.lit(None).cast("string").alias("FAR_ID"), F.lit("f").alias("FAMILIE_ID"), F.lit(1).alias("ANTAL_BOERN"), F.lit("101").alias("KOM"),
+    )
+    adm = spark.range(40).select(
+        F.format_string("%04d", F.col("id") * 10).alias("PNR"), F.col("id").cast("string").alias("RECNUM"), F.lit("E10").alias("C_ADIAG"),
+        F.lit(D(2004, 1, 1)).alias("D_INDDTO"),
+    )
+    diag = spark.createDataFrame([], "RECNUM string, C_DIAG string, C_DIAGTYPE string")
+    built = study.population({"bef": bef, "lpr_adm": adm, "lpr_diag": diag}, D(2005, 1, 1))
+    cases = built.chronic.filter("has_scd").select("pnr")
+    done = study.matched_study(built.persons, cases, D(2005, 1, 1), MatchingConfig(ratio=3, seed=1))
+    assert done.pairs.count() == 120
+    assert done.cases.count() == 40 and done.controls.count() == 120
+    assert {r.name for r in done.balance.collect()} >= {"gender_1", "age", "children_count", "municipality_code_101"}
+    assert done.summary.first().total_covariates == done.balance.count()
