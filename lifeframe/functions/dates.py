@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -25,8 +26,28 @@ REGISTER_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd", "ddMMMyyyy")
 MATCHING_FORMATS = ("yyyy-M-d", "d-M-yyyy", "yyyy/M/d", "d/M/yyyy")
 
 
+# Texts each format letter group can read.
+_SHAPES = {
+    "yyyy": r"\d{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}",
+    "dd": r"\d{2}", "d": r"\d{1,2}",
+}
+
+
+def _shape(pattern: str) -> str | None:
+    """Regular expression of the texts a date format can read; none for formats with other letters."""
+    parts = re.split("(y+|M+|d+)", pattern)
+    if any(part not in _SHAPES and re.search("[A-Za-z]", part) for part in parts):
+        return None
+    return "^" + "".join(_SHAPES.get(part, re.escape(part)) for part in parts) + "$"
+
+
 def _first_parse(text: Column, formats: Iterable[str]) -> Column:
-    return F.coalesce(*(F.try_to_date(text, pattern) for pattern in formats))
+    """Only formats whose shape fits are tried: a failed parse costs far more than a failed match."""
+    def parsed(pattern: str) -> Column:
+        shape, date = _shape(pattern), F.try_to_date(text, pattern)
+        return date if shape is None else F.when(text.rlike(shape), date)
+
+    return F.coalesce(*(parsed(pattern) for pattern in formats))
 
 
 def parse_date(text: Column, formats: Iterable[str] = DATE_FORMATS, detect: bool = True) -> Column:

@@ -33,6 +33,10 @@ def test_day_first_when_configured(spark):
     assert one(spark, dates.parse_date(F.lit("01/02/2023"), ("d/M/yyyy", "M/d/yyyy"))) == D(2023, 2, 1)
 
 
+def test_formats_with_other_letters(spark):
+    assert one(spark, dates.parse_date(F.lit("15-01-23"), ("dd-MM-yy",))) == D(2023, 1, 15)
+
+
 @pytest.mark.parametrize("text", ["01JAN2020", "01jan2020", "01Jan2020", "01/01/2020", "20200101", "2020-01-01"])
 def test_register_dates(spark, text):
     assert one(spark, dates.parse_register_date(F.lit(text))) == D(2020, 1, 1)
