@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,27 @@ def test_times_of_day_become_seconds(spark, tmp_path, rows, unit):
     assert rows(loaded, "CPR", "tidspunkt_start") == [("1", 36001)]
     dated = scan.read_periods(spark, str(folder), "lpr3_kontakter")
     assert rows(dated, "CPR", "tidspunkt_start", "period.year") == [("1", 36001, 2019)]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from lifeframe.session import choose_root
+
+    assert choose_root("hdfs://store/scratch/", "yarn", "a") == "hdfs://store/scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        choose_root(None, "local-cluster[3,2,3000]", "a")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        choose_root(None, "yarn", "a")
+    assert choose_root(None, "local[2]", "a") == choose_root(None, "local[2]", "a")
+
+
+def test_discard_deletes_only_scratch(spark, tmp_path):
+    from lifeframe.session import discard, materialize
+
+    kept = str(tmp_path / "kept")
+    spark.range(3).write.parquet(kept)
+    discard(spark.read.parquet(kept))
+    assert spark.read.parquet(kept).count() == 3
+    held = materialize(spark.range(3).toDF("a"), "gone")
+    folder = held.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    discard(held)
+    assert not os.path.exists(folder)
