@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import lines, quality
+from lifeframe.llm import lines, quality, simhash
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,3 +51,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), n_lines="n_lines", n_dropped="n_dropped")
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.linked(table(spark, folder, "documents"))
+    return found.selectExpr("id as doc_id", "lower(lpad(hex(print), 16, '0')) as fingerprint", "component as component_id")
