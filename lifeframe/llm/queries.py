@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import lines, quality, simhash
+from lifeframe.llm import bpe, lines, quality, simhash
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,3 +57,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.linked(table(spark, folder, "documents"))
     return found.selectExpr("id as doc_id", "lower(lpad(hex(print), 16, '0')) as fingerprint", "component as component_id")
+
+
+@query("op6_byte_level_bpe")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
