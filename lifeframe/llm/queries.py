@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, lines, quality, simhash
+from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,3 +71,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.selectExpr("doc as doc_id", "item as item_id", "edits", "end as end_word")
+
+
+@query("op10_ring_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    placed = ring.shard_documents(table(spark, folder, "documents"), 40)
+    return placed.selectExpr("doc_id", "size", "text_crc32", "'rows' as law", "shard", "slot", "cast(null as int) as grown_shard")
