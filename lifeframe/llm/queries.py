@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash
+from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash, urls
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,3 +77,44 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     placed = ring.shard_documents(table(spark, folder, "documents"), 40)
     return placed.selectExpr("doc_id", "size", "text_crc32", "'rows' as law", "shard", "slot", "cast(null as int) as grown_shard")
+
+
+# The rules of the query.
+URL_RULES = (
+    urls.HostRule("allow", "com", "/"),
+    urls.HostRule("block", "example.com", "/en/"),
+    urls.HostRule("allow", "www.example.com", "/en/"),
+    urls.HostRule("block", "net", "/es/"),
+    urls.HostRule("block", "net", "/fr/"),
+)
+# The default globs as regular expressions over host and path.
+_GLOBS_SQL = (
+    r"(^|^[^/]*\.)spam[^/]*(/|$)", r"^[^/]*casino[^/]*/", r"(^|^[^/]*\.)ads\.[^/]*/", r"(^|^[^/]*\.)doubleclick\.[^/]*/",
+    r"/wp-login\.php$", r"/cgi-bin/", r"/login/", r"\.exe$", r"\.zip$",
+)
+
+
+@query(
+    "op7_url_filters",
+    f"""
+    with r(verdict, rhost, rpath) as (values {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+    u as (
+        select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as rest from pages
+    ), p as (
+        select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+        from u
+    ), m as (
+        select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
+        from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+        group by page_id
+    )
+    select p.page_id, host, path, rule,
+           coalesce(verdict, case when {" or ".join(f"regexp_matches(host || path, '{g}', 's')" for g in _GLOBS_SQL)} then 'block' else 'allow' end)
+               as verdict
+    from p left join m using (page_id)
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judge(table(spark, folder, "pages"), URL_RULES)
+    return found.selectExpr("id as page_id", "host", "path", "rule", "verdict")
