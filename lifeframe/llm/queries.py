@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash, urls
+from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,3 +118,18 @@ _GLOBS_SQL = (
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = urls.judge(table(spark, folder, "pages"), URL_RULES)
     return found.selectExpr("id as page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op8_warc",
+    """
+    with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, '')) as n from pages),
+    f as (select payload_digest, min(page_id) as first from p where n >= 100 group by payload_digest)
+    select page_id, n as payload_bytes, p.payload_digest,
+           case when page_id <> first then 'revisit' else 'response' end as record_type,
+           case when page_id <> first then first end as refers_to
+    from p left join f using (payload_digest)
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
