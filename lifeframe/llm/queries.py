@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, lines, quality, ring, simhash, urls, warc
+from lifeframe.llm import bpe, decontaminate, lines, quality, ring, secret_scan, simhash, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,3 +133,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secret_scan.scan(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.selectExpr("id as doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
