@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, lines, quality, ring, secret_scan, simhash, urls, warc
+from lifeframe.llm import bpe, decontaminate, langid, lines, quality, ring, secret_scan, simhash, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,3 +141,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     found = secret_scan.scan(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.selectExpr("id as doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held_out), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return langid.predict(docs, model, extra={"held_out": held_out}).withColumnRenamed("id", "doc_id")
