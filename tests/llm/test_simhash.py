@@ -89,6 +89,31 @@ def test_keep_one(spark, documents):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "None"]
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("hot", [4, 64])
+def test_near_copies(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(hot)
+    texts = {}
+    for group in range(25):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(80, 400))]
+        texts[100 * group] = " ".join(base)
+        for copy in range(1, 7):
+            words = list(base)
+            for _ in range(max(1, len(words) // 150)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts[100 * group + copy] = " ".join(words)
+    found = {r["id"]: r["component"] for r in simhash.wide_linked(documents(list(texts.items()))).collect()}
+    assert all(found[i] // 100 == i // 100 for i in texts)  # nothing else is linked
+    close = [(i, j) for i in texts for j in texts if i < j and i // 100 == j // 100 and jaccard(texts[i], texts[j]) >= 0.9]
+    assert len(close) > 200
+    assert np.mean([found[i] == found[j] for i, j in close]) >= 0.95
+
+
 def test_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 300), (300, 200), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(pairs).collect()}
