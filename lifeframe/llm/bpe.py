@@ -3,9 +3,10 @@
 The texts are cut by the vocabulary's pattern. Each task gathers the distinct pieces of some MB of text and hands them
 to an in-memory DuckDB: one row per token position, beginning with single bytes. A recursive query joins neighbouring
 rows with the merge table (every pair of tokens whose bytes together are a token, with that token's rank) and contracts
-each piece's leftmost pair of least rank, until no pair of any piece is in the table. Ordered aggregation turns the rows
-left into a piece's ids, and the ids' bytes, joined again from the vocabulary, into its decoded bytes. A piece that is a
-token as a whole is that token. A text's ids are those of its pieces in order.
+each piece's leftmost pair of least rank, until no pair of any piece is in the table. The rows left, in order, are the
+piece's ids. A piece that is a token as a whole is that token. A text's ids are those of its pieces in order, and its decoded
+bytes are those that the vocabulary has for its ids. ``decode`` does the same for given ids, by a join of the id rows
+with the vocabulary and ordered aggregation.
 
 The pieces go through the query some thousands at a time, so memory is bounded; pieces longer than ``LONG`` bytes, for
 which the recursion would need as many rounds as they have bytes, are contracted by the same rule with a heap.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,9 +33,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 16 << 20  # of text, whose distinct pieces are encoded together
-PIECES = 20_000  # in one recursive query
+PIECES = 60_000  # in one recursive query
 LONG = 200  # bytes; a piece's positions must fit into 8 bits
-KNOWN = 300_000  # pieces that a worker remembers from one chunk to the next
+KNOWN = 400_000  # pieces that a worker remembers from one chunk to the next
+
+
+# Texts of these characters only are split by the standard library, which has no Unicode classes but is faster. On them,
+# its classes and those of the pattern agree.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÿ]*")
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """``pattern`` for ``PLAIN`` texts, if it names letters and numbers only in ways known here."""
+    ours = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}0-9]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in ours.lower() else re.compile(ours)
 
 
 @lru_cache(maxsize=2)
@@ -77,9 +90,8 @@ with recursive states(place, id, step) as (
 ), final as (
     select place >> 8 as piece, max(step) as step from states group by 1
 )
-select f.piece, list(s.id order by s.place) as ids, list(v.token order by s.place) as tokens
-from states s join final f on s.place >> 8 = f.piece and s.step = f.step join vocabulary v on s.id = v.id
-group by f.piece
+select s.place, s.id from states s join final f on s.place >> 8 = f.piece and s.step = f.step
+order by s.place
 """
 DECODE = """
 select d.n, list(v.token order by d.i) as tokens
@@ -125,7 +137,9 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = vocabulary(path)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.plain = plain_pattern(pattern)
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as little-endian 32-bit integers, decoded bytes
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, joined = merge_rows(self.ranks)
         self.fill("merges", {"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "joined": pa.array(joined, pa.int32())})
@@ -137,45 +151,57 @@ class Encoder:
         self.con.execute(f"create table {name} as select * from given")
         self.con.unregister("given")
 
-    def over(self, sql: str, name: str, columns: dict[str, pa.Array]) -> list[tuple]:
+    def over(self, sql: str, name: str, columns: dict[str, pa.Array]) -> pa.Table:
         self.con.register(name, pa.table(columns))
         try:
-            return self.con.execute(sql).fetchall()
+            return self.con.execute(sql).to_arrow_table()
         finally:
             self.con.unregister(name)
 
-    def encode_pieces(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids as little-endian 32-bit integers, and the decoded bytes, of at least these pieces."""
+    def split(self, text: str) -> list[str]:
+        return self.plain.findall(text) if self.plain and PLAIN.fullmatch(text) else self.pattern.findall(text)
+
+    def encode_pieces(self, pieces: set[str]) -> None:
+        """See to it that these pieces are ``known``."""
         if len(self.known) > KNOWN:
             self.known = {}
-        out, open_ = self.known, []
-        for piece in pieces - out.keys():
+        open_ = []
+        for piece in pieces - self.known.keys():
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                out[piece] = whole.to_bytes(4, "little"), raw
+                self.know([piece], np.array([whole], "<u4"), [1])
             elif len(raw) > LONG:
                 ids = contract(raw, self.ranks)
-                out[piece] = np.array(ids, "<u4").tobytes(), self.decode([ids])[0]
+                self.know([piece], np.array(ids, "<u4"), [len(ids)])
             else:
                 open_.append((piece, raw))
         for first in range(0, len(open_), PIECES):
             part = open_[first : first + PIECES]
-            for i, ids, tokens in self.recurse([raw for _, raw in part]):
-                out[part[i][0]] = struct.pack(f"<{len(ids)}I", *ids), b"".join(tokens)
-        return out
-
-    def recurse(self, raws: list[bytes]) -> list[tuple[int, list[int], list[bytes]]]:
-        """(number, ids, their bytes) of each piece."""
+            self.know([piece for piece, _ in part], *self.recurse([raw for _, raw in part]))
+
+    def know(self, pieces: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        """``ids`` of all pieces in a row, and where each piece's end."""
+        packed, tokens = ids.tobytes(), list(map(self.tokens.__getitem__, ids.tolist()))
+        start = 0
+        for piece, end in zip(pieces, ends):
+            self.known[piece] = packed[4 * start : 4 * end], b"".join(tokens[start:end])
+            start = end
+
+    def recurse(self, raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """(the ids of all pieces in a row, where each piece's end)."""
         sizes = np.array([len(raw) for raw in raws], np.int64)
         numbers = np.repeat(np.arange(len(raws)), sizes)
         places = numbers * 256 + np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids = self.bytes[np.frombuffer(b"".join(raws), np.uint8)]
-        return self.over(MERGE, "start", {"place": pa.array(places), "id": pa.array(ids)})
+        found = self.over(MERGE, "start", {"place": pa.array(places), "id": pa.array(ids)})
+        ends = np.cumsum(np.bincount(found["place"].to_numpy() >> 8, minlength=len(raws)))
+        return found["id"].to_numpy().astype("<u4"), ends.tolist()
 
     def decode(self, lists: list[list[int] | None]) -> list[bytes]:
         held = {"n": pa.array(range(len(lists)), pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32()))}
-        found = dict(self.over(DECODE, "held", held))
+        n, tokens = self.over(DECODE, "held", held).columns
+        found = dict(zip(n.to_pylist(), tokens.to_pylist()))
         return [b"".join(found.get(n, ())) for n in range(len(lists))]
 
 
@@ -217,7 +243,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, pattern)
-        find = encoder.pattern.findall
         for batch in batches:
             column, first = batch.column(len(kept)), 0
             sizes = [len(t) if t is not None else 0 for t in column.to_pylist()]
@@ -226,10 +251,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
                 while end < batch.num_rows and (end == first or total + sizes[end] <= CHUNK_BYTES):
                     total += sizes[end]
                     end += 1
-                cut = [find(t) if t else [] for t in column.slice(first, end - first).to_pylist()]
-                known = encoder.encode_pieces(set().union(*cut))
-                ids = [b"".join([known[p][0] for p in pieces]) for pieces in cut]
-                back = [b"".join([known[p][1] for p in pieces]) for pieces in cut]
+                cut = [encoder.split(t) if t else [] for t in column.slice(first, end - first).to_pylist()]
+                encoder.encode_pieces(set().union(*cut))
+                ids, back = [], []
+                for pieces in cut:
+                    coded = list(map(encoder.known.__getitem__, pieces))
+                    ids.append(b"".join([i for i, _ in coded]))
+                    back.append(b"".join([b for _, b in coded]))
                 if digests:
                     added = [
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
