@@ -61,15 +61,29 @@ def period_from_date(date: Column, kind: str) -> Column:
     raise ValueError(f"unknown period kind {kind!r}")
 
 
+_SPARK_PART = r"^part-\d{5}-[0-9a-f]{8}-"  # a piece that Spark wrote; its digits are no date
+
+
+def _token(component: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(component, r"^[A-Za-z_]+=", ""), r"\.parquet$", "")
+
+
+def _in_period_folder(path: Column) -> Column:
+    """Whether a ``part-`` file takes its period from the folder it lies in."""
+    last, parent = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    code = _bind(_token(parent), lambda t: F.coalesce(_strict_code(t), _lenient_code(t)))
+    return last.startswith("part-") & (code.isNotNull() | last.rlike(_SPARK_PART))
+
+
 def period_token(path: Column) -> Column:
     """The part of a path that names the period, without its extension.
 
     ``bef/2020.parquet``, a directory ``bef/2020.parquet/part-0001...`` that Spark wrote, and
-    ``bef/period=2020/part-0001...`` all give ``2020``.
+    ``bef/period=2020/part-0001...`` all give ``2020``. A delivery that is itself called ``part-2020.parquet``, in a
+    folder without a period, is dated by its own name.
     """
-    without_part = F.regexp_replace(path, r"/part-[^/]*$", "")
-    last = F.regexp_extract(without_part, r"([^/]+)$", 1)
-    return F.regexp_replace(F.regexp_replace(last, r"^[A-Za-z_]+=", ""), r"\.parquet$", "")
+    last, parent = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return _token(F.when(_in_period_folder(path), parent).otherwise(last))
 
 
 # The period spellings accepted as a whole name, and those searched inside a name.
@@ -152,8 +166,8 @@ def period_of_path(path: Column) -> Column:
 
 def registry_of_path(path: Column) -> Column:
     """The upper-cased directory that holds the period file."""
-    without_part = F.regexp_replace(path, r"/part-[^/]*$", "")
-    return F.upper(F.regexp_extract(without_part, r"([^/]+)/[^/]+$", 1))
+    above = F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)
+    return F.upper(F.when(_in_period_folder(path), above).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)))
 
 
 def year_of_file(path: Column) -> Column:

@@ -20,11 +20,10 @@ HOSPITAL_TABLES = {
 }
 
 
-def list_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """Paths of all Parquet files below a directory.
+def list_uris(spark: SparkSession, directory: str, recursive: bool = True) -> list[str]:
+    """All Parquet files below a directory, as Spark's file index names them.
 
-    Only Spark's file index is asked, which any scan of the directory builds as well; no file is opened and
-    no task runs.
+    Only the file index is asked, which any scan of the directory builds as well; no file is opened and no task runs.
     """
     listed = (
         spark.read.format("binaryFile")
@@ -33,7 +32,12 @@ def list_files(spark: SparkSession, directory: str, recursive: bool = True) -> D
         .load(directory)
         .inputFiles()
     )
-    return spark.createDataFrame([(unquote(path),) for path in sorted(listed)], "path string")
+    return sorted(listed)
+
+
+def list_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
+    """Paths of all Parquet files below a directory."""
+    return spark.createDataFrame([(unquote(uri),) for uri in list_uris(spark, directory, recursive)], "path string")
 
 
 def _date(value: dt.date | None) -> Column | None:
@@ -41,7 +45,7 @@ def _date(value: dt.date | None) -> Column | None:
 
 
 def with_period(files: DataFrame) -> DataFrame:
-    """Adds the register (parent directory) and the period; files without a period are dropped."""
+    """Adds the register (parent directory) and the period; ``undated`` has the files without one."""
     path = F.col("path")
     return (
         files.withColumn("registry", P.registry_of_path(path))
@@ -50,6 +54,11 @@ def with_period(files: DataFrame) -> DataFrame:
     )
 
 
+def undated(files: DataFrame) -> DataFrame:
+    """Files whose path names no period: what ``with_period`` and the period scans leave out."""
+    return files.filter(P.period_of_path(F.col("path")).isNull())
+
+
 def files_in_range(files: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Files whose period shares a day with the range."""
     return with_period(files).filter(P.period_overlaps(F.col("period"), _date(start), _date(end)))

@@ -5,17 +5,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lifeframe.functions import periods as P
 from lifeframe.operators import cohort as C
 from lifeframe.operators.mapping import map_register
-from lifeframe.sources import deliveries, specs
-from lifeframe.sources.adapt import adapt, adapt_register
-from lifeframe.sources.schemas import read_with_times, stored_types
+from lifeframe.sources import deliveries, schemas, specs
+from lifeframe.sources.adapt import adapt, adapt_register, convert
 from lifeframe.sources.specs import RegisterSpec
 
 PERIOD = "period"
@@ -36,12 +36,11 @@ def read_parquet(
 
     Columns, predicate and declared schema are all part of the plan, so the Parquet reader sees the
     pruned columns and the pushed filters. Columns wanted but absent in every file become typed nulls
-    under ``adapt_types`` and are left out otherwise.
+    under ``adapt_types`` and are left out otherwise. Files whose stored types differ are one scan per distinct schema,
+    brought to the declared types, or without them to the type that holds all.
     """
-    reader = spark.read.option("mergeSchema", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    df = reader.parquet(*([path] if isinstance(path, str) else path))
+    paths = [path] if isinstance(path, str) else path
+    df = _scan(spark, paths, schema if adapt_types else None, recursive)
     if predicate is not None:
         df = df.filter(predicate)
     if cohort is not None:
@@ -57,6 +56,30 @@ def read_parquet(
     return df
 
 
+def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None, recursive: bool) -> DataFrame:
+    uris = [uri for p in paths for uri in deliveries.list_uris(spark, p, recursive)]
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    if len(uris) < 2:
+        return reader.parquet(*paths)
+    groups = schemas.stored_schemas(spark, uris)
+    if len(groups) == 1:
+        return reader.parquet(*paths)
+    base = paths[0] if len(paths) == 1 and not recursive else None
+    frames = [schemas.read_stored(spark, g, base=base) for g in groups]
+    if schema is None:
+        kinds: dict[str, set[str]] = {}
+        for df in frames:
+            for f in df.schema:
+                kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+        schema = T.StructType([T.StructField(n, T.DataType.fromDDL(schemas.common_type(k))) for n, k in kinds.items()])
+    # Columns of the declared types, and partition columns and others as they are.
+    declared = {f.name: f.dataType for f in schema.fields}
+    ready = [
+        df.select(*(convert(F.col(f.name), f.dataType, declared.get(f.name, f.dataType)).alias(f.name) for f in df.schema)) for df in frames
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ready)
+
+
 def read_register(
     spark: SparkSession,
     spec: RegisterSpec | str,
@@ -64,19 +87,24 @@ def read_register(
     cohort: DataFrame | None = None,
     recursive: bool = True,
 ) -> DataFrame:
-    """A named or user-declared register under its declared column names and types."""
+    """A named or user-declared register under its declared column names and types.
+
+    Deliveries of other years may store a column in another type, or lack it: files are grouped by stored schema
+    (one job over their footers), each group is one scan, and each is adapted to the declaration.
+    """
     spec = specs.register(spec) if isinstance(spec, str) else spec
-    if _has_times(spec):
-        files = deliveries.list_files(spark, path, recursive)
-        raw = read_with_times(spark, [r.path for r in files.collect()], stored_types(files))
-    else:
-        raw = read_parquet(spark, path, recursive=recursive)
-    df = adapt_register(raw, spec)
+    df = _adapted(spark, spec, deliveries.list_uris(spark, path, recursive))
     return df if cohort is None else C.restrict(df, cohort, spec.id_column)
 
 
-def _has_times(spec: RegisterSpec) -> bool:
-    return any(f.kind == "seconds" for f in spec.fields)
+def _adapted(spark: SparkSession, spec: RegisterSpec, uris: list[str], uri: str | None = None) -> DataFrame:
+    """Files under the declaration, with the name of each row's file as ``uri`` if wanted; one scan per distinct schema."""
+    names = {n for f in spec.fields for n in f.names}
+    frames = [
+        adapt_register(schemas.read_stored(spark, g, names, uri=uri), spec, keep=[uri] if uri else ())
+        for g in schemas.stored_schemas(spark, uris)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def read_registers(
@@ -106,54 +134,29 @@ def read_periods(
     """All deliveries of a register, or those of a date range or of one period, with their period.
 
     Files are listed and dated first, so files outside the range are never opened; no file in it gives an
-    empty frame. Each period is then one scan that carries its period as literals, and costs nothing per
-    row; the number of scans is bounded by the calendar. ``with_source`` adds
-    ``source = <registry>_<period>_<rows in the delivery>``.
+    empty frame, and files without a period are left out (``deliveries.undated`` lists them). The number of scans is that of
+    distinct stored schemas; each row gets its period by a join of its file's name with the dated listing, which has a
+    row per file. ``with_source`` adds ``source = <registry>_<period>_<rows in the delivery>``.
     """
     spec = specs.register(spec) if isinstance(spec, str) else spec
-    dated = deliveries.files_in_range(deliveries.list_files(spark, path), start, end)
-    # Paths only: what Spark's own file index keeps on the driver for any scan.
-    paths: dict[Row, list[str]] = {}
-    for row in dated.select("path", "period").collect():
-        if period_label is None or _label(row.period) == period_label:
-            paths.setdefault(row.period, []).append(row.path)
-    if not paths:
+    by_path = {unquote(uri): uri for uri in deliveries.list_uris(spark, path)}
+    listing = spark.createDataFrame([(p,) for p in by_path], "path string")
+    dated = deliveries.files_in_range(listing, start, end)
+    if period_label is not None:
+        dated = dated.filter(P.period_label(F.col(PERIOD)) == period_label)
+    found = [(by_path[row.path], row.period) for row in dated.select("path", PERIOD).collect()]
+    if not found:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spec.schema)
         return spark.createDataFrame([], f"{fields}, {PERIOD} {P.PERIOD_TYPE}" + (", source string" if with_source else ""))
-    everything = [p for group in paths.values() for p in group]
-    if _has_times(spec):
-        stored = stored_types(spark.createDataFrame([(p,) for p in everything], "path string"))
-
-        def read(group: list[str]) -> DataFrame:
-            return read_with_times(spark, group, stored)
-    else:
-        schema = spark.read.option("mergeSchema", "true").parquet(*everything).schema
-
-        def read(group: list[str]) -> DataFrame:
-            return spark.read.schema(schema).parquet(*group)
-
-    parts = []
-    for period, group in sorted(paths.items(), key=lambda item: (item[0].start, item[0].end)):
-        literal = F.struct(
-            *(F.lit(period[f]).cast(t).alias(f) for f, t in zip(("kind", "year", "sub", "start", "end"), ("string", "int", "int", "date", "date")))
-        )
-        parts.append(adapt_register(read(group).withColumn(PERIOD, literal), spec, keep=[PERIOD]))
-    df = reduce(lambda a, b: a.unionByName(b), parts)
+    # Local files are named with one slash or three; a row's file has one of the two names.
+    names = [(name, period) for uri, period in found for name in {uri, uri.replace("file:///", "file:/", 1)}]
+    periods = spark.createDataFrame(names, f"_uri string, {PERIOD} {P.PERIOD_TYPE}")
+    df = _adapted(spark, spec, [uri for uri, _ in found], "_uri").join(F.broadcast(periods), "_uri").drop("_uri")
     if cohort is not None:
         df = C.restrict(df, cohort, spec.id_column)
     return _with_source(df, spec.name) if with_source else df
 
 
-def _label(period: Row) -> str:
-    year = f"{period.year:04d}"
-    return {
-        P.YEAR: year,
-        P.MONTH: f"{year}{period.sub or 0:02d}",
-        P.QUARTER: f"{year}Q{period.sub}",
-        P.DAY: f"{year}{period.sub or 0:04d}",
-    }[period.kind]
-
-
 def _with_source(df: DataFrame, registry: str) -> DataFrame:
     label = P.period_label(F.col(PERIOD))
     rows = df.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_rows"))

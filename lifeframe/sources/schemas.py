@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifeframe.session import materialize
+from lifeframe.sources.deliveries import list_uris
+
 FOOTER = "file string, position int, name string, physical string, fields int"
 
 
+# Schemes that Spark's file systems and Arrow's name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def arrow_uri(path: str) -> str:
+    """A path of Spark's as Arrow's file systems know it."""
+    if "://" not in path:
+        return "file://" + quote(path.removeprefix("file:"))
+    scheme, _, rest = path.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}"
+
+
 def footers(files: DataFrame) -> DataFrame:
     """One row per file and column of a listing: position, name, type and number of columns."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -20,8 +38,7 @@ def footers(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                uri = path if "://" in path else "file://" + path.removeprefix("file:")
-                filesystem, inner = pafs.FileSystem.from_uri(uri)
+                filesystem, inner = pafs.FileSystem.from_uri(arrow_uri(path))
                 with filesystem.open_input_file(inner) as handle:
                     schema = pq.ParquetFile(handle).schema_arrow
                 rows += [(path, i, f.name, str(f.type), len(schema)) for i, f in enumerate(schema)]
@@ -69,7 +86,8 @@ def compare_footers(found: DataFrame, reference: str) -> DataFrame:
 def schema_report(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Compare each file with the first."""
     wanted = list(paths)
-    return compare_footers(footers(_listing(spark, wanted)), wanted[0])
+    # Read by two branches of the comparison; one row per file and column.
+    return compare_footers(materialize(footers(_listing(spark, wanted)), "footers"), wanted[0])
 
 
 # Stored types and the Spark types they are read as. Times of day are read as their number of
@@ -77,40 +95,90 @@ def schema_report(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 _STORED = {
     "string": "string", "large_string": "string", "bool": "boolean", "double": "double", "float": "float",
     "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int",
-    "uint32": "bigint", "date32[day]": "date", "timestamp[us]": "timestamp_ntz", "timestamp[ms]": "timestamp_ntz",
-    "timestamp[ns]": "timestamp_ntz", "timestamp[us, tz=UTC]": "timestamp", "timestamp[ms, tz=UTC]": "timestamp",
+    "uint32": "bigint", "uint64": "decimal(20,0)", "date32[day]": "date", "binary": "binary", "large_binary": "binary",
     "time32[ms]": "int", "time64[us]": "bigint",
 }
 _PER_SECOND = {"time32[ms]": 1_000, "time64[us]": 1_000_000}
 
 
-def stored_types(files: DataFrame) -> dict[str, str]:
-    """Column name to stored type over all files of a listing; files that disagree are an error."""
-    found: dict[str, str] = {}
-    # One row per distinct column and type, not per file.
-    for row in footers(files).select("name", "physical").distinct().collect():
-        if found.setdefault(row.name, row.physical) != row.physical:
-            raise ValueError(f"column {row.name} is stored both as {found[row.name]} and as {row.physical}")
-    return found
-
-
-def read_with_times(spark: SparkSession, paths: Iterable[str], stored: dict[str, str]) -> DataFrame:
-    """Scan files that hold times of day; those become whole seconds since midnight."""
-    known = {name: kind for name, kind in stored.items() if kind in _STORED}
-    schema = ", ".join(f"`{name}` {_STORED[kind]}" for name, kind in sorted(known.items()))
-    df = spark.read.schema(schema).parquet(*paths)
-    seconds = {
-        name: F.floor(F.col(name) / _PER_SECOND[kind]).cast("int") for name, kind in known.items() if kind in _PER_SECOND
-    }
-    return df.withColumns(seconds) if seconds else df
+def spark_type(physical: str) -> str | None:
+    """The Spark type that a stored type is read as; nothing for types that no register field can be delivered in."""
+    values = re.fullmatch(r"dictionary<values=([^,]+),.*>", physical)
+    if values:
+        return spark_type(values[1])
+    decimal = re.fullmatch(r"decimal\d*\((\d+), ?(\d+)\)", physical)
+    if decimal:
+        return f"decimal({decimal[1]},{decimal[2]})"
+    if physical.startswith("timestamp["):
+        return "timestamp" if "tz=" in physical else "timestamp_ntz"
+    if physical.startswith("fixed_size_binary"):
+        return "binary"
+    item = re.fullmatch(r"(?:large_)?list<\w+: (.+?)(?: not null)?>", physical)
+    if item:
+        inner = spark_type(item[1])
+        return f"array<{inner}>" if inner else None
+    return _STORED.get(physical)
+
+
+@dataclass(frozen=True)
+class StoredSchema:
+    """Files that are stored alike, and their columns by name."""
+
+    columns: dict[str, str]
+    uris: tuple[str, ...]
+
+
+def stored_schemas(spark: SparkSession, uris: Iterable[str]) -> list[StoredSchema]:
+    """The distinct schemas among some files, read from their footers by one job."""
+    by_path = {unquote(uri): uri for uri in uris}
+    columns = F.array_sort(F.collect_list(F.struct("position", "name", "physical")))
+    each = footers(_listing(spark, by_path)).groupBy("file").agg(columns.alias("columns"))
+    alike = each.groupBy("columns").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    groups = [
+        StoredSchema({c.name: c.physical for c in row["columns"]}, tuple(by_path[f] for f in row.files)) for row in alike.collect()
+    ]
+    return sorted(groups, key=lambda g: g.uris)
+
+
+def read_stored(
+    spark: SparkSession, group: StoredSchema, wanted: Iterable[str] | None = None, base: str | None = None, uri: str | None = None
+) -> DataFrame:
+    """One scan of files that are stored alike; times of day become whole seconds since midnight.
+
+    ``wanted`` are the columns to read (all if not given). One that is stored in a type that cannot be read is an error.
+    ``base`` keeps the partition columns below that folder; ``uri`` adds the name of each row's file.
+    """
+    names = [n for n in group.columns if wanted is None or n in set(wanted)]
+    unknown = [f"{n}: {group.columns[n]}" for n in names if spark_type(group.columns[n]) is None]
+    if unknown:
+        raise ValueError(f"no way to read {', '.join(unknown)} in {group.uris[0]}")
+    fields = ", ".join(f"`{n}` {spark_type(group.columns[n])}" for n in names)
+    reader = spark.read.option("basePath", base) if base else spark.read
+    df = reader.schema(fields).parquet(*map(unquote, group.uris)) if fields else spark.read.parquet(*map(unquote, group.uris)).select()
+    if uri:
+        df = df.select("*", F.col("_metadata.file_path").alias(uri))
+    per_second = {n: _PER_SECOND[group.columns[n]] for n in names if group.columns[n] in _PER_SECOND}
+    return df.withColumns({n: F.floor(F.col(n) / unit).cast("int") for n, unit in per_second.items()}) if per_second else df
+
+
+def common_type(kinds: set[str]) -> str:
+    """The type that columns of several types are read as: the same, the wider number, else text."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    if kinds <= set(whole):
+        return max(kinds, key=whole.index)
+    if kinds <= {*whole, "float", "double"}:
+        return "double"
+    return "timestamp_ntz" if kinds <= {"date", "timestamp_ntz"} else "string"
 
 
 def read_compatible(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Rows of several files or directories after checking that their column names and types agree."""
+    """Rows of several files or directories after checking that the columns and types of all their files agree."""
     wanted = list(paths)
-    first = spark.read.parquet(wanted[0]).schema
-    for path in wanted[1:]:
-        other = spark.read.parquet(path).schema
-        if [(f.name, f.dataType) for f in other] != [(f.name, f.dataType) for f in first]:
-            raise ValueError(f"{path} differs from {wanted[0]}: {other.simpleString()} instead of {first.simpleString()}")
-    return spark.read.schema(first).parquet(*wanted)
+    uris = sorted({uri for path in wanted for uri in list_uris(spark, path)})
+    found = materialize(footers(_listing(spark, [unquote(uri) for uri in uris])), "footers")
+    issue = compare_footers(found, unquote(uris[0])).orderBy("file", "issue").first()
+    if issue:
+        raise ValueError(f"{issue['file']} differs from {issue.reference}: {issue.issue}")
+    return spark.read.option("recursiveFileLookup", "true").parquet(*wanted)

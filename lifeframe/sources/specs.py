@@ -250,9 +250,9 @@ REGISTERS: dict[str, RegisterSpec] = {
         RegisterSpec("akm", "PNR", parse_fields(_AKM), path_hints=("akm",)),
         RegisterSpec("bef", "PNR", parse_fields(_BEF), path_hints=("bef",)),
         RegisterSpec("ind", "PNR", parse_fields(_IND), path_hints=("ind",)),
-        RegisterSpec("uddf", "PNR", parse_fields(_UDDF), path_hints=("uddf",)),
-        RegisterSpec("vnds", "PNR", parse_fields(_VNDS), path_hints=("vnds",)),
-        RegisterSpec("mfr", "CPR_BARN", parse_fields(_MFR), path_hints=("mfr",)),
+        RegisterSpec("uddf", "PNR", parse_fields(_UDDF), path_hints=("uddf", "uddannelse")),
+        RegisterSpec("vnds", "PNR", parse_fields(_VNDS), path_hints=("vnds", "migration")),
+        RegisterSpec("mfr", "CPR_BARN", parse_fields(_MFR), path_hints=("mfr", "foedselsregister")),
     )
 }
 
@@ -277,8 +277,8 @@ def register(name: str) -> RegisterSpec:
 
 
 def register_from_path(path: str) -> RegisterSpec:
-    """Register named by a directory."""
-    lowered = path.rstrip("/").lower()
+    """Register named by the last folder of a path; folders above it don't count."""
+    lowered = path.rstrip("/").rsplit("/", 1)[-1].lower()
     for spec in REGISTERS.values():
         if any(hint in lowered for hint in spec.path_hints):
             return spec

@@ -221,3 +221,98 @@ def test_discard_deletes_only_scratch(spark, tmp_path):
     folder = held.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     discard(held)
     assert not os.path.exists(folder)
+
+
+def test_drifting_types_between_deliveries(spark, tmp_path, rows):
+    """One scan per stored schema, each adapted: int to text, int to double, missing columns."""
+    path = str(tmp_path / "akm")
+    spark.createDataFrame([("1", 3)], "PNR string, SOCIO13 int").coalesce(1).write.parquet(f"{path}/2018.parquet")
+    spark.createDataFrame([("2", "4")], "PNR string, SOCIO13 string").coalesce(1).write.parquet(f"{path}/2019.parquet")
+    spark.createDataFrame([("3", 5)], "PNR string, SOCIO13 bigint").coalesce(1).write.parquet(f"{path}/2020.parquet")
+    spark.createDataFrame([("4",)], "PNR string").coalesce(1).write.parquet(f"{path}/2021.parquet")
+    df = scan.read_register(spark, "akm", path)
+    kind = df.schema["SOCIO13"].dataType
+    assert rows(df.select("PNR", F.col("SOCIO13").cast("string"))) == [("1", "3"), ("2", "4"), ("3", "5"), ("4", None)]
+    dated = scan.read_periods(spark, path, "akm")
+    assert dated.schema["SOCIO13"].dataType == kind
+    assert rows(dated.select("PNR", "period.year")) == [("1", 2018), ("2", 2019), ("3", 2020), ("4", 2021)]
+    plain = scan.read_parquet(spark, path, recursive=True)
+    assert plain.schema["SOCIO13"].dataType == T.StringType() and plain.count() == 4
+
+
+def test_unusual_stored_types(spark, tmp_path, rows):
+    import decimal
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    os.makedirs(tmp_path / "lpr3_kontakter")
+    table = pa.table(
+        {
+            "CPR": pa.array(["1"]).dictionary_encode(), "DW_EK_KONTAKT": pa.array(["k1"]).dictionary_encode(),
+            "prioritet": pa.array([decimal.Decimal("2.00")]), "tidspunkt_start": pa.array([3_723_000], pa.time32("ms")),
+            "odd": pa.array([{"a": 1}]),
+        }
+    )
+    pq.write_table(table, tmp_path / "lpr3_kontakter" / "2020.parquet")
+    df = scan.read_register(spark, "lpr3_kontakter", str(tmp_path / "lpr3_kontakter"))
+    got = df.first()
+    assert (got["CPR"], got["DW_EK_KONTAKT"]) == ("1", "k1") and got["prioritet"] is not None
+    bad = pa.table({"CPR": pa.array([{"a": 1}])})
+    os.makedirs(tmp_path / "bad")
+    pq.write_table(bad, tmp_path / "bad" / "2020.parquet")
+    with pytest.raises(ValueError, match="CPR"):
+        scan.read_register(spark, "lpr3_kontakter", str(tmp_path / "bad"))
+
+
+def test_many_daily_files_plan_as_one_scan(spark, tmp_path):
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "akm"
+    os.makedirs(folder)
+    for day in range(120):
+        date = D(2020, 1, 1) + dt.timedelta(days=day)
+        pq.write_table(pa.table({"PNR": [str(day)], "SOCIO13": ["1"]}), folder / f"{date:%Y%m%d}.parquet")
+    started = time.perf_counter()
+    df = scan.read_periods(spark, str(folder), "akm", D(2020, 1, 1), D(2020, 3, 31))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - started < 10
+    assert plan.count("FileScan parquet") == 1
+    assert df.count() == 91
+    assert df.filter("period.start = date'2020-02-29'").select("PNR").first()[0] == "59"
+
+
+def test_delivery_called_part(spark, tmp_path):
+    from lifeframe.sources import deliveries
+
+    names = ["bef/part-2020.parquet", "bef/2019.parquet/part-00000-abcdefab-1.parquet", "bef/part-00001-12345678-2.parquet", "bef/notes.parquet"]
+    files = spark.createDataFrame([(f"/data/{n}",) for n in names], "path string")
+    dated = {r["path"][6:]: (r["registry"], r["period"]["year"]) for r in deliveries.with_period(files).collect()}
+    assert dated == {names[0]: ("BEF", 2020), names[1]: ("BEF", 2019)}
+    assert {r["path"][6:] for r in deliveries.undated(files).collect()} == {names[2], names[3]}
+
+
+def test_register_from_last_folder():
+    for path, name in (
+        ("/srv/indata/uddf", "uddf"), ("/data/finder/vnds/", "vnds"), ("/dodsfald/akm", "akm"), ("/work/befolkning/ind", "ind"),
+        ("/x/Foedselsregister", "mfr"), ("/x/uddannelse", "uddf"), ("/x/migration_2020", "vnds"),
+    ):
+        assert specs.register_from_path(path).name == name
+
+
+def test_read_compatible_checks_every_file(spark, tmp_path):
+    folder = str(tmp_path / "mixed")
+    spark.createDataFrame([("1", 1)], "PNR string, A int").coalesce(1).write.parquet(folder)
+    assert schemas.read_compatible(spark, [folder]).count() == 1
+    spark.createDataFrame([("1", 1)], "PNR string, B int").coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(ValueError, match="differs"):
+        schemas.read_compatible(spark, [folder])
+
+
+def test_arrow_uri():
+    assert schemas.arrow_uri("s3a://bucket/a b") == "s3://bucket/a%20b"
+    assert schemas.arrow_uri("/tmp/x") == schemas.arrow_uri("file:/tmp/x") == "file:///tmp/x"
+    assert schemas.arrow_uri("hdfs://n/x") == "hdfs://n/x"
