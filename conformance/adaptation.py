@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +13,55 @@ from conformance.views import table, view
 from lifeframe.functions import codes, dates, icd
 from lifeframe.operators import mapping
 from lifeframe.sources import adapt
-from lifeframe.sources.specs import REGISTERS, register
+from lifeframe.sources.specs import REGISTERS, register, register_from_columns
+
+
+ORDERS_TARGET = T.StructType(
+    [
+        T.StructField("o_orderkey", T.DoubleType()), T.StructField("o_orderdate", T.StringType()), T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", T.IntegerType()), T.StructField("shipped", T.DateType()),
+    ]
+)
+
+
+@query(
+    "sa02_adaptation_report",
+    """select * from (values (0, 'o_orderkey', 'bigint', 'double', 'compatible', 'numeric_conversion'),
+  (1, 'o_orderdate', 'timestamp_ntz', 'string', 'compatible', 'date_formatting'), (2, 'o_orderstatus', 'string', 'string', 'exact', null),
+  (3, 'o_totalprice', 'double', 'int', 'incompatible', null), (4, 'shipped', null, 'date', 'missing', null))
+  as t(position, field, source_type, target_type, status, strategy)""",
+)
+def _(spark, d):
+    return adapt.adaptation_report(spark, table(spark, d, "orders").schema, ORDERS_TARGET)
+
+
+@query(
+    "sa03_lenient_adaptation",
+    """select cast(o_orderkey as double) as o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderstatus,
+  cast(trunc(o_totalprice) as int) as o_totalprice, cast(null as date) as shipped from orders""",
+)
+def _(spark, d):
+    """The pair that the rules call incompatible is cast where strictness is off."""
+    return adapt.adapt(table(spark, d, "orders"), ORDERS_TARGET, strict=False)
+
+
+# A view and the register its columns are taken for: the population register where none gives it away.
+_RECOGNISED = {
+    "bef": "bef", "akm": "bef", "uddf": "bef", "dod": "dod", "vnds": "bef", "lpr_adm": "lpr_adm", "lpr_diag": "lpr_adm", "ind": "ind",
+}
+
+
+@query(
+    "sc09_register_from_columns",
+    " union all ".join(f"select '{n}' as delivered, '{r}' as recognised, count(*) as n from v_{n}" for n, r in _RECOGNISED.items()),
+)
+def _(spark, d):
+    frames = {n: view(spark, d, n) for n in _RECOGNISED}
+    parts = [
+        df.agg(F.lit(n).alias("delivered"), F.lit(register_from_columns(df.columns).name).alias("recognised"), F.count(F.lit(1)).alias("n"))
+        for n, df in frames.items()
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(

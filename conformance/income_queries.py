@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conformance.frames import incomes, members
+from conformance.frames import incomes, mapped, members
 from conformance.registry import block, query
 from conformance.family_queries import families
-from lifeframe.operators import income
+from lifeframe.functions import periods as P
+from lifeframe.operators import income, mapping
 
 SLOPE = "case when count({0}) >= 2 then regr_slope({0}, cast(year - 2000 as double)) end"
 
@@ -22,6 +23,22 @@ def _(spark, d):
     return income.trajectories(incomes(spark, d)).select("pnr", "income_type", "start_year", "end_year", "years")
 
 
+@query(
+    "in01_corrected_delivery",
+    "select pnr, year, income_type, round(case when year < 1998 then amount / 2 else amount end, 4) as amount from v_incomes",
+)
+def _(spark, d):
+    """Incomes before 1998 come again in the delivery of 2005, halved: the later delivery holds though it is the smaller amount."""
+    first = mapped(spark, d, "ind").withColumn("period", P.year_period(F.col("income_year")))
+    later = first.filter("income_year < 1998").withColumns(
+        {
+            "annual_income": F.col("annual_income") / 2, "employment_income": F.col("employment_income") / 2,
+            "period": P.year_period(F.lit(2005)),
+        }
+    )
+    return _rounded(income.series(mapping.incomes(first.unionByName(later))), "amount").select("pnr", "year", "income_type", "amount")
+
+
 @query("in02_income_of_year", "select pnr, income_type, round(amount, 4) as amount from v_incomes where year = 1999")
 def _(spark, d):
     return _rounded(income.in_year(incomes(spark, d), 1999), "amount").select("pnr", "income_type", "amount")

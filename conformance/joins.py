@@ -86,15 +86,13 @@ def _(spark, d):
     )
 
 
-URGENT = """select CPR from v_lpr3_kontakter where kontakttype like '%akut%' and substr(aktionsdiagnose, 1, 1) in ('C', 'D', 'E')"""
+URGENT = "select CPR from v_lpr3_kontakter where kontakttype like '%akut%'"
 
 
 def sides(spark, d):
-    """Children with an emergency contact for a tumour, blood or endocrine disease as cases, all others as controls."""
+    """Children with an emergency contact as cases, all others as controls."""
     contacts = view(spark, d, "lpr3_kontakter")
-    urgent = contacts.filter(
-        F.col("kontakttype").contains("akut") & F.substring("aktionsdiagnose", 1, 1).isin("C", "D", "E")
-    ).select(F.col("CPR").alias("pnr"))
+    urgent = contacts.filter(F.col("kontakttype").contains("akut")).select(F.col("CPR").alias("pnr"))
     return C.split_cohort(persons(spark, d).filter("mother_pnr is not null"), urgent)
 
 
@@ -120,6 +118,48 @@ def _(spark, d):
     return pairs.drop("case_cell", "control_cell")
 
 
+PARENTS = matching.MatchingCriteria(match_family_size=False, match_parent_age=True, parent_birth_window_days=400)
+
+
+def _with_parents(spark, d, side):
+    """Persons with their parents' birth dates."""
+    born = view(spark, d, "bef").select(F.col("PNR").alias("_p"), F.col("FOED_DAG").alias("_born"))
+    for parent in ("mother", "father"):
+        side = side.join(born, side[f"{parent}_pnr"] == born["_p"], "left").withColumnRenamed("_born", f"{parent}_birth_date").drop("_p")
+    return side
+
+
+_PARENT_SQL = "(select s.*, m.FOED_DAG as mother_birth_date, f.FOED_DAG as father_birth_date from {0} s left join v_bef m on m.PNR = s.mother_pnr left join v_bef f on f.PNR = s.father_pnr)"
+
+
+@query(
+    "jn09_eligible_counts_parent_windows",
+    f"""with {SIDES}, cp as {_PARENT_SQL.format("c")}, kp as {_PARENT_SQL.format("k")}
+select c.pnr, count(k.pnr) as eligible from cp c left join kp k on abs(datediff('day', c.birth_date, k.birth_date)) <= 30 and c.pnr <> k.pnr
+  and coalesce(c.gender = k.gender, c.gender is null)
+  and coalesce(abs(datediff('day', c.mother_birth_date, k.mother_birth_date)) <= 400, c.mother_birth_date is null)
+  and coalesce(abs(datediff('day', c.father_birth_date, k.father_birth_date)) <= 400, c.father_birth_date is null)
+group by c.pnr""",
+)
+def _(spark, d):
+    return matching.eligible_counts(*(_with_parents(spark, d, s) for s in sides(spark, d)), PARENTS)
+
+
+@query(
+    "jn07_enrich_duplicates",
+    """with r as (select PNR as pnr, cast(HFAUDD as varchar) as a, HF_KILDE as b from v_uddf
+  union all select PNR, null, SOCIO13 from v_akm union all select PNR, SOCIO13, 'x' from v_akm)
+select pnr, a, b from (select *, row_number() over (partition by pnr order by (a is null)::int + (b is null)::int, a, b) as n from r) where n = 1""",
+)
+def _(spark, d):
+    """Three detail rows per person, one of them incomplete: the row taken is one of them."""
+    school = view(spark, d, "uddf").select(F.col("PNR").alias("pnr"), F.col("HFAUDD").cast("string").alias("a"), F.col("HF_KILDE").alias("b"))
+    work = view(spark, d, "akm").select(F.col("PNR").alias("pnr"), "SOCIO13")
+    rows = school.unionByName(work.select("pnr", F.lit(None).cast("string").alias("a"), F.col("SOCIO13").alias("b")))
+    rows = rows.unionByName(work.select("pnr", F.col("SOCIO13").alias("a"), F.lit("x").alias("b")))
+    return C.enrich(rows.select("pnr").distinct(), rows)
+
+
 @query(
     "jn10_split_cohort",
     "select PNR as pnr, PNR in (select PNR from v_dod) as affected from v_bef",

@@ -11,7 +11,7 @@ from conformance.views import view
 from lifeframe.operators import balance as B
 from lifeframe.operators import matching as M
 from lifeframe.operators import persons as people
-from lifeframe.session import scratch_path
+from lifeframe.session import materialize, scratch_path
 from lifeframe.sources import sinks
 
 CONFIG = M.MatchingConfig(ratio=2, seed=7, matching_date=INDEX)
@@ -35,9 +35,41 @@ def _match(spark, d):
     return M.match(*sides(spark, d), CONFIG)
 
 
-@query("ma03_match")
+@query(
+    "ma03_match",
+    f"with {SIDES} select pnr as case_pnr, true as within_ratio, true as eligible, true as not_shared, true as exhausted_or_full from c",
+)
 def _(spark, d):
-    return _match(spark, d).pairs
+    """Which controls are drawn is left to chance, so what SQL can state of every case is checked: it has no more than the
+    ratio, all of them eligible and its own, and fewer only if every eligible control went to an earlier case."""
+    cases, controls = (M.prepare(s, CONFIG.criteria, "side") for s in sides(spark, d))
+    pairs = materialize(_match(spark, d).pairs.select("case_pnr", "control_pnr"), "ma03-pairs")
+    attributes = CONFIG.criteria.columns
+    c = cases.select(F.col("pnr").alias("case_pnr"), *(F.col(a).alias(f"c_{a}") for a in attributes))
+    k = controls.select(F.col("pnr").alias("control_pnr"), *(F.col(a).alias(f"k_{a}") for a in attributes))
+    fits = F.expr(
+        "abs(datediff(c_birth_date, k_birth_date)) <= 30 and case_pnr <> control_pnr and coalesce(c_gender = k_gender, c_gender is null)"
+        " and coalesce(abs(c_children_count - k_children_count) <= 1, c_children_count is null)"
+    )
+    users = pairs.groupBy("control_pnr").agg(F.count(F.lit(1)).alias("users"))
+    each = pairs.join(c, "case_pnr").join(k, "control_pnr").join(users, "control_pnr")
+    have = each.groupBy("case_pnr").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(fits).alias("eligible"), F.bool_and(F.col("users") == 1).alias("not_shared")
+    )
+    # The latest taker of each cell's controls; who is free counts as later than any.
+    last = (
+        controls.select(F.col("pnr").alias("control_pnr"), M.cell_key(CONFIG.criteria).alias("control_cell"))
+        .join(pairs, "control_pnr", "left").groupBy("control_cell").agg(F.max(F.coalesce("case_pnr", F.lit("~"))).alias("taker"))
+    )
+    edges = M.eligible_cells(M.cells(cases, CONFIG.criteria), M.cells(controls, CONFIG.criteria), CONFIG.criteria)
+    open_to = edges.select("case_cell", "control_cell").join(last, "control_cell").groupBy("case_cell").agg(F.max("taker").alias("taker"))
+    shown = cases.select(F.col("pnr").alias("case_pnr"), M.cell_key(CONFIG.criteria).alias("case_cell"))
+    n = F.coalesce("n", F.lit(0))
+    return shown.join(have, "case_pnr", "left").join(open_to, "case_cell", "left").select(
+        "case_pnr", (n <= CONFIG.ratio).alias("within_ratio"), F.coalesce("eligible", F.lit(True)).alias("eligible"),
+        F.coalesce("not_shared", F.lit(True)).alias("not_shared"),
+        ((n == CONFIG.ratio) | F.coalesce(F.col("taker") <= F.col("case_pnr"), F.lit(True))).alias("exhausted_or_full"),
+    )
 
 
 # With more wanted than there are controls nothing is left to chance: a control goes to its earliest case.

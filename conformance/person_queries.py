@@ -55,7 +55,7 @@ def _(spark, d):
     return people.migration_counts(events(spark, d))
 
 
-@query("pe07_death_dates", "select PNR as pnr, max(D_DATO) as death_date from v_dodsaarsag group by PNR")
+@query("pe07_death_dates", "select PNR as pnr, max(D_DATO) as death_date from v_dodsaarsag where D_DATO is not null group by PNR")
 def _(spark, d):
     return people.death_dates(mapped(spark, d, "dodsaarsag"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +14,7 @@ from lifeframe.functions import periods as P
 from lifeframe.session import scratch_path
 from lifeframe.sources import scan, schemas, sinks
 from lifeframe.sources.catalog import RegisterCatalog
-from lifeframe.sources.specs import register
+from lifeframe.sources.specs import register, register_from_path
 
 ORDER_SCHEMA = T.StructType(
     [
@@ -58,6 +61,105 @@ def _(spark, d):
     return scan.read_parquet(spark, path).select("PNR", "YEAR", F.round("PERINDKIALT_13", 2).alias("PERINDKIALT_13"))
 
 
+def _drifting(spark, d):
+    """Yearly deliveries whose columns change type: text ids of people throughout, amounts as int, text and double, years as bigint."""
+    ind = view(spark, d, "ind").withColumn("delivery", F.col("YEAR").cast("string"))
+    path = f"{scratch_path(spark, 'drift')}/ind"
+    for years, amount, year in (("1995, 1996", "int", "int"), ("1997", "string", "bigint"), ("1998, 1999, 2000, 2001", "double", "int")):
+        part = ind.filter(f"YEAR in ({years})").withColumns(
+            {"PERINDKIALT_13": F.floor("PERINDKIALT_13").cast(amount), "YEAR": F.col("YEAR").cast(year)}
+        )
+        (part.drop("LOENMV_13") if amount == "int" else part).write.mode("append").partitionBy("delivery").parquet(path)
+    return path
+
+
+_DRIFT_SQL = "cast(floor(PERINDKIALT_13) as double)"
+
+
+@query("sc02_read_drifting_types", f"select PNR, YEAR, {_DRIFT_SQL} as PERINDKIALT_13, case when YEAR >= 1997 then round(LOENMV_13, 2) end as LOENMV_13 from v_ind")
+def _(spark, d):
+    df = scan.read_register(spark, "ind", _drifting(spark, d))
+    return df.select("PNR", "YEAR", "PERINDKIALT_13", F.round("LOENMV_13", 2).alias("LOENMV_13"))
+
+
+@query(
+    "tp15_load_drifting_periods",
+    f"select PNR, YEAR, {_DRIFT_SQL} as amount, make_date(YEAR, 12, 31) as period_end from v_ind where YEAR between 1996 and 1998",
+)
+def _(spark, d):
+    df = scan.read_periods(spark, _drifting(spark, d), "ind", dt.date(1996, 5, 1), dt.date(1998, 1, 1))
+    return df.select("PNR", "YEAR", F.col("PERINDKIALT_13").alias("amount"), F.col("period.end").alias("period_end"))
+
+
+@query(
+    "tp15_load_daily_periods",
+    """select P.PNR, P.SOCIO13, P.day as period_start from (
+  select lpad(cast(o_custkey as varchar(12)), 10, '0') as PNR, cast(1 + o_orderkey % 9 as int) as SOCIO13, cast(o_orderdate as date) as day from orders) P
+where P.day between date '1999-01-01' and date '1999-12-31'""",
+)
+def _(spark, d):
+    """One delivery a day in 1999, yearly ones before and after: all days are one scan."""
+    rows = table(spark, d, "orders").select(
+        F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("PNR"), (1 + F.col("o_orderkey") % 9).cast("string").alias("SOCIO13"),
+        F.when(F.year("o_orderdate") == 1999, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy")).alias("delivery"),
+    )
+    path = f"{scratch_path(spark, 'daily')}/akm"
+    rows.repartition("delivery").write.partitionBy("delivery").parquet(path)
+    df = scan.read_periods(spark, path, "akm", dt.date(1999, 1, 1), dt.date(1999, 12, 31))
+    return df.select("PNR", F.col("SOCIO13").cast("int").alias("SOCIO13"), F.col("period.start").alias("period_start"))
+
+
+@query(
+    "sc07_load_register_with_times",
+    """select lpad(cast(o_custkey as varchar(12)), 10, '0') as CPR, cast(o_orderkey as varchar(12)) as DW_EK_KONTAKT, o_orderpriority as kontakttype,
+  cast(o_orderkey % 86400 as int) as tidspunkt_start from orders""",
+)
+def _(spark, d):
+    """Dictionary-encoded text and times of day, which Spark itself cannot write: each task writes one file of its rows."""
+    path = f"{scratch_path(spark, 'times')}/lpr3_kontakter"
+    rows = table(spark, d, "orders").select(
+        F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("CPR"), F.col("o_orderkey").cast("string").alias("DW_EK_KONTAKT"),
+        F.col("o_orderpriority").alias("kontakttype"), (F.col("o_orderkey") % 86400).cast("int").alias("seconds"),
+    )
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        filesystem, root = pafs.FileSystem.from_uri(schemas.arrow_uri(path))
+        filesystem.create_dir(root, recursive=True)
+        for number, batch in enumerate(batches):
+            table_ = pa.table(
+                {
+                    "CPR": batch.column(0), "DW_EK_KONTAKT": batch.column(1).dictionary_encode(), "kontakttype": batch.column(2).dictionary_encode(),
+                    "tidspunkt_start": pc.multiply(batch.column(3), pa.scalar(1000, pa.int32())).cast(pa.time32("ms")),
+                }
+            )
+            name = f"{root}/{uuid.uuid4().hex}-{number}.parquet"
+            with filesystem.open_output_stream(name) as out:
+                pq.write_table(table_, out)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    rows.mapInArrow(write, "file string").count()
+    return scan.read_register(spark, "lpr3_kontakter", path).select("CPR", "DW_EK_KONTAKT", "kontakttype", "tidspunkt_start")
+
+
+@query(
+    "sc08_register_from_path",
+    """select case when path like '/data/bef/%' then 'bef' when path like '/data/akm/%' then 'akm' when path like '/data/lpr_adm/%' then 'lpr_adm'
+    when path like '/data/lpr_diag/%' then 'lpr_diag' else 'lpr3_kontakter' end as register, count(*) as files
+from (select * from v_files union all select * from v_hospital_files) group by 1""",
+)
+def _(spark, d):
+    files = view(spark, d, "files").unionByName(view(spark, d, "hospital_files"))
+    folders = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"))
+    counted = folders.groupBy("folder").agg(F.count(F.lit(1)).alias("files")).collect()  # a row per folder
+    named = [(register_from_path(r.folder).name, r.files) for r in counted]
+    return spark.createDataFrame(named, "register string, files bigint")
+
+
 @query("sc03_read_with_filter", "select o_orderkey, o_totalprice from orders where o_totalprice > 200000 and o_orderstatus = 'F'")
 def _(spark, d):
     return scan.read_parquet(
@@ -176,8 +278,6 @@ def _(spark, d):
 where YEAR between 1997 and 1999 and PNR in (select PNR from v_akm)""",
 )
 def _(spark, d):
-    import datetime as dt
-
     df = scan.read_periods(
         spark, _ind_delivery(spark, d), register("ind"), dt.date(1997, 6, 1), dt.date(1999, 2, 1),
         cohort=view(spark, d, "akm").select("PNR"),

@@ -32,14 +32,14 @@ from customer where c_custkey%4<>0""",
 select P(c_custkey) as CPR_BARN, P(c_custkey - c_custkey%5) as CPR_MODER, cast(2000+(c_custkey*17)%2500 as int) as VAEGT,
   cast(34+c_custkey%8 as int) as SVLNGD, cast(5+c_custkey%6 as int) as APGAR5 from customer where c_custkey%5>=2""",
     "dod": """
-select P(c_custkey) as PNR, ADD(date '1996-01-01', (c_custkey*31)%2000) as DODDATO, ICD(c_custkey) as C_AARSAG
+select P(c_custkey) as PNR, case when c_custkey%4<>0 then ADD(date '1996-01-01', (c_custkey*31)%2000) end as DODDATO, ICD(c_custkey) as C_AARSAG
 from customer where c_custkey%17=0""",
     "dodsaarsag": """
 select P(c_custkey) as PNR, ICD(c_custkey) as C_AARSAG, ICD(c_custkey+5) as C_TILSTAND,
-  ADD(date '1996-01-01', (c_custkey*31)%2000) as D_DATO from customer where c_custkey%17=0""",
+  case when c_custkey%4<>0 then ADD(date '1996-01-01', (c_custkey*31)%2000) end as D_DATO from customer where c_custkey%17=0""",
     "vnds": """
 select P(o_custkey) as PNR, cast(1 + cast(floor(o_orderkey/20) as int)%2 as int) as HAEND_KODE,
-  cast(o_orderdate as date) as HAEND_DATO from orders where o_orderkey%20=0""",
+  case when o_orderkey%23<>0 then cast(o_orderdate as date) end as HAEND_DATO from orders""",
     "lpr_adm": """
 select P(o_custkey) as PNR, cast(o_orderkey as varchar(12)) as RECNUM, ICD(o_orderkey) as C_ADIAG,
   cast(o_orderdate as date) as D_INDDTO, ADD(cast(o_orderdate as date), o_orderkey%10) as D_UDDTO,
@@ -50,7 +50,7 @@ select cast(l_orderkey as varchar(12)) as RECNUM, ICD(l_partkey) as C_DIAG,
   case when l_linenumber=1 then 'A' when l_linenumber<5 then 'B' else 'H' end as C_DIAGTYPE,
   case when l_linenumber=2 then ICD(l_suppkey) end as C_TILDIAG from lineitem""",
     "lpr_bes": """
-select cast(l_orderkey as varchar(12)) as RECNUM, cast(l_shipdate as date) as D_AMBDTO from lineitem where l_linenumber>=6""",
+select cast(l_orderkey as varchar(12)) as RECNUM, cast(l_shipdate as date) as D_AMBDTO from lineitem""",
     "lpr3_kontakter": """
 select P(o_custkey) as CPR, cast(o_orderkey as varchar(12)) as DW_EK_KONTAKT, cast(o_orderdate as date) as dato_start,
   ADD(cast(o_orderdate as date), o_orderkey%10) as dato_slut, ICD(o_orderkey) as aktionsdiagnose,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,11 +79,19 @@ def split_cohort(persons: DataFrame, condition_ids: DataFrame, key: str = "pnr")
 def enrich(persons: DataFrame, details: DataFrame, key: str = "pnr") -> DataFrame:
     """Adds detail columns onto known persons; persons without details are left out.
 
-    Details are reduced to one row per person before the join (first by value), so no key multiplies.
+    Of several detail rows of a person one is taken as a whole: the one with fewest unknown values, of these the smallest.
     """
     added = [c for c in details.columns if c != key and c not in persons.columns]
-    one = details.groupBy(key).agg(*(F.min(c).alias(c) for c in added))
-    return persons.join(one, key)
+    return persons.join(whole_row(details, key, added), key)
+
+
+def whole_row(df: DataFrame, key: str, columns: list[str], first: Sequence[Column] = ()) -> DataFrame:
+    """One row per key, never put together from several: least by ``first``, then fewest nulls, then by value."""
+    if not columns:
+        return df.select(key).distinct()
+    unknown = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    best = F.min_by(F.struct(*columns), F.struct(*first, unknown, *columns))
+    return df.groupBy(key).agg(best.alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in columns))
 
 
 def related(links: DataFrame, left_key: str, right_key: str, entities: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,12 @@ SERIES = ("pnr", "income_type")
 
 
 def series(incomes: DataFrame, order: Column | None = None) -> DataFrame:
-    """One amount per person, type and year: the last by ``order``, of equal ones the larger."""
+    """One amount per person, type and year: the last by ``order``, of equal ones the larger.
+
+    Without an order, rows that carry the ``period`` of their delivery are ordered by it: the later delivery holds.
+    """
+    if order is None and "period" in incomes.columns:
+        order = F.struct("period.start", "period.end")
     amount = F.max("amount") if order is None else F.max_by("amount", F.struct(order, F.col("amount")))
     return incomes.groupBy("pnr", "income_type", "year").agg(amount.alias("amount"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,14 @@ from lifeframe.sources.adapt import fetch
 from lifeframe.sources.specs import RegisterSpec
 
 
-def map_register(df: DataFrame, spec: RegisterSpec) -> DataFrame:
-    """Person fields of a register; rows without an id are dropped."""
+def map_register(df: DataFrame, spec: RegisterSpec, keep: Iterable[str] = ()) -> DataFrame:
+    """Person fields of a register; rows without an id are dropped. Columns named by ``keep`` are passed through."""
     def value(f) -> Column:
         if f.expression is not None:
             return f.expression
         return fetch(df, f.names, f.data_type, required=f.source == spec.id_column)
 
-    mapped = df.select(*(value(f).alias(f.target) for f in spec.fields))
+    mapped = df.select(*(value(f).alias(f.target) for f in spec.fields), *keep)
     key = F.col(spec.id_field)
     return mapped.filter(key.isNotNull() & (F.trim(key) != ""))
 
@@ -119,7 +121,8 @@ def contact_diagnoses(diag: DataFrame) -> DataFrame:
 def incomes(ind: DataFrame, default_year: Column | None = None) -> DataFrame:
     """Mapped income rows to ``(pnr, year, income_type, amount)``: total, salary, and their positive difference.
 
-    The year is the row's own, else ``default_year`` (for example the period of the delivery).
+    The year is the row's own, else ``default_year`` (for example the period of the delivery). A ``period`` column of the
+    rows is kept, so that a later delivery can correct an earlier one.
     """
     year = F.col("income_year") if default_year is None else F.coalesce("income_year", default_year)
     total, salary = F.col("annual_income"), F.col("employment_income")
@@ -128,7 +131,7 @@ def incomes(ind: DataFrame, default_year: Column | None = None) -> DataFrame:
         F.lit(3), F.lit("total_personal"), total, F.lit("salary"), salary, F.lit("other"), rest
     ).alias("income_type", "amount")
     return (
-        ind.select("pnr", year.cast("int").alias("year"), typed)
+        ind.select("pnr", year.cast("int").alias("year"), typed, *(["period"] if "period" in ind.columns else []))
         .filter(F.col("amount").isNotNull() & F.col("pnr").isNotNull())
     )
 

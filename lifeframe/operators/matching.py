@@ -83,7 +83,7 @@ class MatchingConfig:
 
 @dataclass(frozen=True)
 class MatchingResult:
-    """``pairs`` holds case, control, both birth dates and the matching date; the others the matched rows."""
+    """``pairs`` holds case, control, both birth dates and the matching date; the others one row per matched person."""
 
     pairs: DataFrame
     matched_cases: DataFrame
@@ -138,22 +138,31 @@ def cells(persons: DataFrame, criteria: MatchingCriteria) -> DataFrame:
 def eligible_cells(case_cells: DataFrame, control_cells: DataFrame, criteria: MatchingCriteria) -> DataFrame:
     """Pairs of case cell and eligible control cell, ``case_*`` and ``control_*`` columns.
 
-    The birth-date window becomes an equi-join on window-wide buckets: each case cell looks into its own
-    bucket and the two beside it. Equal-value criteria join on the value or on a wildcard, under which
-    every control is listed as well, so that cases with an unknown value need no second join.
+    Date windows (birth, and the parents' births where wanted) become an equi-join on window-wide buckets: each
+    case cell looks into its own bucket and the two beside it. Equal values and parents' buckets may be unknown for a case, which then
+    accepts any: it looks under a wildcard, under which controls are listed as well for those columns in which some case is null.
     """
-    width = max(1, criteria.birth_window_days)
-    bucket = F.floor(F.unix_date("birth_date") / width)
-    left = case_cells.select(
-        *(F.col(c).alias(f"case_{c}") for c in case_cells.columns),
-        F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_bucket"),
-        *(F.coalesce(F.col(c).cast("string"), F.lit(_ANY)).alias(f"_eq_{c}") for c in criteria.equal_columns),
-    )
-    right = control_cells.select(*(F.col(c).alias(f"control_{c}") for c in control_cells.columns), bucket.alias("_bucket"))
+    windows = {"birth_date": criteria.birth_window_days}
+    windows |= {name: tolerance for name, tolerance in criteria.near_columns if name.endswith("_date")}
+    optional = [*criteria.equal_columns, *(c for c in windows if c != "birth_date")]
+    open_ = case_cells.agg(*(F.max(F.col(c).isNull()).alias(c) for c in optional)).first() if optional else {}
+
+    def bucket(name: str, column: str) -> Column:
+        return F.floor(F.unix_date(column) / max(1, windows[name])).cast("long")
+
+    left = case_cells.select(*(F.col(c).alias(f"case_{c}") for c in case_cells.columns))
+    right = control_cells.select(*(F.col(c).alias(f"control_{c}") for c in control_cells.columns))
+    for c in windows:
+        own = bucket(c, f"case_{c}")
+        near_by = F.transform(F.sequence(own - 1, own + 1), lambda b: b.cast("string"))
+        left = left.withColumn(f"_key_{c}", F.explode(F.coalesce(near_by, F.array(F.lit(_ANY)))))
     for c in criteria.equal_columns:
-        value = F.col(f"control_{c}").cast("string")
-        right = right.withColumn(f"_eq_{c}", F.explode(F.array_compact(F.array(F.lit(_ANY), value))))
-    keys = ["_bucket", *(f"_eq_{c}" for c in criteria.equal_columns)]
+        left = left.withColumn(f"_key_{c}", F.coalesce(F.col(f"case_{c}").cast("string"), F.lit(_ANY)))
+    keys = [f"_key_{c}" for c in dict.fromkeys((*windows, *criteria.equal_columns))]
+    for c in dict.fromkeys((*windows, *criteria.equal_columns)):
+        value = bucket(c, f"control_{c}").cast("string") if c in windows else F.col(f"control_{c}").cast("string")
+        listed = F.array_compact(F.array(F.lit(_ANY), value)) if c in optional and open_[c] else F.array_compact(F.array(value))
+        right = right.withColumn(f"_key_{c}", F.explode(listed))
     near = F.abs(F.datediff("case_birth_date", "control_birth_date")) <= criteria.birth_window_days
     for name, tolerance in criteria.near_columns:
         mine, theirs = F.col(f"case_{name}"), F.col(f"control_{name}")
@@ -246,12 +255,20 @@ def _proposals(
 
     A case without willing controls has one row that is ``finished``; a draw of oneself has no control.
     """
+    if round_no > 1:
+        edges = edges.join(active.select("case_cell").distinct(), "case_cell", "left_semi")
     sizes = free.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     in_case_cell = Window.partitionBy("case_cell").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     spans = edges.join(sizes, "cell").withColumn("_hi", F.sum("_n").over(in_case_cell)).withColumn(
         "_lo", F.col("_hi") - F.col("_n")
     )
-    free_total = spans.groupBy("case_cell").agg(F.max("_hi").alias("free_total"))
+    # Spans are listed under the blocks of positions they touch, with as many blocks as spans: a draw meets about two.
+    free_total = spans.groupBy("case_cell").agg(
+        F.max("_hi").alias("free_total"), F.ceil(F.max("_hi") / F.count(F.lit(1))).cast("long").alias("_width")
+    )
+    blocks = spans.join(free_total.select("case_cell", "_width"), "case_cell").withColumn(
+        "_block", F.explode(F.sequence(F.floor(F.col("_lo") / F.col("_width")), F.floor((F.col("_hi") - 1) / F.col("_width"))))
+    ).drop("_width")
     pool = active.join(free_total, "case_cell", "left").fillna(0, ["free_total"])
     if round_no > 1:
         per_case, positions = _later_holders(active, edges, held)
@@ -281,7 +298,8 @@ def _proposals(
     )
     from_free = (
         drawn.filter(F.col("_u") < F.col("free_total"))
-        .join(spans, "case_cell")
+        .withColumn("_block", F.floor(F.col("_u") / F.col("_width")))
+        .join(blocks, ["case_cell", "_block"])
         .filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
         .select("case_pnr", "ord", "cell", (F.col("_u") - F.col("_lo")).alias("pos"))
         .join(free, ["cell", "pos"])
@@ -390,7 +408,7 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     )
     return MatchingResult(
         pairs,
-        original_cases.join(pairs.select(F.col("case_pnr").alias("pnr")), "pnr", "left_semi"),
-        original_controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi"),
+        _one_row_each(original_cases.join(pairs.select(F.col("case_pnr").alias("pnr")), "pnr", "left_semi")),
+        _one_row_each(original_controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi")),
         rounds,
     )

@@ -29,18 +29,33 @@ class Population:
 
 
 def _mapped(registers: Mapping[str, DataFrame], name: str) -> DataFrame | None:
-    return mapping.map_register(registers[name], register(name)) if name in registers else None
+    """Person fields of a register, with the ``period`` of each row's delivery where it has one."""
+    if name not in registers:
+        return None
+    keep = ["period"] if "period" in registers[name].columns else []
+    return mapping.map_register(registers[name], register(name), keep)
 
 
-def study_persons(registers: Mapping[str, DataFrame]) -> DataFrame:
-    """Population register, completed by birth and death registers, one row per person."""
+def study_persons(registers: Mapping[str, DataFrame], index_date: dt.date | None = None) -> DataFrame:
+    """Population register, completed by birth and death registers, one row per person.
+
+    A person's row is one delivered row as a whole. Where the population rows carry the ``period`` of their delivery, it is the row
+    of the last delivery that begins on or before ``index_date``, or of the first one after it for who is not in any before;
+    without an index date it is the row of the last delivery.
+    """
     base = _mapped(registers, "bef")
-    wanted = ("gender", "birth_date", "mother_pnr", "father_pnr", "family_id", "children_count", "municipality_code")
-    one = base.groupBy("pnr").agg(*(F.max(c).alias(c) for c in wanted))
+    wanted = ["gender", "birth_date", "mother_pnr", "father_pnr", "family_id", "children_count", "municipality_code"]
+    first = []
+    if "period" in base.columns:
+        start = F.unix_date("period.start")
+        day = F.lit(None).cast("int") if index_date is None else F.unix_date(F.lit(index_date))
+        after = F.coalesce(start > day, F.lit(False))
+        first = [after, F.when(after, start).otherwise(-start), F.when(after, F.unix_date("period.end")).otherwise(-F.unix_date("period.end"))]
+    one = cohort.whole_row(base, "pnr", wanted, first)
     births = _mapped(registers, "mfr")
     if births is not None:
-        details = ("mother_pnr", "father_pnr", "birth_date", "birth_weight", "gestational_age", "apgar_score")
-        one = mapping.fill_missing(one, births.groupBy("pnr").agg(*(F.max(c).alias(c) for c in details)))
+        details = ["mother_pnr", "father_pnr", "birth_date", "birth_weight", "gestational_age", "apgar_score"]
+        one = mapping.fill_missing(one, cohort.whole_row(births, "pnr", details))
     deaths = _mapped(registers, "dod")
     if deaths is None:
         return one.withColumn("death_date", F.lit(None).cast("date"))
@@ -65,11 +80,11 @@ def population(
     def kept(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if keep else df
 
-    persons = study_persons(registers)
+    persons = study_persons(registers, index_date)
     if cohort_frame is not None:
         persons = cohort.restrict(persons, cohort_frame)
     persons = kept(persons, "study-persons")
-    members = families.family_members(persons)
+    members = kept(families.family_members(persons), "study-members")
     built = families.build_families(members)
     events = None if "vnds" not in registers else people.migration_events(_mapped(registers, "vnds"))
     sick = diagnoses.hospital_diagnoses(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifeframe.functions import periods as P
@@ -47,10 +47,16 @@ def write_periods(rows: DataFrame, path: str, period: str = "period") -> None:
     ).parquet(path)
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str = "pnr") -> DataFrame:
-    """Rows of ``incoming`` replace those of ``current`` with the same id; new ids are added."""
+def upsert(current: DataFrame, incoming: DataFrame, key: str = "pnr", order: Column | None = None) -> DataFrame:
+    """Rows of ``incoming`` replace those of ``current`` with the same id; new ids are added.
+
+    An id that comes in several times is stored once: the last by ``order``, of equal ones the largest row.
+    """
     kept = current.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming.select(*current.columns))
+    others = [c for c in current.columns if c != key]
+    last = F.max_by(F.struct(*others), F.struct(*([order] if order is not None else []), *others))
+    one = incoming.groupBy(key).agg(last.alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in others))
+    return kept.unionByName(one.select(*current.columns))
 
 
 def from_batch(df: DataFrame, columns: list[str], key: str = "pnr") -> DataFrame:
