@@ -114,27 +114,32 @@ def apart(a: str = "a", b: str = "b") -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def variants(value: Column, low: int, width: int, slot: int) -> list[Column]:
-    """The keys of one segment of ``width`` bits from bit ``low``: (slot, remaining bits, the bit left out).
+def variants(df: DataFrame, columns: list[str], value: str, low: str, segments: int, width: int) -> DataFrame:
+    """``columns`` with (slot, rest, bit) for the keys of all segments of ``width`` bits.
 
-    Bit values: -1 for the whole segment, else 0 or 1 as the bit left out is in ``value``.
+    ``value`` and ``low`` say in SQL, in terms of ``segment``, which number a segment is taken from and its lowest bit. Each
+    segment has a key as it is (bit -1), and one for each of its bits left out (bit 0 or 1 as it is in the number).
     """
-    segment = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    keys = [F.struct(F.lit(slot).alias("slot"), segment.alias("rest"), F.lit(-1).alias("bit"))]
-    for i in range(width):
-        mask = F.lit(((1 << width) - 1) & ~(1 << i)).cast("long")
-        bit = F.shiftrightunsigned(segment, i).bitwiseAND(F.lit(1).cast("long")).cast("int")
-        keys.append(F.struct(F.lit(slot + 1 + i).alias("slot"), segment.bitwiseAND(mask).alias("rest"), bit.alias("bit")))
-    return keys
+    keys = f"explode(sequence(0, {segments * (width + 1) - 1})) as slot"
+    numbered = df.selectExpr(*columns, *(c for c in df.columns if c not in columns), keys).selectExpr(
+        "*", f"slot div {width + 1} as segment", f"slot % {width + 1} - 1 as place"
+    )
+    cut = numbered.selectExpr(*columns, "slot", "place", f"shiftrightunsigned({value}, cast({low} as int)) & {(1 << width) - 1}L as cut")
+    return cut.selectExpr(
+        *columns, "slot", "if(place < 0, cut, cut & ~shiftleft(1L, place)) as rest",
+        "if(place < 0, -1, cast(shiftright(cut, place) & 1 as int)) as bit",
+    )
+
+
+def keyed_by(found: DataFrame, columns: list[str]) -> DataFrame:
+    """``variants`` with slot and rest in one key."""
+    return found.selectExpr(*columns, "shiftleft(cast(slot as bigint), 48) ^ rest as key", "bit")
 
 
 def index(prints: DataFrame, segments: int) -> DataFrame:
     """(print, key, bit): every distinct fingerprint under the keys of all segments."""
     width = 64 // segments
-    value = F.col("print")
-    keys = [k for s in range(segments) for k in variants(value, s * width, width, s * (width + 1))]
-    tall = prints.select("print", F.explode(F.array(*keys)).alias("k"))
-    return tall.select("print", (F.shiftleft(F.col("k.slot").cast("long"), 48).bitwiseXOR(F.col("k.rest"))).alias("key"), F.col("k.bit").alias("bit"))
+    return keyed_by(variants(prints.select("print"), ["print"], "print", f"segment * {width}", segments, width), ["print"])
 
 
 def _forest(distance: int):
@@ -180,14 +185,11 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
 
     # Divided keys: what the key leaves open is cut by the same rule.
     again = keyed.join(hot, "key", "left_semi")
-    low = (F.floor(F.shiftright(F.col("key"), 48) / (width + 1)) * width).cast("int")
-    above = F.shiftrightunsigned(F.call_function("shiftrightunsigned", F.col("print"), low), width)
-    open_bits = F.call_function("shiftleft", above, low).bitwiseOR(
-        F.col("print").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
-    )
+    low = f"cast(shiftright(key, 48) div {width + 1} * {width} as int)"
+    above = f"shiftleft(shiftrightunsigned(shiftrightunsigned(print, {low}), {width}), {low})"
+    open_bits = again.selectExpr("print", "key", f"({above} | (print & (shiftleft(1L, {low}) - 1))) as left_open")
     part = (64 - width) // segments
-    keys = [k for p in range(segments) for k in variants(open_bits, p * part, part, p * (part + 1))]
-    last = again.select("print", "key", F.explode(F.array(*keys)).alias("k")).select("print", "key", "k.slot", "k.rest")
+    last = variants(open_bits, ["print", "key"], "left_open", f"segment * {part}", segments, part)
     far = last.groupBy("key", "slot", "rest").applyInPandas(_forest(distance), "a long, b long")
     return near.unionByName(far).distinct()
 
@@ -236,10 +238,8 @@ def wide_links(distinct: DataFrame, distance: int) -> DataFrame:
     ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of over ``HOT`` fingerprints
     is dealt by hash over groups of about ``GROUP``, anew for every key, and each group gives a spanning forest of its links.
     """
-    value = F.col("lanes")
-    keys = [k for s in range(2 * LANES) for k in variants(value[s // 2], (s % 2) * SEGMENT, SEGMENT, s * (SEGMENT + 1))]
-    tall = distinct.select("print", F.explode(F.array(*keys)).alias("k"))
-    keyed = tall.select("print", (F.shiftleft(F.col("k.slot").cast("long"), 48).bitwiseXOR(F.col("k.rest"))).alias("key"), F.col("k.bit").alias("bit"))
+    found = variants(distinct, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT)
+    keyed = keyed_by(found, ["print"])
     hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {HOT}"), "simhash-hot")
     cold = keyed.join(hot, "key", "left_anti")
     left, right = cold.selectExpr("key", "print as a", "bit as bit_a"), cold.selectExpr("key", "print as b", "bit as bit_b")
