@@ -37,3 +37,18 @@ def test_query_agrees_with_sql(spark, name):
         return digest(t.column_names, list(zip(*(c.to_pylist() for c in t.columns))) if t.num_rows else [])
 
     assert of(ours) == of(theirs)
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The library, the queries and their SQL work without the subpackage and its pipeline."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    for name in ("lifeframe", "conformance"):
+        shutil.copytree(os.path.join(root, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(entry_module.QUERIES)), str(len(entry_module.ORACLES))], said.stderr[-500:]
