@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 16 << 20  # of text, whose distinct pieces are encoded together
-PIECES = 60_000  # in one recursive query
+CHUNK_BYTES = 12 << 20  # of text, whose distinct pieces are encoded together
+PIECES = 30_000  # in one recursive query
 LONG = 200  # bytes; a piece's positions must fit into 8 bits
-KNOWN = 400_000  # pieces that a worker remembers from one chunk to the next
+KNOWN = 200_000  # pieces that a worker remembers from one chunk to the next
 
 
 # Texts of these characters only are split by the standard library, which has no Unicode classes but is faster. On them,
@@ -154,7 +154,7 @@ class Encoder:
     def over(self, sql: str, name: str, columns: dict[str, pa.Array]) -> pa.Table:
         self.con.register(name, pa.table(columns))
         try:
-            return self.con.execute(sql).to_arrow_table()
+            return self.con.execute(sql).fetch_arrow_table()
         finally:
             self.con.unregister(name)
 

@@ -37,6 +37,7 @@ RUN = 31
 PIECE = 12  # longest piece, bytes
 SMOOTH = 0.02
 BLOCK = 20_000  # words in one forward pass
+SLICE = 4 << 20  # bytes of text whose distinct words are scored together
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[128:] = True
@@ -250,7 +251,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
         table = pieces(path)
         for batch in batches:
             guesses, scores = [], []
-            for first, end, data, offsets in spans.slices(batch.column(len(names))):
+            for first, end, data, offsets in spans.slices(batch.column(len(names)), SLICE):
                 starts, ends, row = word_runs(data, offsets)
                 total = np.zeros((end - first, max(1, len(languages))))
                 if len(starts) and languages:

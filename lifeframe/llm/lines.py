@@ -252,7 +252,7 @@ class LineIndex:
                 for i, going in enumerate(batch.column(len(names)).to_pylist()):
                     lines = (texts[i] or "").encode().split(b"\n")
                     kept = lines
-                    if going:
+                    if going and texts[i]:
                         own = set(going)
                         kept = [x for x in lines if key_of(x, min_chars) not in own]
                         texts[i] = b"\n".join(kept).decode()

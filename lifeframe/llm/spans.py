@@ -1,6 +1,6 @@
 """Array helpers used inside tasks: texts of an Arrow batch as one byte array, word spans, and span hashes.
 
-A batch is taken in slices of a few MB (a longer text is a slice of its own), so a task's memory depends on
+A batch is taken in slices of a MB (a longer text is a slice of its own), so a task's memory depends on
 the longest text and never on the number of rows.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
