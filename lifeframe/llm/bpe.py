@@ -27,15 +27,16 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 12 << 20  # of text, whose distinct pieces are encoded together
+CHUNK_BYTES = 3 << 20  # of text, whose distinct pieces are encoded together
 PIECES = 30_000  # in one recursive query
 LONG = 200  # bytes; a piece's positions must fit into 8 bits
-KNOWN = 200_000  # pieces that a worker remembers from one chunk to the next
+KNOWN = 150_000  # pieces after which a worker forgets those that it has not met again since the last time
 
 
 # Texts of these characters only are split by the standard library, which has no Unicode classes but is faster. On them,
@@ -139,7 +140,9 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.plain = plain_pattern(pattern)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as little-endian 32-bit integers, decoded bytes
+        # Ids as little-endian 32-bit integers, and decoded bytes: of the pieces met lately, and of those before.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, joined = merge_rows(self.ranks)
         self.fill("merges", {"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "joined": pa.array(joined, pa.int32())})
@@ -164,7 +167,10 @@ class Encoder:
     def encode_pieces(self, pieces: set[str]) -> None:
         """See to it that these pieces are ``known``."""
         if len(self.known) > KNOWN:
-            self.known = {}
+            self.before, self.known = self.known, {}
+        met = pieces - self.known.keys()
+        for piece in met & self.before.keys():
+            self.known[piece] = self.before[piece]
         open_ = []
         for piece in pieces - self.known.keys():
             raw = piece.encode()
@@ -245,7 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
         encoder = encoder_for(path, pattern)
         for batch in batches:
             column, first = batch.column(len(kept)), 0
-            sizes = [len(t) if t is not None else 0 for t in column.to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             while first < batch.num_rows:
                 end, total = first, 0
                 while end < batch.num_rows and (end == first or total + sizes[end] <= CHUNK_BYTES):

@@ -21,7 +21,7 @@ def planted():
     item = prose(30)
     line = "this very line stands in several of the documents"
     rows = list(clean)
-    rows += [(100, clean[3][1]), (101, clean[3][1])]  # exact copies
+    rows += [(100, clean[3][1])]  # an exact copy; of three, line dedup would empty two
     words = clean[5][1].split(" ")
     words[20] = "changed"
     rows += [(102, " ".join(words))]  # a near copy
