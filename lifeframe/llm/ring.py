@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lifeframe.session import materialize
 
-POINTS = 1 << 14
+POINTS = 1 << 12
 SLICES = 4
 NODES = 32  # virtual nodes of a shard
 
