@@ -26,6 +26,36 @@ def _(spark, d):
     return M.eligible_counts(*sides(spark, d))
 
 
+EVERY_SWITCH = M.MatchingCriteria(
+    birth_window_days=700, family_size_tolerance=2, match_parent_age=True, parent_birth_window_days=4000, require_both_parents=True,
+    match_education=True, match_geography=True, match_parental_status=True, match_immigrant_background=True,
+)
+
+
+@query(
+    "ma02_eligible_counts_every_criterion",
+    """with a as (
+  select b.PNR as pnr, b.FOED_DAG as birth_date, b.KOEN as gender, b.ANTAL_BOERN as children_count, b.KOM as municipality_code, substr(b.SEGMENT, 1, 1) as immigration_type,
+    m.FOED_DAG as mother_birth_date, f.FOED_DAG as father_birth_date, coalesce(mu.HFAUDD, fu.HFAUDD) % 3 as education_level, b.PNR in (select PNR from v_akm where SOCIO13 < '5') as is_case
+  from v_bef b left join v_bef m on m.PNR = b.MOR_ID left join v_bef f on f.PNR = b.FAR_ID left join v_uddf mu on mu.PNR = b.MOR_ID left join v_uddf fu on fu.PNR = b.FAR_ID
+  where b.MOR_ID is not null and b.FAR_ID is not null)
+select c.pnr, count(k.pnr) as eligible from a c left join a k on not k.is_case and abs(datediff('day', c.birth_date, k.birth_date)) <= 700
+  and coalesce(c.gender = k.gender, c.gender is null) and coalesce(abs(c.children_count - k.children_count) <= 2, c.children_count is null)
+  and coalesce(abs(datediff('day', c.mother_birth_date, k.mother_birth_date)) <= 4000, c.mother_birth_date is null)
+  and coalesce(abs(datediff('day', c.father_birth_date, k.father_birth_date)) <= 4000, c.father_birth_date is null)
+  and coalesce(c.education_level = k.education_level, c.education_level is null) and coalesce(c.municipality_code = k.municipality_code, c.municipality_code is null)
+  and coalesce(c.immigration_type = k.immigration_type, c.immigration_type is null)
+where c.is_case group by c.pnr""",
+)
+def _(spark, d):
+    """All criteria at once, on attributes attached by the library."""
+    background = view(spark, d, "bef").select(F.col("PNR").alias("pnr"), F.substring("SEGMENT", 1, 1).alias("immigration_type"))
+    school = mapped(spark, d, "uddf").select("pnr", (F.col("education_code") % 3).alias("education_code"))
+    everyone = people.matching_attributes(persons(spark, d).join(background, "pnr"), school)
+    ids = view(spark, d, "akm").filter("SOCIO13 < '5'").select("PNR")
+    return M.eligible_counts(*people.case_control_tables(everyone, ids, INDEX), EVERY_SWITCH)
+
+
 @query("ma04_matching_input", "select PNR as pnr, FOED_DAG as birth_date, KOEN as gender, ANTAL_BOERN as children_count from v_bef where PNR is not null and FOED_DAG is not null")
 def _(spark, d):
     return M.prepare(view(spark, d, "bef"), M.MatchingCriteria(), "persons").select("pnr", "birth_date", "gender", "children_count")

@@ -117,10 +117,39 @@ def birth_dates(persons: DataFrame) -> DataFrame:
     return persons.select("pnr", "birth_date").filter(F.col("birth_date").isNotNull())
 
 
+def matching_attributes(persons: DataFrame, education: DataFrame | None = None) -> DataFrame:
+    """``persons`` with what the criteria of matching ask for.
+
+    Adds the parents' birth dates, ``parental_status`` by which parents are known, and from ``education`` (``pnr, education_code``)
+    the parents' ``education_level``: the mother's code, else the father's. Each is joined as one row per person.
+    """
+    born = persons.filter(F.col("pnr").isNotNull()).groupBy("pnr").agg(F.min("birth_date").alias("_born"))
+    df = persons
+    for parent in ("mother", "father"):
+        own = born.withColumnsRenamed({"pnr": f"{parent}_pnr", "_born": f"{parent}_birth_date"})
+        df = df.join(own, f"{parent}_pnr", "left")
+    mother, father = F.col("mother_pnr").isNotNull(), F.col("father_pnr").isNotNull()
+    status = F.when(mother & father, "TwoParent").when(mother, "SingleMother").when(father, "SingleFather").otherwise("NoParent")
+    df = df.withColumn("parental_status", status)
+    if education is not None:
+        level = education.filter(F.col("pnr").isNotNull()).groupBy("pnr").agg(F.max("education_code").alias("_level"))
+        for parent in ("mother", "father"):
+            df = df.join(level.withColumnsRenamed({"pnr": f"{parent}_pnr", "_level": f"_{parent}_level"}), f"{parent}_pnr", "left")
+        df = df.withColumn("education_level", F.coalesce("_mother_level", "_father_level")).drop("_mother_level", "_father_level")
+    return df
+
+
+# Columns that matching may use, passed on where they are known.
+_MATCHED_ON = (
+    "children_count", "family_size", "municipality_code", "mother_pnr", "father_pnr", "mother_birth_date", "father_birth_date",
+    "education_level", "parental_status", "immigration_type",
+)
+
+
 def case_control_tables(
     persons: DataFrame, condition_ids: DataFrame, index_date: dt.date, incomes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Matching input for persons in and outside the condition set: id, birth, gender, age, family, income.
+    """Matching input for persons in and outside the condition set: id, birth, gender, age, income, and what matching may use.
 
     ``incomes`` is ``(pnr, amount)`` with one row per person.
     """
@@ -129,7 +158,7 @@ def case_control_tables(
         F.col("birth_date"),
         F.col("gender"),
         fn.completed_years(F.col("birth_date"), on(index_date)).alias("age"),
-        *(F.col(c) for c in ("children_count", "family_size", "municipality_code") if c in persons.columns),
+        *(F.col(c) for c in _MATCHED_ON if c in persons.columns),
     )
     if incomes is not None:
         table = table.join(incomes.select("pnr", F.col("amount").alias("income")), "pnr", "left")

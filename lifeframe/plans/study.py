@@ -44,7 +44,7 @@ def study_persons(registers: Mapping[str, DataFrame], index_date: dt.date | None
     without an index date it is the row of the last delivery.
     """
     base = _mapped(registers, "bef")
-    wanted = ["gender", "birth_date", "mother_pnr", "father_pnr", "family_id", "children_count", "municipality_code"]
+    wanted = ["gender", "birth_date", "mother_pnr", "father_pnr", "family_id", "children_count", "municipality_code", "immigration_type"]
     first = []
     if "period" in base.columns:
         start = F.unix_date("period.start")
@@ -117,8 +117,16 @@ class MatchedStudy:
     summary: DataFrame
 
 
-def matched_study(people_frame: DataFrame, case_ids: DataFrame, index_date: dt.date, config: matching.MatchingConfig) -> MatchedStudy:
-    """Split persons by condition, match, and report the balance of the matched groups."""
+def matched_study(
+    people_frame: DataFrame, case_ids: DataFrame, index_date: dt.date, config: matching.MatchingConfig, education: DataFrame | None = None
+) -> MatchedStudy:
+    """Split persons by condition, match, and report the balance of the matched groups.
+
+    Parents' birth dates, parental status and, from ``education``, the parents' education are attached for the criteria that ask for them.
+    """
+    criteria = config.criteria
+    if criteria.match_parent_age or criteria.match_parental_status or criteria.match_education:
+        people_frame = people.matching_attributes(people_frame, education)
     cases, controls = people.case_control_tables(people_frame, case_ids, index_date)
     result = matching.match(cases, controls, config)
     metrics = B.balance(result.matched_cases, result.matched_controls)
