@@ -37,6 +37,7 @@ SEED = 42
 HOT = 64  # fingerprints that one key may have before it is divided
 LANES = 5  # of 64 bits, of a wide fingerprint
 SEGMENT = 28
+WIDE_HOT = 16  # wide fingerprints that one key may have before spanning forests replace pairs
 GROUP = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -235,12 +236,12 @@ def wide_distance(similarity: float) -> int:
 def wide_links(distinct: DataFrame, distance: int) -> DataFrame:
     """(a, b): links between wide fingerprints that meet under a deletion variant and lie within ``distance``.
 
-    ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of over ``HOT`` fingerprints
+    ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of over ``WIDE_HOT`` fingerprints
     is dealt by hash over groups of about ``GROUP``, anew for every key, and each group gives a spanning forest of its links.
     """
     found = variants(distinct, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT)
     keyed = keyed_by(found, ["print"])
-    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {HOT}"), "simhash-hot")
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {WIDE_HOT}"), "simhash-hot")
     cold = keyed.join(hot, "key", "left_anti")
     left, right = cold.selectExpr("key", "print as a", "bit as bit_a"), cold.selectExpr("key", "print as b", "bit as bit_b")
     meet = (F.col("bit_a") == -1) & (F.col("bit_b") == -1) & (F.col("a") < F.col("b")) | (F.col("bit_a") == 0) & (F.col("bit_b") == 1)

@@ -96,7 +96,7 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("hot", [4])
 def test_near_copies(spark, documents, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "WIDE_HOT", hot)
     rng = random.Random(hot)
     texts = {}
     for group in range(25):
