@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lifeframe.llm import spans
+
 CHUNK_BYTES = 3 << 20  # of text, whose distinct pieces are encoded together
 PIECES = 30_000  # in one recursive query
 LONG = 200  # bytes; a piece's positions must fit into 8 bits
@@ -133,7 +135,7 @@ def contract(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """The vocabulary and a DuckDB with its merge table, one per worker process, and the pieces that a task has met."""
+    """The vocabulary, a DuckDB with its merge table, and the pieces that a task has met. Freed at the task's end."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = vocabulary(path)
@@ -149,11 +151,6 @@ class Encoder:
         self.fill("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "token": pa.array(self.ranks, pa.binary())})
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def forget(self) -> None:
-        """Free the pieces at a task's end; other tasks of other operators run in the same process."""
-        self.known, self.before = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def fill(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"create table {name} as select * from given")
@@ -280,6 +277,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
                 rest = [c.slice(first, end - first) for c in batch.columns[: len(kept)]]
                 yield pa.RecordBatch.from_arrays([*rest, *added], [*kept, *new])
                 first = end
-        encoder.forget()
+        del encoder
+        encoder_for.cache_clear()
+        vocabulary.cache_clear()
+        spans.release()
 
     return source.mapInArrow(run, schema)

@@ -288,6 +288,7 @@ def keep_clean(
                 for first, _, data, offsets in spans.slices(batch.column(len(names))):
                     clean[[first + t for t, _ in matches(Words(data, offsets), index, similarity)]] = False
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(clean))
+            spans.release()
 
         docs = docs.withColumn(string, F.col(text).cast("string")).mapInArrow(run, docs.schema)
     return docs

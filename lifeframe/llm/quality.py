@@ -226,5 +226,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
             limits = [x if x is not None else [BINS + 1] * len(RULES) for x in batch.column(len(names) + 1).to_pylist()]
             passed &= (rule_bins(found) < np.array(limits, np.int32).reshape(-1, len(RULES))).all(axis=1)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(passed))
+        spans.release()
 
     return joined.mapInArrow(run, docs.schema)

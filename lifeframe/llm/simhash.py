@@ -220,6 +220,7 @@ def _wide_prints(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(lanes) + 1, dtype=np.int32) * LANES), pa.array(lanes.ravel()))], ["id", "lanes"]
             )
+        spans.release()
 
     schema = source.select("id").schema.add("lanes", T.ArrayType(T.LongType()))
     return source.mapInArrow(run, schema).withColumn("print", F.xxhash64("lanes"))
