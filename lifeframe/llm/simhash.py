@@ -38,7 +38,7 @@ HOT = 64  # fingerprints that one key may have before it is divided
 LANES = 5  # of 64 bits, of a wide fingerprint
 SEGMENT = 28
 WIDE_HOT = 16  # wide fingerprints that one key may have before spanning forests replace pairs
-GROUP = 512
+GROUP = 512  # of them in a part, on average
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -234,46 +234,93 @@ def wide_distance(similarity: float) -> int:
     return int(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _differing(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES))
+
+
 def wide_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links between wide fingerprints that meet under a deletion variant and lie within ``distance``.
+    """(a, b): links that connect all wide fingerprints that meet under a deletion variant and lie within ``distance``.
 
-    ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of over ``WIDE_HOT`` fingerprints
-    is dealt by hash over groups of about ``GROUP``, anew for every key, and each group gives a spanning forest of its links.
+    ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of up to ``WIDE_HOT``
+    fingerprints gives its pairs, any other one a set of links that connects the same.
     """
     found = variants(distinct, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT)
     keyed = keyed_by(found, ["print"])
-    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {WIDE_HOT}"), "simhash-hot")
+    shared = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("print").alias("pivot"), F.min("bit").alias("least"), F.max("bit").alias("most")
+    )
+    hot = materialize(shared.filter(f"n > {WIDE_HOT}"), "simhash-hot")
     cold = keyed.join(hot, "key", "left_anti")
     left, right = cold.selectExpr("key", "print as a", "bit as bit_a"), cold.selectExpr("key", "print as b", "bit as bit_b")
     meet = (F.col("bit_a") == -1) & (F.col("bit_b") == -1) & (F.col("a") < F.col("b")) | (F.col("bit_a") == 0) & (F.col("bit_b") == 1)
     pairs = left.join(right, (left["key"] == right["key"]) & meet).select("a", "b").distinct()
     lanes_a, lanes_b = distinct.selectExpr("print as a", "lanes as la"), distinct.selectExpr("print as b", "lanes as lb")
-    differing = sum(F.bit_count(F.col("la")[k].bitwiseXOR(F.col("lb")[k])) for k in range(LANES))
-    near = pairs.join(lanes_a, "a").join(lanes_b, "b").filter(differing <= distance).select("a", "b")
-    group = F.pmod(F.xxhash64("print", "key"), F.ceil(F.col("n") / GROUP))
-    dealt = keyed.join(hot, "key").select("print", "key", group.alias("part")).join(distinct.select("print", "lanes"), "print")
-    far = dealt.groupBy("key", "part").applyInPandas(_wide_forest(distance), "a long, b long")
-    return near.unionByName(far).distinct()
+    near = pairs.join(lanes_a, "a").join(lanes_b, "b").filter(_differing("la", "lb") <= distance).select("a", "b")
+    return near.unionByName(_hot_links(keyed, hot, distinct, distance)).distinct()
+
 
+def _hot_links(keyed: DataFrame, hot: DataFrame, distinct: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect what meets under the ``hot`` keys and lies within ``distance``. No pair is left out.
 
-def _wide_forest(distance: int):
+    Under a key with a bit left out only 0 and 1 meet, as like bits share the whole segment, which is a key as well. What lies
+    within the distance of a key's pivot is linked to that, and needs no comparison among itself. The others lie in rings around
+    the pivot, wider than the distance by one bit, so pairs within the distance lie in one ring or in neighbouring ones. Rings are dealt by hash
+    over parts of about ``GROUP``, and every pair of parts that may hold such a pair is a block, compared in full.
+    """
+    # A key with one side only has nothing that meets.
+    pivots = hot.filter("least = -1 or least < most").select("key", "pivot").join(distinct.selectExpr("print as pivot", "lanes as at"), "pivot")
+    around = keyed.join(pivots, "key").join(distinct.select("print", "lanes"), "print").withColumn("away", _differing("lanes", "at"))
+    held = materialize(around.selectExpr("key", "print", "bit", "pivot", f"cast(away div {distance + 1} as int) as ring"), "simhash-held")
+    stars = held.filter("ring = 0 and print <> pivot").selectExpr("print as a", "pivot as b")
+
+    every = held.groupBy("key", "ring", "bit").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    every = materialize(every, "simhash-rings")
+    rings = every.join(every.filter("ring > 0").select("key").distinct(), "key", "left_semi")
+    left = rings.selectExpr("key", "ring as ring_a", "bit as bit_a", "parts as parts_a")
+    right = rings.selectExpr("key", "ring as ring_b", "bit as bit_b", "parts as parts_b")
+    meet = F.expr("bit_a = -1 and bit_b = -1 and ring_b between ring_a and ring_a + 1 or bit_a = 0 and bit_b = 1 and abs(ring_a - ring_b) <= 1")
+    blocks = (
+        left.join(right, "key").filter(meet & F.expr("ring_a + ring_b > 0"))
+        .selectExpr("*", "explode(sequence(0, parts_a - 1)) as part_a")
+        .selectExpr("*", "explode(sequence(0, parts_b - 1)) as part_b")
+        .filter("bit_a <> bit_b or ring_a <> ring_b or part_a <= part_b")
+    )
+    block = ["key", "ring_a", "ring_b", "part_a", "part_b"]
+    alone = "bit_a = bit_b and ring_a = ring_b and part_a = part_b"
+    a, b = (f"named_struct('ring', ring_{x}, 'bit', bit_{x}, 'part', part_{x}, 'in_a', {y}, 'in_b', {z})" for x, y, z in (("a", "true", alone), ("b", "false", "true")))
+    needed = blocks.selectExpr(*block, f"inline(if({alone}, array({a}), array({a}, {b})))")
+    part = F.pmod(F.xxhash64("print", "key"), F.col("parts")).cast("int")
+    dealt = held.join(rings, ["key", "ring", "bit"]).withColumn("part", part).select("key", "ring", "bit", "part", "print")
+    sent = dealt.join(needed, ["key", "ring", "bit", "part"]).select(*block, "in_a", "in_b", "print").join(distinct.select("print", "lanes"), "print")
+    return stars.unionByName(sent.groupBy(*block).applyInPandas(_block_forest(distance), "a long, b long"))
+
+
+def _block_forest(distance: int):
+    """Spanning links between the two parts of a block; a part may be compared with itself."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, lanes = pdf["print"].to_numpy(), np.array(pdf["lanes"].tolist(), np.int64).view(np.uint64)
-        left, links = np.arange(len(names)), []
-        while len(left):
-            ring, left = left[:1], left[1:]
-            while len(ring) and len(left):
-                reached, through = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
-                for k in ring.tolist():
-                    rest = np.flatnonzero(~reached)
-                    hit = rest[np.bitwise_count(lanes[left[rest]] ^ lanes[k]).sum(axis=1, dtype=np.int64) <= distance]
-                    reached[hit], through[hit] = True, k
-                    if reached.all():
-                        break
-                links.append(np.stack([names[left[reached]], names[through[reached]]]))
-                ring, left = left[reached], left[~reached]
-        both = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
+        a, b = np.flatnonzero(pdf["in_a"].to_numpy()), np.flatnonzero(pdf["in_b"].to_numpy())
+        near = np.zeros((len(a), len(b)), bool)
+        for block in range(0, len(a), 64):
+            part = lanes[a[block : block + 64]]
+            near[block : block + 64] = sum(np.bitwise_count(part[:, k, None] ^ lanes[b, k]).astype(np.int16) for k in range(LANES)) <= distance
+        new_a, new_b = near.any(axis=1), near.any(axis=0)
+        links = []
+        while new_a.any():
+            ring = np.flatnonzero(new_a)[:1]
+            new_a[ring] = False
+            while len(ring):
+                # What the ring reaches on the other side joins, and what that reaches on this side is the next ring.
+                over = np.flatnonzero(new_b & near[ring].any(axis=0))
+                new_b[over] = False
+                links.append((names[b[over]], names[a[ring[near[np.ix_(ring, over)].argmax(axis=0)]]]))
+                back = np.flatnonzero(new_a & near[:, over].any(axis=1))
+                new_a[back] = False
+                links.append((names[a[back]], names[b[over[near[np.ix_(back, over)].argmax(axis=1)]]] if len(back) else names[:0]))
+                ring = back
+        found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*links) if links else ((), ()))]
+        out = pd.DataFrame({"a": found[0], "b": found[1]})
+        return out[out["a"] != out["b"]]
 
     return run
 

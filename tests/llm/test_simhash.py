@@ -114,6 +114,50 @@ def test_near_copies(spark, documents, monkeypatch, hot):
     assert np.mean([found[i] == found[j] for i, j in close]) >= 0.95
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_wide_links_of_hot_keys_connect_what_brute_force_connects(spark, monkeypatch, far):
+    """Whole and wildcard keys of far over GROUP fingerprints; ``far`` puts the pivot away from the others."""
+    monkeypatch.setattr(simhash, "WIDE_HOT", 4)
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    distance, rng = 48, np.random.default_rng(8)
+    lanes = rng.integers(0, 2**64, (150, simhash.LANES), np.uint64)
+
+    def flipped(row, bits):
+        row = row.copy()
+        for bit in rng.integers(0, 64 * simhash.LANES, bits):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        return row
+
+    # Chains whose neighbours are within the distance, some of them just so, and a group around one centre.
+    for k in range(0, 60, 6):
+        for j in range(1, 6):
+            lanes[k + j] = flipped(lanes[k + j - 1], int(rng.integers(38, 52)))
+    for k in range(61, 100):
+        lanes[k] = flipped(lanes[60], int(rng.integers(1, 30)))
+    # One segment in common, in some with one bit changed: most pairs meet on a single key.
+    segment = np.uint64((1 << simhash.SEGMENT) - 1)
+    lanes[:, 0] = lanes[:, 0] & ~segment | lanes[0, 0] & segment
+    lanes[::3, 0] ^= np.uint64(1) << rng.integers(0, 3, len(lanes[::3])).astype(np.uint64)
+    names = list(range(150))
+    if far:
+        names[149] = -1
+    # Meeting: a segment differs by one bit at most.
+    apart = lanes[:, None] ^ lanes[None, :]
+    low, high = (np.bitwise_count(apart >> np.uint64(s) & segment) for s in (0, simhash.SEGMENT))
+    linked = (np.minimum(low, high).min(axis=2) <= 1) & (np.bitwise_count(apart).sum(axis=2, dtype=int) <= distance)
+    root = list(range(150))
+    for _ in range(150):
+        root = [min(root[j] for j in np.flatnonzero(linked[i])) for i in range(150)]
+    table = spark.createDataFrame([(n, x) for n, x in zip(names, lanes.view(np.int64).tolist())], "print long, lanes array<long>")
+    links = [(names.index(a), names.index(b)) for a, b in simhash.wide_links(table, distance).collect()]
+    assert all(linked[a, b] for a, b in links)
+    got = list(range(150))
+    for _ in range(150):
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == root and 20 < len(set(root)) < 100
+
+
 def test_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(200, 300), (300, 200), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(pairs).collect()}
