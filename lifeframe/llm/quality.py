@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Counts of a text become ratios, larger being worse. For every stratum (``lang``) and rule the cutoff is chosen on
-labelled documents: going from the loosest cutoff to stricter ones, a cutoff is taken while the exact binomial test
-rejects "more than ``alpha`` / rules of the good documents fall to it" at level ``delta`` / (rules * strata). Stopping
-at the first failure is fixed-sequence testing, so no correction over cutoffs is due; the division by rules and strata
-is Bonferroni's. With probability 1 - ``delta`` all strata at once lose at most ``alpha`` of their good documents to
-the rules together. A stratum with too few labels certifies nothing and loses nothing.
+Counts of a text become ratios, larger being worse. For every stratum (``lang``) one sequence of cutoff vectors, a cutoff
+for each rule, is laid out on a part of the good labelled documents (one in ``SPLIT``, by a hash of the id): from far above all of their
+ratios down to them, and then into them until each rule alone would take ``alpha``. The other good documents certify: going
+from the loosest vector to stricter ones, a vector is taken while the exact binomial test rejects "more than ``alpha`` of
+the good documents fall to any of its rules" at level ``delta`` / strata. The sequence does not depend on the documents
+that it is tested on and stops at the first failure, which is fixed-sequence testing, so no correction over vectors or rules
+is due; the division by strata is Bonferroni's. With probability 1 - ``delta`` all strata at once lose at most ``alpha`` of
+their good documents to the rules together. A stratum with too few labels certifies nothing and loses nothing: without
+losses ln(``delta`` / strata) / ln(1 - ``alpha``) certifying documents are needed, 217 for 4 strata.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null stratum is a stratum of its own; a
 stratum without good labels has no cutoffs; a document with several labels is good only if all of its non-null
@@ -29,6 +32,8 @@ from lifeframe.session import materialize
 
 WINDOW = 5
 BINS = 50
+SPLIT = 4  # one of so many good documents lays out the cutoffs, the others certify
+STEPS = 50  # of the cutoffs among the ratios of good documents
 _SYMBOLS = spans.members(b"#*$%&|<>")
 _UPPER = spans.members(bytes(range(ord("A"), ord("Z") + 1)))
 _DIGITS = spans.members(b"0123456789")
@@ -152,9 +157,9 @@ def _fraction(a: float, b: float, x: float) -> float:
 
 def certified(held: np.ndarray, alpha: float, delta: float) -> int:
     """The strictest certified cutoff; ``held[b]`` good documents have bin ``b``, and a bin at or over the cutoff fails."""
-    n, cut = int(held.sum()), BINS + 1
+    n, cut = int(held.sum()), len(held)
     lost = 0
-    for b in range(BINS, 0, -1):
+    for b in range(len(held) - 1, 0, -1):
         lost += int(held[b])
         if not n or binomial_cdf(lost, n, alpha) > delta:
             break
@@ -162,27 +167,51 @@ def certified(held: np.ndarray, alpha: float, delta: float) -> int:
     return cut
 
 
+def sequence(held: np.ndarray, alpha: float) -> np.ndarray:
+    """vectors x rules: cutoffs, strictest vector first; ``held[r, b]`` good documents have bin ``b`` of rule ``r``."""
+    over = np.zeros((len(held), BINS + 2), np.int64)  # documents at or over a bin
+    over[:, :-1] = held[:, ::-1].cumsum(axis=1)[:, ::-1]
+    first = lambda lost: 1 + (over[:, 1:] <= lost).argmax(axis=1)
+    inside = [first(alpha * held[0].sum() * step / STEPS) for step in range(STEPS, 0, -1)]
+    above = [np.minimum(first(0) + margin, BINS + 1) for margin in range(BINS + 1)]
+    return np.array(inside + above)
+
+
 def cutoffs(
     counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05
 ) -> DataFrame:
     """One row per stratum with ``cuts``: the first failing bin of each rule.
 
-    What is aggregated is one row per stratum, rule and bin, whatever the number of documents.
+    What is aggregated is one row per stratum, rule and bin, and one per stratum and vector, whatever the number of documents.
     """
     key = F.col(id_col).alias("_id")
     good = labels.groupBy(key).agg(F.min("quality").alias("_quality")).filter("_quality = 1").select("_id")
     held = counted.filter(~base_failed()).select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "bins")
-    tall = held.join(good, "_id", "left_semi").select("stratum", F.posexplode("bins").alias("rule", "bin"))
-    table = materialize(tall.groupBy("stratum", "rule", "bin").count(), "quality-bins")
-    strata = table.select("stratum").distinct().count()
-    share, level = alpha / len(RULES), delta / (len(RULES) * max(1, strata))
+    lays = (F.pmod(F.xxhash64(F.lit("cutoffs"), "_id"), F.lit(SPLIT)) == 0).alias("lays")
+    known = materialize(held.join(good, "_id", "left_semi").select("stratum", lays, "bins"), "quality-good")
+    level = delta / max(1, known.select("stratum").distinct().count())
+    table = known.filter("lays").select("stratum", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").count()
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros((len(RULES), BINS + 1), np.int64)
         held[pdf["rule"], pdf["bin"]] = pdf["count"]
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "cuts": [[certified(h, share, level) for h in held]]})
+        vectors = sequence(held, alpha)
+        # Of each rule and bin, the loosest vector that it falls to, from 1; 0 for none.
+        falls = [[int((vectors[:, r] <= b).sum()) for b in range(BINS + 1)] for r in range(len(RULES))]
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "vectors": [vectors.tolist()], "falls": [falls]})
+
+    laid = materialize(table.groupBy("stratum").applyInPandas(lay, "stratum string, vectors array<array<int>>, falls array<array<int>>"), "quality-vectors")
+    falls = F.array_max(F.transform("bins", lambda b, r: F.get(F.get("falls", r), b)))
+    lost = known.filter("not lays").join(laid.select("stratum", "falls"), "stratum").select("stratum", falls.alias("vector")).groupBy("stratum", "vector").count()
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(STEPS + BINS + 2, np.int64)
+        held[pdf["vector"]] = pdf["count"]
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "vector": [certified(held, alpha, level)]})
 
-    return materialize(table.groupBy("stratum").applyInPandas(choose, "stratum string, cuts array<int>"), "quality-cutoffs")
+    chosen = lost.groupBy("stratum").applyInPandas(choose, "stratum string, vector int").join(laid, "stratum")
+    none = F.array_repeat(F.lit(BINS + 1), len(RULES))
+    return materialize(chosen.select("stratum", F.coalesce(F.get("vectors", F.col("vector") - 1), none).alias("cuts")), "quality-cutoffs")
 
 
 def judge(counted: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:

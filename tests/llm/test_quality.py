@@ -70,6 +70,43 @@ def test_guarantee_and_effect(spark, documents, rows):
     assert Counter(ids) == Counter(r[0] for r in judged.filter("kept").collect())
 
 
+def test_some_hundred_labels_certify(spark, documents):
+    """320 good labels in each of 4 strata give cutoffs that junk falls to; 100 give none."""
+    good, bad = _planted()
+    docs = None
+    for k, lang in enumerate(["en", "de", "fr", None, "rare"]):
+        n = 100 if lang == "rare" else 320
+        part = documents([(i + 50_000 * k, t) for i, t in good[400 * k : 400 * k + n] + bad[:20]], lang=lang)
+        docs = part if docs is None else docs.unionByName(part)
+    labels = docs.selectExpr("doc_id", "if(doc_id % 50000 < 10000, 1, 0) as quality", "0 as toxic")
+    cuts = {r["stratum"]: r["cuts"] for r in quality.cutoffs(quality.counts(docs, ["doc_id", "lang"]), labels).collect()}
+    assert set(cuts) == {"en", "de", "fr", "", "rare"}
+    assert all((min(c) <= quality.BINS) == (s != "rare") for s, c in cuts.items())
+    kept = quality.keep_good(docs, labels).collect()
+    assert {r["lang"] for r in kept if r["doc_id"] % 50_000 >= 10_000} == {"rare"}
+    assert sum(r["doc_id"] % 50_000 < 10_000 for r in kept) >= 0.98 * 1380
+
+
+def test_certified_loss_holds():
+    """Over drawn tables with laying and certifying documents apart, the true loss exceeds alpha in at most delta of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rules, alpha, delta = len(quality.RULES), 0.02, 0.05
+    draw = lambda n: np.minimum(rng.geometric(0.25, (n, rules)) + np.arange(rules), quality.BINS)
+    every = draw(100_000)
+    over = certified = 0
+    for _ in range(200):
+        vectors = quality.sequence(np.stack([np.bincount(c, minlength=quality.BINS + 1) for c in draw(100).T]), alpha)
+        assert (np.diff(vectors, axis=0) >= 0).all() and vectors.min() >= 1
+        falls = (vectors[None] <= draw(300)[:, None]).any(axis=2).sum(axis=1)
+        k = quality.certified(np.bincount(falls, minlength=len(vectors) + 1), alpha, delta)
+        if k <= len(vectors):
+            certified += 1
+            over += (every >= vectors[k - 1]).any(axis=1).mean() > alpha
+    assert certified > 150 and over <= 0.09 * 200
+
+
 def test_awkward_and_empty(spark, documents, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged = quality.quality(documents(awkward), labels)
