@@ -11,8 +11,8 @@ programming over its positions, into
 * keyboard walks and runs of the alphabet or the digits,
 * brute-force spans, by the size of each character's class,
 
-each segment at an extra ``SEGMENT`` for the guess of where it begins. Values of ``GUESSES`` (log 10) or more count, unless a
-base span covers them. Every kind of segment is considered from every position, in time linear in the value's length.
+each segment at an extra ``SEGMENT`` for the guess of where it begins. Values of ``GUESSES`` (log 10) or more count, unless one
+base span covers them whole. Every kind of segment is considered from every position, in time linear in the value's length.
 
 Spans are code points, end exclusive. Defined cases: a null text is an empty one and has none; ids may be null or repeat;
 an empty table gives an empty result. Extra columns are passed over.
@@ -167,13 +167,13 @@ def base_spans(text: str, hinted: bool) -> list[tuple[int, str, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, str, int]], ranks: dict[str, float], guesses: float) -> list[tuple[int, str, int]]:
-    """Values in credential contexts that no base span touches and that cost enough."""
+    """Values in credential contexts that no base span covers whole and that cost enough."""
     out = []
     for m in CONTEXT.finditer(text):
         start, end = next(m.span(k) for k in (1, 2, 3) if m[k] is not None)
         value = text[start:end].rstrip(".,;:!?)")
         end = start + len(value)
-        if len(value) >= 6 and not any(a < end and start < b for a, _, b in base) and guess_cost(value, ranks) >= guesses:
+        if len(value) >= 6 and not any(a <= start and end <= b for a, _, b in base) and guess_cost(value, ranks) >= guesses:
             out.append((start, "guess", end))
     return out
 

@@ -99,3 +99,16 @@ def test_table(spark, documents, awkward):
     assert spans[50] == "guess:9:21" and spans[52] == "guess:8:20" and spans[53] == "" and spans[57] == "" and spans[58] == ""
     assert spans[51] == "assign:0:25"
     assert s.scan(documents([]), PATH).count() == 0
+
+
+def test_values_that_a_base_span_covers_in_part():
+    ranks = s.word_ranks(PATH)
+    for text, base, value in [
+        ('password: "correcthorse!9$kQ"', "assign:0:23", "correcthorse!9$kQ"), ("pwd='kX9# 0123456789abcdef #vQ2'", "hex:10:26", "kX9# 0123456789abcdef #vQ2"),
+    ]:
+        found = s.base_spans(text, True)
+        assert s.joined(found) == base
+        at = text.index(value)
+        assert s.guessed_spans(text, found, ranks, s.GUESSES) == [(at, "guess", at + len(value))]
+    whole = 'token = "zq8Wb3nT5yRk"'
+    assert s.guessed_spans(whole, s.base_spans(whole, True), ranks, s.GUESSES) == []
