@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, langid, lines, quality, ring, secret_scan, simhash, urls, warc
+from lifeframe.llm import bpe, decontaminate, langid, lines, merkle, quality, ring, secret_scan, simhash, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,3 +151,75 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.filter(~held_out), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return langid.predict(docs, model, extra={"held_out": held_out}).withColumnRenamed("id", "doc_id")
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes of trees given by their leaves (tree, i, n, node)."""
+    return f"""{name} as (
+        select tree, 0 as k, i, n, node from {leaves}
+        union all
+        select tree, k + 1, i // 8, (n + 7) // 8, sha256(string_agg(node, '' order by i)) from {name} where n > 1 group by tree, k, i // 8, n
+    )"""
+
+
+def _siblings_sql(tree: str, base: int) -> str:
+    run = "over (partition by tree, k, i // 8 order by i rows between"
+    return f"""select tree, {base} + k as step, k, i,
+            coalesce(string_agg(node, '') {run} unbounded preceding and 1 preceding), '') as before,
+            coalesce(string_agg(node, '') {run} 1 following and unbounded following), '') as after
+        from {tree} where n > 1"""
+
+
+# A checksum bit by bit, as there is no function for it.
+_CRC32_SQL = """xor(list_reduce(list_transform(string_split({0}::varchar, ''), lambda c: ascii(c)::bigint), lambda crc, c:
+    list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end), xor(crc, c)), 4294967295::bigint), 4294967295)"""
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    with recursive d as (
+        select doc_id, lang, {_leaf_sql("text")} as leaf,
+               case when {_CRC32_SQL.format("doc_id")} % 3 = 0 then {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} end as tampered
+        from documents
+    ), langs as (
+        select lang, n, row_number() over (order by lang nulls first) - 1 as tree from (select lang, count(*) as n from d group by lang)
+    ), p as (
+        select doc_id, leaf, coalesce(tampered, leaf) as later, tree, n, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i
+        from d join langs on d.lang is not distinct from langs.lang
+    ), leaves as (select tree, i, n, leaf as node from p),
+    {_tree_sql("low", "leaves")},
+    subroots as (select tree, node from low where n = 1),
+    tops as (select 0 as tree, tree as i, (select count(*) from langs) as n, node from subroots),
+    {_tree_sql("high", "tops")},
+    sib as (
+        {_siblings_sql("low", 0)} union all
+        {_siblings_sql("high", 1000)}
+    ), steps as (
+        select p.tree, p.i, step, before, after from p join sib on step < 1000 and sib.tree = p.tree and sib.i = p.i // pow(8, k)::bigint
+        union all
+        select p.tree, p.i, step, before, after from p join sib on step >= 1000 and sib.i = p.tree // pow(8, k)::bigint
+    ), proofs as (
+        select tree, i, string_agg(before || after, '' order by step) as proof, list(before || '|' || after order by step) as path from steps group by tree, i
+    ), folded as (
+        select p.*, sha256(coalesce(proof, '')) as proof_sha256,
+               list_reduce(coalesce(path, []::varchar[]), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2)), later) as folded_root
+        from p left join proofs using (tree, i)
+    )
+    select doc_id, leaf, s.node as subroot, r.node as root, proof_sha256, folded_root, folded_root = r.node as verified
+    from folded join subroots s using (tree) cross join (select node from high where n = 1) r
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(docs, tampered={"text": merkle.lowered(F.col("text"))}, where=tampered)
+    return found.withColumnRenamed("id", "doc_id")
