@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, langid, lines, merkle, quality, ring, secret_scan, simhash, urls, warc
+from lifeframe.llm import bpe, decontaminate, langid, lattice, lines, merkle, quality, ring, secret_scan, simhash, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -223,3 +223,24 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     found = merkle.manifest(docs, tampered={"text": merkle.lowered(F.col("text"))}, where=tampered)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op12_embedding_near_dedup",
+    """
+    with recursive v as (
+        select vec_id, label, embedding::double[] as e from embeddings
+        where label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+          and list_bool_and(list_transform(embedding, lambda x: isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    ), l as (
+        select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+        where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.98 else false end
+    ), r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+    c as (select a, min(b) as b from r group by a), n as (select a, count(*) as n from l group by a)
+    select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept
+    from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = lattice.near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
