@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeframe.llm import bpe, decontaminate, langid, lattice, lines, merkle, quality, ring, secret_scan, simhash, urls, warc
+from lifeframe.llm import bpe, decontaminate, langid, lattice, lines, merkle, quality, ring, secret_scan, simhash, trie, urls, warc
 
 QUERIES, ORACLES = {}, {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -244,3 +244,36 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     found = lattice.near_vectors(table(spark, folder, "embeddings"))
     return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+    with t as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+               row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+        from conversations where conv_id is not null
+    ), c as (select conv_id, {_CRC32_SQL.format("conv_id")} % 9 as h, conv_id - conv_id % 5 as base from (select distinct conv_id from t)),
+    own as (
+        select c.conv_id, 0 as part, pos, role, text from c join t on t.conv_id = c.base and pos < h
+        union all
+        select c.conv_id, 1, pos, role, text from c join t using (conv_id) where pos >= h
+    ), s as (select conv_id, list(sha256(strlen(role) || ':' || role || text) order by part, pos) as turns, list(strlen(text) order by part, pos) as bytes from own group by conv_id),
+    every as (select conv_id, coalesce(turns, []) as turns, coalesce(bytes, []) as bytes from c left join s using (conv_id)),
+    p as (
+        select conv_id, d as depth, array_to_string(turns[:d], ',') as node, array_to_string(turns[:d - 1], ',') as parent, bytes[d] as bytes, len(turns) = d as last
+        from (select *, unnest(range(0, len(turns) + 1)) as d from every)
+    ), n as (
+        select depth, node, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, coalesce(any_value(bytes), 0) as bytes,
+               sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '')) as ends_sha256
+        from p group by depth, node
+    ), k as (select n.*, (select count(*) from n m where m.parent = n.node and m.depth = n.depth + 1) as n_children from n)
+    select a.conv_id, a.depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, f.n_leaves, f.saved_tokens, a.ends_sha256
+    from k a left join n b on b.node = a.parent and b.depth = a.depth - 1
+    join (select x.depth, x.node, count(*) filter (where y.n_children = 0) as n_leaves, sum((y.n_convs - 1) * y.bytes)::bigint as saved_tokens
+          from k x join k y on y.depth = x.depth and y.node = x.node or y.depth > x.depth and (x.depth = 0 or starts_with(y.node, x.node || ','))
+          group by x.depth, x.node) f on f.depth = a.depth and f.node = a.node
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(*trie.rebuild(trie.turns(table(spark, folder, "conversations"))))
