@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lifeframe.llm import spans
 from lifeframe.llm.components import components
-from lifeframe.session import materialize
+from lifeframe.session import discard, materialize
 
 SEED = 42
 HOT = 64  # fingerprints that one key may have before it is divided
@@ -39,6 +39,7 @@ LANES = 5  # of 64 bits, of a wide fingerprint
 SEGMENT = 28
 WIDE_HOT = 16  # wide fingerprints that one key may have before spanning forests replace pairs
 GROUP = 512  # of them in a part, on average
+TASK_PRINTS = 4096  # wide fingerprints whose keys one task counts
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -244,29 +245,32 @@ def wide_links(distinct: DataFrame, distance: int) -> DataFrame:
     ``LANES`` x 2 segments of ``SEGMENT`` bits are indexed, each whole and with one bit left out. A key of up to ``WIDE_HOT``
     fingerprints gives its pairs, any other one a set of links that connects the same.
     """
-    found = variants(distinct, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT)
-    keyed = keyed_by(found, ["print"])
-    shared = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("print").alias("pivot"), F.min("bit").alias("least"), F.max("bit").alias("most")
-    )
-    hot = materialize(shared.filter(f"n > {WIDE_HOT}"), "simhash-hot")
-    cold = keyed.join(hot, "key", "left_anti")
+    # So few fingerprints a task that its keys are counted in memory; nearly all keys are held by one fingerprint.
+    spread = distinct.repartition(max(1, distinct.count() // TASK_PRINTS), "print")
+    keyed = keyed_by(variants(spread, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT), ["print"])
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-shared")
+    met = materialize(keyed.join(shared, "key"), "simhash-met")
+    discard(shared)
+    cold, hot = met.filter(f"n <= {WIDE_HOT}").drop("n"), met.filter(f"n > {WIDE_HOT}").drop("n")
     left, right = cold.selectExpr("key", "print as a", "bit as bit_a"), cold.selectExpr("key", "print as b", "bit as bit_b")
     meet = (F.col("bit_a") == -1) & (F.col("bit_b") == -1) & (F.col("a") < F.col("b")) | (F.col("bit_a") == 0) & (F.col("bit_b") == 1)
     pairs = left.join(right, (left["key"] == right["key"]) & meet).select("a", "b").distinct()
     lanes_a, lanes_b = distinct.selectExpr("print as a", "lanes as la"), distinct.selectExpr("print as b", "lanes as lb")
     near = pairs.join(lanes_a, "a").join(lanes_b, "b").filter(_differing("la", "lb") <= distance).select("a", "b")
-    return near.unionByName(_hot_links(keyed, hot, distinct, distance)).distinct()
+    found = materialize(near.unionByName(_hot_links(hot, distinct, distance)).distinct(), "simhash-found")
+    discard(met)
+    return found
 
 
-def _hot_links(keyed: DataFrame, hot: DataFrame, distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links that connect what meets under the ``hot`` keys and lies within ``distance``. No pair is left out.
+def _hot_links(keyed: DataFrame, distinct: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect what meets under the hot keys of ``keyed`` and lies within ``distance``. No pair is left out.
 
     Under a key with a bit left out only 0 and 1 meet, as like bits share the whole segment, which is a key as well. What lies
     within the distance of a key's pivot is linked to that, and needs no comparison among itself. The others lie in rings around
     the pivot, wider than the distance by one bit, so pairs within the distance lie in one ring or in neighbouring ones. Rings are dealt by hash
     over parts of about ``GROUP``, and every pair of parts that may hold such a pair is a block, compared in full.
     """
+    hot = keyed.groupBy("key").agg(F.min("print").alias("pivot"), F.min("bit").alias("least"), F.max("bit").alias("most"))
     # A key with one side only has nothing that meets.
     pivots = hot.filter("least = -1 or least < most").select("key", "pivot").join(distinct.selectExpr("print as pivot", "lanes as at"), "pivot")
     around = keyed.join(pivots, "key").join(distinct.select("print", "lanes"), "print").withColumn("away", _differing("lanes", "at"))
