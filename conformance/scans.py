@@ -13,7 +13,9 @@ from conformance.views import table, view
 from lifeframe.functions import periods as P
 from lifeframe.session import scratch_path
 from lifeframe.sources import scan, schemas, sinks
+from lifeframe.sources.buckets import BucketedTable
 from lifeframe.sources.catalog import RegisterCatalog
+from lifeframe.sources.files import FileCatalog
 from lifeframe.sources.specs import register, register_from_path
 
 ORDER_SCHEMA = T.StructType(
@@ -128,7 +130,7 @@ def _(spark, d):
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        filesystem, root = pafs.FileSystem.from_uri(schemas.arrow_uri(path))
+        filesystem, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
         filesystem.create_dir(root, recursive=True)
         for number, batch in enumerate(batches):
             table_ = pa.table(
@@ -283,3 +285,53 @@ def _(spark, d):
         cohort=view(spark, d, "akm").select("PNR"),
     )
     return df.select(F.col("PNR").alias("pnr"), F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"))
+
+
+@query(
+    "tp15_load_with_catalogue",
+    """select PNR as pnr, YEAR as income_year, make_date(YEAR, 12, 31) as period_end from v_ind where YEAR between 1995 and 1997
+union all select PNR, YEAR, make_date(YEAR, 12, 31) from v_ind where YEAR = 1997""",
+)
+def _(spark, d):
+    """Deliveries up to 1996 are catalogued, then later ones arrive and 1997 comes twice."""
+    path, stored = f"{scratch_path(spark, 'catalogued')}/ind", FileCatalog(spark, scratch_path(spark, "catalogue"))
+    ind = view(spark, d, "ind").withColumn("delivery", F.col("YEAR").cast("string"))
+    ind.filter("YEAR <= 1996").write.partitionBy("delivery").parquet(path)
+    stored.refresh(path)
+    for _ in range(2):
+        ind.filter("YEAR = 1997").write.mode("append").partitionBy("delivery").parquet(path)
+    ind.filter("YEAR > 1997").withColumn("YEAR", F.col("YEAR").cast("string")).write.mode("append").partitionBy("delivery").parquet(path)
+    stored.refresh(path)
+    df = scan.read_periods(spark, path, "ind", dt.date(1995, 6, 1), dt.date(1997, 2, 1), catalogue=stored)
+    return df.select(F.col("PNR").alias("pnr"), F.col("YEAR").alias("income_year"), F.col("period.end").alias("period_end"))
+
+
+@query(
+    "sc11_file_catalogue",
+    "select cast(YEAR as varchar) as delivery, 'int32' as year_type, count(*) as row_count from v_ind group by YEAR",
+)
+def _(spark, d):
+    """Rows and stored types of each delivery, from footers alone."""
+    stored = FileCatalog(spark, scratch_path(spark, "catalogue"))
+    stored.refresh(_ind_delivery(spark, d))
+    year = F.filter("columns", lambda c: c["name"] == "YEAR")[0]["type"]
+    files = stored.files().withColumns({"delivery": F.regexp_extract("path", r"delivery=(\d+)/", 1), "year_type": year})
+    return files.groupBy("delivery", "year_type").agg(F.sum("rows").alias("row_count"))
+
+
+@query(
+    "sc15_two_upserts",
+    """select PNR as pnr, origin, value from (
+  select *, row_number() over (partition by PNR order by step desc, value desc) as k from (
+    select PNR, 0 as step, 'old' as origin, SOCIO13 as value from v_akm
+    union all select PNR, 1, 'first', HF_KILDE from v_uddf
+    union all select P.PNR, 2, 'second', P.value from (select PNR, KOM as value from v_bef where ANTAL_BOERN = 2) P))
+where k = 1""",
+)
+def _(spark, d):
+    """Two upserts in a row into a stored table of 16 buckets."""
+    table_ = BucketedTable(spark, scratch_path(spark, "entities"), "pnr string, origin string, value string", buckets=16)
+    akm, uddf, bef = view(spark, d, "akm"), view(spark, d, "uddf"), view(spark, d, "bef").filter("ANTAL_BOERN = 2")
+    for origin, frame, value in (("old", akm, "SOCIO13"), ("first", uddf, "HF_KILDE"), ("second", bef, "KOM")):
+        sinks.upsert_stored(table_, frame.select(F.col("PNR").alias("pnr"), F.lit(origin).alias("origin"), F.col(value).alias("value")))
+    return table_.read()

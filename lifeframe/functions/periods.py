@@ -68,7 +68,7 @@ def _token(component: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(component, r"^[A-Za-z_]+=", ""), r"\.parquet$", "")
 
 
-def _in_period_folder(path: Column) -> Column:
+def in_period_folder(path: Column) -> Column:
     """Whether a ``part-`` file takes its period from the folder it lies in."""
     last, parent = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     code = _bind(_token(parent), lambda t: F.coalesce(_strict_code(t), _lenient_code(t)))
@@ -83,7 +83,7 @@ def period_token(path: Column) -> Column:
     folder without a period, is dated by its own name.
     """
     last, parent = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-    return _token(F.when(_in_period_folder(path), parent).otherwise(last))
+    return _token(F.when(in_period_folder(path), parent).otherwise(last))
 
 
 # The period spellings accepted as a whole name, and those searched inside a name.
@@ -167,7 +167,7 @@ def period_of_path(path: Column) -> Column:
 def registry_of_path(path: Column) -> Column:
     """The upper-cased directory that holds the period file."""
     above = F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)
-    return F.upper(F.when(_in_period_folder(path), above).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)))
+    return F.upper(F.when(in_period_folder(path), above).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)))
 
 
 def year_of_file(path: Column) -> Column:

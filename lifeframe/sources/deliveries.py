@@ -6,12 +6,12 @@ A listing is a DataFrame with a ``path`` column; every operator on it is a plain
 from __future__ import annotations
 
 import datetime as dt
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeframe.functions import periods as P
+from lifeframe.sources.files import listing
 
 # Path fragments of the five hospital tables.
 HOSPITAL_TABLES = {
@@ -20,24 +20,9 @@ HOSPITAL_TABLES = {
 }
 
 
-def list_uris(spark: SparkSession, directory: str, recursive: bool = True) -> list[str]:
-    """All Parquet files below a directory, as Spark's file index names them.
-
-    Only the file index is asked, which any scan of the directory builds as well; no file is opened and no task runs.
-    """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(directory)
-        .inputFiles()
-    )
-    return sorted(listed)
-
-
 def list_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
     """Paths of all Parquet files below a directory."""
-    return spark.createDataFrame([(unquote(uri),) for uri in list_uris(spark, directory, recursive)], "path string")
+    return listing(spark, directory, recursive).select("path")
 
 
 def _date(value: dt.date | None) -> Column | None:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +13,10 @@ from pyspark.sql import types as T
 from lifeframe.functions import periods as P
 from lifeframe.operators import cohort as C
 from lifeframe.operators.mapping import map_register
-from lifeframe.sources import deliveries, schemas, specs
+from lifeframe.session import materialize
+from lifeframe.sources import deliveries, files, schemas, specs
 from lifeframe.sources.adapt import adapt, adapt_register, convert
+from lifeframe.sources.files import FileCatalog, listing
 from lifeframe.sources.specs import RegisterSpec
 
 PERIOD = "period"
@@ -57,15 +58,14 @@ def read_parquet(
 
 
 def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None, recursive: bool) -> DataFrame:
-    uris = [uri for p in paths for uri in deliveries.list_uris(spark, p, recursive)]
     reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
-    if len(uris) < 2:
+    found = listing(spark, paths, recursive)
+    if len(found.take(2)) < 2:
         return reader.parquet(*paths)
-    groups = schemas.stored_schemas(spark, uris)
+    groups = files.stored_schemas(materialize(files.describe(found), "footers"))
     if len(groups) == 1:
         return reader.parquet(*paths)
-    base = paths[0] if len(paths) == 1 and not recursive else None
-    frames = [schemas.read_stored(spark, g, base=base) for g in groups]
+    frames = [schemas.read_stored(spark, paths, g, recursive=recursive) for g in groups]
     if schema is None:
         kinds: dict[str, set[str]] = {}
         for df in frames:
@@ -86,23 +86,35 @@ def read_register(
     path: str,
     cohort: DataFrame | None = None,
     recursive: bool = True,
+    catalogue: FileCatalog | None = None,
 ) -> DataFrame:
     """A named or user-declared register under its declared column names and types.
 
     Deliveries of other years may store a column in another type, or lack it: files are grouped by stored schema
-    (one job over their footers), each group is one scan, and each is adapted to the declaration.
+    (from the ``catalogue`` of the path, else by one job over their footers), each group is one scan, and each is adapted to the declaration.
     """
     spec = specs.register(spec) if isinstance(spec, str) else spec
-    df = _adapted(spark, spec, deliveries.list_uris(spark, path, recursive))
+    described = _below(catalogue.files(), path) if catalogue else materialize(files.describe(listing(spark, path, recursive)), "footers")
+    df = _adapted(spark, spec, path, described, recursive)
     return df if cohort is None else C.restrict(df, cohort, spec.id_column)
 
 
-def _adapted(spark: SparkSession, spec: RegisterSpec, uris: list[str], uri: str | None = None) -> DataFrame:
+def _below(described: DataFrame, path: str) -> DataFrame:
+    """The files below a folder."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    root = path.rstrip("/")
+    return described.filter(F.startswith(plain(F.col("path")), plain(F.lit(f"{root}/"))) | (plain(F.col("path")) == plain(F.lit(root))))
+
+
+def _adapted(
+    spark: SparkSession, spec: RegisterSpec, path: str, described: DataFrame, recursive: bool = True, uri: str | None = None,
+    where: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Files under the declaration, with the name of each row's file as ``uri`` if wanted; one scan per distinct schema."""
     names = {n for f in spec.fields for n in f.names}
     frames = [
-        adapt_register(schemas.read_stored(spark, g, names, uri=uri), spec, keep=[uri] if uri else ())
-        for g in schemas.stored_schemas(spark, uris)
+        adapt_register(schemas.read_stored(spark, [path], g, names, recursive, uri, where), spec, keep=[uri] if uri else ())
+        for g in files.stored_schemas(described)
     ]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -130,36 +142,60 @@ def read_periods(
     cohort: DataFrame | None = None,
     period_label: str | None = None,
     with_source: bool = False,
+    catalogue: FileCatalog | None = None,
+    units: int = files.UNITS,
 ) -> DataFrame:
     """All deliveries of a register, or those of a date range or of one period, with their period.
 
-    Files are listed and dated first, so files outside the range are never opened; no file in it gives an
-    empty frame, and files without a period are left out (``deliveries.undated`` lists them). The number of scans is that of
-    distinct stored schemas; each row gets its period by a join of its file's name with the dated listing, which has a
-    row per file. ``with_source`` adds ``source = <registry>_<period>_<rows in the delivery>``.
+    Files outside the range are neither described nor opened; no file in it gives an empty frame, and files without a period are left
+    out (``deliveries.undated`` lists them). The number of scans is that of distinct stored schemas. A delivery is a folder
+    that Spark wrote, of any number of files, or a file. Up to ``units`` deliveries are named in the scan's file predicate and rows
+    get their period by a broadcast of as many rows; beyond it both are computed from the name of a row's file.
+    ``with_source`` adds ``source = <registry>_<period>_<rows in the delivery>``.
     """
     spec = specs.register(spec) if isinstance(spec, str) else spec
-    by_path = {unquote(uri): uri for uri in deliveries.list_uris(spark, path)}
-    listing = spark.createDataFrame([(p,) for p in by_path], "path string")
-    dated = deliveries.files_in_range(listing, start, end)
+    present = _below(catalogue.files(), path) if catalogue else listing(spark, path)
+    dated = deliveries.files_in_range(present, start, end).drop("registry")
     if period_label is not None:
         dated = dated.filter(P.period_label(F.col(PERIOD)) == period_label)
-    found = [(by_path[row.path], row.period) for row in dated.select("path", PERIOD).collect()]
+    dated = materialize(dated if catalogue else files.describe(dated), "deliveries")
+    # Pieces of a delivery take their period from the folder they lie in.
+    piece = P.in_period_folder(F.col("path"))
+    name = F.when(piece, files.folder_of(F.col("uri"))).otherwise(F.col("uri"))
+    found = dated.select(piece.alias("piece"), name.alias("name"), PERIOD).distinct().limit(units + 1).collect()
     if not found:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spec.schema)
         return spark.createDataFrame([], f"{fields}, {PERIOD} {P.PERIOD_TYPE}" + (", source string" if with_source else ""))
-    # Local files are named with one slash or three; a row's file has one of the two names.
-    names = [(name, period) for uri, period in found for name in {uri, uri.replace("file:///", "file:/", 1)}]
-    periods = spark.createDataFrame(names, f"_uri string, {PERIOD} {P.PERIOD_TYPE}")
-    df = _adapted(spark, spec, [uri for uri, _ in found], "_uri").join(F.broadcast(periods), "_uri").drop("_uri")
+    if len(found) <= units:
+        folders, singles = ([r.name for r in found if r.piece is kind] for kind in (True, False))
+        df = _adapted(spark, spec, path, dated, uri="_uri", where=lambda uri: (
+            files.name_of(uri).startswith("part-") & files.named(folders, [], uri) | files.named([], singles, uri)
+        ))
+        deals = spark.createDataFrame([(r.name, r[PERIOD]) for r in found], f"_name string, {PERIOD} {P.PERIOD_TYPE}")
+        folder = F.when(files.name_of(F.col("_uri")).startswith("part-"), files.folder_of(F.col("_uri")))
+        key = folder if not singles else F.col("_uri") if not folders else F.when(folder.isin(*folders), folder).otherwise(F.col("_uri"))
+        df = df.withColumn("_name", key).join(F.broadcast(deals), "_name").drop("_name", "_uri")
+    else:
+        def wanted(uri: Column) -> Column:
+            period = P.period_of_path(files.decoded(uri))
+            inside = P.period_overlaps(period, None if start is None else F.lit(start), None if end is None else F.lit(end))
+            return inside if period_label is None else inside & (P.period_label(period) == period_label)
+
+        df = _adapted(spark, spec, path, dated, uri="_uri", where=wanted)
+        df = df.withColumn(PERIOD, P.period_of_path(files.decoded(F.col("_uri")))).drop("_uri")
+    rows = None
     if cohort is not None:
         df = C.restrict(df, cohort, spec.id_column)
-    return _with_source(df, spec.name) if with_source else df
+    elif with_source:
+        rows = dated.groupBy(P.period_label(F.col(PERIOD)).alias("_label")).agg(F.sum("rows").alias("_rows"))
+    return _with_source(df, spec.name, rows) if with_source else df
 
 
-def _with_source(df: DataFrame, registry: str) -> DataFrame:
+def _with_source(df: DataFrame, registry: str, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` are the rows of each period label; counted if they are not known."""
     label = P.period_label(F.col(PERIOD))
-    rows = df.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_rows"))
+    if rows is None:
+        rows = df.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per delivery period: its size is bounded by the calendar, not by the data.
     joined = df.withColumn("_label", label).join(F.broadcast(rows), "_label")
     source = F.concat_ws("_", F.lit(registry), F.col("_label"), F.col("_rows").cast("string"))

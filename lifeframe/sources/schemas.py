@@ -3,55 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from urllib.parse import quote, unquote
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeframe.session import materialize
-from lifeframe.sources.deliveries import list_uris
-
-FOOTER = "file string, position int, name string, physical string, fields int"
-
-
-# Schemes that Spark's file systems and Arrow's name differently.
-_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
-
-
-def arrow_uri(path: str) -> str:
-    """A path of Spark's as Arrow's file systems know it."""
-    if "://" not in path:
-        return "file://" + quote(path.removeprefix("file:"))
-    scheme, _, rest = path.partition("://")
-    return f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}"
+from lifeframe.sources.files import StoredSchema, describe, listing
 
 
 def footers(files: DataFrame) -> DataFrame:
     """One row per file and column of a listing: position, name, type and number of columns."""
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                filesystem, inner = pafs.FileSystem.from_uri(arrow_uri(path))
-                with filesystem.open_input_file(inner) as handle:
-                    schema = pq.ParquetFile(handle).schema_arrow
-                rows += [(path, i, f.name, str(f.type), len(schema)) for i, f in enumerate(schema)]
-            yield pd.DataFrame(rows, columns=["file", "position", "name", "physical", "fields"])
-
-    # Every task reads the footers of the paths it got.
-    return files.select("path").mapInPandas(read, FOOTER)
-
-
-def _listing(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    wanted = list(paths)
-    return spark.createDataFrame([(p,) for p in wanted], "path string").repartition(
-        max(1, min(len(wanted), spark.sparkContext.defaultParallelism)), "path"
+    each = describe(files.select("path"))
+    return each.select("path", F.size("columns").alias("fields"), F.posexplode("columns").alias("position", "column")).select(
+        F.col("path").alias("file"), "position", F.col("column.name").alias("name"), F.col("column.type").alias("physical"), "fields"
     )
 
 
@@ -86,8 +51,9 @@ def compare_footers(found: DataFrame, reference: str) -> DataFrame:
 def schema_report(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Compare each file with the first."""
     wanted = list(paths)
+    files = spark.createDataFrame([(path,) for path in wanted], "path string")
     # Read by two branches of the comparison; one row per file and column.
-    return compare_footers(materialize(footers(_listing(spark, wanted)), "footers"), wanted[0])
+    return compare_footers(materialize(footers(files), "footers"), wanted[0])
 
 
 # Stored types and the Spark types they are read as. Times of day are read as their number of
@@ -120,43 +86,28 @@ def spark_type(physical: str) -> str | None:
     return _STORED.get(physical)
 
 
-@dataclass(frozen=True)
-class StoredSchema:
-    """Files that are stored alike, and their columns by name."""
-
-    columns: dict[str, str]
-    uris: tuple[str, ...]
-
-
-def stored_schemas(spark: SparkSession, uris: Iterable[str]) -> list[StoredSchema]:
-    """The distinct schemas among some files, read from their footers by one job."""
-    by_path = {unquote(uri): uri for uri in uris}
-    columns = F.array_sort(F.collect_list(F.struct("position", "name", "physical")))
-    each = footers(_listing(spark, by_path)).groupBy("file").agg(columns.alias("columns"))
-    alike = each.groupBy("columns").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    groups = [
-        StoredSchema({c.name: c.physical for c in row["columns"]}, tuple(by_path[f] for f in row.files)) for row in alike.collect()
-    ]
-    return sorted(groups, key=lambda g: g.uris)
-
-
 def read_stored(
-    spark: SparkSession, group: StoredSchema, wanted: Iterable[str] | None = None, base: str | None = None, uri: str | None = None
+    spark: SparkSession, paths: list[str], group: StoredSchema, wanted: Iterable[str] | None = None, recursive: bool = True, uri: str | None = None,
+    where: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """One scan of files that are stored alike; times of day become whole seconds since midnight.
+    """One scan of the files below ``paths`` that are stored alike; times of day become whole seconds since midnight.
 
     ``wanted`` are the columns to read (all if not given). One that is stored in a type that cannot be read is an error.
-    ``base`` keeps the partition columns below that folder; ``uri`` adds the name of each row's file.
+    ``uri`` adds the name of each row's file, and ``where`` narrows the files by it.
     """
     names = [n for n in group.columns if wanted is None or n in set(wanted)]
     unknown = [f"{n}: {group.columns[n]}" for n in names if spark_type(group.columns[n]) is None]
     if unknown:
-        raise ValueError(f"no way to read {', '.join(unknown)} in {group.uris[0]}")
-    fields = ", ".join(f"`{n}` {spark_type(group.columns[n])}" for n in names)
-    reader = spark.read.option("basePath", base) if base else spark.read
-    df = reader.schema(fields).parquet(*map(unquote, group.uris)) if fields else spark.read.parquet(*map(unquote, group.uris)).select()
-    if uri:
-        df = df.select("*", F.col("_metadata.file_path").alias(uri))
+        raise ValueError(f"no way to read {', '.join(unknown)} in {group.example}")
+    # A scan needs a column to be declared, also where none is wanted.
+    read = names or [n for n in group.columns if spark_type(group.columns[n])][:1]
+    fields = ", ".join(f"`{n}` {spark_type(group.columns[n])}" for n in read)
+    df = spark.read.schema(fields).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", str(recursive).lower()).parquet(*paths)
+    file = F.col("_metadata.file_path")
+    for condition in ([group.where] if group.where is not None else []) + ([where(file)] if where else []):
+        df = df.filter(condition)
+    kept = [c for c in df.columns if c not in read or c in names]
+    df = df.select(*kept, file.alias(uri)) if uri else df.select(*kept)
     per_second = {n: _PER_SECOND[group.columns[n]] for n in names if group.columns[n] in _PER_SECOND}
     return df.withColumns({n: F.floor(F.col(n) / unit).cast("int") for n, unit in per_second.items()}) if per_second else df
 
@@ -176,9 +127,9 @@ def common_type(kinds: set[str]) -> str:
 def read_compatible(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Rows of several files or directories after checking that the columns and types of all their files agree."""
     wanted = list(paths)
-    uris = sorted({uri for path in wanted for uri in list_uris(spark, path)})
-    found = materialize(footers(_listing(spark, [unquote(uri) for uri in uris])), "footers")
-    issue = compare_footers(found, unquote(uris[0])).orderBy("file", "issue").first()
+    found = materialize(footers(listing(spark, wanted)), "footers")
+    reference = found.agg(F.min("file")).first()[0]
+    issue = compare_footers(found, reference).orderBy("file", "issue").first()
     if issue:
         raise ValueError(f"{issue['file']} differs from {issue.reference}: {issue.issue}")
     return spark.read.option("recursiveFileLookup", "true").parquet(*wanted)

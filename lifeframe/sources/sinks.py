@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lifeframe.functions import periods as P
 from lifeframe.operators.balance import IMBALANCE_THRESHOLD, balance_summary
+from lifeframe.sources.buckets import BucketedTable
 
 
 def balance_report(metrics: DataFrame, threshold: float = IMBALANCE_THRESHOLD) -> DataFrame:
@@ -59,6 +60,11 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "pnr", order: Col
     return kept.unionByName(one.select(*current.columns))
 
 
+def upsert_stored(table: BucketedTable, incoming: DataFrame, order: Column | None = None) -> set[int]:
+    """``upsert`` into a stored table: only buckets with incoming ids are read and rewritten; gives these buckets."""
+    return table.change(incoming, lambda current, rows: upsert(current, rows, table.key, order))
+
+
 def from_batch(df: DataFrame, columns: list[str], key: str = "pnr") -> DataFrame:
     """Entity rows from a frame: the entity's columns, rows without an id dropped."""
     return df.select(*columns).filter(F.col(key).isNotNull())

@@ -1,5 +1,7 @@
 import datetime as dt
+import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import types as T
 
 from lifeframe.functions import dates
 from lifeframe.operators import mapping
-from lifeframe.sources import adapt, scan, schemas, sinks, specs
+from lifeframe.sources import adapt, files, scan, schemas, sinks, specs
 from lifeframe.sources.catalog import RegisterCatalog
 
 D = dt.date
@@ -119,6 +121,22 @@ def write_years(spark, path):
     return f"{path}/ind"
 
 
+def files_read(df):
+    """How many files the scans of a frame opened."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), 0
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        while (kind := node.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            node = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            found += node.metrics().apply("numFiles").value()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_period_scan(spark, tmp_path, rows):
     path = write_years(spark, str(tmp_path))
     everything = scan.read_periods(spark, path, "ind", with_source=True)
@@ -127,7 +145,7 @@ def test_period_scan(spark, tmp_path, rows):
     ]
     only = scan.read_periods(spark, path, "ind", D(2020, 3, 1), D(2021, 1, 1))
     assert rows(only, "PNR", "YEAR") == [("1", 2020)]
-    assert all("2019" not in f for f in only.inputFiles())
+    assert files_read(only) == len(glob.glob(f"{path}/2020.parquet/*.parquet"))
     assert scan.read_periods(spark, path, "ind", period_label="1999").count() == 0
     cohort = spark.createDataFrame([("2",)], "pnr string")
     assert rows(scan.read_periods(spark, path, "ind", cohort=cohort), "PNR", "YEAR") == [("2", 2019)]
@@ -312,7 +330,74 @@ def test_read_compatible_checks_every_file(spark, tmp_path):
         schemas.read_compatible(spark, [folder])
 
 
-def test_arrow_uri():
-    assert schemas.arrow_uri("s3a://bucket/a b") == "s3://bucket/a%20b"
-    assert schemas.arrow_uri("/tmp/x") == schemas.arrow_uri("file:/tmp/x") == "file:///tmp/x"
-    assert schemas.arrow_uri("hdfs://n/x") == "hdfs://n/x"
+def test_deliveries_named_and_computed_agree(spark, tmp_path, rows):
+    """Folders and single files, up to the bound of names and beyond it; undated files and other periods are not opened."""
+    path = str(tmp_path / "ind")
+    df = spark.createDataFrame([(str(i), 2015 + i % 4, float(i)) for i in range(40)], "PNR string, YEAR int, PERINDKIALT_13 double").repartition(3)
+    for year in (2015, 2016, 2017):
+        df.filter(F.col("YEAR") == year).write.parquet(f"{path}/delivery={year}")
+    df.filter("YEAR = 2018").toPandas().to_parquet(f"{path}/x+y z_2018.parquet")
+    df.limit(1).selectExpr("PNR", "'odd' as YEAR", "PERINDKIALT_13").toPandas().to_parquet(f"{path}/notes.parquet")
+    for options in ({}, {"start": D(2016, 5, 1)}, {"start": D(2016, 5, 1), "end": D(2017, 2, 2)}, {"period_label": "2018"}):
+        few = scan.read_periods(spark, path, "ind", with_source=True, **options)
+        many = scan.read_periods(spark, path, "ind", with_source=True, units=0, **options)
+        got = rows(few, "PNR", "YEAR", "period", "source")
+        assert got and got == rows(many, "PNR", "YEAR", "period", "source")
+        assert all(r[1] == r[2].year and r[3] == f"ind_{r[1]}_10" for r in got)
+        opened = len({r[1] for r in got if r[1] < 2018}) * 3 + any(r[1] == 2018 for r in got)
+        assert [files_read(scan.read_periods(spark, path, "ind", units=n, **options)) for n in (files.UNITS, 0)] == [opened, opened]
+
+
+def test_catalogue_reads_footers_of_new_files_only(spark, tmp_path, rows):
+    path, stored = str(tmp_path / "ind"), files.FileCatalog(spark, str(tmp_path / "stored"))
+    df = spark.createDataFrame([("1", 2019, 1.0), ("2", 2020, 2.0)], "PNR string, YEAR int, PERINDKIALT_13 double").coalesce(1)
+    with pytest.raises(ValueError, match="refresh"):
+        stored.files()
+    df.write.parquet(f"{path}/2019")
+    assert stored.refresh(path) == 1 and stored.refresh(path) == 0
+    df.selectExpr("PNR", "YEAR", "cast(PERINDKIALT_13 as string) as PERINDKIALT_13").write.parquet(f"{path}/2020")
+    assert stored.refresh(path) == 1
+    assert rows(stored.files(), "rows") == [(2,), (2,)]
+    known = scan.read_periods(spark, path, "ind", catalogue=stored)
+    assert rows(known, "PNR", "period.year", "PERINDKIALT_13") == [("1", 2019, 1.0), ("1", 2020, 1.0), ("2", 2019, 2.0), ("2", 2020, 2.0)]
+    assert scan.read_register(spark, "ind", path, catalogue=stored).count() == 4
+    assert scan.read_register(spark, "ind", f"{path}/2020", catalogue=stored).count() == 2
+    df.write.mode("overwrite").parquet(f"{path}/2020")
+    assert stored.refresh(path) == 1
+    assert len(files.stored_schemas(stored.files())) == 1
+
+
+def test_hundred_thousand_names_plan_in_seconds(spark):
+    """Names of the exceptions only, whatever the number of files of the commonest schema."""
+    listed = spark.range(100_000).selectExpr(
+        "concat('file:///d/ind/delivery=', 1990 + id % 30, '/part-', id, '.parquet') as uri", "1L as rows",
+        "if(id % 30 = 7, array(named_struct('name', 'A', 'type', 'int32')), array(named_struct('name', 'A', 'type', if(id = 5, 'double', 'string')))) as columns",
+    )
+    began = time.monotonic()
+    found = files.stored_schemas(listed)
+    assert time.monotonic() - began < 20
+    assert [g.columns for g in found] == [{"A": "string"}, {"A": "int32"}, {"A": "double"}]
+    assert "delivery=1997'" in str(found[1].where) and "part-5.parquet" in str(found[2].where)
+
+
+def test_footers_through_another_file_system(spark, tmp_path, rows):
+    """A store that only Spark's readers know, by settings of the session."""
+    spark.createDataFrame([("1", 2019)], "PNR string, YEAR int").coalesce(1).write.parquet(f"{tmp_path}/ind/2019")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.table.link./data", f"file://{tmp_path}")
+    for catalogue in (None, files.FileCatalog(spark, str(tmp_path / "stored"))):
+        if catalogue:
+            catalogue.refresh("viewfs://table/data/ind")
+        df = scan.read_periods(spark, "viewfs://table/data/ind", "ind", catalogue=catalogue)
+        assert rows(df, "PNR", "period.year") == [("1", 2019)]
+
+
+def test_settings_of_the_session_reach_the_store(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.s3a.endpoint", "http://store:9000")
+    conf.set("fs.s3a.access.key", "who")
+    try:
+        assert files.store_settings(spark) == {"endpoint_override": "http://store:9000", "access_key": "who"}
+    finally:
+        conf.unset("fs.s3a.endpoint")
+        conf.unset("fs.s3a.access.key")
