@@ -15,6 +15,8 @@ from lifeframe.functions import persons as fn
 from lifeframe.functions import periods as P
 from lifeframe.operators import longitudinal as L
 from lifeframe.operators import persons as people
+from lifeframe.operators.states import LongitudinalState, PresenceState
+from lifeframe.session import scratch_path
 
 def _life():
     return F.col("birth_date"), F.col("death_date"), F.lit(INDEX)
@@ -235,3 +237,60 @@ def _(spark, d):
 )
 def _(spark, d):
     return L.coverage_calendar(seen(spark, d))
+
+
+_FIELDS = {
+    "marital_status": "string", "municipality_code": "string", "annual_income": "double", "employment_income": "double", "socioeconomic_status": "int",
+}
+
+
+def _by_delivery(spark, d):
+    """(register, label, rows) of every delivery, in no order of time."""
+    found = []
+    for name, df in deliveries(spark, d).items():
+        for n, row in enumerate(sorted(r.label for r in df.select(P.period_label(F.col("period")).alias("label")).distinct().collect())):
+            found.append((n * 7 % 5, name, row, df.filter(P.period_label(F.col("period")) == row)))
+    return [f[1:] for f in sorted(found, key=lambda f: f[:3])]
+
+
+def _folded(spark, d, state):
+    for name, label, df in _by_delivery(spark, d):
+        if name != "ind" or label in ("1994", "1997", "1999"):
+            state.fold(df, name, label)
+    return state
+
+
+_IND_SQL = LG2.replace("from v_ind group by", "from v_ind where YEAR in (1994, 1997, 1999) group by")
+
+
+@query("lg02_fold", _IND_SQL)
+def _(spark, d):
+    """Deliveries folded one by one into a stored state give what merging all of them gives."""
+    return _rounded(_folded(spark, d, LongitudinalState(spark, scratch_path(spark, "state"), _FIELDS, buckets=8)).records())
+
+
+@query(
+    "lg01_fold_latest",
+    """select PNR as pnr, arg_max(CIVST, PERIOD_YEAR) filter (where CIVST is not null) as marital_status, arg_max(KOM, PERIOD_YEAR) filter (where KOM is not null) as municipality_code
+from v_bef_period where PERIOD_YEAR <> 1996 group by PNR""",
+)
+def _(spark, d):
+    """Folded in two steps, a delivery twice, and one withdrawn."""
+    fields = {f: _FIELDS[f] for f in ("marital_status", "municipality_code")}
+    state = LongitudinalState(spark, scratch_path(spark, "state"), fields, prefer="latest", buckets=8)
+    bef = deliveries(spark, d)["bef"]
+    year = F.col("period.year")
+    state.fold(bef.filter(year >= 1997), "bef", "late")
+    state.fold(bef.filter(year < 1996), "bef", "early")
+    state.fold(bef.filter(year == 1996), "bef", "1996")
+    state.fold(bef.filter(year < 1996), "bef", "early")
+    state.withdraw(bef.filter(year == 1996), "bef", "1996", {"bef": bef.filter(year != 1996)})
+    return state.records()
+
+
+@query(
+    "lg06_presence_fold",
+    "select pnr, registry, label, period_start, period_end, registry || '_' || label as source from v_seen where registry <> 'ind' or label in ('1994', '1997', '1999')",
+)
+def _(spark, d):
+    return _folded(spark, d, PresenceState(spark, scratch_path(spark, "presence"), buckets=8)).records().drop("period_kind")
