@@ -249,7 +249,8 @@ def wide_links(distinct: DataFrame, distance: int) -> DataFrame:
     spread = distinct.repartition(max(1, distinct.count() // TASK_PRINTS), "print")
     keyed = keyed_by(variants(spread, ["print"], "lanes[cast(segment div 2 as int)]", f"segment % 2 * {SEGMENT}", 2 * LANES, SEGMENT), ["print"])
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-shared")
-    met = materialize(keyed.join(shared, "key"), "simhash-met")
+    # Shared keys grow with the input; a merge join at every size, whose hot keys Spark can divide.
+    met = materialize(keyed.join(shared.hint("merge"), "key"), "simhash-met")
     discard(shared)
     cold, hot = met.filter(f"n <= {WIDE_HOT}").drop("n"), met.filter(f"n > {WIDE_HOT}").drop("n")
     left, right = cold.selectExpr("key", "print as a", "bit as bit_a"), cold.selectExpr("key", "print as b", "bit as bit_b")
