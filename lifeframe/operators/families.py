@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lifeframe.functions import codes, icd
 from lifeframe.functions import persons as fn
 from lifeframe.functions.predicates import valid_at
+from lifeframe.operators.intervals import overlapping
 from lifeframe.operators.persons import with_residency
 from lifeframe.operators.ranking import number_slices, spread
 
@@ -131,22 +132,24 @@ def build_families(members: DataFrame, two_parent_only: bool = False) -> DataFra
 
 def snapshot(
     members: DataFrame,
-    date: dt.date,
+    date: dt.date | Column,
     events: DataFrame | None = None,
     health: DataFrame | None = None,
     families: DataFrame | None = None,
 ) -> DataFrame:
-    """Families as they were at a date.
+    """Families as they were at a date, or each member's row at its own date.
 
+    With a column as ``date`` the result has a row per family and ``snapshot_date``; ``at_own_dates`` gives families their dates.
     Children count when alive and resident, parents when resident. ``health`` is one row per person with
     ``first_scd_date`` and ``first_diagnosis_date`` (the chronic-disease results have both); a parent's
     comorbidity needs a diagnosis strictly before the date. ``families`` adds its attributes and, with
     ``valid_from``/``valid_to``, limits the result to families valid at the date.
     """
-    birth, death, when = F.col("birth_date"), F.col("death_date"), F.lit(date)
-    state = members
+    own = isinstance(date, Column)
+    birth, death, when = F.col("birth_date"), F.col("death_date"), F.col("snapshot_date") if own else F.lit(date)
+    state = members.withColumn("snapshot_date", date).filter("snapshot_date is not null") if own else members
     if events is not None:
-        state = with_residency(state, events, date)
+        state = with_residency(state, events, when if own else date)
     else:
         state = state.withColumn("resident", fn.alive_at(birth, death, when))
     first_scd = first_diagnosis = F.lit(None).cast("date")
@@ -159,7 +162,7 @@ def snapshot(
     role, here = F.col("role"), F.col("resident")
     child_here = (role == CHILD) & here & fn.alive_at(birth, death, when)
     parent_here = role.isin(MOTHER, FATHER) & here
-    per_family = state.groupBy("family_id").agg(
+    per_family = state.groupBy("family_id", *(["snapshot_date"] if own else [])).agg(
         F.max(F.when((role == MOTHER) & here, F.col("pnr"))).alias("mother_pnr"),
         F.max(F.when((role == FATHER) & here, F.col("pnr"))).alias("father_pnr"),
         F.count_if(child_here).alias("children"),
@@ -189,6 +192,16 @@ def snapshot(
     return result
 
 
+def at_own_dates(members: DataFrame, dates: DataFrame) -> DataFrame:
+    """Members with the ``date`` of each row of ``dates`` (family_id, date) of their family: what ``snapshot`` takes for dates of their own."""
+    return members.join(dates.select("family_id", "date").distinct(), "family_id")
+
+
+def families_valid_in(families: DataFrame, windows: DataFrame, bounds: tuple[str, str]) -> DataFrame:
+    """Each family with every window of a table that its validity shares a day with. A family without a start is never valid."""
+    return overlapping(families.filter(F.col("valid_from").isNotNull()), windows, ("valid_from", "valid_to"), bounds)
+
+
 def families_valid_at(families: DataFrame, date: dt.date) -> DataFrame:
     return families.filter(valid_at(F.col("valid_from"), F.col("valid_to"), F.lit(date)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lifeframe.functions import periods as P
 from lifeframe.functions import persons as fn
+from lifeframe.operators.intervals import overlapping
 
 # Fixed value: which register's value is taken first when several know a field.
 REGISTER_PRIORITY = (
@@ -133,6 +134,12 @@ def sources_between(seen: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     return hit.groupBy("pnr", "registry").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
+def sources_in(seen: DataFrame, windows: DataFrame, bounds: tuple[str, str], window: Sequence[str]) -> DataFrame:
+    """Per person, register and ``window`` of a table the periods that share a day with it."""
+    hit = overlapping(seen, windows.select(*window, *bounds), ("period_start", "period_end"), bounds)
+    return hit.groupBy("pnr", "registry", *window).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 def register_counts(seen: DataFrame) -> DataFrame:
     """How many persons were seen in how many registers."""
     per_person = seen.select("pnr", "registry").distinct().groupBy("pnr").agg(F.count(F.lit(1)).alias("registries"))

@@ -10,25 +10,26 @@ from pyspark.sql import functions as F
 from lifeframe.functions import codes
 from lifeframe.functions import persons as fn
 from lifeframe.operators import cohort as C
+from lifeframe.operators.asof import as_of
 
 
 def on(date: dt.date | Column) -> Column:
     return date if isinstance(date, Column) else F.lit(date)
 
 
-def with_status(persons: DataFrame, date: dt.date) -> DataFrame:
-    """Adds ``alive`` and ``age_at_date``."""
+def with_status(persons: DataFrame, date: dt.date | Column) -> DataFrame:
+    """Adds ``alive`` and ``age_at_date``, at one date or at each row's own."""
     birth, death, when = F.col("birth_date"), F.col("death_date"), on(date)
     return persons.withColumns(
         {"alive": fn.alive_at(birth, death, when), "age_at_date": fn.age_at(birth, death, when)}
     )
 
 
-def alive(persons: DataFrame, date: dt.date) -> DataFrame:
+def alive(persons: DataFrame, date: dt.date | Column) -> DataFrame:
     return persons.filter(fn.alive_at(F.col("birth_date"), F.col("death_date"), on(date)))
 
 
-def age_between(persons: DataFrame, low: int, high: int, date: dt.date) -> DataFrame:
+def age_between(persons: DataFrame, low: int, high: int, date: dt.date | Column) -> DataFrame:
     """Persons of a known age in the inclusive range."""
     return persons.filter(fn.age_at(F.col("birth_date"), F.col("death_date"), on(date)).between(low, high))
 
@@ -98,19 +99,24 @@ def death_dates(dod: DataFrame) -> DataFrame:
     return dod.filter(F.col("death_date").isNotNull()).groupBy("pnr").agg(F.max("death_date").alias("death_date"))
 
 
-def with_residency(persons: DataFrame, events: DataFrame, date: dt.date) -> DataFrame:
+def with_residency(persons: DataFrame, events: DataFrame, date: dt.date | Column) -> DataFrame:
     """Adds ``resident``: not dead before the date, and the last event up to it is no emigration.
 
-    Events are reduced to one row per person before the join; an emigration wins a same-day tie.
+    ``date`` is one date for all, or a column with each row's own. Events are reduced to one row per person (and day) before the join; an
+    emigration wins a same-day tie. A row without a date of its own has an unknown status.
     """
-    last = (
-        events.filter(F.col("event_date") <= on(date))
-        .groupBy("pnr")
-        .agg(F.max(F.struct("event_date", "is_emigration")).alias("_last"))
-    )
+    if isinstance(date, Column):
+        own = as_of(persons.withColumn("_own", date), events, "pnr", "_own", "event_date", ["is_emigration"], "_last")
+    else:
+        last = (
+            events.filter(F.col("event_date") <= on(date))
+            .groupBy("pnr")
+            .agg(F.max(F.struct("event_date", "is_emigration")).alias("_last"))
+        )
+        own = persons.withColumn("_own", on(date)).join(last, "pnr", "left")
     gone = F.coalesce(F.col("_last.is_emigration"), F.lit(False))
-    dead = F.coalesce(F.col("death_date") < on(date), F.lit(False))
-    return persons.join(last, "pnr", "left").withColumn("resident", ~dead & ~gone).drop("_last")
+    dead = F.coalesce(F.col("death_date") < F.col("_own"), F.lit(False))
+    return own.withColumn("resident", F.when(F.col("_own").isNotNull(), ~dead & ~gone)).drop("_last", "_own")
 
 
 def birth_dates(persons: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeframe.functions import periods as P
+from lifeframe.operators.intervals import overlapping
 from lifeframe.sources.files import listing
 
 # Path fragments of the five hospital tables.
@@ -49,6 +50,12 @@ def files_in_range(files: DataFrame, start: dt.date | None = None, end: dt.date
     return with_period(files).filter(P.period_overlaps(F.col("period"), _date(start), _date(end)))
 
 
+def files_in_ranges(files: DataFrame, ranges: DataFrame, bounds: tuple[str, str]) -> DataFrame:
+    """Each file with every range of a table that its period shares a day with; a null bound is open."""
+    dated = with_period(files).withColumns({"_start": F.col("period.start"), "_end": F.col("period.end")})
+    return overlapping(dated, ranges, ("_start", "_end"), bounds).drop("_start", "_end")
+
+
 def files_of_year(files: DataFrame, year: int) -> DataFrame:
     return with_period(files).filter(F.col("period.year") == year)
 
