@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lifeframe.operators.asof import as_of
 from lifeframe.operators.ranking import position_in_group, spread
 from lifeframe.session import materialize
 
@@ -135,34 +136,72 @@ def cells(persons: DataFrame, criteria: MatchingCriteria) -> DataFrame:
     return persons.groupBy(*criteria.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell_key(criteria))
 
 
+def _bucket(column: str, width: int) -> Column:
+    return F.floor(F.unix_date(column) / max(1, width)).cast("long")
+
+
+def _open_columns(case_cells: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Whether some case lacks the value, and therefore accepts any."""
+    found = case_cells.agg(*(F.max(F.col(c).isNull()).alias(c) for c in names)).first() if names else None
+    return {c: bool(found[c]) for c in names} if found else {}
+
+
+def _windows(criteria: MatchingCriteria) -> dict[str, int]:
+    windows = {"birth_date": criteria.birth_window_days}
+    return windows | {name: tolerance for name, tolerance in criteria.near_columns if name.endswith("_date")}
+
+
+def _equal_keys(df: DataFrame, criteria: MatchingCriteria, open_: dict[str, bool] | None) -> DataFrame:
+    """``_key_<column>`` for the columns that must agree. A case (``open_`` not given) without a value looks under a wildcard, under which
+    controls are listed as well for those columns in which some case has none."""
+    for c in criteria.equal_columns:
+        value = F.col(c).cast("string")
+        if open_ is None:
+            df = df.withColumn(f"_key_{c}", F.coalesce(value, F.lit(_ANY)))
+        else:
+            df = df.withColumn(f"_key_{c}", F.explode(F.array_compact(F.array(F.lit(_ANY), value) if open_[c] else F.array(value))))
+    return df
+
+
+def leading_window(case_cells: DataFrame, control_cells: DataFrame, criteria: MatchingCriteria) -> str:
+    """The date window whose buckets leave the fewest pairs to look at, by the cells counted per bucket.
+
+    One row per bucket of a window is joined with the three that it meets; a case without the date meets all controls.
+    """
+    windows = _windows(criteria)
+    if len(windows) == 1:
+        return "birth_date"
+    total = control_cells.count()
+    costs = None
+    for c, width in windows.items():
+        case = case_cells.groupBy(_bucket(c, width).alias("b")).agg(F.count(F.lit(1)).alias("cases"))
+        control = control_cells.groupBy(_bucket(c, width).alias("b")).agg(F.count(F.lit(1)).alias("controls"))
+        met = case.filter("b is not null").withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).join(control, "b")
+        cost = met.selectExpr("cases * controls as pairs").unionByName(case.filter("b is null").selectExpr(f"cases * {total}L as pairs"))
+        one = cost.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).withColumn("window", F.lit(c))
+        costs = one if costs is None else costs.unionByName(one)
+    return min(costs.collect(), key=lambda r: (r.pairs, r.window))["window"]
+
+
 def eligible_cells(case_cells: DataFrame, control_cells: DataFrame, criteria: MatchingCriteria) -> DataFrame:
     """Pairs of case cell and eligible control cell, ``case_*`` and ``control_*`` columns.
 
-    Date windows (birth, and the parents' births where wanted) become an equi-join on window-wide buckets: each
-    case cell looks into its own bucket and the two beside it. Equal values and parents' buckets may be unknown for a case, which then
-    accepts any: it looks under a wildcard, under which controls are listed as well for those columns in which some case is null.
+    Of the date windows (birth, and the parents' births where wanted) the most selective one becomes an equi-join on window-wide buckets: each
+    case cell looks into its own bucket and the two beside it. The others are compared in the join, so a cell has at most three keys. Equal values and
+    parents' dates may be unknown for a case, which then accepts any.
     """
-    windows = {"birth_date": criteria.birth_window_days}
-    windows |= {name: tolerance for name, tolerance in criteria.near_columns if name.endswith("_date")}
-    optional = [*criteria.equal_columns, *(c for c in windows if c != "birth_date")]
-    open_ = case_cells.agg(*(F.max(F.col(c).isNull()).alias(c) for c in optional)).first() if optional else {}
-
-    def bucket(name: str, column: str) -> Column:
-        return F.floor(F.unix_date(column) / max(1, windows[name])).cast("long")
-
-    left = case_cells.select(*(F.col(c).alias(f"case_{c}") for c in case_cells.columns))
-    right = control_cells.select(*(F.col(c).alias(f"control_{c}") for c in control_cells.columns))
-    for c in windows:
-        own = bucket(c, f"case_{c}")
-        near_by = F.transform(F.sequence(own - 1, own + 1), lambda b: b.cast("string"))
-        left = left.withColumn(f"_key_{c}", F.explode(F.coalesce(near_by, F.array(F.lit(_ANY)))))
-    for c in criteria.equal_columns:
-        left = left.withColumn(f"_key_{c}", F.coalesce(F.col(f"case_{c}").cast("string"), F.lit(_ANY)))
-    keys = [f"_key_{c}" for c in dict.fromkeys((*windows, *criteria.equal_columns))]
-    for c in dict.fromkeys((*windows, *criteria.equal_columns)):
-        value = bucket(c, f"control_{c}").cast("string") if c in windows else F.col(f"control_{c}").cast("string")
-        listed = F.array_compact(F.array(F.lit(_ANY), value)) if c in optional and open_[c] else F.array_compact(F.array(value))
-        right = right.withColumn(f"_key_{c}", F.explode(listed))
+    leading = leading_window(case_cells, control_cells, criteria)
+    width = _windows(criteria)[leading]
+    open_ = _open_columns(case_cells, [*criteria.equal_columns, leading])
+    left, right = _equal_keys(case_cells, criteria, None), _equal_keys(control_cells, criteria, open_)
+    own = _bucket(leading, width)
+    near_by = F.transform(F.sequence(own - 1, own + 1), lambda b: b.cast("string"))
+    left = left.withColumn("_key_window", F.explode(F.coalesce(near_by, F.array(F.lit(_ANY)))))
+    listed = F.array(F.lit(_ANY), own.cast("string")) if open_[leading] else F.array(own.cast("string"))
+    right = right.withColumn("_key_window", F.explode(F.array_compact(listed)))
+    keys = ["_key_window", *(f"_key_{c}" for c in criteria.equal_columns)]
+    left = left.select(*keys, *(F.col(c).alias(f"case_{c}") for c in case_cells.columns))
+    right = right.select(*keys, *(F.col(c).alias(f"control_{c}") for c in control_cells.columns))
     near = F.abs(F.datediff("case_birth_date", "control_birth_date")) <= criteria.birth_window_days
     for name, tolerance in criteria.near_columns:
         mine, theirs = F.col(f"case_{name}"), F.col(f"control_{name}")
@@ -171,12 +210,46 @@ def eligible_cells(case_cells: DataFrame, control_cells: DataFrame, criteria: Ma
     return left.join(right, keys).filter(near).drop(*keys)
 
 
+def cell_totals(case_cells: DataFrame, control_cells: DataFrame, criteria: MatchingCriteria) -> DataFrame:
+    """(cell, _total): the number of controls eligible for each case cell, without pairs of cells.
+
+    Controls of equal attributes and family size are summed up along their days of birth. A case's count within its window is the sum up to the window's
+    end less the sum up to the day before it begins, for each family size within the tolerance: two as-of lookups each.
+    """
+    sized = criteria.match_family_size
+    open_ = _open_columns(case_cells, [*criteria.equal_columns, *(["children_count"] if sized else [])])
+    left, right = _equal_keys(case_cells, criteria, None), _equal_keys(control_cells, criteria, open_)
+    if sized:
+        size, t = F.col("children_count"), criteria.family_size_tolerance
+        sizes = F.transform(F.sequence(size - t, size + t), lambda n: n.cast("string"))
+        left = left.withColumn("_key_size", F.explode(F.coalesce(sizes, F.array(F.lit(_ANY)))))
+        listed = F.array(F.lit(_ANY), size.cast("string")) if open_["children_count"] else F.array(size.cast("string"))
+        right = right.withColumn("_key_size", F.explode(F.array_compact(listed)))
+    keys = [*(f"_key_{c}" for c in criteria.equal_columns), *(["_key_size"] if sized else [])]
+    group = F.md5(F.concat_ws("\x01", F.lit(""), *keys)).alias("group")
+    per_day = right.groupBy(group, F.col("birth_date").alias("day")).agg(F.sum("n").alias("n"))
+    # One row per group and day of birth.
+    upto = per_day.withColumn("upto", F.sum("n").over(Window.partitionBy("group").orderBy("day"))).select("group", "day", "upto")
+    window = criteria.birth_window_days
+    asked = left.select("cell", group, F.date_add("birth_date", window).alias("last"), F.date_sub("birth_date", window + 1).alias("before"))
+    both = as_of(as_of(asked, upto, "group", "last", "day", ["upto"], "_high"), upto, "group", "before", "day", ["upto"], "_low")
+    within = F.coalesce("_high.upto", F.lit(0)) - F.coalesce("_low.upto", F.lit(0))
+    return both.groupBy("cell").agg(F.sum(within).alias("_total"))
+
+
 def eligible_counts(cases: DataFrame, controls: DataFrame, criteria: MatchingCriteria | None = None) -> DataFrame:
-    """Per case the number of eligible controls, itself excluded: ``pnr, eligible``."""
+    """Per case the number of eligible controls, itself excluded: ``pnr, eligible``.
+
+    Windows on the parents' births are counted over pairs of cells, all other criteria by running sums.
+    """
     criteria = criteria or MatchingCriteria()
     cases, controls = prepare(cases, criteria, "cases"), prepare(controls, criteria, "controls")
-    pairs = eligible_cells(cells(cases, criteria), cells(controls, criteria), criteria)
-    totals = pairs.groupBy(F.col("case_cell").alias("cell")).agg(F.sum("control_n").alias("_total"))
+    case_cells, control_cells = cells(cases, criteria), cells(controls, criteria)
+    if criteria.match_parent_age:
+        pairs = eligible_cells(case_cells, control_cells, criteria)
+        totals = pairs.groupBy(F.col("case_cell").alias("cell")).agg(F.sum("control_n").alias("_total"))
+    else:
+        totals = cell_totals(case_cells, control_cells, criteria)
     own = _own_control(cases, controls, criteria)
     counted = (
         cases.select("pnr", cell_key(criteria).alias("cell")).join(totals, "cell", "left").join(own, "pnr", "left")

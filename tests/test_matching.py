@@ -120,3 +120,47 @@ def test_draws_are_spread(spark):
     drawn = [r.control_pnr[-1] for r in M.match(cases, controls, M.MatchingConfig(seed=11)).pairs.collect()]
     counts = [drawn.count(str(j)) for j in range(6)]
     assert sum(counts) == 150 and min(counts) >= 10 and max(counts) <= 42
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("sized", [True, False])
+def test_counts_equal_all_pairs(spark, seed, sized):
+    """Running sums along the days of birth against a loop over all pairs, unknown values and zero windows included."""
+    rng = random.Random(seed)
+    cases, controls = people(rng, "a", 60, 50), people(rng, "k", 150, 70)
+    controls += cases[:7]
+    criteria = M.MatchingCriteria(birth_window_days=[0, 3, 30, 400][seed], match_family_size=sized, family_size_tolerance=seed % 3, same_gender=seed != 1)
+    got = M.eligible_counts(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), criteria).collect()
+    assert {(r.pnr, r.eligible) for r in got} == {(c[0], sum(eligible(c, k, criteria) for k in controls)) for c in cases}
+    assert len(got) == len(cases)
+
+
+def test_counting_joins_no_pairs_of_cells(spark):
+    """All in one group and every day of birth taken: the rows of each step stay those of the cells."""
+    df = spark.range(4000).selectExpr(
+        "concat('p', id) as pnr", "date_add(date '1990-01-01', cast(id as int)) as birth_date", "'M' as gender", "1 as children_count"
+    )
+    criteria = M.MatchingCriteria(birth_window_days=2000)
+    cells = M.cells(df, criteria)
+    asked = M.cell_totals(cells, cells, criteria)
+    assert max(r["_total"] for r in asked.collect()) == 4000
+    plan = asked._jdf.queryExecution().executedPlan()
+    waiting, most = [plan], 0
+    while waiting:
+        node = waiting.pop()
+        while (kind := node.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            node = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan()
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    assert 4000 <= most <= 4000 * 6
+
+
+def test_leading_window_is_the_most_selective(spark):
+    schema = SCHEMA + ", mother_birth_date date, father_birth_date date"
+    rng = random.Random(1)
+    rows = [(f"p{i}", START + dt.timedelta(rng.randrange(10)), "M", 1, START - dt.timedelta(rng.randrange(20_000)), None) for i in range(200)]
+    criteria = M.MatchingCriteria(match_parent_age=True, parent_birth_window_days=30, match_family_size=False)
+    cells = M.cells(spark.createDataFrame(rows, schema), criteria)
+    assert M.leading_window(cells, cells, criteria) == "mother_birth_date"
