@@ -206,9 +206,42 @@ def _(spark, d):
     return _rounded(B.boolean_balance(*groups(spark, d), ["solvent"]))
 
 
+def everyone(spark, d):
+    """Both groups in one frame, with a flag."""
+    bef = view(spark, d, "bef").select(
+        F.col("PNR").alias("pnr"), F.col("ANTAL_BOERN").alias("children"), F.col("ACCTBAL").alias("account"),
+        F.col("SEGMENT").alias("segment"), F.col("KOEN").alias("gender"), (F.col("ACCTBAL") > 0).alias("solvent"),
+    )
+    dead = view(spark, d, "dod").select(F.col("PNR").alias("pnr")).distinct().withColumn("is_case", F.lit(True))
+    return bef.join(dead, "pnr", "left")
+
+
 @query("ba04_balance", FINISHED + "v_metrics")
 def _(spark, d):
-    return _rounded(B.balance(*groups(spark, d)))
+    is_case = F.coalesce("is_case", F.lit(False))
+    return _rounded(B.balance_of(everyone(spark, d), {"dead": (is_case, ~is_case)}, ("pnr", "is_case")).drop("comparison"))
+
+
+def _numbers_of(comparison: str, case: str, control: str) -> str:
+    cells = " union all ".join(
+        f"""select '{comparison}' as comparison, '{c}' as name, avg({c}) filter (where {case}) as m1, avg({c}) filter (where {control}) as m0,
+  coalesce(stddev_samp({c}) filter (where {case}), 0) as s1, coalesce(stddev_samp({c}) filter (where {control}), 0) as s0 from v_groups""" for c in ("children", "account")
+    )
+    return cells
+
+
+@query(
+    "ba04_several_comparisons",
+    f"""select comparison, name, round(m1, 6) as case_mean, round(m0, 6) as control_mean, round(case when s1 = 0 and s0 = 0 then 0 else (m1 - m0) / sqrt((s1*s1 + s0*s0) / 2) end, 6) as smd
+from ({_numbers_of("dead", "is_case", "not is_case")} union all {_numbers_of("dead women", "is_case and gender = '2'", "not is_case and gender = '2'")}
+union all {_numbers_of("women", "gender = '2'", "true")})""",
+)
+def _(spark, d):
+    """Comparisons that share rows, from one pass: the dead and the others, the same among women, and women with all."""
+    is_case, women = F.coalesce("is_case", F.lit(False)), F.col("gender") == "2"
+    sides = {"dead": (is_case, ~is_case), "dead women": (is_case & women, ~is_case & women), "women": (women, F.lit(True))}
+    found = B.balance_of(everyone(spark, d), sides, ("pnr", "is_case", "segment", "gender", "solvent"))
+    return _rounded(found).select("comparison", "name", "case_mean", "control_mean", "smd")
 
 
 @query(

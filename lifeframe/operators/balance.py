@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lifeframe.session import materialize
+
 MIN_OBSERVATIONS = 5
 IMBALANCE_THRESHOLD = 0.1
-METRICS = ("name", "categorical", "case_mean", "control_mean", "case_sd", "control_sd", "smd")
-
-
-def _both(cases: DataFrame, controls: DataFrame, columns: list[str]) -> DataFrame:
-    return cases.select(*columns, F.lit(True).alias("_case")).unionByName(
-        controls.select(*columns, F.lit(False).alias("_case"))
-    )
 
 
 def standardized_difference(mean1: Column, mean0: Column, sd1: Column, sd0: Column) -> Column:
@@ -26,102 +20,134 @@ def standardized_difference(mean1: Column, mean0: Column, sd1: Column, sd0: Colu
     return F.when(pooled > 0, (mean1 - mean0) / pooled).otherwise(F.lit(0.0))
 
 
-def _finish(rows: DataFrame, minimum: int) -> DataFrame:
-    """``name, categorical, n1, n0, m1, m0, s1, s0`` to metrics; columns with too few values are left out."""
+_NUMBER, _TEXT, _FLAG, _ROWS = "number", "text", "flag", "rows"
+_KINDS = ((_NUMBER, T.NumericType), (_TEXT, T.StringType), (_FLAG, T.BooleanType))
+Sides = Mapping[str, tuple[Column, Column]]
+
+
+def _kinds_of(schema: T.StructType, exclude: Iterable[str]) -> dict[str, str]:
+    """How each column is compared; dates and nested columns are not supported and left out."""
+    left_out = set(exclude)
+    found = {f.name: next((k for k, t in _KINDS if isinstance(f.dataType, t)), None) for f in schema.fields if f.name not in left_out}
+    return {name: kind for name, kind in found.items() if kind}
+
+
+def count_values(rows: DataFrame, sides: Sides, kinds: Mapping[str, str]) -> DataFrame:
+    """Everything that balance needs, from one pass: a row per column, and per value of a text column, with ``n1, m1, s1, n0, m0, s0`` of each comparison.
+
+    ``sides`` names comparisons and says of a row whether it is a case and whether it is a control in it; a row may be both, or in several.
+    Counts, means and deviations are merged from partial results of each task, so the shuffle has a row per task, column and text value.
+    """
+    def entry(name: str, kind: str) -> Column:
+        number = text = F.lit(None)
+        if kind == _NUMBER:
+            value = F.col(name).cast("double")
+            number = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+        elif kind == _FLAG:
+            number = F.col(name).cast("double")
+        elif kind == _TEXT:
+            text = F.col(name)
+        else:
+            number = F.lit(1.0)
+        return F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+
+    entries = [entry("", _ROWS), *(entry(name, kind) for name, kind in kinds.items())]
+    flags = {f"_{i}_{side}": F.coalesce(hit, F.lit(False)) for i, pair in enumerate(sides.values()) for side, hit in zip((1, 0), pair)}
+    long = rows.select(*(c.alias(n) for n, c in flags.items()), F.explode(F.array(*entries)).alias("_e")).select(*flags, "_e.*")
+    known = F.col("number").isNotNull() | F.col("text").isNotNull()
+    aggregates = []
+    for flag in flags:
+        number = F.when(F.col(flag), F.col("number"))
+        aggregates += [
+            F.count_if(F.col(flag) & known).alias(f"n{flag}"), F.avg(number).alias(f"m{flag}"), F.coalesce(F.stddev_samp(number), F.lit(0.0)).alias(f"s{flag}")
+        ]
+    # A row for each column of each comparison; what has no value on either side falls out by its counts.
+    counted = long.groupBy("column", "kind", "text").agg(*aggregates)
+    parts = [
+        F.struct(F.lit(name).alias("comparison"), *(F.col(f"{v}_{i}_{side}").alias(f"{v}{side}") for side in (1, 0) for v in ("n", "m", "s")))
+        for i, name in enumerate(sides)
+    ]
+    return counted.select("column", "kind", "text", F.explode(F.array(*parts)).alias("_p")).select("column", "kind", "text", "_p.*")
+
+
+def _metrics(counted: DataFrame, minimum: int) -> DataFrame:
+    """``comparison`` and metrics of each column; columns with too few values are left out.
+
+    Of a text column the category counts that is most common over both sides; of equal ones the first by name.
+    """
+    texts = counted.filter((F.col("kind") == _TEXT) & F.col("text").isNotNull())
+    top = texts.groupBy("comparison", "column").agg(
+        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"),
+        F.min(F.struct((-(F.col("n1") + F.col("n0"))).alias("order"), F.col("text"), F.col("n1").alias("k1"), F.col("n0").alias("k0"))).alias("top"),
+    )
+    categories = top.select(
+        "comparison", F.concat_ws("_", "column", "top.text").alias("name"), F.lit(True).alias("categorical"), "n1", "n0",
+        F.try_divide("top.k1", "n1").alias("m1"), F.try_divide("top.k0", "n0").alias("m0"),
+    )
+    flags = counted.filter(F.col("kind") == _FLAG).select(
+        "comparison", F.concat_ws("_", "column", F.lit("TRUE")).alias("name"), F.lit(True).alias("categorical"), "n1", "n0", "m1", "m0"
+    )
+    shares = categories.unionByName(flags).withColumns({f"s{k}": F.sqrt(F.col(f"m{k}") * (1 - F.col(f"m{k}"))) for k in (1, 0)})
+    numbers = counted.filter(F.col("kind") == _NUMBER).select(
+        "comparison", F.col("column").alias("name"), F.lit(False).alias("categorical"), "n1", "n0", "m1", "m0", "s1", "s0"
+    )
     enough = (F.col("n1") >= minimum) & (F.col("n0") >= minimum)
-    return rows.filter(enough).select(
-        "name", "categorical", F.col("m1").alias("case_mean"), F.col("m0").alias("control_mean"),
+    return numbers.unionByName(shares.select(*numbers.columns)).filter(enough).select(
+        "comparison", "name", "categorical", F.col("m1").alias("case_mean"), F.col("m0").alias("control_mean"),
         F.col("s1").alias("case_sd"), F.col("s0").alias("control_sd"),
         standardized_difference(F.col("m1"), F.col("m0"), F.col("s1"), F.col("s0")).alias("smd"),
     )
 
 
-def numeric_balance(cases: DataFrame, controls: DataFrame, columns: Iterable[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
-    """Means and sample deviations of finite values; all columns in one aggregate over one pass."""
-    wanted = list(columns)
-    rows = _both(cases, controls, wanted)
-    aggregates, stacked = [], []
-    for i, c in enumerate(wanted):
-        value = F.col(c).cast("double")
-        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-        for side, tag in ((F.col("_case"), 1), (~F.col("_case"), 0)):
-            kept = F.when(side & finite, value)
-            aggregates += [
-                F.count(kept).alias(f"n{tag}_{i}"), F.avg(kept).alias(f"m{tag}_{i}"),
-                F.coalesce(F.stddev_samp(kept), F.lit(0.0)).alias(f"s{tag}_{i}"),
-            ]
-        stacked += [F.lit(c), *(F.col(f"{k}_{i}") for k in ("n1", "n0", "m1", "m0", "s1", "s0"))]
-    wide = rows.agg(*aggregates)
-    long = wide.select(F.stack(F.lit(len(wanted)), *stacked).alias("name", "n1", "n0", "m1", "m0", "s1", "s0"))
-    return _finish(long.withColumn("categorical", F.lit(False)), minimum)
-
-
-def _proportions(rows: DataFrame) -> DataFrame:
-    """``name, n1, n0, k1, k0`` to proportions with their deviations."""
-    return rows.withColumns({"m1": F.try_divide("k1", "n1"), "m0": F.try_divide("k0", "n0")}).withColumns(
-        {
-            "s1": F.sqrt(F.col("m1") * (1 - F.col("m1"))),
-            "s0": F.sqrt(F.col("m0") * (1 - F.col("m0"))),
-            "categorical": F.lit(True),
-        }
-    )
+def balance_of(rows: DataFrame, sides: Sides, exclude: Iterable[str] = ("pnr",), minimum: int = MIN_OBSERVATIONS) -> DataFrame:
+    """Balance of all columns in several comparisons, each with its ``comparison`` name, from one pass over ``rows``.
 
+    A comparison without cases or without controls is an error. What is stored in between has a row per column and text value.
+    """
+    kinds = _kinds_of(rows.schema, exclude)
+    if not kinds:
+        raise ValueError("no column both sides have can be compared")
+    counted = materialize(count_values(rows, sides, kinds), "balance")
+    empty = {r.comparison for r in counted.filter((F.col("kind") == _ROWS) & (F.col("n1") > 0) & (F.col("n0") > 0)).collect()} ^ set(sides)
+    if empty:
+        raise ValueError("no cases or no controls" + "".join(f" in {name}" for name in sorted(empty) if name))
+    return _metrics(counted, minimum)
 
-def categorical_balance(cases: DataFrame, controls: DataFrame, columns: Iterable[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
-    """Share of the category that is most common over both groups; of equal ones the first by name.
 
-    Values are counted first; only the counts meet per column.
-    """
+def _both(cases: DataFrame, controls: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, Sides]:
     wanted = list(columns)
-    pairs = [part for c in wanted for part in (F.lit(c), F.col(c))]
-    long = _both(cases, controls, wanted).select("_case", F.stack(F.lit(len(wanted)), *pairs).alias("column", "value"))
-    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count_if("_case").alias("k1"), F.count_if(~F.col("_case")).alias("k0")
-    )
-    top = counts.groupBy("column").agg(
-        F.sum("k1").alias("n1"),
-        F.sum("k0").alias("n0"),
-        F.min(F.struct((-(F.col("k1") + F.col("k0"))).alias("_order"), "value", "k1", "k0")).alias("_top"),
-    )
-    named = top.select(F.concat_ws("_", "column", "_top.value").alias("name"), "n1", "n0", "_top.k1", "_top.k0")
-    return _finish(_proportions(named), minimum)
+    rows = cases.select(*wanted, F.lit(True).alias("_case")).unionByName(controls.select(*wanted, F.lit(False).alias("_case")))
+    return rows, {"": (F.col("_case"), ~F.col("_case"))}
+
+
+def _of_kind(cases: DataFrame, controls: DataFrame, columns: Iterable[str], kind: str, minimum: int) -> DataFrame:
+    wanted = list(columns)
+    rows, sides = _both(cases, controls, wanted)
+    return _metrics(count_values(rows, sides, {c: kind for c in wanted}), minimum).drop("comparison")
+
+
+def numeric_balance(cases: DataFrame, controls: DataFrame, columns: Iterable[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
+    """Means and sample deviations of finite values."""
+    return _of_kind(cases, controls, columns, _NUMBER, minimum)
+
+
+def categorical_balance(cases: DataFrame, controls: DataFrame, columns: Iterable[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
+    """Share of the category that is most common over both groups; of equal ones the first by name."""
+    return _of_kind(cases, controls, columns, _TEXT, minimum)
 
 
 def boolean_balance(cases: DataFrame, controls: DataFrame, columns: Iterable[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
     """Share of true values."""
-    wanted = list(columns)
-    rows = _both(cases, controls, wanted)
-    aggregates, stacked = [], []
-    for i, c in enumerate(wanted):
-        for side, tag in ((F.col("_case"), 1), (~F.col("_case"), 0)):
-            aggregates += [
-                F.count(F.when(side, F.col(c))).alias(f"n{tag}_{i}"),
-                F.count_if(side & F.coalesce(F.col(c), F.lit(False))).alias(f"k{tag}_{i}"),
-            ]
-        stacked += [F.lit(f"{c}_TRUE"), *(F.col(f"{k}_{i}") for k in ("n1", "n0", "k1", "k0"))]
-    wide = rows.agg(*aggregates)
-    long = wide.select(F.stack(F.lit(len(wanted)), *stacked).alias("name", "n1", "n0", "k1", "k0"))
-    return _finish(_proportions(long), minimum)
+    return _of_kind(cases, controls, columns, _FLAG, minimum)
 
 
 def balance(
     cases: DataFrame, controls: DataFrame, exclude: Iterable[str] = ("pnr",), minimum: int = MIN_OBSERVATIONS
 ) -> DataFrame:
     """Balance of every column both sides have; dates and nested columns are not supported and left out."""
-    if cases.isEmpty() or controls.isEmpty():
-        raise ValueError("no cases or no controls")
-    shared = [f for f in cases.schema.fields if f.name in controls.columns and f.name not in set(exclude)]
-    kinds = (
-        (numeric_balance, T.NumericType), (categorical_balance, T.StringType), (boolean_balance, T.BooleanType),
-    )
-    parts = []
-    for operator, kind in kinds:
-        names = [f.name for f in shared if isinstance(f.dataType, kind)]
-        if names:
-            parts.append(operator(cases, controls, names, minimum).select(*METRICS))
-    if not parts:
-        raise ValueError("no column both sides have can be compared")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    shared = [f.name for f in cases.schema.fields if f.name in controls.columns]
+    rows, sides = _both(cases, controls, shared)
+    return balance_of(rows, sides, (*exclude, "_case"), minimum).drop("comparison")
 
 
 def balance_summary(metrics: DataFrame, threshold: float = IMBALANCE_THRESHOLD) -> DataFrame:
