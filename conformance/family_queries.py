@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from conformance.filters import child_state
@@ -10,6 +12,9 @@ from conformance.frames import (
 )
 from conformance.registry import block, query
 from conformance.views import view
+from lifeframe.functions import periods
+from lifeframe.functions import persons as fn
+from lifeframe.functions import predicates as P
 from lifeframe.operators import families, income
 from lifeframe.plans import study
 
@@ -182,3 +187,45 @@ def _(spark, d):
     return population.snapshots.select(
         "family_id", "family_type", "children", "scd_children", "has_parental_comorbidity", rich.alias("well_off")
     )
+
+
+@query(
+    "fa15_study_population_many_deliveries",
+    """select pnr, municipality_code, children_count from (
+  select PNR as pnr, cast(100 + ((cast(PNR as bigint) + y) % 25) * 30 as varchar) as municipality_code, cast(y % 10 as int) as children_count,
+    row_number() over (partition by PNR order by case y when 2000 then 1 when 1999 then 2 when 1998 then 3 when 2001 then 4 else 5 end) as r
+  from v_bef cross join (select unnest([1998, 1999, 2000, 2001, 2002]) as y) where (cast(PNR as bigint) + y) % 3 <> 0 and (cast(PNR as bigint) % 50 <> 7 or y > 2000)) where r = 1""",
+)
+def _(spark, d):
+    """Five deliveries, not everybody in each: a person's row is that of the last delivery begun by the index date, else of the first after it."""
+    key, year = F.col("PNR").cast("long"), F.col("y")
+    bef = view(spark, d, "bef").withColumn("y", F.explode(F.array(*(F.lit(y) for y in range(1998, 2003)))))
+    bef = bef.filter(((key + year) % 3 != 0) & ((key % 50 != 7) | (year > 2000))).withColumns(
+        {"KOM": (100 + ((key + year) % 25) * 30).cast("string"), "ANTAL_BOERN": (year % 10).cast("int"), "period": periods.year_period(year)}
+    )
+    return study.study_persons({"bef": bef.drop("y")}, INDEX).select("pnr", "municipality_code", "children_count")
+
+
+@query(
+    "fi15_family_filter_variants",
+    """select family_id from v_dated_families f join (
+  select family_id, max(case when role <> 'child' then municipality_code end) as municipality_code, bool_or(role <> 'child' and gender = '2' and coalesce(children_count, 0) > 2) as net
+  from v_members group by family_id) m using (family_id)
+where (family_type = 'TwoParent' and valid_from <= date '1999-06-01' and (valid_to is null or valid_to >= date '1999-06-01') and net)
+   or (family_type = 'SingleMother' and municipality_code = '400')
+   or (children >= 3 and not coalesce(try_cast(municipality_code as int), 0) between 400 and 600 and municipality_code is not null and not net)""",
+)
+def _(spark, d):
+    """Type, municipality, rural, support network and validity, as any of three sets of conditions."""
+    role = F.col("role")
+    extra = members(spark, d).groupBy("family_id").agg(
+        F.max(F.when(role != families.CHILD, F.col("municipality_code"))).alias("municipality_code"),
+        F.bool_or((role != families.CHILD) & (F.col("gender") == "2") & (F.coalesce("children_count", F.lit(0)) > 2)).alias("has_support_network"),
+    )
+    df = dated(spark, d).join(extra, "family_id").withColumn("is_rural", fn.is_rural(F.col("municipality_code")))
+    tests = (
+        families.family_predicate(kind="TwoParent", valid_on=datetime.date(1999, 6, 1), support_network=True),
+        families.family_predicate(kind="SingleMother", municipality="400"),
+        families.family_predicate(min_children=3, rural=True, support_network=False),
+    )
+    return df.filter(P.any_of(*(t(df) for t in tests))).select("family_id")

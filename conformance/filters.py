@@ -11,7 +11,7 @@ from conformance.registry import block, query
 from conformance.views import table, view
 from lifeframe.functions import codes, dates, icd
 from lifeframe.functions import predicates as P
-from lifeframe.operators import chronic, diagnoses, families, mapping, transforms
+from lifeframe.operators import chronic, code_lists, diagnoses, families, mapping, transforms
 from lifeframe.operators import persons as people
 from lifeframe.sources.specs import RegisterField, RegisterSpec
 
@@ -278,6 +278,70 @@ def _(spark, d):
     return diagnoses.with_prefixes(hospital(spark, d), ["e1", " J45", "Q"]).select("pnr", "diagnosis_code", "diagnosis_date")
 
 
+# A list of thousands of prefixes of one to six characters, most of which no diagnosis has.
+block(
+    "code_list",
+    """select prefix, min(grp) as grp from (
+  select substr(C_ADIAG, 1, cast(1 + o % 4 as int)) as prefix, cast(o % 11 as int) as grp from (select C_ADIAG, cast(RECNUM as bigint) as o from v_lpr_adm) where o % 3 = 0
+  union all select 'Z' || cast(o_orderkey as varchar), cast(o_orderkey % 11 as int) from orders where o_orderkey % 2 = 0) group by prefix""",
+)
+
+
+def _code_list(spark, d):
+    key = F.col("RECNUM").cast("long")
+    own = view(spark, d, "lpr_adm").filter(key % 3 == 0).select(
+        F.substring("C_ADIAG", F.lit(1), (1 + key % 4).cast("int")).alias("prefix"), (key % 11).cast("int").alias("grp")
+    )
+    others = table(spark, d, "orders").filter("o_orderkey % 2 = 0").selectExpr("'Z' || o_orderkey as prefix", "cast(o_orderkey % 11 as int) as grp")
+    return own.unionByName(others).groupBy("prefix").agg(F.min("grp").alias("grp"))
+
+
+@query("fi25_code_list", "select pnr, diagnosis_code, diagnosis_date, prefix, grp from v_hospital join v_code_list on starts_with(diagnosis_code, prefix)")
+def _(spark, d):
+    found = code_lists.with_code_list(hospital(spark, d), _code_list(spark, d), match="all")
+    return found.select("pnr", "diagnosis_code", "diagnosis_date", "prefix", "grp")
+
+
+@query(
+    "hl13_first_per_list_entry",
+    """select pnr, prefix, min(diagnosis_date) as first_date, count(*) as diagnoses from v_hospital join (
+  select c, arg_max(prefix, length(prefix)) as prefix from (select distinct diagnosis_code as c from v_hospital) join v_code_list on starts_with(c, prefix) group by c)
+on c = diagnosis_code group by pnr, prefix""",
+)
+def _(spark, d):
+    """Each person's first diagnosis under the longest entry of the list that a code falls under."""
+    found = code_lists.with_code_list(hospital(spark, d), _code_list(spark, d))
+    return found.groupBy("pnr", "prefix").agg(F.min("diagnosis_date").alias("first_date"), F.count(F.lit(1)).alias("diagnoses"))
+
+
+block(
+    "background",
+    """select b.PNR as pnr, b.FOED_DAG as birth_date, b.KOM as municipality_code, case substr(b.SEGMENT, 1, 1) when 'A' then 'DK' when 'B' then 'west' when 'F' then '3' when 'H' then ' Danish ' end as origin,
+  case u.HFAUDD % 4 when 0 then 'low' when 1 then '2' when 2 then 'HIGH' when 3 then 'x' end as education_level from v_bef b left join v_uddf u on u.PNR = b.PNR""",
+)
+
+
+@query(
+    "fi14_person_filter_background",
+    """select pnr from v_background where (origin in ('DK', ' Danish ') and education_level = '2') or (origin = 'west' and not education_level = 'low' and not education_level is null)
+  or (origin is null and (education_level is null or education_level = 'x') and municipality_code = '400')""",
+)
+def _(spark, d):
+    """Origin and education, alone and nested: any of all, with one condition turned round."""
+    letter, number = F.substring("SEGMENT", 1, 1), F.col("HFAUDD") % 4
+    df = view(spark, d, "bef").join(view(spark, d, "uddf").select("PNR", "HFAUDD"), "PNR", "left").select(
+        F.col("PNR").alias("pnr"), F.col("FOED_DAG").alias("birth_date"), F.lit(None).cast("date").alias("death_date"), F.col("KOM").alias("municipality_code"),
+        F.when(letter == "A", "DK").when(letter == "B", "west").when(letter == "F", "3").when(letter == "H", " Danish ").alias("origin"),
+        F.when(number == 0, "low").when(number == 1, "2").when(number == 2, "HIGH").when(number == 3, "x").alias("education_level"),
+    )
+    danish = people.person_predicate(origin="Danish", education="Medium")
+    western = P.Predicate(people.person_predicate(origin="Western")) & ~P.Predicate(people.person_predicate(education="Low")) & (
+        ~P.Predicate(people.person_predicate(education="Unknown")) | (lambda f: f["education_level"] == "x")
+    )
+    unknown = P.Predicate(people.person_predicate(origin="Unknown", education="Unknown", municipality="400"))
+    return df.filter(P.any_of(danish(df), western(df), P.all_of(unknown(df), P.always_true()))).select("pnr")
+
+
 @query("fi25_code_patterns", "select RECNUM from v_lpr_adm where C_ADIAG like 'C0%' or C_ADIAG = 'E370'")
 def _(spark, d):
     code = F.col("C_ADIAG")

@@ -91,16 +91,39 @@ block(
 from v_lpr3_diagnoser d join v_lpr3_kontakter k on k.DW_EK_KONTAKT = d.DW_EK_KONTAKT""",
 )
 block("hospital", "select * from v_lpr2 union all select * from v_lpr3")
-_rules = ", ".join(f"('{p}',{c},{str(g).lower()},{s})" for p, c, g, s in chronic.rule_rows())
-block("rules", f"select * from (values {_rules}) r(prefix, category, congenital, severity)")
+# Fixed values, stated here on their own: first and last prefix, category, congenital, severity.
+block(
+    "rules",
+    """select * from (values
+('D610','D610',1,false,2), ('D613','D613',1,false,2), ('D618','D619',1,false,2), ('D762','D762',1,false,2),
+('G310','G310',4,false,2), ('G318','G319',4,false,2), ('G702','G702',4,false,2), ('G811','G811',4,false,2), ('G821','G821',4,false,2),
+('G824','G824',4,false,2), ('G941','G941',4,false,2), ('G710','G713',4,false,3), ('G736','G736',4,false,3), ('J448','J448',6,false,3),
+('P910','P912',4,true,2), ('P941','P949',4,true,2), ('Q790','Q790',6,true,2), ('Q792','Q793',7,true,2), ('Q860','Q860',10,true,2),
+('D55','D56',1,false,2), ('D57','D57',1,false,3), ('D58','D61',1,false,2), ('D64','D73',1,false,2), ('D76','D76',1,false,2),
+('D80','D84',2,false,2), ('D86','D86',2,false,2), ('D89','D89',2,false,2),
+('E10','E10',3,false,2), ('E22','E27',3,false,2), ('E31','E31',3,false,2), ('E34','E34',3,false,2), ('E70','E72',3,false,2), ('E74','E80',3,false,2),
+('E83','E83',3,false,2), ('E84','E84',3,false,3), ('E85','E85',3,false,2), ('E88','E88',3,false,2),
+('F84','F84',4,false,2), ('G11','G11',4,false,2), ('G12','G12',4,false,3), ('G13','G13',4,false,2), ('G23','G25',4,false,2), ('G31','G31',4,false,2),
+('G37','G37',4,false,2), ('G40','G41',4,false,2), ('G60','G60',4,false,2), ('G70','G70',4,false,2), ('G71','G71',4,false,3), ('G72','G72',4,false,2),
+('G80','G82',4,false,2), ('G91','G91',4,false,2),
+('I12','I12',5,false,2), ('I27','I27',5,false,2), ('I30','I49',5,false,2), ('I50','I50',5,false,3), ('I51','I52',5,false,2), ('I81','I83',5,false,2),
+('J41','J43',6,false,2), ('J44','J44',6,false,3), ('J45','J45',6,false,1), ('J47','J47',6,false,2), ('J60','J70',6,false,2), ('J84','J84',6,false,2), ('J96','J96',6,false,3),
+('K21','K21',7,false,1), ('K50','K51',7,false,2), ('K70','K73',7,false,2), ('K74','K74',7,false,3), ('K75','K77',7,false,2), ('K86','K87',7,false,2), ('K90','K90',7,false,2),
+('M05','M09',8,false,2), ('M30','M31',8,false,2), ('M32','M32',8,false,3), ('M33','M33',8,false,2), ('M34','M34',8,false,3), ('M35','M35',8,false,2),
+('M40','M43',8,false,2), ('M45','M46',8,false,2),
+('N01','N08',9,false,2), ('N11','N16',9,false,2), ('N18','N29',9,false,2),
+('P27','P27',6,true,2), ('P57','P57',4,true,2), ('P91','P91',4,true,2), ('P94','P94',4,true,2),
+('Q01','Q07',4,true,3), ('Q20','Q28',5,true,3), ('Q30','Q37',6,true,2), ('Q38','Q45',7,true,2), ('Q60','Q64',9,true,2), ('Q77','Q79',8,true,2),
+('Q80','Q89',10,true,2), ('Q90','Q99',10,true,3)) r(first, last, category, congenital, severity)""",
+)
 block(
     "coded",
     """select h.*, coalesce(r4.category, r3.category, case when h.diagnosis_code like 'C%' then 1 end) as category,
   coalesce(r4.congenital, r3.congenital, case when h.diagnosis_code like 'C%' then false end) as congenital,
   case when substr(h.diagnosis_code,1,3) in ('N18','N19') and substr(h.diagnosis_code,4,1) between '4' and '9' then 3
     else coalesce(r4.severity, r3.severity, case when h.diagnosis_code like 'C%' then 3 end) end as severity
-from v_hospital h left join v_rules r4 on r4.prefix = substr(h.diagnosis_code,1,4)
-left join v_rules r3 on r3.prefix = substr(h.diagnosis_code,1,3)""",
+from v_hospital h left join v_rules r4 on length(r4.first) = 4 and length(h.diagnosis_code) >= 4 and substr(h.diagnosis_code,1,4) between r4.first and r4.last
+left join v_rules r3 on length(r3.first) = 3 and length(h.diagnosis_code) >= 3 and substr(h.diagnosis_code,1,3) between r3.first and r3.last""",
 )
 block(
     "chronic",
