@@ -4,11 +4,11 @@ The texts are cut by the vocabulary's pattern. Each task gathers the distinct pi
 to an in-memory DuckDB: one row per token position, beginning with single bytes. A recursive query joins neighbouring
 rows with the merge table (every pair of tokens whose bytes together are a token, with that token's rank) and contracts
 each piece's leftmost pair of least rank, until no pair of any piece is in the table. The rows left, in order, are the
-piece's ids. A piece that is a token as a whole is that token. A text's ids are those of its pieces in order, and its decoded
-bytes are those that the vocabulary has for its ids. ``decode`` does the same for given ids, by a join of the id rows
-with the vocabulary and ordered aggregation.
+piece's ids. A piece that is a token as a whole is that token. A text's ids are those of its pieces in order. They are decoded, here and by
+``decode`` for given ids, by a join of the id rows with the vocabulary and ordered aggregation, ``DECODE_ROWS`` ids at a time.
 
-The pieces go through the query some thousands at a time, so memory is bounded; pieces longer than ``LONG`` bytes, for
+A recursion keeps the rows of all its rounds, up to half the square of a piece's bytes for each piece, so pieces go through it by that
+measure: at most ``SQUARES`` together, and ``PIECES`` of them. Pieces longer than ``LONG`` bytes, for
 which the recursion would need as many rounds as they have bytes, are contracted by the same rule with a heap.
 
 Defined cases: a null text encodes as an empty one, to no tokens; ids of the table may be null or repeat; an empty table
@@ -37,6 +37,8 @@ from lifeframe.llm import spans
 
 CHUNK_BYTES = 3 << 20  # of text, whose distinct pieces are encoded together
 PIECES = 30_000  # in one recursive query
+SQUARES = 8_000_000  # of the bytes of its pieces, summed
+DECODE_ROWS = 1_000_000
 LONG = 200  # bytes; a piece's positions must fit into 8 bits
 KNOWN = 300_000  # pieces after which a task forgets those that it has not met again since the last time
 
@@ -97,9 +99,7 @@ select s.place, s.id from states s join final f on s.place >> 8 = f.piece and s.
 order by s.place
 """
 DECODE = """
-select d.n, list(v.token order by d.i) as tokens
-from (select n, unnest(ids) as id, generate_subscripts(ids, 1) as i from held) d join vocabulary v on d.id = v.id
-group by d.n
+select d.n, list(v.token order by d.i) as tokens from held d join vocabulary v on d.id = v.id group by d.n
 """
 
 
@@ -141,10 +141,9 @@ class Encoder:
         self.ranks = vocabulary(path)
         self.pattern = regex.compile(pattern)
         self.plain = plain_pattern(pattern)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        # Ids as little-endian 32-bit integers, and decoded bytes: of the pieces met lately, and of those before.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        # Ids as little-endian 32-bit integers: of the pieces met lately, and of those before.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, joined = merge_rows(self.ranks)
         self.fill("merges", {"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "joined": pa.array(joined, pa.int32())})
@@ -184,16 +183,21 @@ class Encoder:
                 self.know([piece], np.array(ids, "<u4"), [len(ids)])
             else:
                 open_.append((piece, raw))
-        for first in range(0, len(open_), PIECES):
-            part = open_[first : first + PIECES]
-            self.know([piece for piece, _ in part], *self.recurse([raw for _, raw in part]))
+        open_.sort(key=lambda x: len(x[1]))
+        first, squares = 0, 0
+        for end, (_, raw) in enumerate(open_):
+            squares += len(raw) ** 2
+            if end > first and (end - first == PIECES or squares > SQUARES):
+                self.know([piece for piece, _ in open_[first:end]], *self.recurse([raw for _, raw in open_[first:end]]))
+                first, squares = end, len(raw) ** 2
+        if open_:
+            self.know([piece for piece, _ in open_[first:]], *self.recurse([raw for _, raw in open_[first:]]))
 
     def know(self, pieces: list[str], ids: np.ndarray, ends: list[int]) -> None:
         """``ids`` of all pieces in a row, and where each piece's end."""
-        packed, tokens = ids.tobytes(), list(map(self.tokens.__getitem__, ids.tolist()))
-        start = 0
+        packed, start = ids.tobytes(), 0
         for piece, end in zip(pieces, ends):
-            self.known[piece] = packed[4 * start : 4 * end], b"".join(tokens[start:end])
+            self.known[piece] = packed[4 * start : 4 * end]
             start = end
 
     def recurse(self, raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
@@ -206,11 +210,22 @@ class Encoder:
         ends = np.cumsum(np.bincount(found["place"].to_numpy() >> 8, minlength=len(raws)))
         return found["id"].to_numpy().astype("<u4"), ends.tolist()
 
-    def decode(self, lists: list[list[int] | None]) -> list[bytes]:
-        held = {"n": pa.array(range(len(lists)), pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32()))}
-        n, tokens = self.over(DECODE, "held", held).columns
-        found = dict(zip(n.to_pylist(), tokens.to_pylist()))
-        return [b"".join(found.get(n, ())) for n in range(len(lists))]
+    def decode(self, ids: np.ndarray, counts: list[int]) -> list[bytes]:
+        """The bytes of some texts from the ids of all of them in a row, and how many each has."""
+        numbers = np.repeat(np.arange(len(counts)), counts)
+        parts: list[list[bytes]] = [[] for _ in counts]
+        for first in range(0, len(ids), DECODE_ROWS):
+            some = slice(first, first + DECODE_ROWS)
+            held = {"n": pa.array(numbers[some]), "i": pa.array(np.arange(len(ids[some]))), "id": pa.array(ids[some])}
+            n, tokens = (c.combine_chunks() for c in self.over(DECODE, "held", held).columns)
+            # The tokens of a list lie one behind the other.
+            values = tokens.flatten().cast(pa.large_binary())
+            offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+            data = memoryview(values.buffers()[2] or b"")
+            ends = np.cumsum([0, *tokens.value_lengths().to_pylist()])
+            for k, start, end in zip(n.to_pylist(), offsets[ends[:-1]].tolist(), offsets[ends[1:]].tolist()):
+                parts[k].append(bytes(data[start:end]))
+        return [b"".join(p) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -226,7 +241,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, pattern)
         for batch in batches:
-            back = encoder.decode(batch.column(at).to_pylist())
+            lists = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
+            back = encoder.decode(batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int32), lists)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*names, to])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.BinaryType())]))
@@ -261,19 +277,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
                     end += 1
                 cut = [encoder.split(t) if t else [] for t in column.slice(first, end - first).to_pylist()]
                 encoder.encode_pieces(set().union(*cut))
-                ids, back = [], []
-                for pieces in cut:
-                    coded = list(map(encoder.known.__getitem__, pieces))
-                    ids.append(b"".join([i for i, _ in coded]))
-                    back.append(b"".join([b for _, b in coded]))
+                ids = [b"".join(map(encoder.known.__getitem__, pieces)) for pieces in cut]
+                counts = [len(x) // 4 for x in ids]
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                back = encoder.decode(flat, counts)
                 if digests:
                     added = [
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array(counts, pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     ]
                 else:
-                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                    added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(back, pa.binary())]
+                    ends = np.cumsum([0, *counts], dtype=np.int32)
+                    added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.binary())]
                 rest = [c.slice(first, end - first) for c in batch.columns[: len(kept)]]
                 yield pa.RecordBatch.from_arrays([*rest, *added], [*kept, *new])
                 first = end

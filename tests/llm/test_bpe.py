@@ -25,7 +25,8 @@ def pieces_of(text):
     cut = encoder.split(text)
     assert cut == encoder.pattern.findall(text)
     encoder.encode_pieces(set(cut))
-    return np.frombuffer(b"".join(encoder.known[p][0] for p in cut), "<u4").tolist(), b"".join(encoder.known[p][1] for p in cut)
+    ids = np.frombuffer(b"".join(encoder.known[p] for p in cut), "<i4")
+    return ids.tolist(), encoder.decode(ids, [len(ids)])[0]
 
 
 @settings(max_examples=60, deadline=None)
@@ -53,3 +54,22 @@ def test_table(spark, documents, awkward, library):
         assert r["ids"] == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
     assert bpe.encode(documents([]), PATH, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("words", [500, 2000, 8000])
+def test_many_distinct_long_words(library, words):
+    """A recursion keeps all its rounds; texts like these go through it in many calls. In the middle, ids of empty texts."""
+    rng = random.Random(words)
+    text = " ".join("".join(rng.choice("acgt") for _ in range(190)) for _ in range(words))
+    ids, back = pieces_of(text)
+    assert ids == library.encode_ordinary(text) and back == text.encode()
+
+
+def test_decoding_in_slices(library, monkeypatch):
+    texts = ["", "some words", "", "é\U0001f600" * 40, "x" * 3000, ""]
+    encoder = bpe.encoder_for(PATH, PATTERN)
+    coded = [library.encode_ordinary(t) for t in texts]
+    for rows in (1, 7, 10_000):
+        monkeypatch.setattr(bpe, "DECODE_ROWS", rows)
+        assert encoder.decode(np.array(sum(coded, []), np.int32), list(map(len, coded))) == [t.encode() for t in texts]
+    assert encoder.decode(np.zeros(0, np.int32), [0, 0]) == [b"", b""]
