@@ -12,7 +12,8 @@ programming over its positions, into
 * brute-force spans, by the size of each character's class,
 
 each segment at an extra ``SEGMENT`` for the guess of where it begins. Values of ``GUESSES`` (log 10) or more count, unless one
-base span covers them whole. Every kind of segment is considered from every position, in time linear in the value's length.
+base span covers them whole. Every segment of every kind is considered, of any length and count, so the cost is the least there is; the
+time is linear in the value's length.
 
 Spans are code points, end exclusive. Defined cases: a null text is an empty one and has none; ids may be null or repeat;
 an empty table gives an empty result. Extra columns are passed over.
@@ -24,6 +25,7 @@ import base64
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,7 +53,6 @@ HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 GUESSES = 10.0
 SEGMENT = math.log10(4)
 UNIT = 8
-WORD_MAX = 20
 YEARS = math.log10(120)
 DAYS = math.log10(365 * 40)
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d")
@@ -59,6 +60,7 @@ YEAR = re.compile(r"19\d\d|20\d\d")
 # Rows of a keyboard, and substitutions for letters.
 ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 LEET = str.maketrans("@4301!5$7+", "aaeoiisstt")
 
 
@@ -87,18 +89,13 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def _runs(value: str) -> list[int]:
-    """From each position, how many further characters walk on: by neighbouring keys, or up or down by one."""
-    keys = value.lower().translate(SHIFTED) if value.isascii() else value
+def _steps(value: str) -> tuple[list[bool], list[int]]:
+    """For each character, whether the next one lies beside it on the keyboard, and whether it is one up or one down (1, -1, else 0)."""
+    keys = value.translate(LOWER).translate(SHIFTED)
     near = _neighbours()
-    n = len(value)
-    keyboard, ordered, step = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        keyboard[i] = keyboard[i + 1] + 1 if (keys[i], keys[i + 1]) in near else 0
-        d = ord(value[i + 1]) - ord(value[i]) if value[i].isalnum() and value[i + 1].isalnum() else 0
-        step[i] = d
-        ordered[i] = (ordered[i + 1] + 1 if step[i + 1] == d else 1) if d in (1, -1) else 0
-    return [max(a, b) for a, b in zip(keyboard, ordered)]
+    beside = [pair in near for pair in zip(keys, keys[1:])]
+    steps = [ord(b) - ord(a) if a.isalnum() and b.isalnum() else 0 for a, b in zip(value, value[1:])]
+    return beside, [d if d in (1, -1) else 0 for d in steps]
 
 
 def _capitals(part: str) -> float:
@@ -112,46 +109,72 @@ def _capitals(part: str) -> float:
 
 
 def guess_cost(value: str, ranks: dict[str, float], repeats: bool = True) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
+    """log10 of the guesses of the cheapest segmentation into all segments there are.
+
+    Brute force and walks cost so much per character, so the cheapest one that ends at a position is carried along. A repeat of a unit is kept as an
+    open candidate until its run ends, unless an earlier one of the same run stays cheaper for good; a run has a few candidates whatever its length.
+    """
     n = len(value)
-    lower = value.lower() if value.isascii() else value
+    lower = value.translate(LOWER)
     plain = lower.translate(LEET)
     backward = plain[::-1]
-    walks = _runs(value)
+    longest = max(map(len, ranks), default=0)
+    beside, steps = _steps(value)
+    step = math.log10(2)
     again = {u: [0] * (n + 1) for u in range(1, UNIT + 1)} if repeats else {}
     for u, same in again.items():
         for i in range(n - u - 1, -1, -1):
             same[i] = same[i + 1] + 1 if value[i] == value[i + u] else 0
     units: dict[str, float] = {}
+    open_: dict[tuple[int, int], list[tuple[int, float, int]]] = {}  # (unit, residue): start, cost, last end
     best = [math.inf] * (n + 1)
-    brute = [math.inf] * (n + 1)  # cheapest with a brute-force span that ends here
     best[0] = 0.0
-    for i in range(n):
+    brute = math.inf  # cheapest with a brute-force span that ends here
+    walk = {"keys": (math.inf, math.inf), "order": (math.inf, math.inf)}  # with one step, with more, that end at this character
+    for i in range(n + 1):
+        for u in again:
+            held = open_.get((u, i % u))
+            if held:
+                held[:] = [c for c in held if c[2] >= i]
+                for start, cost, _ in held:
+                    if i - start >= max(2 * u, 3):
+                        best[i] = min(best[i], cost + math.log10((i - start) // u))
+        if i == n:
+            break
         here = best[i] + SEGMENT
         # Brute force goes on at no extra, or begins here.
-        brute[i + 1] = min(brute[i], here) + _brute(value[i])
-        best[i + 1] = min(best[i + 1], brute[i + 1])
-        for end in range(i + 3, min(n, i + WORD_MAX) + 1):
+        brute = min(brute, here) + _brute(value[i])
+        best[i + 1] = min(best[i + 1], brute)
+        for end in range(i + 3, min(n, i + longest) + 1):
             for text, extra in ((lower[i:end], 0.0), (plain[i:end], math.log10(4)), (backward[n - end : n - i], math.log10(8))):
                 rank = ranks.get(text)
                 if rank is not None:
                     best[end] = min(best[end], here + rank + extra + _capitals(value[i:end]))
-                    break
-        for pattern, cost in ((DATE, DAYS), (YEAR, YEARS)):
-            found = pattern.match(value, i)
-            if found:
-                best[found.end()] = min(best[found.end()], here + cost)
-        for length in range(2, min(walks[i], 15) + 1):
-            best[i + length + 1] = min(best[i + length + 1], here + math.log10(47) + length * math.log10(2))
+        if value[i].isdigit():
+            for end in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, end):
+                    best[end] = min(best[end], here + DAYS)
+            if YEAR.match(value, i):
+                best[i + 4] = min(best[i + 4], here + YEARS)
+        if i + 1 < n:
+            begun = here + math.log10(47) + step
+            for kind, going, on in (
+                ("keys", beside[i], i > 0 and beside[i - 1]), ("order", steps[i] != 0, i > 0 and steps[i] == steps[i - 1]),
+            ):
+                more = min(walk[kind]) + step if going and on else math.inf
+                walk[kind] = (begun, more) if going else (math.inf, math.inf)
+                best[i + 2] = min(best[i + 2], more)
         for u, same in again.items():
-            count = same[i] // u + 1
-            if count > 1 and count * u >= 3:
-                end = i + count * u
-                part = value[i : i + u]
-                if part not in units:
-                    units[part] = guess_cost(part, ranks, repeats=False)
-                unit = units[part]
-                best[end] = min(best[end], here + unit + math.log10(count))
+            if same[i] < u or (same[i] // u + 1) * u < 3:
+                continue
+            part = value[i : i + u]
+            if part not in units:
+                units[part] = guess_cost(part, ranks, repeats=False)
+            cost, last = here + units[part], i + (same[i] // u + 1) * u
+            held = open_.setdefault((u, i % u), [])
+            if not any(c[2] == last and cost >= c[1] + math.log10(((i - c[0]) // u + 2) / 2) for c in held):
+                held[:] = [c for c in held if c[2] != last or c[1] < cost]
+                held.append((i, cost, last))
     return best[n]
 
 

@@ -1,8 +1,11 @@
 """Base spans against the bare patterns, guess costs against a search over all segmentations."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from functools import lru_cache
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -41,35 +44,68 @@ def test_base_spans(text):
     assert s.joined(found) == ",".join(plain_base(text))
 
 
-def plain_cost(value, ranks):
-    """All segmentations of a short value, brute-force spans and words only."""
-    import math
-    from functools import lru_cache
-
+def segments(part, ranks, repeats):
+    """The cost of a part as each kind of segment that it can be."""
+    yield sum(map(s._brute, part))
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in part)
+    plain = low.translate(s.LEET)
+    for text, factor in ((low, 1), (plain, 4), (plain[::-1], 8)):
+        if len(part) >= 3 and text in ranks:
+            yield ranks[text] + math.log10(factor) + s._capitals(part)
+    if re.fullmatch(s.DATE, part):
+        yield s.DAYS
+    if re.fullmatch("19[0-9]{2}|20[0-9]{2}", part):
+        yield s.YEARS
+    if len(part) >= 3:
+        keys = low.translate(s.SHIFTED)
+        beside = all((a, b) in s._neighbours() for a, b in zip(keys, keys[1:]))
+        gaps = {ord(b) - ord(a) for a, b in zip(part, part[1:])}
+        if beside or part.isalnum() and gaps in ({1}, {-1}):
+            yield math.log10(47) + (len(part) - 1) * math.log10(2)
+        if repeats:
+            for u in range(1, min(s.UNIT, len(part) // 2) + 1):
+                if len(part) % u == 0 and part == part[:u] * (len(part) // u):
+                    yield plain_cost(part[:u], ranks, False) + math.log10(len(part) // u)
+
+
+def plain_cost(value, ranks, repeats=True):
+    """The least over all segmentations."""
     @lru_cache(None)
     def rest(i):
         if i == len(value):
             return 0.0
-        options = []
-        for end in range(i + 1, len(value) + 1):
-            part = value[i:end]
-            options.append(sum(map(s._brute, part)) + s.SEGMENT + rest(end))
-            if len(part) >= 3 and part in ranks:
-                options.append(ranks[part] + s.SEGMENT + rest(end))
-        return min(options)
-
-    assert math.isfinite(rest(0))
+        return min(cost + s.SEGMENT + rest(end) for end in range(i + 1, len(value) + 1) for cost in segments(value[i:end], ranks, repeats))
+
     return rest(0)
 
 
+RANKS = {"horse": 2.0, "hor": 1.0, "sea": 1.5, "ear": 0.5, "battery": 3.0, "ese": 0.2, "apple": 2.5, "aaa": 2.9, "pass": 1.1, "ssap": 0.1, "abcabc": 1.0}
+
+
 def test_segmentation_is_the_cheapest():
     rng = random.Random(6)
-    ranks = {"horse": 2.0, "hor": 1.0, "sea": 1.5, "ear": 0.5, "battery": 3.0}
-    for _ in range(200):
-        value = "".join(rng.choice(["horse", "sea", "ear", "battery", "K", "w", "#"]) for _ in range(rng.randrange(1, 7)))
-        assert s.guess_cost(value, ranks) <= plain_cost(value, ranks) + 1e-9
-        odd = "".join(rng.choice("K#w9hZ") for _ in range(8))
-        assert s.guess_cost(odd, ranks) <= plain_cost(odd, ranks) + 1e-9
+    bits = [
+        "horse", "sea", "Ear", "BATTERY", "h0r$e", "esroh", "p@ss", "apple", "aaa", "aaaaaaaa", "abcabcabc", "xyxyx", "qwerty", "sdsdsd", "4321", "efgh", "fed", "zq",
+        "2019-04-17", "1.2.1999", "010203", "20200101", "1987", "12", "K", "#", "é", "ſ", "１",
+    ]
+    for n in range(600):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 5)))[: rng.randrange(1, 24)]
+        assert math.isclose(s.guess_cost(value, RANKS), plain_cost(value, RANKS), abs_tol=1e-9), value
+        value = "".join(rng.choice(["a", "ab", "1", "2", "k9"][n % 3 :]) for _ in range(rng.randrange(1, 18)))
+        assert math.isclose(s.guess_cost(value, RANKS), plain_cost(value, RANKS), abs_tol=1e-9), value
+
+
+def test_fewer_repeats_may_be_cheaper():
+    ranks = s.word_ranks(PATH)
+    assert s.guess_cost("aaaaaaaapple7", ranks) <= s.guess_cost("aaaaaaa", ranks) + s.guess_cost("apple7", ranks) + 1e-9 < s.GUESSES
+
+
+def test_long_values_are_linear():
+    ranks = s.word_ranks(PATH)
+    began = time.monotonic()
+    for unit in ("a", "ab", "sd", "x7Q", "abcdefgh", "1234567890"):
+        s.guess_cost(unit * (40_000 // len(unit)), ranks)
+    assert time.monotonic() - began < 60
 
 
 def test_costs_of_kinds_of_values():
