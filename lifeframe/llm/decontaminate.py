@@ -8,13 +8,16 @@ Candidates come from the CGK embedding: a walk over a window copies the word at
 a random bit of (step, word), moves on or stays, so sequences a few edits apart fall into step again and their outputs
 differ in few places. Bit-sampling LSH keys are hashes of ``PLACES`` random places of the output; ``WALKS`` walks with
 ``SAMPLES`` keys each reach the target recall. Windows are item-sized: 32, 16 or 8 words, the largest that fits into
-an item. Items are indexed at every offset, so texts need windows at every ``STRIDE``-th word only, and one walk serves
+an item at some offsets. Items are indexed at every offset, so texts need windows at every ``STRIDE``-th word only, and one walk serves
 windows of all sizes. Each candidate is verified by the exact edit distance of the whole item to the best run of words.
 
-The item index is broadcast in blocks of at most ``BLOCK_WORDS`` item words; a larger benchmark takes one pass over
-the documents per block. Items of 5 to 10 words have to stand in a text without edits; items of fewer than 5 words say
+Items of 5 to 10 words are too short for a window. Cut into one part more than they may have edits, one part stands as it is, so they are
+found by hashes of their parts, and verified like the others; no such match is missed. Items of fewer than 5 words say
 nothing about a text and match none (``MIN_WORDS``).
 
+The item index is broadcast in blocks of at most ``BLOCK_WORDS`` item words; a larger benchmark takes one pass over
+the documents per block.
+
 Defined cases: null and empty texts or items match nothing; ids may be null or repeat, repeated rows give one match per
 (document id, item id); an empty table gives an empty result. Extra columns are passed over.
 """
@@ -126,7 +129,7 @@ class Table:
 class ItemIndex:
     """Items of one block, ready to be looked up."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], similarity: float = SIMILARITY):
         column = pa.array(texts, pa.string())
         parts = [Words(data, offsets) for _, _, data, offsets in spans.slices(column, 1 << 40)]
         self.ids = ids
@@ -136,7 +139,8 @@ class ItemIndex:
         for item, masks in zip(self.items, self.masks):
             for k, h in enumerate(item):
                 masks[h] = masks.get(h, 0) | 1 << k
-        fits = np.array([next((s for s in SIZES if n >= s + STRIDE - 1), 0) for n in words.count], np.int64)
+        # A text meets about every STRIDE-th window of an item, so a size needs some offsets to spare.
+        fits = np.array([next((s for s in SIZES if n >= s + 2 * STRIDE), SIZES[-1] if n >= SIZES[-1] + STRIDE - 1 else 0) for n in words.count], np.int64)
         starts, text, offset = words.windows(1)
         inside = offset + fits[text] <= words.count[text]
         self.tables: dict[tuple[int, int], Table] = {}
@@ -144,14 +148,17 @@ class ItemIndex:
             own = np.flatnonzero((fits[text] == size) & inside)
             if len(own):
                 self.tables[size, t] = Table(keys[own], np.stack([text[own], offset[own]], axis=1))
-        self.short: dict[int, dict[int, list[int]]] = {}  # length, hash of all words, items
-        for i in np.flatnonzero((fits == 0) & (words.count >= MIN_WORDS)):
+        self.parts: dict[int, dict[int, list[tuple[int, int]]]] = {}  # length, hash of the part, (item, offset of the part)
+        for i in np.flatnonzero((fits == 0) & (words.count >= MIN_WORDS)).tolist():
             n = int(words.count[i])
-            whole, _ = spans.hash_windows(words.hashes[words.first[i] : words.first[i] + n], np.zeros(n, np.int64), n)
-            self.short.setdefault(n, {}).setdefault(int(whole[0]), []).append(int(i))
-
-    def candidates(self, words: Words) -> tuple[set[tuple[int, int, int]], set[tuple[int, int, int]]]:
-        """({(text, item, first word of the item)}, {(text, item, first word) found as it stands})."""
+            cuts = np.linspace(0, n, allowed_edits(n, similarity) + 2).astype(int).tolist()
+            for at, end in zip(cuts, cuts[1:]):
+                run = words.hashes[words.first[i] + at : words.first[i] + end]
+                whole, _ = spans.hash_windows(run, np.zeros(len(run), np.int64), len(run))
+                self.parts.setdefault(len(run), {}).setdefault(int(whole[0]), []).append((i, at))
+
+    def candidates(self, words: Words) -> set[tuple[int, int, int]]:
+        """{(text, item, about where the item begins)}"""
         starts, text, offset = words.windows(STRIDE)
         near: set[tuple[int, int, int]] = set()
         if self.tables and len(starts):
@@ -161,16 +168,19 @@ class ItemIndex:
                     which, entries = held.find(keys)
                     if len(which):
                         near.update(zip(text[which].tolist(), entries[:, 0].tolist(), (offset[which] - entries[:, 1]).tolist()))
-        exact = set()
-        row = np.repeat(np.arange(len(words.count)), words.count + 1)
-        for n, items in self.short.items():
+        row = np.repeat(np.arange(len(words.count)), words.count + 1) if self.parts else None
+        for n, items in self.parts.items():
             hashes, first = spans.hash_windows(words.hashes, row, n)
-            hit = np.flatnonzero(np.isin(hashes, np.fromiter(items, np.uint64, len(items))))
-            for k in hit.tolist():
+            for k in np.flatnonzero(np.isin(hashes, np.fromiter(items, np.uint64, len(items)))).tolist():
                 place = int(first[k])
-                for i in items[int(hashes[k])]:
-                    exact.add((int(row[place]), i, place - int(words.first[row[place]])))
-        return near, exact
+                here = int(row[place])
+                near.update((here, i, place - int(words.first[here]) - at) for i, at in items[int(hashes[k])])
+        return near
+
+
+def allowed_edits(n: int, similarity: float) -> int:
+    """Word edits that an item of ``n`` words may have."""
+    return int(round((1 - similarity) * n, 9))
 
 
 def best_run(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
@@ -195,16 +205,13 @@ def best_run(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
 
 def matches(words: Words, index: ItemIndex, similarity: float) -> dict[tuple[int, int], tuple[int, int]]:
     """{(text, item): (edits, word before which the best run ends)} of what passes verification."""
-    near, exact = index.candidates(words)
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for text, i, at in exact:
-        found[text, i] = min(found.get((text, i), (1, 0)), (0, at + len(index.items[i])))
     regions: dict[tuple[int, int], list[int]] = {}
-    for text, i, at in near:
+    for text, i, at in index.candidates(words):
         regions.setdefault((text, i), []).append(at)
     for (text, i), places in regions.items():
         n = len(index.items[i])
-        allowed = int(round((1 - similarity) * n, 9))
+        allowed = allowed_edits(n, similarity)
         first, count = int(words.first[text]), int(words.count[text])
         places.sort()
         low = high = None
@@ -252,7 +259,7 @@ def contaminated(
     for block in _blocks(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*block.value)
+            index = ItemIndex(*block.value, similarity)
             names = pa.array(index.ids, arrow)
             for batch in batches:
                 for first, _, data, offsets in spans.slices(batch.column(1)):
@@ -282,7 +289,7 @@ def keep_clean(
     for block in _blocks(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*block.value)
+            index = ItemIndex(*block.value, similarity)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for first, _, data, offsets in spans.slices(batch.column(len(names))):

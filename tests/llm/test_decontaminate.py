@@ -56,7 +56,7 @@ def planted():
         for i, item in items:
             if len(item) < 5:
                 continue
-            allowed = int(round(0.2 * len(item), 9)) if len(item) >= 11 else 0
+            allowed = int(round(0.2 * len(item), 9))
             if len(set(item) & set(words)) >= 0.6 * len(set(item)) and plain_edits(item, words) <= allowed:
                 truth.add((d, i))
     return items, docs, truth
@@ -99,17 +99,19 @@ def test_best_run():
         assert decontaminate.best_run(masks, len(item), text)[0] == plain_edits(item, text)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("words", "least"), [(5, 1.0), (8, 1.0), (10, 1.0), (11, 0.95), (15, 0.95), (19, 0.95), (24, 0.95), (35, 0.95), (36, 0.95), (37, 0.95), (40, 0.95), (60, 0.95)])
+def test_recall_at_the_threshold(words, least):
+    """Items with as many edits as they may have."""
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
-    items = [[rng.choice(vocabulary) for _ in range(40)] for _ in range(200)]
-    index = decontaminate.ItemIndex(list(range(200)), [" ".join(i) for i in items])
+    items = [[rng.choice(vocabulary) for _ in range(words)] for _ in range(300)]
+    index = decontaminate.ItemIndex(list(range(300)), [" ".join(i) for i in items])
     texts = [" ".join([rng.choice(vocabulary) for _ in range(rng.randrange(50))] + edited(rng, i, 0.2) + [rng.choice(vocabulary) for _ in range(30)]) for i in items]
     near = set()
     for first, _, data, offsets in spans.slices(pa.array(texts)):
         near |= {first + t for t, i in decontaminate.matches(decontaminate.Words(data, offsets), index, 0.8) if first + t == i}
-    truth = [t for t in range(200) if plain_edits(items[t], texts[t].split()) <= 8]
-    assert np.mean([t in near for t in truth]) >= 0.95
+    truth = [t for t in range(300) if plain_edits(items[t], texts[t].split()) <= decontaminate.allowed_edits(words, 0.8)]
+    assert len(truth) >= 200 and np.mean([t in near for t in truth]) >= least
 
 
 def test_awkward(spark, documents, awkward):
