@@ -6,10 +6,11 @@ ring order. That is a queue along the ring, so where the overflow goes follows f
 per virtual node: with the ring cut where the running sum is least, nothing flows over the cut, the overflow behind a node
 is the running sum less its minimum so far, and every node serves one interval of the keys in ring order.
 
-Only tables of fixed size (``POINTS`` x ``SLICES`` cells, virtual nodes) are brought into one order; a row's place
-is its cell's offset plus its number within the cell. Rows that are alike are counted before they are shuffled, and a
-point's rows are dealt over slices by all their values, so a key that holds a third of all rows is no group of its own. The cell table
-is broadcast: its size is fixed by the parameters.
+Only tables of fixed size (cells, virtual nodes) are brought into one order; a row's place
+is its cell's offset plus its number within the cell. Rows that are alike are counted before they are shuffled, and written out again
+``COPIES`` at a time. A point's rows are dealt over slices by all their values, as many slices as the point has shares of
+1 / ``POINTS`` of all rows, so a key that holds a third of all rows is a third of all cells. There are at most 2 x ``POINTS`` cells; the tables
+of points and cells are broadcast, as their size is fixed by the parameters.
 
 ``slack`` 0 fills all shards exactly: row counts differ by one at most. With more slack a shard holds at most
 (1 + slack) times its share and a change of the number of shards moves fewer rows.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lifeframe.session import materialize
 
 POINTS = 1 << 12
-SLICES = 4
+COPIES = 10_000  # equal rows that are written out together
 NODES = 32  # virtual nodes of a shard
 
 
@@ -99,14 +100,24 @@ def assign(df: DataFrame, key: str, ties: list[str], shards: int, slack: float =
     """``key`` and ``ties`` of every row with its ``shard`` and its ``slot``, gapless from 0 within the shard."""
     columns = [key, *ties]
     point = F.pmod(F.xxhash64(key), F.lit(POINTS))
-    slice_ = F.pmod(F.xxhash64(*columns), F.lit(SLICES)).cast("int")
     alike = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_m"))
-    held = materialize(alike.withColumns({"_point": point, "_slice": slice_}), "ring-rows")
-    cells = materialize(held.groupBy(F.col("_point").alias("point"), F.col("_slice").alias("slice")).agg(F.sum("_m").alias("n")), "ring-cells")
+    held = materialize(alike.withColumn("_point", point), "ring-rows")
+    # As many slices as the point has shares of the rows: cells of about one size.
+    points = materialize(held.groupBy("_point").agg(F.sum("_m").alias("_n")), "ring-points")
+    total = points.agg(F.sum("_n")).first()[0] or 1
+    shares = points.select(F.col("_point").alias("_of"), F.ceil(F.col("_n") * POINTS / total).cast("long").alias("_slices"))
+    dealt = held.join(F.broadcast(shares), F.col("_point") == F.col("_of")).withColumn("_slice", F.pmod(F.xxhash64(*columns), F.col("_slices")).cast("int"))
+    dealt = dealt.drop("_of", "_slices")
+    cells = materialize(dealt.groupBy(F.col("_point").alias("point"), F.col("_slice").alias("slice")).agg(F.sum("_m").alias("n")), "ring-cells")
     placed = materialize(pieces(cells, shards, slack), "ring-pieces")
     within = Window.partitionBy("_point", "_slice").orderBy(F.xxhash64(key), *columns).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = held.withColumn("_i", F.coalesce(F.sum("_m").over(within), F.lit(0)))
-    rows = numbered.select(*columns, "_point", "_slice", F.explode(F.sequence(F.col("_i"), F.col("_i") + F.col("_m") - 1)).alias("_i"))
+    numbered = dealt.withColumn("_i", F.coalesce(F.sum("_m").over(within), F.lit(0)))
+    each = F.explode(F.sequence(F.col("_i"), F.col("_i") + F.col("_m") - 1)).alias("_i")
+    kept = [*columns, "_point", "_slice"]
+    few = numbered.filter(f"_m <= {COPIES}").select(*kept, each)
+    chunks = numbered.filter(f"_m > {COPIES}").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_m - 1) div {COPIES})"))).repartition("_point", "_slice", "_i", "_chunk")
+    many = chunks.withColumns({"_i": F.expr(f"_i + _chunk * {COPIES}"), "_m": F.expr(f"least({COPIES}, _m - _chunk * {COPIES})")}).select(*kept, each)
+    rows = few.unionByName(many)
     q = F.col("first") + F.col("_i")
     joined = rows.join(F.broadcast(placed), (F.col("_point") == F.col("point")) & (F.col("_slice") == F.col("slice")) & (q >= F.col("low")) & (q < F.col("high")))
     return joined.select(*columns, "shard", (q + F.col("base")).alias("slot"))
