@@ -4,12 +4,14 @@ Every language has a probability for each piece of a fixed public vocabulary of
 sum over all its segmentations into pieces, found by a forward pass; a text's is the product over its words; the language
 with the largest wins, and ``score`` is its share among the languages (equal priors).
 
-Words are runs of ASCII letters and bytes outside ASCII, in lower case, with one blank in front; runs over ``RUN`` bytes are cut,
-so that no probability underflows and work is linear in a text's length. Forward passes run over the distinct words of a slice
-of texts side by side.
+Words are runs of ASCII letters and bytes outside ASCII, in lower case, with one blank in front, of any length: scripts without
+blanks are sums over all segmentations too. Forward passes run over the distinct words of a slice
+of texts side by side. A word of over ``RUN`` bytes is taken in parts of ``RUN`` bytes: a pass finds, for all parts side by side, how the sums at the last
+``PIECE`` places before a part turn into those at its end, and these matrices are multiplied in order, rescaled at each step, so
+no probability underflows and work is linear in a text's length. Pieces have up to ``PIECE`` bytes.
 
 Probabilities are fitted by expectation maximisation: expected counts of pieces over all segmentations (forward and backward)
-of the words of about ``SAMPLE`` training documents per language, which is the documented bound of the sample. Documents
+of the words (of long ones, of their parts, cut between characters) of about ``SAMPLE`` training documents per language, which is the documented bound of the sample. Documents
 are drawn by a hash of their text, and a text that repeats within a language counts once. What the driver receives is one number
 per language and piece of the vocabulary.
 
@@ -33,7 +35,8 @@ from lifeframe.session import materialize
 
 SAMPLE = 1000  # training documents per language, about
 ROUNDS = 3
-RUN = 31
+RUN = 31  # bytes of a word in one pass
+LONG_PARTS = 500  # parts of a long word that are worked on at once
 PIECE = 12  # longest piece, bytes
 SMOOTH = 0.02
 BLOCK = 20_000  # words in one forward pass
@@ -116,16 +119,57 @@ def by_size(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator
 def log_probabilities(table: PieceTable, chances: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """words x languages: log of the sum over all segmentations. ``chances`` is pieces x languages, its last row 0."""
     out = np.zeros((len(starts), chances.shape[1]))
-    for size, part, rows in by_size(data, starts, sizes):
+    short = np.flatnonzero(sizes <= RUN)
+    for size, part, rows in by_size(data, starts[short], sizes[short]):
         forward = np.zeros((size + 1, len(part), chances.shape[1]))
         forward[0] = 1.0
         for begin, end, numbers in lattice(table, rows, size):
             some = np.flatnonzero(numbers < len(table.tokens))
             forward[end, some] += forward[begin, some] * chances[numbers[some]]
-        out[part] = np.log(forward[size])
+        out[short[part]] = np.log(forward[size])
+    for word in np.flatnonzero(sizes > RUN).tolist():
+        out[word] = long_word(table, chances, data[starts[word] : starts[word] + sizes[word]])
     return out
 
 
+def long_word(table: PieceTable, chances: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Per language the log of the sum over all segmentations of one word of any length."""
+    ahead = PIECE - 1  # bytes before a part that pieces may begin at
+    padded = np.concatenate([np.zeros(ahead, np.uint8), [32], word]).astype(np.uint64)
+    ends = [*range(RUN, len(word) + 1, RUN), len(word) + 1]
+    # The sums at the last PIECE places, nearest first; in the beginning only the empty segmentation.
+    state, log = np.zeros((chances.shape[1], PIECE, 1)), np.zeros(chances.shape[1])
+    state[:, 0] = 1.0
+    for first in range(0, len(ends), LONG_PARTS):
+        some = ends[first : first + LONG_PARTS]
+        begin = 0 if first == 0 else ends[first - 1]
+        sizes = np.diff([begin, *some])
+        at = np.cumsum([begin, *sizes[:-1]])
+        found = np.zeros((len(some), chances.shape[1], PIECE, PIECE))
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            found[of] = transfers(table, chances, padded[at[of][:, None] + np.arange(ahead + size)])
+        for matrix in found:
+            state = matrix @ state
+            most = state.max(axis=1, keepdims=True)
+            log += np.log(most[:, 0, 0])
+            state /= most
+    return log + np.log(state[:, 0, 0])
+
+
+def transfers(table: PieceTable, chances: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """parts x languages x PIECE x PIECE: the sums at the last places of each part, from those before it. Rows begin with ``PIECE`` - 1 bytes before the part."""
+    size = rows.shape[1]
+    forward = np.zeros((size + 1, len(rows), chances.shape[1], PIECE))
+    for j in range(PIECE):
+        forward[PIECE - 1 - j, :, :, j] = 1.0
+    for begin, end, numbers in lattice(table, rows, size):
+        if end >= PIECE:
+            some = np.flatnonzero(numbers < len(table.tokens))
+            forward[end, some] += forward[begin, some] * chances[numbers[some]][:, :, None]
+    return np.stack([forward[size - i] for i in range(PIECE)], axis=2)
+
+
 def expected_counts(table: PieceTable, chances: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, language: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """pieces x languages: expected counts over all segmentations of words, each in its language."""
     counts = np.zeros((len(table.tokens) + 1) * chances.shape[1])
@@ -146,15 +190,22 @@ def expected_counts(table: PieceTable, chances: np.ndarray, data: np.ndarray, st
     return counts.reshape(-1, wide)[:-1]
 
 
-def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of words, long runs cut."""
+def word_runs(data: np.ndarray, offsets: np.ndarray, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of words; if wanted, long ones cut between characters into parts of up to ``RUN`` bytes."""
     starts, ends, row = spans.spans_of(_LETTER[data], offsets)
-    parts = -(-(ends - starts) // RUN)
-    if len(parts) and parts.max() > 1:
-        row, first, last = np.repeat(row, parts), np.repeat(starts, parts), np.repeat(ends, parts)
-        starts = first + RUN * (np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts))
-        ends = np.minimum(starts + RUN, last)
-    return starts, ends, row
+    if not cut or not len(starts) or (ends - starts).max() <= RUN:
+        return starts, ends, row
+    parts: list[tuple[int, int, int]] = []
+    for start, end, of in zip(starts.tolist(), ends.tolist(), row.tolist()):
+        while end - start > RUN:
+            stop = start + RUN
+            while stop > start + RUN - 4 and data[stop] & 0xC0 == 0x80:  # inside a character
+                stop -= 1
+            parts.append((start, stop, of))
+            start = stop
+        parts.append((start, end, of))
+    out = np.array(parts, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +220,7 @@ def _words_of_language(rows: DataFrame, languages: list[str]) -> DataFrame:
         for batch in batches:
             language = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, data, offsets in spans.slices(batch.column(1)):
-                starts, ends, row = word_runs(data, offsets)
+                starts, ends, row = word_runs(data, offsets, cut=True)
                 at, which = distinct_words(data, starts, ends)
                 keys, n = np.unique(which * len(languages) + language[first + row].astype(np.int64), return_counts=True)
                 word = at[keys // len(languages)]

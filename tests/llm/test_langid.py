@@ -1,6 +1,9 @@
 """Forward passes against a sum over all segmentations; accuracy on held-out texts; defined cases."""
 
+import math
 import random
+import time
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -45,10 +48,45 @@ def test_forward_and_counts_are_sums_over_segmentations():
     assert np.allclose(counts, expected)
 
 
-def test_long_runs_are_cut():
-    _, _, data, offsets = next(spans.slices(pa.array(["a" * 100, "é1b", "", "x" * 31])))
+def test_long_words_are_cut_for_fitting_only():
+    _, _, data, offsets = next(spans.slices(pa.array(["a" * 100, "é1b", "", "x" * 31, "東" * 12])))
+    starts, ends, row = langid.word_runs(data, offsets, cut=True)
+    assert (ends - starts).tolist() == [31, 31, 31, 7, 2, 1, 31, 30, 6] and row.tolist() == [0, 0, 0, 0, 1, 1, 3, 4, 4]
     starts, ends, row = langid.word_runs(data, offsets)
-    assert (ends - starts).tolist() == [31, 31, 31, 7, 2, 1, 31] and row.tolist() == [0, 0, 0, 0, 1, 1, 3]
+    assert (ends - starts).tolist() == [100, 2, 1, 31, 36] and row.tolist() == [0, 1, 1, 3, 4]
+
+
+def test_words_of_any_length_are_summed_over_all_segmentations(monkeypatch):
+    """Across the borders of parts, against a pass over one word with exact fractions of any size."""
+    table = langid.pieces(PATH)
+    number = {t: i for i, t in enumerate(table.tokens)}
+    chances = langid._smoothed(np.random.default_rng(4).random((len(table.tokens), 2)) ** 6)
+    monkeypatch.setattr(langid, "LONG_PARTS", 3)
+    rng = random.Random(8)
+    words = ["東京都庁舎前広場東京都庁", "internationalisation" * 5, "x" * 400, "".join(rng.choice(["the", "ing", "é", "ß", "京", "sch"]) for _ in range(150))]
+    words += ["".join(rng.choice("etaoin") for _ in range(n)) for n in (31, 32, 61, 62, 63, 92, 93, 94, 95)]
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.array([len(w) for w in raw])
+    logs = langid.log_probabilities(table, chances, data, np.cumsum(sizes) - sizes, sizes)
+    for w, word in enumerate(raw):
+        whole = b" " + word
+        for k in range(2):
+            sums = [Fraction(1)]
+            for end in range(1, len(whole) + 1):
+                pieces = ((begin, whole[begin:end]) for begin in range(max(0, end - langid.PIECE), end))
+                sums.append(sum((sums[b] * Fraction(chances[number[p], k]) for b, p in pieces if p in number), Fraction(0)))
+            exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert math.isclose(logs[w, k], exact, rel_tol=1e-9), (word, k)
+
+
+def test_long_words_take_linear_time():
+    table = langid.pieces(PATH)
+    chances = langid._smoothed(np.ones((len(table.tokens), 4)))
+    data = np.frombuffer("東京都庁舎".encode() * 20_000, np.uint8)
+    began = time.monotonic()
+    assert np.isfinite(langid.log_probabilities(table, chances, data, np.array([0]), np.array([len(data)]))).all()
+    assert time.monotonic() - began < 60
 
 
 def texts(rng, syllables, n):
