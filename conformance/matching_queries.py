@@ -67,10 +67,29 @@ def _match(spark, d):
 
 @query(
     "ma03_match",
+    f"""with recursive {SIDES},
+p as (select pnr, ('0x' || substr(md5('7:' || pnr), 1, 8))::bigint as point from v_persons),
+e as (select c.pnr as case_pnr, k.pnr as control_pnr, dense_rank() over (order by c.pnr) as turn, (((q.point - o.point) % 4294967296) + 4294967296) % 4294967296 as away
+  from c join k on {ELIGIBLE} join p o on o.pnr = c.pnr join p q on q.pnr = k.pnr),
+g as (
+  select 0::bigint as turn, []::varchar[] as used, []::varchar[] as drawn
+  union all
+  select g.turn + 1, list_concat(g.used, d.drawn), d.drawn from g join lateral (
+    select coalesce(list(e.control_pnr order by e.away, e.control_pnr), [])[:2] as drawn from e where e.turn = g.turn + 1 and not list_contains(g.used, e.control_pnr)) d on true
+  where g.turn < (select max(turn) from e))
+select distinct e.case_pnr, t.control_pnr from (select turn, unnest(drawn) as control_pnr from g) t join e on e.turn = t.turn""",
+)
+def _(spark, d):
+    """The draw itself: case by case, the first two eligible controls clockwise from the case's point that no earlier case took."""
+    return _match(spark, d).pairs.select("case_pnr", "control_pnr")
+
+
+@query(
+    "ma03_match_rules",
     f"with {SIDES} select pnr as case_pnr, true as within_ratio, true as eligible, true as not_shared, true as exhausted_or_full from c",
 )
 def _(spark, d):
-    """Which controls are drawn is left to chance, so what SQL can state of every case is checked: it has no more than the
+    """What holds whichever controls are drawn: a case has no more than the
     ratio, all of them eligible and its own, and fewer only if every eligible control went to an earlier case."""
     cases, controls = (M.prepare(s, CONFIG.criteria, "side") for s in sides(spark, d))
     pairs = materialize(_match(spark, d).pairs.select("case_pnr", "control_pnr"), "ma03-pairs")

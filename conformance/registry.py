@@ -50,6 +50,8 @@ def with_views(sql: str) -> str:
     if not found:
         return body
     ctes = ",\n".join(f"v_{name} as ({text})" for name, text in found.items())
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

@@ -81,7 +81,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
 def categorize(df: DataFrame, code: str = "diagnosis_code") -> DataFrame:
     """Adds ``category``, ``congenital`` and ``severity``; all null for codes that are not chronic.
 
-    The rules are a fixed table of about 250 rows, broadcast twice: once for each prefix length.
+    The rules are a fixed table of 270 rows, broadcast twice: once for each prefix length.
     """
     rules = rule_table(df.sparkSession)
     cleaned = F.upper(F.trim(F.col(code)))

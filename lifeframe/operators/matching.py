@@ -6,13 +6,15 @@ Eligibility depends on few attributes only, so persons are grouped into cells of
 the range join runs between cells. The number of cells is bounded by the attributes' domains, not by
 the number of persons.
 
-Greedy selection in case order equals deferred acceptance in which every case ranks its eligible
-controls at random and every control prefers the earlier case. It runs in rounds. A case that still
-needs k controls draws k of the controls that would take it right now - the free ones and those held by
-a later case - uniformly, by position: the counts per cell give the size of that pool without listing
-it. Each control keeps the earliest of its holder and its proposers; who loses a control draws again.
-A control that refused a case is held by an earlier one for good, so drawing only among willing controls
-is the same as walking down a random ranking. A case whose pool is empty is finished.
+Persons lie on a circle, at a point that a digest of the seed and their id gives. A case draws the first eligible controls clockwise from
+its own point, so over seeds every control is as likely, and a second engine that knows the digest draws the same.
+
+Greedy selection in case order with fixed rankings equals deferred acceptance in which every control prefers the earlier case. It
+runs in rounds. A case that still needs k controls proposes to the first k on its way that would take it right now - the free ones and
+those held by a later case. Each control keeps the earliest of its holder and its proposers; who loses a control proposes again.
+A control that refused a case is held by an earlier one for good, so looking only at willing controls is the same as walking
+down the ranking. A case finds its next controls among the few arcs of its eligible cells that lie close behind its point; it
+looks further if these hold too few, and is finished when the whole circle does. Two writes a round.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeframe.operators.asof import as_of
-from lifeframe.operators.ranking import position_in_group, spread
 from lifeframe.session import materialize
 
 _ANY = "*"
-# Case orders per slice when holders are counted: bounds how many rows one task sorts.
-_ORDER_SLICE_BITS = 17
+_CIRCLE_BITS = 32
+_ARC_CONTROLS = 4  # controls on an arc of a cell's circle
+_SPARE = 4  # how much more than needed a case looks at first
+_WIDER = 8  # how much wider it looks after finding too few
 
 
 @dataclass(frozen=True)
@@ -280,120 +283,43 @@ def _ordered_cases(cases: DataFrame, config: MatchingConfig) -> DataFrame:
     return materialize(ranked.select("ord", F.col("pnr").alias("case_pnr"), "case_cell"), "match-order")
 
 
-def _place_free(free: DataFrame) -> DataFrame:
-    """Free controls with their position 0.. within their cell."""
-    placed = position_in_group(
-        free.select("control_pnr", "cell"), ["cell"], [spread(F.col("control_pnr"))], [F.md5("control_pnr"), F.col("control_pnr")], "_p"
-    )
-    return placed.select("control_pnr", "cell", (F.col("_p") - 1).alias("pos"))
+def point_of(seed: int, pnr: Column) -> Column:
+    """A person's point on the circle: 32 bits of a digest of seed and id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), pnr)), 1, 8), 16, 10).cast("long")
 
 
-def _later_holders(active: DataFrame, edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per case and cell the number of controls held by later cases; held controls with their position
-    from the latest holder on).
+def _arcs(controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(controls with the arc of their cell that they lie on; per cell its number of controls and of arcs).
 
-    Holders and asking cases are put on one line per cell and counted from the late end, in slices of the
-    case order that are summed afterwards.
+    A cell's circle is cut into as many arcs as leave about ``_ARC_CONTROLS`` controls on each, whatever the cell's size.
     """
-    holding_cells = held.select("cell").distinct()
-    asks = active.join(edges.join(holding_cells, "cell", "left_semi"), "case_cell").select(
-        "cell", "ord", F.lit(0).alias("is_held"), F.lit(None).cast("string").alias("control_pnr")
-    )
-    # Only cells somebody asks about are counted, so late rounds with few cases stay small. A case may hold
-    # several controls of a cell, so equal orders are separated by the control.
-    asked = edges.join(active.select("case_cell").distinct(), "case_cell", "left_semi").select("cell").distinct()
-    holders = held.join(asked, "cell", "left_semi")
-    line = asks.unionByName(holders.select("cell", "ord", F.lit(1).alias("is_held"), "control_pnr"))
-    line = line.withColumn("_slice", F.shiftright("ord", _ORDER_SLICE_BITS))
-    from_late = Window.partitionBy("cell", "_slice").orderBy(
-        F.desc("ord"), F.asc("is_held"), F.asc("control_pnr")
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    local = line.withColumn("_local", F.coalesce(F.sum("is_held").over(from_late), F.lit(0)))
-    later_slices = Window.partitionBy("cell").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        line.groupBy("cell", "_slice").agg(F.sum("is_held").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(later_slices), F.lit(0)))
-        .select("cell", "_slice", "_before")
-    )
-    counted = local.join(offsets, ["cell", "_slice"]).withColumn("later", F.col("_local") + F.col("_before"))
-    per_case = counted.filter("is_held = 0").select("ord", "cell", "later").filter("later > 0")
-    positions = counted.filter("is_held = 1").select("control_pnr", "cell", F.col("later").alias("hpos"))
-    return per_case, positions
+    sizes = controls.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("arcs", F.ceil(F.col("n") / _ARC_CONTROLS).cast("long"))
+    placed = controls.join(sizes.select("cell", "arcs"), "cell").withColumn("arc", F.expr(f"shiftright(point * arcs, {_CIRCLE_BITS})")).drop("arcs")
+    return placed, sizes
 
 
-def _proposals(
-    active: DataFrame, edges: DataFrame, free: DataFrame, held: DataFrame, own: DataFrame | None, seed: int, round_no: int
-) -> DataFrame:
-    """This round's draws ``ord, finished, control_pnr, cell``, written once.
+def _proposals(active: DataFrame, edges: DataFrame, controls: DataFrame, held: DataFrame) -> DataFrame:
+    """This round's draws ``ord, control_pnr, found, whole``, written once: each case's next controls clockwise from its point, as many as it needs.
 
-    A case without willing controls has one row that is ``finished``; a draw of oneself has no control.
+    A case looks at a stretch of the circle that holds ``_SPARE`` times what it needs if its eligible controls lie evenly, in each
+    eligible cell at the arcs that the stretch touches; ``reach`` widens it for cases that found too few. ``found`` says how many willing
+    controls lie there, and ``whole`` whether the stretch is the whole circle. Cases that found none have one row without a control.
     """
-    if round_no > 1:
-        edges = edges.join(active.select("case_cell").distinct(), "case_cell", "left_semi")
-    sizes = free.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    in_case_cell = Window.partitionBy("case_cell").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    spans = edges.join(sizes, "cell").withColumn("_hi", F.sum("_n").over(in_case_cell)).withColumn(
-        "_lo", F.col("_hi") - F.col("_n")
-    )
-    # Spans are listed under the blocks of positions they touch, with as many blocks as spans: a draw meets about two.
-    free_total = spans.groupBy("case_cell").agg(
-        F.max("_hi").alias("free_total"), F.ceil(F.max("_hi") / F.count(F.lit(1))).cast("long").alias("_width")
-    )
-    blocks = spans.join(free_total.select("case_cell", "_width"), "case_cell").withColumn(
-        "_block", F.explode(F.sequence(F.floor(F.col("_lo") / F.col("_width")), F.floor((F.col("_hi") - 1) / F.col("_width"))))
-    ).drop("_width")
-    pool = active.join(free_total, "case_cell", "left").fillna(0, ["free_total"])
-    if round_no > 1:
-        per_case, positions = _later_holders(active, edges, held)
-        per_case = per_case.withColumn(
-            "_hhi", F.sum("later").over(Window.partitionBy("ord").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-        ).withColumn("_hlo", F.col("_hhi") - F.col("later"))
-        later_total = per_case.groupBy("ord").agg(F.max("_hhi").alias("later_total"))
-        pool = pool.join(later_total, "ord", "left").fillna(0, ["later_total"])
-    else:
-        pool = pool.withColumn("later_total", F.lit(0).cast("long"))
-    pool = pool.withColumn("pool_size", F.col("free_total") + F.col("later_total"))
-    if own is not None:
-        mine = own.join(held.select(F.col("control_pnr").alias("case_pnr"), F.col("ord").alias("_holder")), "case_pnr", "left")
-        pool = pool.join(mine, "case_pnr", "left")
-        willing = F.coalesce(F.col("_own"), F.lit(0)) * (F.col("_holder").isNull() | (F.col("_holder") > F.col("ord"))).cast("int")
-        pool = pool.withColumn("pool_size_others", F.col("pool_size") - willing).drop("_own", "_holder")
-    else:
-        pool = pool.withColumn("pool_size_others", F.col("pool_size"))
-    # A case that wants the whole pool takes it; otherwise positions are drawn, and a position drawn twice
-    # is simply drawn again in the next round.
-    wants_all = F.col("need") >= F.col("pool_size")
-    drawn_at = F.pmod(F.xxhash64(F.lit(seed), F.lit(round_no), "case_pnr", "_draw"), F.col("pool_size"))
-    drawn = (
-        pool.filter("pool_size_others > 0")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("need").cast("long"), "pool_size"))))
-        .withColumn("_u", F.when(wants_all, F.col("_draw") - 1).otherwise(drawn_at))
-    )
-    from_free = (
-        drawn.filter(F.col("_u") < F.col("free_total"))
-        .withColumn("_block", F.floor(F.col("_u") / F.col("_width")))
-        .join(blocks, ["case_cell", "_block"])
-        .filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-        .select("case_pnr", "ord", "cell", (F.col("_u") - F.col("_lo")).alias("pos"))
-        .join(free, ["cell", "pos"])
-        .select("control_pnr", "cell", "ord", "case_pnr")
-    )
-    draws = from_free
-    if round_no > 1:
-        from_held = (
-            drawn.filter(F.col("_u") >= F.col("free_total"))
-            .withColumn("_h", F.col("_u") - F.col("free_total"))
-            .join(per_case, "ord")
-            .filter((F.col("_h") >= F.col("_hlo")) & (F.col("_h") < F.col("_hhi")))
-            .select("case_pnr", "ord", "cell", (F.col("_h") - F.col("_hlo")).alias("hpos"))
-            .join(positions, ["cell", "hpos"])
-            .select("control_pnr", "cell", "ord", "case_pnr")
-        )
-        draws = from_free.unionByName(from_held)
-    others = F.when(F.col("case_pnr") != F.col("control_pnr"), F.col("control_pnr"))
-    rows = draws.select("ord", F.lit(False).alias("finished"), others.alias("control_pnr"), "cell")
-    ends = pool.filter("pool_size_others <= 0").select("ord", F.lit(True).alias("finished"))
-    return materialize(rows.unionByName(ends, allowMissingColumns=True), "match-draws")
+    circle = 1 << _CIRCLE_BITS
+    stretch = F.expr(f"least({circle}L, cast(ceil({circle}D * need * reach * {_SPARE} / pool) as bigint))")
+    asking = active.withColumn("stretch", stretch)
+    looks = asking.join(edges, "case_cell").withColumns({
+        "_from": F.expr(f"shiftright(point * arcs, {_CIRCLE_BITS})"), "_to": F.expr(f"shiftright((point + stretch - 1) * arcs, {_CIRCLE_BITS})"),
+    })
+    looks = looks.withColumn("arc", F.explode(F.expr("transform(sequence(_from, least(_to, _from + arcs - 1)), a -> a % arcs)")))
+    away = F.pmod(F.col("control_point") - F.col("point"), F.lit(circle))
+    met = looks.select("ord", "case_pnr", "point", "need", "stretch", "cell", "arc").join(controls.withColumnRenamed("point", "control_point"), ["cell", "arc"])
+    met = met.withColumn("away", away).filter((F.col("away") < F.col("stretch")) & (F.col("case_pnr") != F.col("control_pnr")))
+    willing = met.join(held.select("control_pnr", F.col("ord").alias("_holder")), "control_pnr", "left").filter("_holder is null or _holder > ord")
+    place = Window.partitionBy("ord").orderBy("away", "control_pnr")
+    ranked = willing.withColumns({"_r": F.row_number().over(place), "found": F.count(F.lit(1)).over(Window.partitionBy("ord"))}).filter("_r <= need")
+    drawn = asking.select("ord", (F.col("stretch") == circle).alias("whole")).join(ranked.select("ord", "control_pnr", "cell", "found"), "ord", "left")
+    return materialize(drawn.fillna(0, ["found"]), "match-draws")
 
 
 def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None = None) -> MatchingResult:
@@ -416,59 +342,43 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
         "match-cells",
     )
     ordered = _ordered_cases(cases, config)
-    own = materialize(_own_control(cases, controls, criteria).withColumnRenamed("pnr", "case_pnr"), "match-own")
-    own = None if own.isEmpty() else own
+    done: DataFrame | None = None
     reachable = edges.select("cell").distinct()
-    free = materialize(
-        _place_free(
-            controls.select(F.col("pnr").alias("control_pnr"), cell_key(criteria).alias("cell")).join(
-                reachable, "cell", "left_semi"
-            )
-        ),
-        "match-free",
+    placed, sizes = _arcs(
+        controls.select(F.col("pnr").alias("control_pnr"), cell_key(criteria).alias("cell"), point_of(config.seed, F.col("pnr")).alias("point")).join(
+            reachable, "cell", "left_semi"
+        )
     )
-    held = cases.sparkSession.createDataFrame([], "control_pnr string, cell string, ord long")
-    active = ordered.withColumn("need", F.lit(config.ratio))
-    done: DataFrame | None = None
+    placed = materialize(placed, "match-controls")
+    edges = materialize(edges.join(sizes, "cell"), "match-edges")
+    pools = edges.groupBy("case_cell").agg(F.sum("n").alias("pool"))
+    edges = edges.drop("n")
+    ordered = materialize(ordered.join(pools, "case_cell").withColumn("point", point_of(config.seed, F.col("case_pnr"))), "match-cases")
+    held = cases.sparkSession.createDataFrame([], "control_pnr string, ord long")
+    active = ordered.withColumns({"need": F.lit(config.ratio), "reach": F.lit(1.0)})
     rounds = 0
     while True:
+        draws = _proposals(active, edges, placed, held)
+        told = draws.agg(F.count(F.lit(1)).alias("rows"), F.count("control_pnr").alias("drawn")).first()
+        if not told["rows"]:
+            break
         rounds += 1
-        draws = _proposals(active, edges, free, held, own, config.seed, rounds)
-        won = (
-            draws.filter(F.col("control_pnr").isNotNull())
-            .groupBy("control_pnr")
-            .agg(F.min("cell").alias("cell"), F.min("ord").alias("ord"))
-        )
-        both = held.withColumn("_old", F.col("ord")).unionByName(won.withColumn("_old", F.lit(None).cast("long")))
-        settled = materialize(
-            both.groupBy("control_pnr").agg(
-                F.min("cell").alias("cell"), F.min("ord").alias("ord"), F.max("_old").alias("_old")
-            ),
-            "match-held",
-        )
-        held = settled.select("control_pnr", "cell", "ord")
-        displaced = settled.filter(F.col("_old") != F.col("ord")).select(F.col("_old").alias("ord"))
-        # A finished case finds no willing control any more, also after it loses one, so only cases that
-        # are not finished go on.
-        finished = draws.filter("finished").select("ord")
-        done = finished if done is None else done.unionByName(finished)
-        again = draws.filter("not finished").select("ord").unionByName(displaced).distinct()
+        won = draws.filter("control_pnr is not null").groupBy("control_pnr").agg(F.min("ord").alias("ord"))
+        # A control keeps the earliest of its holder and its proposers.
+        held = materialize(held.unionByName(won).groupBy("control_pnr").agg(F.min("ord").alias("ord")), "match-held")
         having = held.groupBy("ord").agg(F.count(F.lit(1)).alias("_have"))
-        active = materialize(
-            ordered.join(again.join(done, "ord", "left_anti"), "ord", "left_semi")
-            .join(having, "ord", "left")
-            .withColumn("need", F.lit(config.ratio) - F.coalesce("_have", F.lit(0)).cast("int"))
-            .filter("need > 0")
-            .drop("_have"),
-            "match-active",
-        )
-        if active.isEmpty():
-            break
-        wanted = edges.join(active.select("case_cell").distinct(), "case_cell", "left_semi").select("cell").distinct()
-        free = materialize(
-            _place_free(free.join(wanted, "cell", "left_semi").join(held.select("control_pnr"), "control_pnr", "left_anti")),
-            "match-free",
+        state = draws.groupBy("ord").agg(F.max("found").alias("_found"), F.max("whole").alias("_whole"))
+        before = active.select("ord", F.col("need").alias("_need"), F.col("reach").alias("_reach")).join(state, "ord")
+        # Who saw the whole circle and found too few finds no willing control later either, also after losing one.
+        finished = before.filter("_whole and _found < _need").select("ord")
+        done = finished if done is None else materialize(done.unionByName(finished), "match-done")
+        reach = before.select("ord", F.when(F.col("_found") < F.col("_need"), F.col("_reach") * _WIDER).otherwise(F.lit(1.0)).alias("reach"))
+        active = (
+            ordered.join(done, "ord", "left_anti").join(having, "ord", "left").join(reach, "ord", "left")
+            .withColumns({"need": F.lit(config.ratio) - F.coalesce("_have", F.lit(0)).cast("int"), "reach": F.coalesce("reach", F.lit(1.0))})
+            .filter("need > 0").drop("_have")
         )
+        active = materialize(active, "match-active")
     if held.isEmpty():
         raise ValueError("no case could be matched")
     pairs = (

@@ -9,7 +9,14 @@ from conformance.check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SAMPLE = ["hl10_chronic_results", "fa05_snapshot", "lg02_longitudinal", "ma03_match_everyone", "tp15_load_periods_in_range", "fa09_siblings"]
+SAMPLE = [
+    "hl10_chronic_results", "fa05_snapshot", "lg02_longitudinal", "ma03_match_everyone", "tp15_load_periods_in_range", "fa09_siblings",
+    "ma03_match", "tp15_load_with_catalogue", "sc15_two_upserts", "lg01_fold_latest", "pe05_residency_own_date", "lg08_overlap_join", "fi25_code_list",
+    "ba04_several_comparisons", "hl06_categorize",
+]
+# All of them with ``LIFEFRAME_EVERY_QUERY=1``; the conformance check runs them on larger tables.
+if os.environ.get("LIFEFRAME_EVERY_QUERY"):
+    SAMPLE = sorted(entry_module.ORACLES)
 
 
 def test_registrations():
