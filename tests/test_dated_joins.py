@@ -86,3 +86,30 @@ def test_joins_are_equi_joins(spark):
     right = left.selectExpr("a as b", "s as f", "e as t")
     plan = intervals.overlapping(left, right, ("s", "e"), ("f", "t"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("few", ["left", "right", None])
+def test_joins_by_size(spark, monkeypatch, few):
+    """The same pairs whichever side is broadcast, or none."""
+    monkeypatch.setattr(intervals, "FEW", 5 if few else 0)
+    many = spark.range(40).selectExpr("id as a", "date_add(date '1990-01-01', cast(id * 50 as int)) as s", "if(id % 4 = 0, null, date_add(date '1990-02-01', cast(id * 50 as int))) as e")
+    some = spark.range(5).selectExpr("id as b", "if(id = 0, null, date_add(date '1991-01-01', cast(id * 200 as int))) as f", "date_add(date '1991-03-01', cast(id * 200 as int)) as t")
+    shares = {(r.a, r.b) for r in many.crossJoin(some).filter("(e is null or f is null or f <= e) and s <= t").collect()}
+    sides = ((some, many, ("f", "t"), ("s", "e")) if few == "left" else (many, some, ("s", "e"), ("f", "t")))
+    got = [(r.a, r.b) for r in intervals.overlapping(*sides).collect()]
+    assert len(got) == len(set(got)) and set(got) == shares
+    days = [(r.a, r.b) for r in intervals.containing(many.drop("e"), some, "s", "f", "t").collect()]
+    assert sorted(days) == sorted((r.a, r.b) for r in many.crossJoin(some).filter("s <= t and (f is null or f <= s)").collect())
+
+
+def test_nodes_of_many_rows_are_not_broadcast(spark, tmp_path):
+    """Estimates know nothing of a row's nodes, so a small file may stand for a large table of them."""
+    path = str(tmp_path / "stays")
+    rows = spark.range(3000).selectExpr("cast(id % 900 as string) as pnr", "date_add(date '1990-01-01', cast(id as int)) as s", "date_add(date '1990-01-09', cast(id as int)) as e")
+    rows.write.parquet(path)
+    stays = spark.read.parquet(path)
+    days = stays.selectExpr("pnr", "s as day")
+    joins = [intervals.containing(days, stays, "day", "s", "e", ["pnr"]), intervals.overlapping(stays, stays.selectExpr("pnr", "s as f", "e as t"), ("s", "e"), ("f", "t"), ["pnr"])]
+    for join in joins:
+        assert join.count() >= 3000
+        assert "BroadcastExchange" not in join._jdf.queryExecution().executedPlan().toString()
