@@ -15,6 +15,11 @@ those held by a later case. Each control keeps the earliest of its holder and it
 A control that refused a case is held by an earlier one for good, so looking only at willing controls is the same as walking
 down the ranking. A case finds its next controls among the few arcs of its eligible cells that lie close behind its point; it
 looks further if these hold too few, and is finished when the whole circle does. Two writes a round.
+
+A case that wants as many controls as are eligible for it leaves none of them to later cases. Later cases therefore don't look into cells that such
+cases have emptied, so a ratio beyond all that is there costs about a look per control, not one per eligible pair.
+
+Joins are sorted, not broadcast: the files between rounds are compressed, and a cell stands for many pairs, so estimates say little.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ _CIRCLE_BITS = 32
 _ARC_CONTROLS = 4  # controls on an arc of a cell's circle
 _SPARE = 4  # how much more than needed a case looks at first
 _WIDER = 8  # how much wider it looks after finding too few
+_FEW = 1000  # cases that may be broadcast
+_NEVER = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -139,6 +146,11 @@ def cells(persons: DataFrame, criteria: MatchingCriteria) -> DataFrame:
     return persons.groupBy(*criteria.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell_key(criteria))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark must not broadcast."""
+    return df.hint("merge")
+
+
 def _bucket(column: str, width: int) -> Column:
     return F.floor(F.unix_date(column) / max(1, width)).cast("long")
 
@@ -210,7 +222,7 @@ def eligible_cells(case_cells: DataFrame, control_cells: DataFrame, criteria: Ma
         mine, theirs = F.col(f"case_{name}"), F.col(f"control_{name}")
         distance = F.datediff(mine, theirs) if name.endswith("_date") else mine - theirs
         near = near & F.coalesce(mine.isNull() | (F.abs(distance) <= tolerance), F.lit(False))
-    return left.join(right, keys).filter(near).drop(*keys)
+    return left.join(_sorted(right), keys).filter(near).drop(*keys)
 
 
 def cell_totals(case_cells: DataFrame, control_cells: DataFrame, criteria: MatchingCriteria) -> DataFrame:
@@ -288,14 +300,36 @@ def point_of(seed: int, pnr: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), pnr)), 1, 8), 16, 10).cast("long")
 
 
-def _arcs(controls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(controls with the arc of their cell that they lie on; per cell its number of controls and of arcs).
+def _edges(cases: DataFrame, controls: DataFrame, ordered: DataFrame, config: MatchingConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges ``case_cell, cell, last, n``; numbers ``cell, id`` of the case cells; ``cell, id, n`` of the control cells), all written once.
+
+    Edges are the eligible control cells of each case cell by their numbers, with their controls.
 
-    A cell's circle is cut into as many arcs as leave about ``_ARC_CONTROLS`` controls on each, whatever the cell's size.
+    A case whose eligible controls are no more than the ratio leaves only itself behind, if it is among them, and a second such case nothing at all.
+    So cases after ``last``, the ``ord`` of some second such case of a control cell, find nothing there, and cells that only they would look at are left
+    out. Cases are halved by a hash, and the later one of the first of both halves is taken. Pairs of cells are combined where they are joined.
     """
-    sizes = controls.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("arcs", F.ceil(F.col("n") / _ARC_CONTROLS).cast("long"))
-    placed = controls.join(sizes.select("cell", "arcs"), "cell").withColumn("arc", F.expr(f"shiftright(point * arcs, {_CIRCLE_BITS})")).drop("arcs")
-    return placed, sizes
+    criteria = config.criteria
+    number = F.monotonically_increasing_id()
+    case_cells, control_cells = (materialize(cells(side, criteria).withColumn("id", number), "match-cells") for side in (cases, controls))
+    pools = eligible_cells(case_cells, control_cells, criteria).groupBy(F.col("case_cell").alias("cell")).agg(F.sum("control_n").alias("pool"))
+    half = F.xxhash64("ord") % 2 == 0
+    firsts = ordered.groupBy(F.col("case_cell").alias("cell")).agg(
+        F.min("ord").alias("first"), F.min(F.when(half, F.col("ord"))).alias("first_0"), F.min(F.when(~half, F.col("ord"))).alias("first_1")
+    )
+    case_cells = materialize(case_cells.join(_sorted(pools), "cell").join(_sorted(firsts), "cell"), "match-cells")
+    taking_all = eligible_cells(case_cells.filter(F.col("pool") <= config.ratio), control_cells, criteria)
+    emptied = taking_all.groupBy(F.col("control_cell").alias("cell")).agg(F.min("case_first_0").alias("_0"), F.min("case_first_1").alias("_1"))
+    last = F.when(F.col("_0").isNotNull() & F.col("_1").isNotNull(), F.greatest("_0", "_1")).otherwise(F.lit(_NEVER))
+    control_cells = materialize(control_cells.join(_sorted(emptied), "cell", "left").withColumn("last", last).drop("_0", "_1"), "match-cells")
+    pairs = eligible_cells(case_cells, control_cells, criteria).filter("case_first <= control_last")
+    edges = pairs.selectExpr("case_id as case_cell", "control_id as cell", "control_last as last", "control_n as n")
+    return materialize(edges, "match-edges"), case_cells.select("cell", "id"), control_cells.select("cell", "id", "n")
+
+
+def _arcs(n: str) -> Column:
+    """The number of arcs that a cell's circle is cut into, which leaves about ``_ARC_CONTROLS`` controls on each, whatever the cell's size."""
+    return F.ceil(F.col(n) / _ARC_CONTROLS).cast("long")
 
 
 def _proposals(active: DataFrame, edges: DataFrame, controls: DataFrame, held: DataFrame) -> DataFrame:
@@ -308,17 +342,18 @@ def _proposals(active: DataFrame, edges: DataFrame, controls: DataFrame, held: D
     circle = 1 << _CIRCLE_BITS
     stretch = F.expr(f"least({circle}L, cast(ceil({circle}D * need * reach * {_SPARE} / pool) as bigint))")
     asking = active.withColumn("stretch", stretch)
-    looks = asking.join(edges, "case_cell").withColumns({
+    few = asking.hint("broadcast" if active.count() <= _FEW else "merge")  # edges are many
+    looks = edges.join(few, "case_cell").filter("ord <= last").withColumns({
         "_from": F.expr(f"shiftright(point * arcs, {_CIRCLE_BITS})"), "_to": F.expr(f"shiftright((point + stretch - 1) * arcs, {_CIRCLE_BITS})"),
     })
     looks = looks.withColumn("arc", F.explode(F.expr("transform(sequence(_from, least(_to, _from + arcs - 1)), a -> a % arcs)")))
     away = F.pmod(F.col("control_point") - F.col("point"), F.lit(circle))
-    met = looks.select("ord", "case_pnr", "point", "need", "stretch", "cell", "arc").join(controls.withColumnRenamed("point", "control_point"), ["cell", "arc"])
-    met = met.withColumn("away", away).filter((F.col("away") < F.col("stretch")) & (F.col("case_pnr") != F.col("control_pnr")))
-    willing = met.join(held.select("control_pnr", F.col("ord").alias("_holder")), "control_pnr", "left").filter("_holder is null or _holder > ord")
+    holding = controls.withColumnRenamed("point", "control_point").join(_sorted(held.select("control_pnr", F.col("ord").alias("_holder"))), "control_pnr", "left")
+    met = looks.select("ord", "case_pnr", "point", "need", "stretch", "cell", "arc").join(_sorted(holding), ["cell", "arc"]).withColumn("away", away)
+    willing = met.filter((F.col("away") < F.col("stretch")) & (F.col("case_pnr") != F.col("control_pnr"))).filter("_holder is null or _holder > ord")
     place = Window.partitionBy("ord").orderBy("away", "control_pnr")
     ranked = willing.withColumns({"_r": F.row_number().over(place), "found": F.count(F.lit(1)).over(Window.partitionBy("ord"))}).filter("_r <= need")
-    drawn = asking.select("ord", (F.col("stretch") == circle).alias("whole")).join(ranked.select("ord", "control_pnr", "cell", "found"), "ord", "left")
+    drawn = asking.select("ord", (F.col("stretch") == circle).alias("whole")).join(_sorted(ranked.select("ord", "control_pnr", "found")), "ord", "left")
     return materialize(drawn.fillna(0, ["found"]), "match-draws")
 
 
@@ -335,25 +370,17 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     # Only ids and matching attributes take part in the rounds; they are computed once.
     cases = materialize(_one_row_each(original_cases.select(*dict.fromkeys((*needed, *config.case_order)))), "match-cases")
     controls = materialize(_one_row_each(original_controls.select(*needed)), "match-controls")
-    edges = materialize(
-        eligible_cells(cells(cases, criteria), cells(controls, criteria), criteria).select(
-            "case_cell", F.col("control_cell").alias("cell")
-        ),
-        "match-cells",
-    )
     ordered = _ordered_cases(cases, config)
+    edges, case_ids, control_ids = _edges(cases, controls, ordered, config)
     done: DataFrame | None = None
-    reachable = edges.select("cell").distinct()
-    placed, sizes = _arcs(
-        controls.select(F.col("pnr").alias("control_pnr"), cell_key(criteria).alias("cell"), point_of(config.seed, F.col("pnr")).alias("point")).join(
-            reachable, "cell", "left_semi"
-        )
-    )
+    in_cells = controls.select(F.col("pnr").alias("control_pnr"), cell_key(criteria).alias("cell"), point_of(config.seed, F.col("pnr")).alias("point"))
+    numbers = control_ids.select("cell", "id", _arcs("n").alias("arcs")).join(_sorted(edges.select(F.col("cell").alias("id")).distinct()), "id", "left_semi")
+    placed = in_cells.join(_sorted(numbers), "cell").selectExpr("control_pnr", "id as cell", "point", f"shiftright(point * arcs, {_CIRCLE_BITS}) as arc")
     placed = materialize(placed, "match-controls")
-    edges = materialize(edges.join(sizes, "cell"), "match-edges")
     pools = edges.groupBy("case_cell").agg(F.sum("n").alias("pool"))
-    edges = edges.drop("n")
-    ordered = materialize(ordered.join(pools, "case_cell").withColumn("point", point_of(config.seed, F.col("case_pnr"))), "match-cases")
+    edges = edges.select("case_cell", "cell", "last", _arcs("n").alias("arcs"))
+    ordered = ordered.withColumnRenamed("case_cell", "cell").join(_sorted(case_ids), "cell").selectExpr("ord", "case_pnr", "id as case_cell")
+    ordered = materialize(ordered.join(_sorted(pools), "case_cell").withColumn("point", point_of(config.seed, F.col("case_pnr"))), "match-cases")
     held = cases.sparkSession.createDataFrame([], "control_pnr string, ord long")
     active = ordered.withColumns({"need": F.lit(config.ratio), "reach": F.lit(1.0)})
     rounds = 0
@@ -368,13 +395,13 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
         held = materialize(held.unionByName(won).groupBy("control_pnr").agg(F.min("ord").alias("ord")), "match-held")
         having = held.groupBy("ord").agg(F.count(F.lit(1)).alias("_have"))
         state = draws.groupBy("ord").agg(F.max("found").alias("_found"), F.max("whole").alias("_whole"))
-        before = active.select("ord", F.col("need").alias("_need"), F.col("reach").alias("_reach")).join(state, "ord")
+        before = active.select("ord", F.col("need").alias("_need"), F.col("reach").alias("_reach")).join(_sorted(state), "ord")
         # Who saw the whole circle and found too few finds no willing control later either, also after losing one.
         finished = before.filter("_whole and _found < _need").select("ord")
         done = finished if done is None else materialize(done.unionByName(finished), "match-done")
         reach = before.select("ord", F.when(F.col("_found") < F.col("_need"), F.col("_reach") * _WIDER).otherwise(F.lit(1.0)).alias("reach"))
         active = (
-            ordered.join(done, "ord", "left_anti").join(having, "ord", "left").join(reach, "ord", "left")
+            ordered.join(_sorted(done), "ord", "left_anti").join(_sorted(having), "ord", "left").join(_sorted(reach), "ord", "left")
             .withColumns({"need": F.lit(config.ratio) - F.coalesce("_have", F.lit(0)).cast("int"), "reach": F.coalesce("reach", F.lit(1.0))})
             .filter("need > 0").drop("_have")
         )
@@ -382,16 +409,16 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     if held.isEmpty():
         raise ValueError("no case could be matched")
     pairs = (
-        held.join(ordered.select("ord", "case_pnr"), "ord")
+        held.join(_sorted(ordered.select("ord", "case_pnr")), "ord")
         .select("case_pnr", "control_pnr")
-        .join(cases.select(F.col("pnr").alias("case_pnr"), F.col("birth_date").alias("case_birth_date")), "case_pnr")
-        .join(controls.select(F.col("pnr").alias("control_pnr"), F.col("birth_date").alias("control_birth_date")), "control_pnr")
+        .join(_sorted(cases.select(F.col("pnr").alias("case_pnr"), F.col("birth_date").alias("case_birth_date"))), "case_pnr")
+        .join(_sorted(controls.select(F.col("pnr").alias("control_pnr"), F.col("birth_date").alias("control_birth_date"))), "control_pnr")
         .select("case_pnr", "case_birth_date", "control_pnr", "control_birth_date",
                 F.lit(config.matching_date).cast("date").alias("matching_date"))
     )
     return MatchingResult(
         pairs,
-        _one_row_each(original_cases.join(pairs.select(F.col("case_pnr").alias("pnr")), "pnr", "left_semi")),
-        _one_row_each(original_controls.join(pairs.select(F.col("control_pnr").alias("pnr")), "pnr", "left_semi")),
+        _one_row_each(original_cases.join(_sorted(pairs.select(F.col("case_pnr").alias("pnr"))), "pnr", "left_semi")),
+        _one_row_each(original_controls.join(_sorted(pairs.select(F.col("control_pnr").alias("pnr"))), "pnr", "left_semi")),
         rounds,
     )

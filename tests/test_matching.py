@@ -164,3 +164,51 @@ def test_leading_window_is_the_most_selective(spark):
     criteria = M.MatchingCriteria(match_parent_age=True, parent_birth_window_days=30, match_family_size=False)
     cells = M.cells(spark.createDataFrame(rows, schema), criteria)
     assert M.leading_window(cells, cells, criteria) == "mother_birth_date"
+
+
+def _watched(monkeypatch):
+    """All frames that a match writes, by name."""
+    written, real = [], M.materialize
+
+    def watch(df, name):
+        out = real(df, name)
+        written.append((name, df, out))
+        return out
+
+    monkeypatch.setattr(M, "materialize", watch)
+    return written
+
+
+def test_wanting_all_costs_a_look_per_control(spark, monkeypatch):
+    """A case that takes all that is left ends the search in its cells, except for itself."""
+    rng = random.Random(8)
+    cases, controls = people(rng, "a", 150, 40), people(rng, "k", 300, 40)
+    controls += cases[:40]
+    written = _watched(monkeypatch)
+    config = M.MatchingConfig(ratio=1_000_000, seed=3)
+    result = M.match(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), config)
+    replay(cases, controls, [(r.case_pnr, r.control_pnr) for r in result.pairs.collect()], config)
+    assert sum(out.count() for name, _, out in written if name == "match-draws") < 10 * len(controls)
+    assert max(out.count() for name, _, out in written if name == "match-edges") < 10 * len(controls)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_cases_in_order_with_any_ratio(spark, monkeypatch, few):
+    """Some cases take all that they can get, others don't; persons on both sides."""
+    monkeypatch.setattr(M, "_FEW", few)
+    rng = random.Random(12)
+    cases, controls = people(rng, "a", 60, 200), people(rng, "k", 90, 200)
+    controls += cases[:30]
+    config = M.MatchingConfig(ratio=4, seed=2)
+    result = M.match(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), config)
+    replay(cases, controls, [(r.case_pnr, r.control_pnr) for r in result.pairs.collect()], config)
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(M, "_FEW", 0, raising=False)
+    rng = random.Random(4)
+    cases, controls = people(rng, "a", 40, 60), people(rng, "k", 120, 60)
+    written = _watched(monkeypatch)
+    result = M.match(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), M.MatchingConfig(ratio=2, seed=1))
+    frames = [df for _, df, _ in written] + [result.pairs, result.matched_cases, result.matched_controls]
+    assert [df.columns for df in frames if "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()] == []
