@@ -8,7 +8,7 @@ tree, whose top is the root. A row's proof is the list of its siblings on the wa
 How it runs: a superblock is ``BLOCK`` consecutive nodes of a tree, so a group of any size is many superblocks.
 Going up, each superblock is reduced to its top node, and the tops of one round are the nodes of the next (one
 round makes a tree ``BLOCK`` times smaller). Going down, the nodes of a superblock are cogrouped with the one row of outer nodes that it
-needs, the siblings above its top; local reduction, the join of the local and the outer part of each proof, and the folding of
+needs, the siblings above its top (Arrow tables, so that workers load no pandas); local reduction, the join of the local and the outer part of each proof, and the folding of
 leaf and proof to a root all happen in that one call. A call sees at most ``BLOCK`` nodes and one outer row, whose length grows
 with the logarithm of the table.
 
@@ -24,7 +24,7 @@ import string
 from collections.abc import Sequence
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,40 +78,45 @@ def siblings(level: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("pos", kind="stable")
+def _arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of a result; digests are short, so 32-bit offsets do."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
-def _top(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = _ordered(pdf)
-    n = int(pdf["n"].iloc[0])
-    node = climb(pdf["node"].tolist(), levels_of(n))[-1][0]
-    return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "pos": [pdf["pos"].iloc[0] // BLOCK], "n": [-(-n // BLOCK)], "node": [node]})
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.sort_by("pos")
 
 
-def _around(pdf: pd.DataFrame) -> list[list[tuple[str, str]]]:
-    levels = climb(pdf["node"].tolist(), levels_of(int(pdf["n"].iloc[0])))
+def _first(table: pa.Table, name: str):
+    return table.column(name)[0].as_py()
+
+
+def _top(nodes: pa.Table) -> pa.Table:
+    nodes = _ordered(nodes)
+    n = _first(nodes, "n")
+    node = climb(nodes.column("node").to_pylist(), levels_of(n))[-1][0]
+    return pa.table([[_first(nodes, "tree")], [_first(nodes, "pos") // BLOCK], [-(-n // BLOCK)], [node]], _arrow(_NODE))
+
+
+def _around(nodes: pa.Table) -> list[list[tuple[str, str]]]:
+    levels = climb(nodes.column("node").to_pylist(), levels_of(_first(nodes, "n")))
     return [siblings(level) for level in levels[:-1]]
 
 
-def _inner(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _inner(nodes: pa.Table, outer: pa.Table) -> pa.Table:
     """The outer rows of a superblock's nodes, which are tops of superblocks themselves."""
-    nodes, above = _ordered(nodes), outer.iloc[0]
+    nodes, above = _ordered(nodes), outer.slice(0, 1).to_pylist()[0]
     around = _around(nodes)
-    paths = [[level[i // FAN**k] for k, level in enumerate(around)] for i in range(len(nodes))]
-    return pd.DataFrame(
-        {
-            "tree": nodes["tree"], "pos": nodes["pos"],
-            "before": [[b for b, _ in path] + list(above["before"]) for path in paths],
-            "after": [[a for _, a in path] + list(above["after"]) for path in paths],
-            "subroot": above["subroot"], "root": above["root"],
-        }
-    )
+    paths = [[level[i // FAN**k] for k, level in enumerate(around)] for i in range(nodes.num_rows)]
+    before, after = ([[side[at] for side in path] + above[name] for path in paths] for at, name in enumerate(("before", "after")))
+    tops = [[above[name]] * nodes.num_rows for name in ("subroot", "root")]
+    return pa.table([nodes.column("tree"), nodes.column("pos"), before, after, *tops], _arrow(_OUTER))
 
 
-def _finish(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _finish(leaves: pa.Table, outer: pa.Table) -> pa.Table:
     """Proofs and folded roots of a superblock's leaves."""
-    leaves, above = _ordered(leaves), outer.iloc[0]
+    leaves, above = _ordered(leaves), outer.slice(0, 1).to_pylist()[0]
     around = _around(leaves)
     outside = list(zip(above["before"], above["after"]))
     # What lies above the superblock is the same for all its leaves.
@@ -126,21 +131,17 @@ def _finish(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         return node
 
     proofs, folded = [], []
-    for i, (leaf, tampered) in enumerate(zip(leaves["node"], leaves["tampered"])):
+    for i, (leaf, tampered) in enumerate(zip(leaves.column("node").to_pylist(), leaves.column("tampered").to_pylist())):
         proofs.append(digest("".join(level[i // FAN**k] for k, level in enumerate(texts)) + outside_text))
-        node = tampered if isinstance(tampered, str) else leaf
+        node = leaf if tampered is None else tampered
         for k, level in enumerate(around):
             before, after = level[i // FAN**k]
             node = digest(before + node + after)
         if node not in known:
             known[node] = fold_outside(node)
         folded.append(known[node])
-    return pd.DataFrame(
-        {
-            "id": leaves["id"], "leaf": leaves["node"], "subroot": above["subroot"], "root": above["root"],
-            "proof_sha256": proofs, "folded_root": folded,
-        }
-    )
+    tops = [[above[name]] * leaves.num_rows for name in ("subroot", "root")]
+    return pa.table([leaves.column("id"), leaves.column("node"), *tops, proofs, folded], _arrow(_RESULT))
 
 
 def _in_blocks(nodes: DataFrame):
@@ -151,7 +152,7 @@ def _rise(nodes: DataFrame, largest: int) -> list[DataFrame]:
     """The nodes of all rounds; of the last, each tree has one."""
     stack = [nodes]
     while True:
-        nodes = materialize(_in_blocks(nodes.select("tree", "pos", "n", "node")).applyInPandas(_top, _NODE), "merkle-nodes")
+        nodes = materialize(_in_blocks(nodes.select("tree", "pos", "n", "node")).applyInArrow(_top, _NODE), "merkle-nodes")
         stack.append(nodes)
         largest = -(-largest // BLOCK)
         if largest <= 1:
@@ -162,7 +163,7 @@ def _descend(stack: list[DataFrame], outer: DataFrame, last: int) -> DataFrame:
     """From the outer rows of the topmost nodes to those of the nodes of round ``last``."""
     for nodes in reversed(stack[last:-1]):
         above = outer.withColumn("block", F.col("pos")).groupBy("tree", "block")
-        lower = materialize(_in_blocks(nodes.select("tree", "pos", "n", "node")).cogroup(above).applyInPandas(_inner, _OUTER), "merkle-outer")
+        lower = materialize(_in_blocks(nodes.select("tree", "pos", "n", "node")).cogroup(above).applyInArrow(_inner, _OUTER), "merkle-outer")
         discard(outer)
         outer = lower
     return outer
@@ -206,7 +207,7 @@ def manifest(
     over = over.drop("tree", "subroot").withColumnRenamed("pos", "tree").join(own, "tree").selectExpr("tree", "0L as pos", "before", "after", "_subroot as subroot", "root")
     outer = _descend(lower, materialize(over, "merkle-outer"), 1)
     above = outer.withColumn("block", F.col("pos")).groupBy("tree", "block")
-    found = _in_blocks(leaves).cogroup(above).applyInPandas(_finish, _RESULT)
+    found = _in_blocks(leaves).cogroup(above).applyInArrow(_finish, _RESULT)
     return found.withColumn("id", F.col("id").cast(id_type)).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

@@ -1,5 +1,6 @@
 """The manifest against a tree built on one list, and proofs folded by hand."""
 
+import os
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -102,3 +103,13 @@ def test_untampered_rows_verify_and_empty_tables_stay_empty(spark, documents):
     rows = merkle.manifest(documents([(i, f"T{i}") for i in range(20)])).collect()
     assert len(rows) == 20 and all(r["verified"] for r in rows)
     assert merkle.manifest(documents([])).count() == 0
+
+
+def test_workers_load_no_pandas():
+    """Every worker of an executor would hold its own copy."""
+    import subprocess
+    import sys
+
+    code = "import sys; from lifeframe.llm import merkle; sys.exit('pandas' in sys.modules)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
