@@ -24,6 +24,7 @@ Defined cases: null and empty texts or items match nothing; ids may be null or r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +44,7 @@ SIZES = (32, 16, 8)
 STRIDE = 4
 WALKS, SAMPLES, PLACES = 4, 8, 5
 BLOCK_WORDS = 100_000
+WINDOWS = 8192  # walked at a time
 SEED = 11
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -84,27 +86,35 @@ def sample_places() -> dict[tuple[int, int], np.ndarray]:
     }
 
 
-def embed_keys(words: Words, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(size, table, keys of all windows) for every LSH table."""
+def embed_keys(words: Words, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(size, table, first window, keys of up to ``WINDOWS`` windows from that one) for every LSH table, window by window block.
+
+    A key is the sum of the words at its places, each times a factor of its walk and place. Blocks are small enough to stay in a processor's cache.
+    """
     places = sample_places()
     needed = {w: sorted({int(p) for size in SIZES for p in places[size, w].ravel()}) for w in range(WALKS)}
+    symbols = words.hashes ^ (words.hashes >> np.uint64(29))
     for w in range(WALKS):
         bits = spans.mix(words.hashes ^ np.uint64(0xA0761D6478BD642F * (w + 1) % 2**64))
         bits[words.hashes == 0] = 0
-        symbols = words.hashes ^ (words.hashes >> np.uint64(29))
-        at, out = starts.copy(), {}
+        factors = spans.mix(np.arange(needed[w][-1] + 1, dtype=np.uint64) + np.uint64((w + 1) << 32)) | np.uint64(1)
         wanted = set(needed[w])
-        for step in range(needed[w][-1] + 1):
-            if step in wanted:
-                out[step] = symbols[at]
-            at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-        for size in SIZES:
-            for t, sample in enumerate(places[size, w]):
-                key = np.full(len(starts), w * SAMPLES + t + 1, np.uint64)
-                for p in sample:
-                    key = (key ^ out[int(p)]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(32)
-                yield size, w * SAMPLES + t, key
+        for first in range(0, len(starts), WINDOWS):
+            at, out = starts[first : first + WINDOWS].copy(), {}
+            for step in range(needed[w][-1] + 1):
+                if step in wanted:
+                    out[step] = symbols.take(at)
+                    out[step] *= factors[step]
+                move = bits.take(at)
+                move >>= np.uint64(step)
+                move &= np.uint64(1)
+                at += move.view(np.int64)
+            for size in SIZES:
+                for t, sample in enumerate(places[size, w]):
+                    key = out[int(sample[0])] + out[int(sample[1])]
+                    for p in sample[2:]:
+                        key += out[int(p)]
+                    yield size, w * SAMPLES + t, first, key
 
 
 class Table:
@@ -113,13 +123,14 @@ class Table:
     def __init__(self, keys: np.ndarray, entries: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys, self.entries = keys[order], entries[order]
-        self.mask = np.uint64((1 << max(10, int(16 * max(1, len(keys))).bit_length())) - 1)
-        self.present = np.zeros(int(self.mask) + 1, bool)
-        self.present[(keys & self.mask).astype(np.int64)] = True
+        width = max(10, int(16 * max(1, len(keys))).bit_length())
+        self.shift = np.uint64(64 - width)
+        self.present = np.zeros(1 << width, bool)
+        self.present[(keys >> self.shift).view(np.int64)] = True
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which key, entry) for all equal keys."""
-        maybe = np.flatnonzero(self.present[(keys & self.mask).astype(np.int64)])
+        maybe = np.flatnonzero(self.present.take((keys >> self.shift).view(np.int64)))
         low, high = (np.searchsorted(self.keys, keys[maybe], side) for side in ("left", "right"))
         n = high - low
         which = np.repeat(maybe, n)
@@ -144,10 +155,15 @@ class ItemIndex:
         starts, text, offset = words.windows(1)
         inside = offset + fits[text] <= words.count[text]
         self.tables: dict[tuple[int, int], Table] = {}
-        for size, t, keys in embed_keys(words, starts):
-            own = np.flatnonzero((fits[text] == size) & inside)
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size, t, first, keys in embed_keys(words, starts):
+            block = slice(first, first + len(keys))
+            own = np.flatnonzero((fits[text[block]] == size) & inside[block])
             if len(own):
-                self.tables[size, t] = Table(keys[own], np.stack([text[own], offset[own]], axis=1))
+                held.setdefault((size, t), []).append((keys[own], own + first))
+        for table, found in held.items():
+            keys, own = (np.concatenate(part) for part in zip(*found))
+            self.tables[table] = Table(keys, np.stack([text[own], offset[own]], axis=1))
         self.parts: dict[int, dict[int, list[tuple[int, int]]]] = {}  # length, hash of the part, (item, offset of the part)
         for i in np.flatnonzero((fits == 0) & (words.count >= MIN_WORDS)).tolist():
             n = int(words.count[i])
@@ -162,11 +178,12 @@ class ItemIndex:
         starts, text, offset = words.windows(STRIDE)
         near: set[tuple[int, int, int]] = set()
         if self.tables and len(starts):
-            for size, t, keys in embed_keys(words, starts):
+            for size, t, first, keys in embed_keys(words, starts):
                 held = self.tables.get((size, t))
                 if held is not None:
                     which, entries = held.find(keys)
                     if len(which):
+                        which += first
                         near.update(zip(text[which].tolist(), entries[:, 0].tolist(), (offset[which] - entries[:, 1]).tolist()))
         row = np.repeat(np.arange(len(words.count)), words.count + 1) if self.parts else None
         for n, items in self.parts.items():
@@ -203,6 +220,14 @@ def best_run(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def may_hold(masks: dict[int, int], n: int, text: list[int], allowed: int) -> bool:
+    """Whether enough words of an item of ``n`` words are in ``text``, in any order: each that has no partner there is an edit."""
+    held = [word for word in text if word in masks]
+    if len(held) < n - allowed:
+        return False
+    return sum(min(masks[word].bit_count(), k) for word, k in Counter(held).items()) >= n - allowed
+
+
 def matches(words: Words, index: ItemIndex, similarity: float) -> dict[tuple[int, int], tuple[int, int]]:
     """{(text, item): (edits, word before which the best run ends)} of what passes verification."""
     found: dict[tuple[int, int], tuple[int, int]] = {}
@@ -226,7 +251,10 @@ def matches(words: Words, index: ItemIndex, similarity: float) -> dict[tuple[int
                 low, high = a, b
         spans_.append((low, high))
         for a, b in spans_:
-            edits, end = best_run(index.masks[i], n, words.hashes[first + a : first + b].tolist())
+            run = words.hashes[first + a : first + b].tolist()
+            if not may_hold(index.masks[i], n, run, allowed):
+                continue
+            edits, end = best_run(index.masks[i], n, run)
             if edits <= allowed:
                 found[text, i] = min(found.get((text, i), (n, 0)), (edits, a + end))
     return found

@@ -122,3 +122,28 @@ def test_awkward(spark, documents, awkward):
     empty = benchmark.filter("item_id > 5")
     assert decontaminate.contaminated(documents(awkward), empty).count() == 0
     assert decontaminate.keep_clean(documents(awkward), empty).count() == len(awkward)
+
+
+def test_only_runs_with_enough_common_words_are_compared(monkeypatch):
+    """The count of common words passes every run that holds the item and spares nearly all others."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(400):
+        item = [rng.randrange(1, 12) for _ in range(rng.randrange(5, 20))]
+        run = [rng.randrange(1, 12) for _ in range(rng.randrange(0, 40))]
+        masks = {}
+        for k, word in enumerate(item):
+            masks[word] = masks.get(word, 0) | 1 << k
+        edits, _ = decontaminate.best_run(masks, len(item), run)
+        assert all(decontaminate.may_hold(masks, len(item), run, allowed) for allowed in range(edits, len(item) + 1))
+    compared = []
+    real = decontaminate.best_run
+    monkeypatch.setattr(decontaminate, "best_run", lambda *args: compared.append(1) or real(*args))
+    common = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choices(common, k=12) + [f"own{i}x{j}" for j in range(12)]) for i in range(20)]
+    texts = [" ".join(item.split()[:12] + rng.choices(common, k=300)) for item in items] + [items[3] + " end"]
+    column = pa.array(texts, pa.string())
+    index = decontaminate.ItemIndex(list(range(20)), items)
+    found = [m for _, _, data, offsets in spans.slices(column) for m in decontaminate.matches(decontaminate.Words(data, offsets), index, 0.8)]
+    assert found == [(20, 3)] and len(compared) == 1
