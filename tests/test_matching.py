@@ -205,7 +205,7 @@ def test_cases_in_order_with_any_ratio(spark, monkeypatch, few):
 
 
 def test_nothing_is_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(M, "_FEW", 0, raising=False)
+    monkeypatch.setattr(M, "_FEW", -1, raising=False)
     rng = random.Random(4)
     cases, controls = people(rng, "a", 40, 60), people(rng, "k", 120, 60)
     written = _watched(monkeypatch)
