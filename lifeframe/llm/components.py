@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from lifeframe.session import discard, materialize
 
+FEW = 100_000  # rows that may be broadcast
+
+
+def sized(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join. Beyond ``FEW`` rows Spark must not broadcast, which takes compressed files for the rows' size in memory."""
+    return side if rows <= FEW else side.hint("merge")
+
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node that can be reached.
@@ -16,15 +23,15 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     written to the shared folder; the number of steps grows with the logarithm of the longest chain.
     """
     edges = materialize(links.filter("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), name)
-    before = None
+    before, count = None, edges.count()
     while True:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # Large star: every larger neighbour of u is linked to the smallest node around u.
-        large = materialize(both.join(least, "u").filter("v > u and v <> m").selectExpr("v as u", "m as v").distinct(), name)
+        large = materialize(both.join(sized(least, count), "u").filter("v > u and v <> m").selectExpr("v as u", "m as v").distinct(), name)
         # Small star: u's smaller neighbours and u itself are linked to the smallest of them.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").selectExpr("v as u", "m as v").filter("u <> v").unionByName(lower.selectExpr("u", "m as v"))
+        small = large.join(sized(lower, count), "u").selectExpr("v as u", "m as v").filter("u <> v").unionByName(lower.selectExpr("u", "m as v"))
         after = materialize(small.distinct(), name)
         discard(large)
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -32,6 +39,6 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         edges = after
         if mark == before:
             break
-        before = mark
+        before, count = mark, mark[0]
     stars = edges.selectExpr("u as node", "v as root")
     return stars.unionByName(edges.selectExpr("v as node", "v as root").distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lifeframe.llm import spans
-from lifeframe.llm.components import components
+from lifeframe.llm.components import components, sized
 from lifeframe.session import discard, materialize
 
 SEED = 42
@@ -179,11 +179,13 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     keyed = index(prints, segments)
     # Which keys are shared by many: one row per key, combined per task, and few remain.
     hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {HOT}").select("key"), "simhash-hot")
+    hot = sized(hot, hot.count())
     cold = keyed.join(hot, "key", "left_anti")
     left = cold.selectExpr("key", "print as a", "bit as bit_a")
     right = cold.selectExpr("key", "print as b", "bit as bit_b")
     meet = (F.col("bit_a") == -1) & (F.col("bit_b") == -1) & (F.col("a") < F.col("b")) | (F.col("bit_a") == 0) & (F.col("bit_b") == 1)
-    near = left.join(right, (left["key"] == right["key"]) & meet & (apart() <= distance)).select("a", "b")
+    # Spark takes the exploded keys for little more than the files of their fingerprints.
+    near = left.join(right.hint("merge"), (left["key"] == right["key"]) & meet & (apart() <= distance)).select("a", "b")
 
     # Divided keys: what the key leaves open is cut by the same rule.
     again = keyed.join(hot, "key", "left_semi")
@@ -204,10 +206,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
 
 def _with_components(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
-    rooted = distinct.join(components(found, "simhash-links").withColumnRenamed("node", "print"), "print", "left")
+    prints, rows = distinct.count(), marked.count()
+    rooted = distinct.join(sized(components(found, "simhash-links").withColumnRenamed("node", "print"), prints), "print", "left")
     rooted = materialize(rooted.select("print", "least", F.coalesce("root", "print").alias("root")), "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marked.join(rooted.select("print", "root").join(smallest, "root").drop("root"), "print")
+    return marked.join(sized(rooted.select("print", "root").join(sized(smallest, prints), "root").drop("root"), rows), "print")
 
 
 def _wide_prints(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:

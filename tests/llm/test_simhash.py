@@ -163,3 +163,26 @@ def test_long_chain(spark):
     found = {r["node"]: r["root"] for r in components.components(pairs).collect()}
     assert all(found[i] == 0 for i in range(31)) and found[300] == 200 and found[200] == 200
     assert components.components(pairs.filter("a < 0")).count() == 0
+
+
+@pytest.mark.parametrize("few", [-1, 100_000])
+def test_exploded_keys_are_not_broadcast(spark, documents, monkeypatch, few):
+    """Files of fingerprints are small, their keys are not: no join takes the keys to the driver, beyond few rows none takes anything."""
+    written, real = [], simhash.materialize
+
+    def watch(df, name):
+        written.append(df)
+        return real(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "materialize", watch)
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(12))) for i in range(300)]
+    found = simhash.linked(documents(texts + [(300 + i, t) for i, t in texts[:40]]))
+    assert {r["component"] for r in found.collect() if r["id"] >= 300} == set(range(40))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*written, found]]
+    keyed = [p for p in plans if "Generate explode" in p and "Join" in p]
+    # Few hot keys may be broadcast, in each of their three uses.
+    assert keyed and all("SortMergeJoin" in p and p.count("BroadcastExchange") <= (3 if few > 0 else 0) for p in keyed)
+    assert few > 0 or not any("BroadcastExchange" in p for p in plans)
