@@ -1,6 +1,7 @@
 """The parallel matching against the sequential greedy rule, replayed in plain Python."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -212,3 +213,52 @@ def test_nothing_is_broadcast(spark, monkeypatch):
     result = M.match(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), M.MatchingConfig(ratio=2, seed=1))
     frames = [df for _, df, _ in written] + [result.pairs, result.matched_cases, result.matched_controls]
     assert [df.columns for df in frames if "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()] == []
+
+
+def draws_one_by_one(cases, controls, config):
+    """Case by case, the first eligible controls clockwise from the case's point that no earlier case took."""
+    def point(pnr):
+        return int(hashlib.md5(f"{config.seed}:{pnr}".encode()).hexdigest()[:8], 16)
+
+    taken, pairs = set(), []
+    for case in sorted(cases):
+        fit = [k[0] for k in controls if k[0] not in taken and eligible(case, k, config.criteria)]
+        drawn = sorted(fit, key=lambda k: ((point(k) - point(case[0])) % 2**32, k))[: config.ratio]
+        taken.update(drawn)
+        pairs += [(case[0], k) for k in drawn]
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize(
+    ("unit", "edges", "days", "n_controls", "ratio"),
+    [(200_000, 1_600_000, 300, 120, 2), (60, 1_600_000, 900, 150, 2), (40, 1_600_000, 900, 400, 3), (15, 1_600_000, 40, 90, 2), (60, 300, 300, 120, 2), (30, 200, 500, 150, 1000)],
+)
+def test_draws_do_not_depend_on_the_units(spark, monkeypatch, unit, edges, days, n_controls, ratio):
+    """One unit or many, blocks that share controls, sectors, more wanted than there is: the draws of a loop over the cases."""
+    for name, value in (("_UNIT", unit), ("_EDGES", edges), ("_HALO", 1)):
+        monkeypatch.setattr(M, name, value, raising=False)
+    rng = random.Random(unit + days)
+    cases, controls = people(rng, "a", 100, days), people(rng, "k", n_controls, days)
+    controls += cases[:20]
+    config = M.MatchingConfig(ratio=ratio, seed=6)
+    result = M.match(spark.createDataFrame(cases, SCHEMA).repartition(3), spark.createDataFrame(controls, SCHEMA).repartition(5), config)
+    assert sorted((r.case_pnr, r.control_pnr) for r in result.pairs.collect()) == draws_one_by_one(cases, controls, config)
+
+
+def test_too_few_controls_cost_no_rounds(spark, monkeypatch):
+    """Where nearly all controls are taken and most cases get none, the cases of a unit are settled in one round."""
+    rng = random.Random(21)
+    cases, controls = people(rng, "a", 400, 60), people(rng, "k", 150, 60)
+    written = _watched(monkeypatch)
+    config = M.MatchingConfig(ratio=2, seed=5)
+    result = M.match(spark.createDataFrame(cases, SCHEMA), spark.createDataFrame(controls, SCHEMA), config)
+    assert sorted((r.case_pnr, r.control_pnr) for r in result.pairs.collect()) == draws_one_by_one(cases, controls, config)
+    assert result.rounds == 1
+    assert sum(out.count() for name, _, out in written if name == "match-draws") <= len(cases) + len(controls)
+
+
+def test_nobody_fits_in_many_units(spark, monkeypatch):
+    monkeypatch.setattr(M, "_UNIT", 2, raising=False)
+    cases = spark.createDataFrame([(f"a{i}", START, "M", 1) for i in range(5)], SCHEMA)
+    with pytest.raises(ValueError, match="no case"):
+        M.match(cases, spark.createDataFrame([(f"k{i}", START, "F", 1) for i in range(5)], SCHEMA))
