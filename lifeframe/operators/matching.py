@@ -48,6 +48,7 @@ _EDGES = 1_600_000  # pairs of cells that one task holds, about
 _HALO = 4  # windows in the days of birth of a block, at least
 _FEW = 1000  # units that may be broadcast
 _UNITS = 4096  # tasks of a round, at most
+_BLOCK_BITS, _SECTOR_BITS = 40, 20  # of a unit's number; blocks of like hash are one
 _NEVER = (1 << 63) - 1
 
 
@@ -347,19 +348,22 @@ def _blocks(case_cells: DataFrame, criteria: MatchingCriteria, wanted: int) -> D
     first, last, groups = told["first"] or 0, told["last"] or 0, max(1, min(told["groups"], wanted))
     days = max((last - first) // -(-wanted // groups) + 1, _HALO * (2 * criteria.birth_window_days + 1))
     group = F.pmod(group, F.lit(wanted)) if told["groups"] > wanted else group
-    return case_cells.withColumn("block", F.xxhash64(group, F.floor((day - first) / days).cast("long")))
+    return case_cells.withColumn("block", _block_number(group, F.floor((day - first) / days).cast("long")))
+
+
+def _block_number(*parts: Column) -> Column:
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
 
 
 def _thinned(case_cells: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks of very many pairs of cells are dealt over several that share controls."""
     counted = edges.withColumnRenamed("case_cell", "id").join(_sorted(case_cells.select("id", "block")), "id").groupBy("block").agg(F.count(F.lit(1)).alias("pairs"))
     parts = counted.select("block", F.ceil(F.col("pairs") / _EDGES).alias("parts"))
-    part = F.when(F.col("parts") > 1, F.xxhash64("block", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.col("block"))
+    part = F.when(F.col("parts") > 1, _block_number(F.col("block"), F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.col("block"))
     return case_cells.join(_sorted(parts), "block").withColumn("block", part).drop("parts")
 
 
 _WHOLE, _FROM, _ALL, _BEFORE = range(4)  # what a case looks at in a sector: its circle round, from its point on, everything, up to its point
-_IN_UNIT = "block long, sector long, kind int, cell long, id long, point long, n long, own long, look int, cells array<long>"
 _DRAWN = "control long, ord long, passed boolean"
 
 
@@ -463,16 +467,15 @@ def _pass():
 def _draws(status: DataFrame, units: DataFrame, count: int, places: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
     """This round's ``control, ord, passed``, written once: the claims of all units that have cases in need, and the cases that passed a sector."""
     units = units.hint("broadcast" if count <= _FEW else "merge")
-    at = ["block", "sector"]
-    rows = status.join(units, at).filter("ord >= first").selectExpr(
-        *at, "0 as kind", "cell", "ord as id", "point", "need as n", "own", "look", "cast(null as array<long>) as cells"
+    rows = status.join(units.drop("block"), "unit").filter("ord >= first").selectExpr(
+        "unit", "0 as kind", "cell", "ord as id", "point", "need as n", "own", "look", "cast(null as array<long>) as cells"
     )
     # What a case before all those in need holds is open to none of them.
-    holding = places.join(units, at).join(_sorted(held), "control", "left").filter("ord is null or ord > first")
-    rows = rows.unionByName(holding.selectExpr(*at, "1 as kind", "cell", "control as id", "point", "ord as n", "null as own", "null as look", "null as cells"))
-    rows = rows.unionByName(lists.join(units, "block").selectExpr(*at, "2 as kind", "case_cell as cell", "null as id", "null as point", "null as n", "null as own", "null as look", "cells"))
-    dealt = rows.repartition(min(4 * count, _UNITS), *at)
-    return materialize(dealt.groupBy(*at).applyInArrow(_pass(), _DRAWN), "match-draws")
+    holding = places.join(units.drop("block"), "unit").join(_sorted(held), "control", "left").filter("ord is null or ord > first")
+    rows = rows.unionByName(holding.selectExpr("unit", "1 as kind", "cell", "control as id", "point", "ord as n", "null as own", "null as look", "null as cells"))
+    rows = rows.unionByName(lists.join(units, "block").selectExpr("unit", "2 as kind", "case_cell as cell", "null as id", "null as point", "null as n", "null as own", "null as look", "cells"))
+    dealt = rows.repartition(min(4 * count, _UNITS), "unit")
+    return materialize(dealt.groupBy("unit").applyInArrow(_pass(), _DRAWN), "match-draws")
 
 
 def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None = None) -> MatchingResult:
@@ -501,10 +504,10 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     weights = cells_of.select("block", "n").unionByName(case_ids.select("block", "n")).groupBy("block").agg(F.sum("n").alias("n"))
     sectors = materialize(weights.select("block", F.ceil(F.col("n") / (2 * _UNIT)).cast("long").alias("sectors")), "match-blocks")
     lists = materialize(in_block.groupBy("block", F.col("id").alias("case_cell")).agg(F.collect_list("cell").alias("cells")), "match-lists")
-    sector = f"shiftright(point * sectors, {_CIRCLE_BITS})"
+    unit, sector = f"shiftleft(block, {_SECTOR_BITS})", f"shiftright(point * sectors, {_CIRCLE_BITS})"
     placed = numbered.join(_sorted(control_ids), "cell").select("control", F.col("id").alias("cell"), "point")
     placed = placed.join(_sorted(cells_of.select("block", "cell")), "cell").join(_sorted(sectors), "block")
-    placed = materialize(placed.selectExpr("block", f"{sector} as sector", "cell", "control", "point"), "match-controls")
+    placed = materialize(placed.selectExpr(f"{unit} | {sector} as unit", "cell", "control", "point"), "match-controls")
     ordered = ordered.withColumnRenamed("case_cell", "cell").join(_sorted(case_ids), "cell").join(_sorted(sectors), "block")
     ordered = ordered.join(_sorted(numbered.select(F.col("control_pnr").alias("case_pnr"), F.col("control").alias("own"))), "case_pnr", "left")
     ordered = ordered.select("ord", "case_pnr", F.col("id").alias("cell"), "block", "sectors", point_of(config.seed, F.col("case_pnr")).alias("point"), "own")
@@ -516,10 +519,10 @@ def match(cases: DataFrame, controls: DataFrame, config: MatchingConfig | None =
     while True:
         # The last sector is that of the point again, up to which it is looked at then.
         status = status.filter("step <= if(sectors = 1, 0, sectors)").withColumns({
-            "sector": F.expr(f"({sector} + step) % sectors"),
+            "unit": F.expr(f"{unit} | ({sector} + step) % sectors"),
             "look": F.expr(f"case when sectors = 1 then {_WHOLE} when step = 0 then {_FROM} when step = sectors then {_BEFORE} else {_ALL} end"),
         })
-        units = status.filter("need > 0").groupBy("block", "sector").agg(F.min("ord").alias("first"))
+        units = status.filter("need > 0").groupBy("unit", "block").agg(F.min("ord").alias("first"))
         units = materialize(units, "match-units")
         count = units.count()
         if not count:
